@@ -94,8 +94,8 @@ def histogram_shards(docs: DataFrame, num_shards: int = 24, tolerance: float = 0
     rows = materialize(kept.withColumn("__tie", F.monotonically_increasing_id()), "sharding", compression="zstd")
     slim = rows.select(F.col("__key"), F.col("__tie"), F.col("__size").alias("size"))
     total = slim.agg(F.sum("size")).first()[0] or 0
-    targets = [total * j / num_shards for j in range(1, num_shards)]
-    cuts = find_splitters(slim, "__key", targets, tolerance=tolerance) if total else []
+    targets = [total * j / num_shards for j in range(1, num_shards) if total]
+    cuts = find_splitters(slim, "__key", targets, tolerance=tolerance) if targets else []
     shard = _shard_of(F.col("__key"), [c.key for c in cuts])
     # A key that many rows share can't be cut by the key alone.
     for key, low, at in sorted({(c.shared, c.low, c.at) for c, t in zip(cuts, targets, strict=True) if c.at > total / num_shards / 100 and c.low < t < c.low + c.at}):
