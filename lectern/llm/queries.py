@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions.storage import table
 from lectern.llm.line_dedup import dedup_lines
+from lectern.llm.packing import pack
 from lectern.llm.sharding import histogram_shards
 from lectern.llm.text import body
+from lectern.llm.token_files import round_trip
+from lectern.llm.tokenization import count_tokens
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,18 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "__shard.size", crc, "__shard.law", "__shard.shard", "__shard.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(body(), 256).alias("kept_sha256"))
@@ -25,6 +40,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_token_counts": op2_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_files": op7_token_files,
     "op9_line_dedup": op9_line_dedup,
 }
 
