@@ -9,6 +9,7 @@ from lectern.functions.storage import table
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.packing import pack
 from lectern.llm.sharding import histogram_shards
+from lectern.llm.simhash import near_duplicates
 from lectern.llm.text import body
 from lectern.llm.token_files import round_trip
 from lectern.llm.tokenization import count_tokens
@@ -25,6 +26,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048)
 
@@ -41,6 +47,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_counts": op2_token_counts,
+    "op3_simhash_groups": op3_simhash_groups,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op9_line_dedup": op9_line_dedup,
