@@ -10,6 +10,7 @@ from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.packing import pack
 from lectern.llm.sharding import histogram_shards
 from lectern.llm.simhash import near_duplicates
+from lectern.llm.substring_dedup import drop_repeated_words
 from lectern.llm.text import body
 from lectern.llm.token_files import round_trip
 from lectern.llm.tokenization import count_tokens
@@ -44,6 +45,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(body(), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_words(table(spark, sf_dir, "documents"), length=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_counts": op2_token_counts,
@@ -51,9 +57,28 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op9_line_dedup": op9_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
+    "op10_substring_dedup": r"""
+        with words as (
+          select doc_id, generate_subscripts(w, 1) i, unnest(w) word
+          from (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') w from documents)),
+        windows as (
+          select doc_id, i, list(word) over (partition by doc_id order by i rows between current row and 19 following) w from words),
+        ranked as (
+          select doc_id, i, row_number() over (partition by w order by doc_id, i) n from windows where len(w) = 20),
+        starts as (select doc_id, i from ranked where n > 1),
+        marked as (
+          select w.doc_id, w.i, w.word, max(case when s.i is not null then w.i end) over (partition by w.doc_id order by w.i rows between 19 preceding and current row) is not null gone
+          from words w left join starts s on s.doc_id = w.doc_id and s.i = w.i),
+        kept as (
+          select doc_id, count(*) n_words, cast(sum(gone::int) as bigint) n_removed, string_agg(word, ' ' order by i) filter (where not gone) body
+          from marked group by doc_id)
+        select doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(body, '')) kept_sha256
+        from (select distinct doc_id from documents) left join kept using (doc_id)
+    """,
     "op9_line_dedup": r"""
         with lines as (
           select doc_id, i, line, translate(trim(line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k
