@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.storage import table
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.packing import pack
+from lectern.llm.quality import score_quality
 from lectern.llm.sharding import histogram_shards
 from lectern.llm.simhash import near_duplicates
 from lectern.llm.substring_dedup import drop_repeated_words
@@ -32,6 +33,11 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "__quality.*").drop("score")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048)
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_quality_rules": op4_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op9_line_dedup": op9_line_dedup,
