@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import table
+from lectern.llm.decontamination import contaminated
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.packing import pack
 from lectern.llm.quality import score_quality
@@ -38,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "__quality.*").drop("score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048)
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op9_line_dedup": op9_line_dedup,
