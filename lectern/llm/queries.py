@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.storage import table
 from lectern.llm.decontamination import contaminated
+from lectern.llm.langid import fit, held_out, identify
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.packing import pack
 from lectern.llm.quality import score_quality
@@ -51,6 +52,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), fit(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "__lang.*")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(body(), 256).alias("kept_sha256"))
@@ -69,6 +76,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
+    "op8_language_codes": op8_language_codes,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
