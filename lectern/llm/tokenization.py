@@ -10,10 +10,10 @@ import heapq
 import json
 import os
 import re
+import struct
 from collections.abc import Callable
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +29,9 @@ CROWDED = re.compile(r"[ ][\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85][ ]")
 #: White space besides single spaces between words.
 OTHER_WHITE = re.compile(r"[\t-\r]")
 #: Units remembered in a Python worker, and the longest that are.
-MEMORY, LONGEST = 600_000, 64
+MEMORY, LONGEST = 500_000, 64
+#: Words of letters that neither lower-casing nor composition changes in number.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
 
 class Remembered(dict):
@@ -48,6 +50,13 @@ class Remembered(dict):
         return value
 
 
+def byte_alphabet() -> list[str]:
+    """A character for each byte: printable ones stand for themselves, the other bytes for 256, 257, ..."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 class MergeCounter:
     """How many tokens byte-pair merging leaves of a text.  No token ids are made."""
 
@@ -56,10 +65,7 @@ class MergeCounter:
             spec = json.load(f)
         self.special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.ranks = {(a, b): r for r, (a, b) in enumerate(spec["model"]["merges"])}
-        # The byte alphabet: printable characters stand for themselves, the other bytes for 256, 257, ...
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spare = iter(range(256, 512))
-        self.symbol = [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+        self.symbol = byte_alphabet()
         self.after_space = Remembered(lambda unit: self.segments(f" {unit}"))
         self.pieces = Remembered(self.merged)
 
@@ -100,40 +106,68 @@ class MergeCounter:
 
 
 class Encoder:
-    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes; unknown units go to it in lots."""
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    LOT = 20_000
+    Plain words go straight to the library's model, as normalizing and splitting leave them whole; all
+    other units go through all of it, in lots.
+    """
+
+    LOT_CHARS = 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # Where the split pattern drops white space, every word stands alone; else it carries the space before it.
+        # Where the split pattern drops white space, every word stands alone and in lower case; else it
+        # carries the space before it.
         self.drops_white = spec["pre_tokenizer"]["type"] == "Sequence"
         self.space = "" if self.drops_white else " "
+        self.symbol = byte_alphabet()
+        # Units of late and those before them: what is asked for again outlives the rest.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self.library([".", ","]), strict=True))
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [_packed(e.ids) for e in found]
+
+    def word(self, word: str) -> bytes:
+        word = self.space + (word.lower() if self.drops_white else word)
+        return _packed([t.id for t in self.model.tokenize("".join([self.symbol[b] for b in word.encode()]) if self.space or not word.isascii() else word)])
 
     def learn(self, units: set[str]) -> None:
         """A word with one full stop or comma behind it is made of the ids of both: no token spans them."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        ended = [u for u in units if u[-1:] in (".", ",") and u[:-1].isalpha()]
-        plain = [*((units.difference(ended) | {u[:-1] for u in ended}) - self.known.keys())]
-        for at in range(0, len(plain), self.LOT):
-            lot = plain[at : at + self.LOT]
-            self.known.update(zip(lot, self.library([self.space + u for u in lot]), strict=True))
-        ends = dict(zip(".,", self.library([".", ","]), strict=True)) if ended else {}
-        self.known.update((u, self.known[u[:-1]] + ends[u[-1]]) for u in ended)
+        known, older, odd = self.known, self.older, []
+        for u in units:
+            if u in older:
+                known[u] = older[u]
+            elif PLAIN.match(u):
+                known[u] = self.word(u)
+            elif u[-1:] in self.ends and PLAIN.match(stem := u[:-1]):
+                ids = known.get(stem) or older.get(stem) or self.word(stem)
+                known[stem] = ids
+                known[u] = ids + self.ends[u[-1]]
+            else:
+                odd.append(u)
+        known.update(zip(odd, self.library([self.space + u for u in odd]), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each whole text; a null has none."""
+        out, lot, size = [], [], 0
+        for text in texts:
+            lot.append(text)
+            size += len(text or "")
+            if size > self.LOT_CHARS:
+                out += self._lot(lot)
+                lot, size = [], 0
+        return out + self._lot(lot)
+
+    def _lot(self, texts: list[str | None]) -> list[bytes]:
         parted, alone = [], {}
         for i, text in enumerate(texts):
             if not text:
@@ -147,6 +181,8 @@ class Encoder:
                 head, *tail = text.split(" ")
                 alone[i] = self.library([head])[0]
                 parted.append(tail)
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
         if units := set().union(*parted) - self.known.keys():
             self.learn(units)
         get = self.known.__getitem__
@@ -156,6 +192,10 @@ class Encoder:
         return made
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One for each Python worker, which keeps what it has learnt from task to task."""
