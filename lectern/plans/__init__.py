@@ -1,6 +1,6 @@
 """Registered queries; importing a module of this package registers those in it."""
 
-from lectern.plans import workspace
+from lectern.plans import dashboards, retrieval, workspace
 from lectern.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "workspace"]
+__all__ = ["ORACLES", "QUERIES", "dashboards", "retrieval", "workspace"]
