@@ -15,7 +15,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.storage import materialize
 from lectern.llm.text import identity
 
 #: Word hashes remembered in a Python worker.
@@ -88,19 +87,21 @@ def _emit(hashes: list[np.ndarray], owners: list[int], places: list[np.ndarray])
 
 
 def _level(batches, make):
-    """Candidates of a level: ident, place, hash; of a hash that repeats in the batch only the first row keeps it.
+    """Candidates of a level: ident, place, hash, and whether it repeats in the batch.
 
-    The others need no exchange: ``sure`` says that their window is known to repeat.
+    Of a hash that repeats in the batch only the first row keeps it; the windows of the others are
+    known to repeat.
     """
     names = ["ident", "place", "hash", "sure"]
     for batch in batches:
-        ident = batch.column(0).to_numpy()
-        found = [make(t, *rest) for t, *rest in zip(*(batch.column(k).to_pylist() for k in range(1, batch.num_columns)), strict=True)]
+        of = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+        rest = [of["places"].to_pylist()] if "places" in of else []
+        found = [make(*x) for x in zip(of["text"].to_pylist(), *rest, strict=True)]
         if not any(len(x[0]) for x in found):
             continue
         h, owner, place, head, again = _emit([x[0] for x in found], range(len(found)), [x[1] for x in found])
         values = pa.array(h.view(np.int64), mask=again & ~head)
-        yield _rows(names, [ident[owner], place, values, again], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()])
+        yield _rows(names, [of["ident"].to_numpy()[owner], place, values, again], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()])
 
 
 LEVEL = "ident long, place int, hash long, sure boolean"
@@ -108,11 +109,10 @@ LEVEL = "ident long, place int, hash long, sure boolean"
 
 def _repeated(level: DataFrame) -> DataFrame:
     """ident, places: of each document the candidates whose hash occurs again anywhere."""
-    apart = Window.partitionBy("hash").orderBy("ident", "place")
-    lone = level.where(F.col("hash").isNotNull())
-    met = lone.withColumn("again", F.lag("ident").over(apart).isNotNull() | F.lead("ident").over(apart).isNotNull()).where(F.col("again") | F.col("sure"))
-    both = met.select("ident", "place").unionByName(level.where(F.col("hash").isNull()).select("ident", "place"))
-    return both.groupBy("ident").agg(F.collect_list("place").alias("places"))
+    # Rows without a hash are settled; they are dealt by document, so that none of it meets in one place.
+    apart = Window.partitionBy(F.coalesce("hash", "ident"), F.col("hash").isNull()).orderBy("ident", "place")
+    again = F.col("sure") | F.lag("ident").over(apart).isNotNull() | F.lead("ident").over(apart).isNotNull()
+    return level.withColumn("again", again).where("again").groupBy("ident").agg(F.collect_list("place").alias("places"))
 
 
 def _short(length):
@@ -137,14 +137,14 @@ def _half(length):
 
 
 def _full(length):
-    """Windows at full length: place, two hashes; rows that are not first in their batch are lost for sure."""
+    """Windows at full length: place and a hash of 96 bits; rows that are not first in their batch have none."""
     names = ["ident", "doc_id", "place", "h1", "h2"]
 
     def run(batches):
         for batch in batches:
             ident, doc = batch.column(0).to_numpy(), batch.column(1)
             # Batch rows in the order that says which occurrence is first.
-            order = np.lexsort((ident, np.nan_to_num(doc.to_numpy(zero_copy_only=False).astype(float)) if doc.null_count else doc.to_numpy(), np.asarray(doc.is_null())))
+            order = np.lexsort((ident, doc.fill_null(0).to_numpy(), np.asarray(doc.is_null())))
             texts, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             h1, h2, owners, starts = [], [], [], []
             for r in order:
@@ -154,15 +154,14 @@ def _full(length):
                 at = np.nonzero(live[halves_of(seeds_of(windows(words, length // 4), length), length)])[0]
                 whole = windows(words, length // 2)
                 h1.append(joined(whole[at], whole[at + length // 2]))
-                h2.append(joined(whole[at + length // 2], whole[at], 23))
+                h2.append(joined(whole[at + length // 2], whole[at], 23) >> np.uint64(33))
                 owners.append(r)
                 starts.append(at)
             if not sum(map(len, h1)):
                 continue
             h, owner, place, head, _ = _emit(h1, owners, starts)
-            second = np.concatenate(h2).view(np.int64)
-            values = [pa.array(x, pa.int64(), mask=~head) for x in (h.view(np.int64), second)]
-            yield _rows(names, [ident[owner], doc.take(pa.array(owner)), place, *values], [pa.int64(), doc.type, pa.int32(), pa.int64(), pa.int64()])
+            values = [pa.array(h.view(np.int64), mask=~head), pa.array(np.concatenate(h2).astype(np.int32), mask=~head)]
+            yield _rows(names, [ident[owner], doc.take(pa.array(owner)), place, *values], [pa.int64(), doc.type, pa.int32(), pa.int64(), pa.int32()])
 
     return run
 
@@ -183,16 +182,14 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     """
     named = docs.select(identity().alias("ident"), "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    level = materialize(named.select("ident", "text").mapInArrow(_short(length), LEVEL), "windows")
-    short = _repeated(level)
-    texts = named
-    again = texts.join(short.hint("shuffle_hash"), "ident").select("ident", "text", "places").mapInArrow(_half(length), LEVEL)
-    half = _repeated(again)
-    whole = texts.join(half.hint("shuffle_hash"), "ident").select("ident", "doc_id", "text", "places").mapInArrow(_full(length), f"ident long, doc_id {kind}, place int, h1 long, h2 long")
-    firsts = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
-    heads = whole.where(F.col("h1").isNotNull()).withColumn("n", F.row_number().over(firsts)).where("n > 1").select("ident", "place")
-    lost = heads.unionByName(whole.where(F.col("h1").isNull()).select("ident", "place")).groupBy("ident").agg(F.collect_list("place").alias("lost"))
-    return texts.join(lost.hint("shuffle_hash"), "ident", "left")
+    # The texts are exchanged once: each of these joins reads the same columns, so Spark reuses it.
+    with_texts = lambda found, how="inner": named.join(found.hint("shuffle_hash"), "ident", how).select("ident", "doc_id", "text", *found.columns[1:])
+    short = _repeated(named.select("ident", "text").mapInArrow(_short(length), LEVEL))
+    half = _repeated(with_texts(short).mapInArrow(_half(length), LEVEL))
+    whole = with_texts(half).mapInArrow(_full(length), f"ident long, doc_id {kind}, place int, h1 long, h2 int")
+    firsts = Window.partitionBy(F.coalesce("h1", "ident"), "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
+    later = whole.withColumn("n", F.row_number().over(firsts)).where("n > 1 or h1 is null")
+    return with_texts(later.groupBy("ident").agg(F.collect_list("place").alias("lost")), "left")
 
 
 def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -214,4 +211,4 @@ def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
             n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
             yield _rows(["doc_id", "ident", "n_words", "n_removed", "text"], [batch.column(1), batch.column(0), n, removed, kept], [None, None, pa.int64(), pa.int64(), pa.string()])
 
-    return found.select("ident", "doc_id", "text", "lost").mapInArrow(run, f"doc_id {kind}, ident long, n_words long, n_removed long, text string")
+    return found.mapInArrow(run, f"doc_id {kind}, ident long, n_words long, n_removed long, text string")
