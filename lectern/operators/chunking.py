@@ -11,8 +11,10 @@ from lectern.operators.retrieval import cosine
 TARGET, HARD_MAX, FAST_SENTENCES, MIN_BLOCK = 400, 2400, 1500, 1200
 PERCENTILE, MIN_DISTANCE = 0.9, 0.12
 #: Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ("M", "Mme", "Mlle", "MM", "Dr", "art", "cf", "etc", "ex", "n°")
-HEADING = r"^(#{1,6})\s+\S|^(\d+(?:\.\d+)*)\.?\s+\p{Lu}|^(?i:article|chapitre|section|annexe)\s+\S+"
+ABBREVIATIONS = ("M", "Mme", "Mlle", "Dr", "Pr", "art", "Art", "n°", "No", "Cf", "cf", "ex", "Ex", "p", "pp", "vs", "etc", "Etc")
+#: The words that lead a heading of depth 1 when a numeral follows.
+LEADERS = ("Article", "Section", "Chapitre", "Chapter", "Annexe", "Partie", "Titre")
+HEADING = rf"^(#{{1,6}})\s+\S|^(\d+(?:\.\d+){{0,4}})\.?\s+[A-ZÀ-ÖØ-Þ].{{0,200}}$|^(?:{'|'.join(LEADERS)})\s+[IVXLC0-9]+.{{0,200}}$"
 
 
 def lines_of(docs: DataFrame, key: str = "source") -> DataFrame:
@@ -36,7 +38,7 @@ def structure_blocks(docs: DataFrame, key: str = "source") -> DataFrame:
     block = F.sum(F.when(F.col("depth").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("line_no"))
     rows = marked.withColumn("block", block)
     body = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("line_no", "depth", "line"))), lambda x: x["depth"].isNull()), lambda x: x["line"])
-    heading = F.max(F.when(F.col("depth").isNotNull(), F.trim(F.regexp_replace(F.trim("line"), "^#{1,6}\\s+", ""))))
+    heading = F.max(F.when(F.col("depth").isNotNull(), F.trim("line")))
     found = rows.groupBy(key, "block").agg(heading.alias("heading"), F.max("depth").alias("depth"), F.trim(F.array_join(body, "\n")).alias("text"))
     return found.where("text <> '' or heading is not null")
 
@@ -54,8 +56,8 @@ def sentences(text: Column) -> Column:
     """Sentences of a text: they end at . ! ? before white space and a capital or digit, or at a blank line."""
     guarded = text
     for a in ABBREVIATIONS:
-        guarded = F.regexp_replace(guarded, f"(?<![\\p{{L}}\\p{{N}}])({a})\\.", "$1\u0001")
-    parts = F.split(guarded, "(?<=[.!?])\\s+(?=[\\p{Lu}\\p{N}])|\\n\\s*\\n")
+        guarded = F.regexp_replace(guarded, f"(?<![\\p{{L}}\\p{{N}}_])({a})\\.\\s", "$1\u0001 ")
+    parts = F.split(guarded, "(?<=[.!?])\\s+(?=[A-ZÀ-ÖØ-Þ0-9])|\\n{2,}")
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
 
 

@@ -11,7 +11,7 @@ from lectern.plans.registry import query
 STRUCTURED = """sd as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when (i - 1) % 6 = 0 then '# ' when (i - 1) % 6 = 3 then '## ' else '' end || x), chr(10)) text from documents),
   ln as (select doc_id, generate_subscripts(l, 1) no, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from sd)),
   mk as (select *, regexp_matches(trim(line), '^(#{1,6})\\s+\\S') h from ln), bl as (select *, sum(h::int) over (partition by doc_id order by no) block from mk),
-  blocks as (select doc_id, cast(block as bigint) block, max(case when h then trim(regexp_replace(trim(line), '^#{1,6}\\s+', '')) end) heading, max(case when h then len(regexp_extract(trim(line), '^#+')) end)::int depth,
+  blocks as (select doc_id, cast(block as bigint) block, max(case when h then trim(line) end) heading, max(case when h then len(regexp_extract(trim(line), '^#+')) end)::int depth,
     trim(coalesce(string_agg(line, chr(10) order by no) filter (where not h), '')) text from bl group by 1, 2)"""
 
 
@@ -39,9 +39,10 @@ def _(v):
     return C.heading_paths(C.structure_blocks(structured(v), "doc_id"), "doc_id").select("doc_id", "block", F.array_join("heading_path", " > ").alias("path"))
 
 
-SENT = "string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([\\p{Lu}\\p{N}])', '\\1' || chr(2) || '\\2', 'g'), '\\n\\s*\\n', chr(2), 'g'), chr(2))"
-# In the given texts no abbreviation stands before a full stop but those guarded here.
-GUARD = "regexp_replace(text, '(^|[^\\p{L}\\p{N}])(M|Mme|Mlle|MM|Dr|art|cf|etc|ex|n°)\\.', '\\1\\2' || chr(1), 'g')"
+SENT = "string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-ZÀ-ÖØ-Þ0-9])', '\\1' || chr(2) || '\\2', 'g'), '\\n{2,}', chr(2), 'g'), chr(2))"
+# Twice, as two neighbouring abbreviations share the character between them.
+GUARD = "(text, '(^|[^\\p{L}\\p{N}_])(M|Mme|Mlle|Dr|Pr|art|Art|n°|No|Cf|cf|ex|Ex|p|pp|vs|etc|Etc)\\.\\s', '\\1\\2' || chr(1) || ' ', 'g')"
+GUARD = f"regexp_replace{GUARD.replace('(text', f'(regexp_replace{GUARD}', 1)}"
 SENTENCES = f"""st as (select doc_id, list_filter(list_transform({SENT.replace('(text,', f'({GUARD},', 1)}, lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '') s from documents)"""
 
 
