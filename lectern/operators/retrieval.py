@@ -203,3 +203,15 @@ def prompt_messages(contexts: DataFrame, queries: DataFrame, history: DataFrame)
     said = F.coalesce(F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), none)
     system = message("system", F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit(""))))
     return joined.select("query_id", F.concat(F.array(system), said, F.array(message("user", F.col("text")))).alias("messages"))
+
+
+def with_hypotheses(queries: DataFrame, hypotheses: DataFrame, limit: int = 600) -> DataFrame:
+    """Hypothetical answers as queries of their own: trimmed, cut, blank ones left out."""
+    text = F.left(F.trim(F.coalesce("hypothesis", F.lit(""))), F.lit(limit))
+    return queries.select("query_id").join(hypotheses, "query_id").select("query_id", text.alias("text")).where("text <> ''")
+
+
+def fuse_with_hypotheses(raw: DataFrame, hypothetical: DataFrame, k: int = 10) -> DataFrame:
+    """The hits of queries and of their hypotheses in one ranking; without a hypothesis the raw one stays."""
+    lists = [hits.select("query_id", F.lit(n).alias("list_no"), "rank", "key", "score") for n, hits in enumerate((raw, hypothetical))]
+    return fuse(lists[0].unionByName(lists[1]), k)

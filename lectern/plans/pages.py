@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.scores import coverage
+from lectern.functions.storage import new_path
 from lectern.plans.registry import query
 from lectern.sources import pages as P
 from lectern.sources import tables as S
@@ -182,3 +184,34 @@ def _(v):
 def _(v):
     rows = v.requirements.withColumns({"sources": F.array(F.struct("source", "page")), "evidence": F.array(F.lit("a"), F.lit("b"))})
     return S.flat_export(rows).select("analysis_id", "id", "sources", "evidence")
+
+
+@query("a01_text_scan", "select r_regionkey region, r_name || chr(10) as text from region")
+def _(v):
+    path = new_path(v.spark, "texts")
+    v.region.select("r_regionkey", "r_name").write.partitionBy("r_regionkey").text(path)
+    return S.read_texts(v.spark, f"{path}/*").select(F.regexp_extract("source", "r_regionkey=(\\d+)", 1).cast("int").alias("region"), "text")
+
+
+@query("a03_question_scan", "select item_id::varchar question, text ground_truth from benchmark where item_id % 5 > 0")
+def _(v):
+    path = new_path(v.spark, "questions")
+    truth = F.when(F.col("item_id") % 5 > 0, F.col("text"))
+    S.write_evaluation_csv(v.benchmark.select(F.col("item_id").cast("string").alias("question"), truth.alias("ground_truth")), path)
+    return S.read_questions(v.spark, path)
+
+
+@query("a13_analysis_history", "select id, created_at, coverage from (select id, created_at, round(100.0::double * (covered + 0.5::double * n_partial) / total, 1) coverage from analyses_v) where coverage > 50")
+def _(v):
+    path = new_path(v.spark, "history")
+    rows = v.analyses.select("id", "created_at", coverage(F.col("covered"), F.col("n_partial"), F.col("total")).alias("coverage"))
+    for part in (rows.where("pmod(xxhash64(id), 2) = 0"), rows.where("pmod(xxhash64(id), 2) = 1")):
+        part.write.mode("append").parquet(path)
+    return v.spark.read.parquet(path).where("coverage > 50")
+
+
+@query("a15_evaluation_export", "select item_id::varchar question, text ground_truth from benchmark")
+def _(v):
+    path = new_path(v.spark, "evaluation")
+    S.write_evaluation_csv(v.benchmark.select(F.col("item_id").cast("string").alias("question"), F.col("text").alias("ground_truth")), path)
+    return S.read_questions(v.spark, path)

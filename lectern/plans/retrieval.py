@@ -185,3 +185,16 @@ def _(v):
     asked = v.queries.withColumn("conv_id", F.col("query_id"))
     messages = R.prompt_messages(R.context_block(hits(v), "query_id"), asked, R.history_window(v.messages, 2, 200))
     return messages.select("query_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "|")).alias("digest"))
+
+
+HYDE = f"""hq as (select query_id, left(trim(left(text, 60)), 600) text from queries_v where query_id % 3 > 0), ht as (select query_id, unnest({TOK}) term from hq), hc as (select query_id, term, count(*) times from ht group by all),
+  hs as (select query_id, corpus_pos, round(sum(times * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))), 9) score from tf join hc using (term) join idf using (term), size group by all),
+  hyde as (select * from (select *, row_number() over (partition by query_id order by score desc, corpus_pos) - 1 as rank from hs) where rank < 20 and score > 0)"""
+
+
+@query("e13_hypotheses", f"""with {BM25}, {HYDE}, {fuse('select query_id, 0 list_no, rank, corpus_pos as key, score from sparse union all select query_id, 1, rank, corpus_pos, score from hyde', 'query_id', 10)}
+  select query_id, key, rrf_score, rank from fused""")
+def _(v):
+    hypotheses = v.queries.select("query_id", F.when(F.col("query_id") % 3 > 0, F.left("text", F.lit(60))).alias("hypothesis"))
+    raw, more = (R.bm25(v.chunks, q).withColumnRenamed("corpus_pos", "key") for q in (v.queries, R.with_hypotheses(v.queries, hypotheses)))
+    return R.fuse_with_hypotheses(raw, more).select("query_id", "key", "rrf_score", F.col("rank").cast("long").alias("rank"))
