@@ -1 +1 @@
-"""See the package docstring."""
+"""Scalar rules and storage that operators share."""

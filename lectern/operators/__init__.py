@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators over DataFrames: each takes tables and returns one."""

@@ -67,23 +67,15 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 2000) -> DataFrame:
     """query_id, chunk_pos, score, rank: the k nearest vectors of each query by cosine.
 
-    Queries meet all vectors in blocks of bounded size, each broadcast; a task keeps k rows a query.
+    Queries meet all vectors in blocks of about ``block``, each broadcast; a task keeps k rows a query.
     """
-    spark = vectors.sparkSession
-    out, lot = None, []
-
-    def meet(rows):
-        own = F.broadcast(spark.createDataFrame(rows, queries.select("query_id", F.col("embedding").alias("q")).schema))
-        scored = vectors.crossJoin(own).select("query_id", "chunk_pos", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        return top(scored, k, ["query_id"], F.desc("score"), F.asc("chunk_pos"))
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        lot.append(tuple(r))
-        if len(lot) == block:
-            found, lot = meet(lot), []
-            out = found if out is None else out.unionByName(found)
-    if lot or out is None:
-        found = meet(lot)
+    asked = queries.select("query_id", F.col("embedding").alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for n in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        scored = vectors.crossJoin(F.broadcast(own)).select("query_id", "chunk_pos", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        found = top(scored, k, ["query_id"], F.desc("score"), F.asc("chunk_pos"))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -1 +1 @@
-"""See the package docstring."""
+"""Where rows come from and go to."""
