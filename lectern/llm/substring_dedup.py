@@ -87,12 +87,12 @@ def _emit(hashes: list[np.ndarray], owners: list[int], places: list[np.ndarray])
 
 
 def _level(batches, make):
-    """Candidates of a level: ident, place, hash, and whether it repeats in the batch.
+    """Candidates of a level: ident, spot and key.  spot is 4 * place, plus 1 if the hash repeats in the batch.
 
-    Of a hash that repeats in the batch only the first row keeps it; the windows of the others are
-    known to repeat.
+    The key is the hash; where it repeats in the batch only the first row keeps it.  The windows of the
+    others are known to repeat: their key is ident, which spreads them, and 2 is added to their spot.
     """
-    names = ["ident", "place", "hash", "sure"]
+    names = ["ident", "spot", "key"]
     for batch in batches:
         of = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
         rest = [of["places"].to_pylist()] if "places" in of else []
@@ -100,19 +100,19 @@ def _level(batches, make):
         if not any(len(x[0]) for x in found):
             continue
         h, owner, place, head, again = _emit([x[0] for x in found], range(len(found)), [x[1] for x in found])
-        values = pa.array(h.view(np.int64), mask=again & ~head)
-        yield _rows(names, [of["ident"].to_numpy()[owner], place, values, again], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()])
+        ident, settled = of["ident"].to_numpy()[owner], again & ~head
+        yield _rows(names, [ident, 4 * place + again + 2 * settled, np.where(settled, ident, h.view(np.int64))], [pa.int64(), pa.int64(), pa.int64()])
 
 
-LEVEL = "ident long, place int, hash long, sure boolean"
+LEVEL = "ident long, spot long, key long"
 
 
 def _repeated(level: DataFrame) -> DataFrame:
     """ident, places: of each document the candidates whose hash occurs again anywhere."""
-    # Rows without a hash are settled; they are dealt by document, so that none of it meets in one place.
-    apart = Window.partitionBy(F.coalesce("hash", "ident"), F.col("hash").isNull()).orderBy("ident", "place")
-    again = F.col("sure") | F.lag("ident").over(apart).isNotNull() | F.lead("ident").over(apart).isNotNull()
-    return level.withColumn("again", again).where("again").groupBy("ident").agg(F.collect_list("place").alias("places"))
+    apart = Window.partitionBy("key").orderBy("ident", "spot")
+    again = (F.col("spot") % 4 > 0) | F.lag("ident").over(apart).isNotNull() | F.lead("ident").over(apart).isNotNull()
+    met = level.withColumn("again", again).where("again").select("ident", F.expr("cast(spot div 4 as int)").alias("place"))
+    return met.groupBy("ident").agg(F.collect_list("place").alias("places"))
 
 
 def _short(length):
@@ -137,7 +137,7 @@ def _half(length):
 
 
 def _full(length):
-    """Windows at full length: place and a hash of 96 bits; rows that are not first in their batch have none."""
+    """Windows at full length: place and a hash of 95 bits; rows that are not first in their batch have ident and -1."""
     names = ["ident", "doc_id", "place", "h1", "h2"]
 
     def run(batches):
@@ -160,7 +160,7 @@ def _full(length):
             if not sum(map(len, h1)):
                 continue
             h, owner, place, head, _ = _emit(h1, owners, starts)
-            values = [pa.array(h.view(np.int64), mask=~head), pa.array(np.concatenate(h2).astype(np.int32), mask=~head)]
+            values = [np.where(head, h.view(np.int64), ident[owner]), np.where(head, np.concatenate(h2).astype(np.int32), -1)]
             yield _rows(names, [ident[owner], doc.take(pa.array(owner)), place, *values], [pa.int64(), doc.type, pa.int32(), pa.int64(), pa.int32()])
 
     return run
@@ -187,8 +187,8 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     short = _repeated(named.select("ident", "text").mapInArrow(_short(length), LEVEL))
     half = _repeated(with_texts(short).mapInArrow(_half(length), LEVEL))
     whole = with_texts(half).mapInArrow(_full(length), f"ident long, doc_id {kind}, place int, h1 long, h2 int")
-    firsts = Window.partitionBy(F.coalesce("h1", "ident"), "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
-    later = whole.withColumn("n", F.row_number().over(firsts)).where("n > 1 or h1 is null")
+    firsts = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
+    later = whole.withColumn("n", F.row_number().over(firsts)).where("n > 1 or h2 < 0")
     return with_texts(later.groupBy("ident").agg(F.collect_list("place").alias("lost")), "left")
 
 
