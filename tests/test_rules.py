@@ -155,3 +155,12 @@ def test_sinks(spark, tmp_path):
     for name in ("F1.xml", "X1.xml"):
         (tmp_path / "x" / name).write_text('<r><Publication ID="1"><title>t</title></Publication></r>')
     assert S.read_records(spark, str(tmp_path / "x")).count() == 1
+
+
+def test_embedding(spark):
+    from lectern.functions.embedding import embed
+
+    rows = spark.createDataFrame([(1, "a b b"), (2, "B a b"), (3, "c"), (4, None)], "id int, text string")
+    v = {r["id"]: r["embedding"] for r in embed(rows, "text").collect()}
+    assert v[1] == v[2] != v[3] and abs(sum(x * x for x in v[1]) - 1) < 1e-6 and not any(v[4])
+    assert embed(rows, "text", lambda df, c: df.withColumn("embedding", F.lit(0))).first()["embedding"] == 0
