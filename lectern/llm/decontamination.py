@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = re.compile(r"\w+")
+WORD, FOREIGN = re.compile(r"\w+"), re.compile(r"[^\w\x00-\x7f]")
+#: Bytes that part words where all characters beyond ASCII belong to words.
+TABLE = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 N = 3
 #: Of so many neighbouring grams the rarest is a seed.
 SPAN = 4
@@ -28,15 +31,19 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = "array<struct<item_id:bigint,score:double,first_word:int,last_word:int>>"
 
 
-def tokens(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def tokens(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and underscores of the lower-cased text, in UTF-8."""
+    low = (text or "").lower()
+    if low.isascii() or not FOREIGN.search(low):
+        return low.encode().translate(TABLE).split()
+    return [w.encode() for w in WORD.findall(low)]
 
 
 class Items:
     """A block of benchmark items as word numbers, with the place of each of their grams."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
         self.items = {i: np.array([number(w, len(self.vocabulary)) for w in tokens(t)], np.int64) for i, t in rows}
         places = defaultdict(list)
@@ -48,8 +55,8 @@ class Items:
 
     def words(self, text: str | None) -> np.ndarray:
         """Word numbers of a text; -1 for words that no item has."""
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in tokens(text)], np.int64)
+        found = tokens(text)
+        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
 
     @staticmethod
     def grams(words: np.ndarray) -> np.ndarray:
