@@ -67,7 +67,7 @@ class Model:
             f = features(t)
             row += np.bincount(f, minlength=len(row)) / max(len(f), 1)
         #: Rare features weigh as much as frequent ones.
-        self.scale = (1 / (np.sqrt((x**2).mean(axis=0)) + 1e-4)).astype(np.float32) / 30
+        self.scale = (1 / (np.sqrt((x**2).sum(axis=0) / max(len(x), 1)) + 1e-4)).astype(np.float32) / 30
         x *= self.scale
         y = self.codes[[self.langs.index(v) for v in langs]].astype(np.float32) if texts else np.zeros((0, self.codes.shape[1]), np.float32)
         w, c = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
