@@ -22,6 +22,9 @@ from lectern.llm.tokenization import encoder, tokenizer_path
 LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "zstd"}
 
 
+END = bytes(4)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json") -> None:
     """Write doc_id, part, n_tokens and ids (an end id 0 last) of every document under ``path``.
 
@@ -35,7 +38,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         def encode(texts):
             made = ids(texts)
             counts = np.fromiter((len(x) // 4 + 1 for x in made), np.int64, len(made))
-            flat = np.frombuffer(b"".join(x + b"\0\0\0\0" for x in made), "<i4")
+            flat = np.frombuffer(b"".join(y for x in made for y in (x, END)), "<i4")
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
 
         return encode
@@ -48,12 +51,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 def read_token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, part, n_tokens and start (ids of all documents before it), read without the ids."""
     index = spark.read.parquet(path).select("doc_id", "part", "n_tokens", F.col("_metadata.row_index").alias("row"))
-    return _with_start(index).drop("row")
+    return _with_start(index, spark.read.parquet(path)).drop("row")
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
+def _with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Ids in earlier files, a number for each file, and in earlier rows of the same file."""
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # reads no ids
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +84,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path).select("doc_id", "part", "n_tokens", F.col("_metadata.row_index").alias("row"), "ids")
     kind = dict(files.dtypes)["doc_id"]
     digests = files.mapInArrow(run, f"doc_id {kind}, part int, n_tokens long, row long, ids_crc32 long")
-    return _with_start(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _with_start(digests, spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

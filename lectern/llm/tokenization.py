@@ -10,9 +10,10 @@ import heapq
 import json
 import os
 import re
-import struct
+from array import array
 from collections.abc import Callable
 from functools import cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -26,8 +27,9 @@ from lectern.llm.text import body
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space beside other white space: no unit ends there.
 CROWDED = re.compile(r"[ ][\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85][ ]")
-#: White space besides single spaces between words.
-OTHER_WHITE = re.compile(r"[\t-\r]")
+#: White space besides spaces and line feeds: of ASCII, of all.
+ODD_WHITE = re.compile(r"[\t\x0b-\r]")
+RARE_WHITE = re.compile(r"[^\S \n]")
 #: Units remembered in a Python worker, and the longest that are.
 MEMORY, LONGEST = 500_000, 64
 #: Words of letters that neither lower-casing nor composition changes in number.
@@ -112,7 +114,7 @@ class Encoder:
     other units go through all of it, in lots.
     """
 
-    LOT_CHARS = 1 << 20
+    LOT_CHARS = 1 << 19
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -125,36 +127,51 @@ class Encoder:
         # Where the split pattern drops white space, every word stands alone and in lower case; else it
         # carries the space before it.
         self.drops_white = spec["pre_tokenizer"]["type"] == "Sequence"
-        self.space = "" if self.drops_white else " "
-        self.symbol = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.letters = dict(enumerate(alphabet))
+        self.space = "" if self.drops_white else alphabet[ord(" ")]
         # Units of late and those before them: what is asked for again outlives the rest.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.ends = dict(zip(".,", self.library([".", ","]), strict=True))
+        *ends, self.line = self.library([".", ",", "\n"])
+        self.ends = dict(zip(".,", ends, strict=True))
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [_packed(e.ids) for e in found]
 
-    def word(self, word: str) -> bytes:
-        word = self.space + (word.lower() if self.drops_white else word)
-        return _packed([t.id for t in self.model.tokenize("".join([self.symbol[b] for b in word.encode()]) if self.space or not word.isascii() else word)])
+    def word(self, word: str, space: str) -> bytes:
+        """A plain word in the byte alphabet, through the model."""
+        if self.drops_white:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(space + word)])
+
+    def learn(self, units: list[str]) -> None:
+        """Ids of new units.  One that starts with a line feed has that and no space before it.
 
-    def learn(self, units: set[str]) -> None:
-        """A word with one full stop or comma behind it is made of the ids of both: no token spans them."""
-        known, older, odd = self.known, self.older, []
+        A word with one full stop or comma behind it is made of the ids of both: no token spans them.
+        """
+        known, older, odd, ends, line, space = self.known, self.older, [], self.ends, self.line, self.space
         for u in units:
             if u in older:
                 known[u] = older[u]
-            elif PLAIN.match(u):
-                known[u] = self.word(u)
-            elif u[-1:] in self.ends and PLAIN.match(stem := u[:-1]):
-                ids = known.get(stem) or older.get(stem) or self.word(stem)
-                known[stem] = ids
-                known[u] = ids + self.ends[u[-1]]
-            else:
+                continue
+            before, stem, room = (line, u[1:], "") if u[:1] == "\n" else (b"", u, space)
+            end = ends.get(stem[-1:], b"")
+            if not PLAIN.match(stem[:-1] if end else stem):
                 odd.append(u)
-        known.update(zip(odd, self.library([self.space + u for u in odd]), strict=True))
+            elif not end:
+                known[u] = before + self.word(stem, room)
+            else:
+                base = u[:-1]
+                ids = known.get(base) or older.get(base)
+                if ids is None:
+                    ids = known[base] = before + self.word(stem[:-1], room)
+                known[u] = ids + end
+        spaced = [u if u[:1] == "\n" or self.drops_white else f" {u}" for u in odd]
+        known.update(zip(odd, self.library(spaced), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each whole text; a null has none."""
@@ -167,33 +184,37 @@ class Encoder:
                 lot, size = [], 0
         return out + self._lot(lot)
 
+    def units(self, text: str) -> list[str] | None:
+        """The units of a text, or none if spaces or line feeds meet other white space there."""
+        if self.drops_white:
+            return text.replace("\n", " ").split(" ") if not ODD_WHITE.search(text) else [w.decode() for w in text.encode().split()]
+        if any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            return None
+        if any(x in text for x in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") or not text.isascii() and RARE_WHITE.search(text):
+            return None
+        # A line feed before the text stands for its start, where there is no space either.
+        return f"\n{text.replace('\n', ' \n')}".split(" ")
+
     def _lot(self, texts: list[str | None]) -> list[bytes]:
-        parted, alone = [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                parted.append([])
-            elif self.drops_white:
-                parted.append(text.split(" ") if not OTHER_WHITE.search(text) else [w.decode() for w in text.encode().split()])
-            elif "  " in text or CROWDED.search(text):
-                parted.append([])
-                alone[i] = self.library([text])[0]
-            else:
-                head, *tail = text.split(" ")
-                alone[i] = self.library([head])[0]
-                parted.append(tail)
+        parted = [self.units(t) if t else [] for t in texts]
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-        if units := set().union(*parted) - self.known.keys():
-            self.learn(units)
-        get = self.known.__getitem__
-        made = [b"".join(map(get, units)) for units in parted]
-        for i, head in alone.items():
-            made[i] = head + made[i]
-        return made
+        units = set().union(*filter(None, parted))
+        # The few units of this lot in a table of their own: looking them up there misses fewer caches.
+        own = dict(zip(units, map(self.known.get, units), strict=True))
+        if new := [u for u, ids in own.items() if ids is None]:
+            self.learn(new)
+            own.update(zip(new, map(self.known.__getitem__, new), strict=True))
+        skip = 0 if self.drops_white else len(self.line)
+        return [self.library([t])[0] if units is None else _joined(units, own)[skip:] for t, units in zip(texts, parted, strict=True)]
+
+
+def _joined(units: list[str], ids: dict[str, bytes]) -> bytes:
+    return b"".join(itemgetter(*units)(ids)) if len(units) > 1 else b"".join(ids[u] for u in units)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes()  # four bytes an id, little-endian on all machines that Spark runs on
 
 
 @cache
