@@ -133,10 +133,14 @@ def matches(block: Items, seeds: dict[int, list[tuple[int, int]]], words: np.nda
             if begin - m >= low and begin + 2 * m <= high:
                 continue  # inside what has been aligned
             low, high = max(0, begin - m), min(len(words), begin + 2 * m)
-            found = align(own, words[low:high])
+            around = words[low:high]
+            # Words of the item that occur around here are all that an alignment could match.
+            if np.isin(own, around).sum() < threshold * m:
+                continue
+            found = align(own, around)
             if found[0] > best[0]:
                 best = (found[0], low + found[1], low + found[2])
-        if best[0] >= threshold * MATCH * m:
+        if best[0] and best[0] >= threshold * MATCH * m:
             out.append({"item_id": item, "score": best[0] / (MATCH * m), "first_word": best[1], "last_word": best[2]})
     return out
 
