@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Rows that are worked on together: what is made of them is in memory at once.
+ROWS = 1000
+
+
 def add_column(df: DataFrame, make: Callable[[], Callable[[list], pa.Array]], name: str, kind: str, of: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` (its columns ``keep``, all by default) with ``name`` of Spark type ``kind`` added.
 
@@ -20,7 +24,7 @@ def add_column(df: DataFrame, make: Callable[[], Callable[[list], pa.Array]], na
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             made = work(batch.column(batch.schema.get_field_index(of)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], names=[*keep, name])
 

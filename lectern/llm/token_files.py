@@ -19,7 +19,7 @@ from lectern.llm.arrow import add_column
 from lectern.llm.tokenization import encoder, tokenizer_path
 
 #: Writer options: format version 2, dictionaries, row groups of 32 MB, pages of at most 2000 documents or 256 KB.
-LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "zstd"}
+LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "snappy"}
 
 
 END = bytes(4)

@@ -31,7 +31,7 @@ CROWDED = re.compile(r"[ ][\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85][ ]")
 ODD_WHITE = re.compile(r"[\t\x0b-\r]")
 RARE_WHITE = re.compile(r"[^\S \n]")
 #: Units remembered in a Python worker, and the longest that are.
-MEMORY, LONGEST = 500_000, 64
+MEMORY, LONGEST = 800_000, 64
 #: Words of letters that neither lower-casing nor composition changes in number.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
@@ -160,7 +160,8 @@ class Encoder:
                 continue
             before, stem, room = (line, u[1:], "") if u[:1] == "\n" else (b"", u, space)
             end = ends.get(stem[-1:], b"")
-            if not PLAIN.match(stem[:-1] if end else stem):
+            bare = stem[:-1] if end else stem
+            if not (bare.isalpha() if bare.isascii() else PLAIN.match(bare)):
                 odd.append(u)
             elif not end:
                 known[u] = before + self.word(stem, room)
@@ -168,7 +169,7 @@ class Encoder:
                 base = u[:-1]
                 ids = known.get(base) or older.get(base)
                 if ids is None:
-                    ids = known[base] = before + self.word(stem[:-1], room)
+                    ids = known[base] = before + self.word(bare, room)
                 known[u] = ids + end
         spaced = [u if u[:1] == "\n" or self.drops_white else f" {u}" for u in odd]
         known.update(zip(odd, self.library(spaced), strict=True))
