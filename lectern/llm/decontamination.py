@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-grams seed, a Smith-Waterman alignment of words decides.
+"""Benchmark decontamination: n-grams seed, a Smith-Waterman alignment of words decides.
 
-The three-word grams of the benchmark are counted over the whole corpus, and of every few neighbouring
-grams of an item the rarest becomes a seed, so that each stretch of an item has one, however common
-the item is.  Where a document holds a seed, the item is aligned with the words around it; edited
-copies score by what is left of them.  The benchmark goes to the tasks in blocks of bounded size, each
+Every three-word gram of the benchmark is a seed, however common it is: an edit breaks only the grams
+that it touches, and which ones a copy still holds can't be told from counts over the corpus.  Where a
+document holds a seed, the item is aligned with the words around it if enough of its words are there;
+edited copies score by what is left of them.  The benchmark goes to the tasks in blocks of bounded size, each
 of which meets all documents.
 """
 
@@ -23,8 +23,6 @@ WORD, FOREIGN = re.compile(r"\w+"), re.compile(r"[^\w\x00-\x7f]")
 #: Bytes that part words where all characters beyond ASCII belong to words.
 TABLE = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 N = 3
-#: Of so many neighbouring grams the rarest is a seed.
-SPAN = 4
 #: Characters of benchmark text that a task holds at once.
 BLOCK_CHARS = 32 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -52,6 +50,8 @@ class Items:
                 places[g].append((i, at))
         self.keys = np.array(sorted(places), np.uint64)
         self.places = [places[k] for k in sorted(places)]
+        # Words of a stretch of text, one flag a number; the last is for words that no item has.
+        self.around = np.zeros(len(self.vocabulary) + 1, bool)
 
     def words(self, text: str | None) -> np.ndarray:
         """Word numbers of a text; -1 for words that no item has."""
@@ -81,16 +81,19 @@ class Items:
         same = self.keys[k] == g[at]
         return at[same], k[same]
 
-    def seeds(self, df: np.ndarray) -> set[tuple[int, int, int]]:
-        """(gram, item, place) of the rarest gram of every ``SPAN`` neighbours, the first on a tie."""
-        rank = {int(k): (int(n), j) for j, (k, n) in enumerate(zip(self.keys, df, strict=True))}
-        out = set()
-        for i, words in self.items.items():
-            own = [rank[g] for g in self.grams(words).tolist()]
-            for a in range(max(1, len(own) - SPAN + 1)) if own else ():
-                at = min(range(a, min(a + SPAN, len(own))), key=lambda k: (own[k][0], k))
-                out.add((own[at][1], i, at))
-        return out
+    def ceiling(self, item: int, words: np.ndarray) -> int:
+        """No alignment of the item with ``words`` scores more: what either side lacks costs a step of its own."""
+        own = self.items[item]
+        return min(self._run(words, own), self._run(own, words))
+
+    def _run(self, there: np.ndarray, words: np.ndarray) -> int:
+        """The best stretch of ``words`` if all of them that are ``there`` would match."""
+        self.around[there] = True
+        self.around[-1] = False
+        total = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.where(self.around[words], MATCH, max(MISMATCH, GAP)), out=total[1:])
+        self.around[there] = False
+        return int((total - np.minimum.accumulate(total)).max())
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -118,12 +121,12 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def matches(block: Items, seeds: dict[int, list[tuple[int, int]]], words: np.ndarray, threshold: float) -> list[dict]:
+def matches(block: Items, words: np.ndarray, threshold: float) -> list[dict]:
     """The best alignment of each item with the text, if its share of a full match reaches ``threshold``."""
     at, grams = block.found(words)
     spots = defaultdict(list)
     for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-        for item, place in seeds.get(g, ()):
+        for item, place in block.places[g]:
             spots[item].append(p - place)
     out = []
     for item, begins in sorted(spots.items()):
@@ -134,8 +137,7 @@ def matches(block: Items, seeds: dict[int, list[tuple[int, int]]], words: np.nda
                 continue  # inside what has been aligned
             low, high = max(0, begin - m), min(len(words), begin + 2 * m)
             around = words[low:high]
-            # Words of the item that occur around here are all that an alignment could match.
-            if np.isin(own, around).sum() < threshold * m:
+            if block.ceiling(item, around) < threshold * MATCH * m:
                 continue
             found = align(own, around)
             if found[0] > best[0]:
@@ -168,37 +170,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    texts = docs.select("text")
     out, parts = docs, []
     for n, rows in enumerate(_blocks(benchmark)):
         block = spark.sparkContext.broadcast(rows)
-
-        def count(batches, block=block):
-            items = Items(block.value)
-            seen = np.zeros(len(items.keys), np.int64)
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    seen[np.unique(items.found(items.words(text))[1])] += 1
-            at = np.nonzero(seen)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["gram", "n"])
-
-        counted = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        items = Items(rows)
-        df = np.zeros(len(items.keys), np.int64)
-        for r in counted:
-            df[r["gram"]] = r["n"]
-        seeds = spark.sparkContext.broadcast(items.seeds(df))
         name = f"__hits{n}"
         parts.append(name)
 
-        def search(batches, block=block, seeds=seeds, name=name):
-            items, by_gram = Items(block.value), defaultdict(list)
-            for gram, item, place in seeds.value:
-                by_gram[gram].append((item, place))
+        def search(batches, block=block, name=name):
+            items = Items(block.value)
             kind = pa.list_(pa.struct({"item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()}))
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                hits = pa.array([matches(items, by_gram, items.words(t), threshold) for t in texts], kind)
+                hits = pa.array([matches(items, items.words(t), threshold) for t in texts], kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, name])
 
         schema = T.StructType([*out.schema.fields, T.StructField(name, T._parse_datatype_string(HITS))])

@@ -249,6 +249,36 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_edited_everywhere(spark):
+    """Copies with every 4th, 5th or 6th word changed, or changed, dropped and added at random, by brute-force alignment."""
+    rnd = random.Random(8)
+    vocabulary = [f"t{i}" for i in range(4000)]
+    items = [(i, sentence(rnd, rnd.randint(20, 60), vocabulary)) for i in range(30)]
+    texts = []
+    for k in range(150):
+        item = items[k % 30][1].split()
+        if k < 90:
+            item = [f"new{k}" if at % (4 + k // 30) == k % 4 else w for at, w in enumerate(item)]
+        else:
+            share = rnd.random() / 3
+            item = [x for w in item for x in ([w] if rnd.random() > share else rnd.choice([[], [f"new{k}"], [w, f"new{k}"]]))]
+        texts.append(sentence(rnd, rnd.randint(0, 80), vocabulary) + " " + " ".join(item) + " " + sentence(rnd, rnd.randint(0, 80), vocabulary))
+    block = decontamination.Items(items)
+    assert not block.around.any()
+    wanted, ceilings = {}, []
+    for k, text in enumerate(texts):
+        found = block.words(text)
+        for i, own in block.items.items():
+            score = decontamination.align(own, found)[0]
+            ceilings.append(block.ceiling(i, found) >= score)
+            if score >= len(own) and len(block.found(found)[0]):
+                wanted[k, i] = score / (2 * len(own))
+    assert all(ceilings) and len(wanted) > 130 and {k for k, _ in wanted} >= set(range(90))
+    docs, benchmark = spark.createDataFrame([*enumerate(texts)], DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert got == wanted
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 30)
     benchmark = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(4)], "item_id long, text string")
