@@ -145,6 +145,8 @@ def _full(length):
             ident, doc = batch.column(0).to_numpy(), batch.column(1)
             # Batch rows in the order that says which occurrence is first.
             order = np.lexsort((ident, doc.fill_null(0).to_numpy(), np.asarray(doc.is_null())))
+            # Repeated rows are one document: here one of them speaks for all.
+            order = order[np.sort(np.unique(ident[order], return_index=True)[1])]
             texts, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             h1, h2, owners, starts = [], [], [], []
             for r in order:
@@ -188,7 +190,8 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     half = _repeated(with_texts(short).mapInArrow(_half(length), LEVEL))
     whole = with_texts(half).mapInArrow(_full(length), f"ident long, doc_id {kind}, place int, h1 long, h2 int")
     firsts = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
-    later = whole.withColumn("n", F.row_number().over(firsts)).where("n > 1 or h2 < 0")
+    # A rank, as repeated rows of other batches have the same window in the same place: none is later than the other.
+    later = whole.withColumn("n", F.dense_rank().over(firsts)).where("n > 1 or h2 < 0")
     return with_texts(later.groupBy("ident").agg(F.collect_list("place").alias("lost")), "left")
 
 

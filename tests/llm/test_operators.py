@@ -437,6 +437,23 @@ def test_repeated_words(docs, rows, odd, empty):
     assert substring_dedup.drop_repeated_words(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_repeated_rows_keep_their_first_copy(spark, batch):
+    """Rows alike in doc_id and text are one document, in one batch or several: none loses what only its repeats hold."""
+    rnd = random.Random(12)
+    passage, other = (sentence(rnd, 40, [f"p{i}" for i in range(500)]) for _ in range(2))
+    rows = [(1, f"one {passage}")] * 5 + [(2, f"two {passage} end")] * 2 + [(3, f"{other} {other}")] * 3 + [(None, other)] * 2 + [(4, None)] * 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for parts in (1, 4):
+            got = substring_dedup.drop_repeated_words(spark.createDataFrame(rows, DOCS).repartition(parts), 20).collect()
+            wanted = [(1, f"one {passage}")] * 5 + [(2, "two end")] * 2 + [(3, other)] * 3 + [(None, "")] * 2 + [(4, "")] * 2
+            assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_repeated_words_across_batches(spark, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
