@@ -16,22 +16,18 @@ from pyspark.sql import functions as F
 from lectern.llm.text import WHITE, body, words
 
 BUCKETS = 1 << 14
-#: Trusted documents that are looked at: those with the least hash of doc_id.  A bound of the sample.
-#: One half of them is counted as the target, the other half sets the threshold.
-TRUSTED = 8192
-#: The threshold is this quantile of the other half's scores, less a margin in thousandths.
+#: The threshold is this quantile of the held-out trusted half's scores, less a margin in thousandths.
 LOW_SHARE, MARGIN = 0.001, 50
 SYMBOLS = "#*$%&|<>"
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """At most ``limit`` doc_ids labelled as of good quality and not toxic, with ``target`` for one half.
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled as of good quality and not toxic, with ``target`` for one half.
 
-    Null ids and repeats don't count.
+    That half is counted as the target, the other half sets the threshold.  Null ids and repeats don't count.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    first = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return first.withColumn("target", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    return good.withColumn("target", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
 
 
 def grams(tokens: Column) -> Column:
@@ -49,7 +45,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[int] | None:
     One pass counts n-grams of all documents and, among them, of the trusted ones; a bucket counts one
     more than it holds.
     """
-    marked = docs.join(F.broadcast(trusted.where("target")), "doc_id", "left")
+    marked = docs.join(trusted.where("target"), "doc_id", "left")
     tokens = marked.select(words(body()).alias("w"), F.coalesce("target", F.lit(False)).cast("int").alias("t"))
     each = tokens.select("t", F.explode(grams(F.col("w"))).alias("g")).select("t", F.explode(F.array("g.one", "g.two")).alias("bucket"))
     counts = each.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
@@ -121,7 +117,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if weights is None:
         score, good = F.lit(None).cast("double"), F.lit(True)
     else:
-        sample = slim.join(F.broadcast(trusted.where(~F.col("target"))), "doc_id", "left_semi").select(words(body()).alias("w"))
+        sample = slim.join(trusted.where(~F.col("target")), "doc_id", "left_semi").select(words(body()).alias("w"))
         low = sample.where(F.size("w") >= 50).agg(F.percentile(likelihood(F.col("w"), weights), F.lit(LOW_SHARE))).first()[0]
         score = likelihood(F.col("__words"), weights)
         good = F.lit(True) if low is None else F.coalesce(F.col("__score") >= low - MARGIN, F.lit(False))

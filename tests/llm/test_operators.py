@@ -225,6 +225,19 @@ def test_quality_likelihood_is_the_formula(spark):
     assert kept == set(range(60))
 
 
+def test_quality_trusts_all_trusted_documents(spark):
+    """Every trusted document of either half counts, however many there are."""
+    labels = spark.range(20_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 4 = 0 as int) as toxic")
+    trusted = {r["doc_id"]: r["target"] for r in quality.trusted_ids(labels).collect()}
+    assert set(trusted) == {i for i in range(20_000) if i % 4} and 7000 < sum(trusted.values()) < 8000
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    weights = quality.bucket_weights(docs, quality.trusted_ids(labels))
+    bucket = {r["doc_id"]: r["b"] for r in docs.select("doc_id", quality._bucket(F.col("text")).alias("b")).collect()}
+    raw, target = collections.Counter(bucket.values()), collections.Counter(bucket[i] for i, t in trusted.items() if t)
+    n, m = 20_000 + quality.BUCKETS, sum(trusted.values()) + quality.BUCKETS
+    assert all(abs(w - 1000 * np.log((target[b] + 1) / m * n / (raw[b] + 1))) <= 0.51 for b, w in enumerate(weights))
+
+
 def test_decontamination(spark, odd, empty):
     rnd = random.Random(6)
     vocabulary = [f"t{i}" for i in range(3000)] + ["the", "of", "and"] * 300
