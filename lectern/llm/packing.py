@@ -11,7 +11,9 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,6 @@ from lectern.llm.arrow import add_column
 from lectern.llm.text import identity
 from lectern.llm.tokenization import encoder, tokenizer_path
 
-END = (0).to_bytes(4, "little")
 #: Ways in which the ranks within one length are counted: no length is ranked in one task.
 SLICES = 64
 
@@ -38,8 +39,13 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
         step = 4 * capacity
 
         def cut(texts):
-            whole = [x + END for x in ids(texts)]
-            return pa.array([[(len(x[at : at + step]) // 4, zlib.crc32(x[at : at + step])) for at in range(0, len(x), step)] for x in whole], pa.list_(pa.struct({"length": pa.int64(), "ids_crc32": pa.int64()})))
+            flat, counts = ids(texts, end=True)
+            data, edges = memoryview(flat).cast("B"), np.concatenate([[0], 4 * np.cumsum(counts)]).tolist()
+            marks = [range(a, b, step) for a, b in pairwise(edges)]
+            lengths = [min(step, b - at) // 4 for (a, b), own in zip(pairwise(edges), marks, strict=True) for at in own]
+            crcs = [zlib.crc32(data[at : min(at + step, b)]) for (a, b), own in zip(pairwise(edges), marks, strict=True) for at in own]
+            cuts = pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["length", "ids_crc32"])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(own) for own in marks])]), pa.int32()), cuts)
 
         return cut
 

@@ -19,10 +19,7 @@ from lectern.llm.arrow import add_column
 from lectern.llm.tokenization import encoder, tokenizer_path
 
 #: Writer options: format version 2, dictionaries, row groups of 32 MB, pages of at most 2000 documents or 256 KB.
-LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "snappy"}
-
-
-END = bytes(4)
+LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#n_tokens": "false", "parquet.enable.dictionary#doc_id": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "snappy"}
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json") -> None:
@@ -36,10 +33,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         ids = encoder(tokenizer_path(tokenizer)).ids
 
         def encode(texts):
-            made = ids(texts)
-            counts = np.fromiter((len(x) // 4 + 1 for x in made), np.int64, len(made))
-            flat = np.frombuffer(b"".join(y for x in made for y in (x, END)), "<i4")
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
+            flat, counts = ids(texts, end=True)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
 
         return encode
 

@@ -13,9 +13,10 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import cache
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ class Encoder:
     other units go through all of it, in lots.
     """
 
-    LOT_CHARS = 1 << 19
+    LOT_CHARS = 4 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -174,44 +175,68 @@ class Encoder:
         spaced = [u if u[:1] == "\n" or self.drops_white else f" {u}" for u in odd]
         known.update(zip(odd, self.library(spaced), strict=True))
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Of each whole text; a null has none."""
-        out, lot, size = [], [], 0
+    def ids(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; a null has none.
+
+        With ``end`` the id 0 follows each text.
+        """
+        lots, lot, size = [], [], 0
         for text in texts:
             lot.append(text)
             size += len(text or "")
             if size > self.LOT_CHARS:
-                out += self._lot(lot)
+                lots.append(self._lot(lot))
                 lot, size = [], 0
-        return out + self._lot(lot)
-
-    def units(self, text: str) -> list[str] | None:
-        """The units of a text, or none if spaces or line feeds meet other white space there."""
+        lots.append(self._lot(lot))
+        flat, counts = (np.concatenate(x) for x in zip(*lots, strict=True))
+        if not end:
+            return flat, counts
+        counts = counts + 1
+        closed = np.zeros(counts.sum(), "<u4")
+        inner = np.ones(len(closed), bool)
+        inner[np.cumsum(counts) - 1] = False
+        closed[inner] = flat
+        return closed, counts
+
+    def parted(self, text: str) -> str | None:
+        """The text with its units between single spaces; none if spaces or line feeds meet other white space there."""
         if self.drops_white:
-            return text.replace("\n", " ").split(" ") if not ODD_WHITE.search(text) else [w.decode() for w in text.encode().split()]
+            return text.replace("\n", " ") if not ODD_WHITE.search(text) else b" ".join(text.encode().split()).decode()
         if any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
             return None
         if any(x in text for x in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") or not text.isascii() and RARE_WHITE.search(text):
             return None
         # A line feed before the text stands for its start, where there is no space either.
-        return f"\n{text.replace('\n', ' \n')}".split(" ")
+        return f"\n{text.replace('\n', ' \n')}"
 
-    def _lot(self, texts: list[str | None]) -> list[bytes]:
-        parted = [self.units(t) if t else [] for t in texts]
+    def _lot(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [self.parted(t) if t else None for t in texts]
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-        units = set().union(*filter(None, parted))
-        # The few units of this lot in a table of their own: looking them up there misses fewer caches.
-        own = dict(zip(units, map(self.known.get, units), strict=True))
-        if new := [u for u, ids in own.items() if ids is None]:
-            self.learn(new)
-            own.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        skip = 0 if self.drops_white else len(self.line)
-        return [self.library([t])[0] if units is None else _joined(units, own)[skip:] for t, units in zip(texts, parted, strict=True)]
-
-
-def _joined(units: list[str], ids: dict[str, bytes]) -> bytes:
-    return b"".join(itemgetter(*units)(ids)) if len(units) > 1 else b"".join(ids[u] for u in units)
+        # Arrow numbers the units of the lot; Python sees each of them once.
+        lists = pc.split_pattern(pa.array([p for p in plain if p is not None], pa.string()), " ")
+        units = lists.values.dictionary_encode()
+        names, which, offsets = units.dictionary.to_numpy(zero_copy_only=False), units.indices.to_numpy(), lists.offsets.to_numpy()
+        found = [*map(self.known.get, names)]
+        if new := [k for k, ids in enumerate(found) if ids is None]:
+            self.learn([names[k] for k in new])
+            for k in new:
+                found[k] = self.known[names[k]]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        many, begins = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        if not self.drops_white:  # without the line feed before each text
+            many[offsets[:-1]] -= 1
+            begins[offsets[:-1]] += 1
+        ends = np.cumsum(many)
+        flat = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - many), many)]
+        edges = np.concatenate([[0], ends])[offsets]
+        if len(plain) == len(edges) - 1:
+            return flat, np.diff(edges)
+        pieces, regular = [], iter(np.split(flat, edges[1:-1]) if len(edges) > 1 else [])
+        for text, p in zip(texts, plain, strict=True):
+            pieces.append(next(regular) if p is not None else np.frombuffer(self.library([text])[0] if text else b"", "<u4"))
+        return np.concatenate([flat[:0], *pieces]), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
 def _packed(ids: list[int]) -> bytes:
