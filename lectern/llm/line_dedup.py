@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import materialize
-from lectern.llm.text import WHITE, ascii_lower, body, documents_only, identity
+from lectern.llm.text import WHITE, ascii_lower, body, documents_only, identity, same_document, wrapped
 
 #: A line hash that holds at least this share of all lines is dealt to several tasks.
 HOT_SHARE = 0.0005
@@ -34,7 +34,7 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """ident, n_dropped and ``keep``, a map from word number to the keep bits of lines 64*word to 64*word+63.
+    """doc_id, ident, n_dropped and ``keep``, a map from word number to the keep bits of lines 64*word to 64*word+63.
 
     Documents are ordered by doc_id, null last, then by text; rows alike in doc_id and text count as
     one document and lose the same lines.  A null or empty text is one empty line, too short to be
@@ -54,17 +54,18 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ident"))
         heads = lines.where(is_hot).groupBy("h1", "h2").agg(first.alias("head")).select("h1", "h2", F.struct("head.doc_id", "head.ident").alias("head"))
         seen = seen.join(F.broadcast(heads), ["h1", "h2"], "left").withColumn("first", F.coalesce("head", "first"))
-    dropped = seen.where(F.col("first.ident") != F.col("ident")).select("ident", "pos")
+    own = (F.col("first.ident") == F.col("ident")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    dropped = seen.where(~own).select("doc_id", "ident", "pos")
 
     word = F.shiftright("pos", 6)
-    bits = dropped.groupBy("ident", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("lost"))
+    bits = dropped.groupBy("doc_id", "ident", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("lost"))
     entry = F.struct("word", F.bitwise_not("lost").alias("keep"))
-    return bits.groupBy("ident").agg(F.sum(F.bit_count("lost")).alias("n_dropped"), F.map_from_entries(F.collect_list(entry)).alias("keep"))
+    return bits.groupBy("doc_id", "ident").agg(F.sum(F.bit_count("lost")).alias("n_dropped"), F.map_from_entries(F.collect_list(entry)).alias("keep"))
 
 
 def kept_lines(lines: Column, keep: Column) -> Column:
     """The lines whose bit is set; a word that the map lacks keeps all of its lines."""
-    return F.filter(lines, lambda line, i: F.expr("true") if keep is None else _bit(keep, i))
+    return F.filter(lines, lambda line, i: _bit(keep, i))
 
 
 def _bit(keep: Column, i: Column) -> Column:
@@ -75,12 +76,16 @@ def _bit(keep: Column, i: Column) -> Column:
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the column ``text`` rewritten, and ``__lines`` = struct(n_lines, n_dropped) added.
 
-    All columns of ``docs`` stay, extra ones too; a text that loses nothing stays as it is, null included.
+    All columns of ``docs`` stay, extra ones too, whatever their names (but for one named ``__lines``,
+    which gives way); a text that loses nothing stays as it is, null included.
     """
-    joined = docs.withColumn("__ident", identity()).join(bitmaps.select(F.col("ident").alias("__ident"), F.col("n_dropped").alias("__n"), F.col("keep").alias("__keep")), "__ident", "left")
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(split_lines(F.col("text")), F.col("__keep")), "\n"))
-    counts = F.struct(F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"))
-    return joined.withColumns({"text": text, "__lines": counts}).select(*docs.columns, "__lines")
+    rows = wrapped(docs).withColumn("ident", identity())
+    joined = rows.join(bitmaps, same_document(rows, bitmaps), "left").select("row", rows["text"], "n_dropped", "keep")
+    lines = split_lines(F.col("text"))
+    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col("keep")), "\n"))
+    counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    others = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "__lines"]
+    return joined.select(*others, counts.alias("__lines"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:

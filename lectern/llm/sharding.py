@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import materialize
-from lectern.llm.text import body
+from lectern.llm.text import body, unwrapped, wrapped
 
 KEY_BITS = 60
 #: Bits by which a round of probes refines the last one: at most 2**16 counts, then 2**12 a cut.
@@ -86,32 +86,34 @@ def histogram_shards(docs: DataFrame, num_shards: int = 24, tolerance: float = 0
     A cut lies where the bytes below it are nearest to its share (the lower one on a tie), or within
     ``tolerance`` bytes of it.  A null text has 8 bytes.  Rows alike in doc_id and text share a key;
     where a cut falls among rows of such a key and they hold more than a hundredth of a shard, they are
-    cut by a second, arbitrary key.  Slots count from 0 in each shard without a gap.  All columns stay; an empty table gives no
-    rows, fewer rows than shards leave shards empty.
+    cut by a second, arbitrary key.  Slots count from 0 in each shard without a gap.  All columns stay,
+    whatever their names, but for one named ``__shard``, which gives way; an empty table gives no rows,
+    fewer rows than shards leave shards empty.
     """
     spark = docs.sparkSession
-    kept = docs.select("*", sort_key(salt).alias("__key"), document_size().alias("__size"))
-    rows = materialize(kept.withColumn("__tie", F.monotonically_increasing_id()), "sharding", compression="zstd")
-    slim = rows.select(F.col("__key"), F.col("__tie"), F.col("__size").alias("size"))
+    kept = wrapped(docs).select("row", sort_key(salt).alias("key"), document_size().alias("size"))
+    # Written once: the second key must be the same in every round.
+    rows = materialize(kept.withColumn("tie", F.monotonically_increasing_id()), "sharding", compression="zstd")
+    slim = rows.select("key", "tie", "size")
     total = slim.agg(F.sum("size")).first()[0] or 0
     targets = [total * j / num_shards for j in range(1, num_shards) if total]
-    cuts = find_splitters(slim, "__key", targets, tolerance=tolerance) if targets else []
-    shard = _shard_of(F.col("__key"), [c.key for c in cuts])
+    cuts = find_splitters(slim, "key", targets, tolerance=tolerance) if targets else []
+    shard = _shard_of(F.col("key"), [c.key for c in cuts])
     # A key that many rows share can't be cut by the key alone.
     for key, low, at in sorted({(c.shared, c.low, c.at) for c, t in zip(cuts, targets, strict=True) if c.at > total / num_shards / 100 and c.low < t < c.low + c.at}):
-        shared = slim.where(F.col("__key") == key)
-        ties = find_splitters(shared, "__tie", [t for t in targets if low < t < low + at], offset=low, bits=63)
-        shard = F.when(F.col("__key") == key, _shard_of(F.col("__tie"), [t.key for t in ties], sum(t <= low for t in targets))).otherwise(shard)
+        shared = slim.where(F.col("key") == key)
+        ties = find_splitters(shared, "tie", [t for t in targets if low < t < low + at], offset=low, bits=63)
+        shard = F.when(F.col("key") == key, _shard_of(F.col("tie"), [t.key for t in ties], sum(t <= low for t in targets))).otherwise(shard)
 
     runs = max(1, -(-total // (num_shards * RUN_BYTES)))
-    run = (shard * runs + F.pmod(F.xxhash64("__key", "__tie"), F.lit(runs))).cast("int")
-    per_run = slim.groupBy(run.alias("__run")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.expr(f"__run div {runs}")).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_run.select("__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    placed = rows.withColumn("__run", run).repartitionById(num_shards * runs, F.col("__run"))
-    slot = F.row_number().over(Window.partitionBy("__run").orderBy("__key", "__tie")) - 1
+    run = (shard * runs + F.pmod(F.xxhash64("key", "tie"), F.lit(runs))).cast("int")
+    per_run = slim.groupBy(run.alias("run")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.expr(f"run div {runs}")).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_run.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = rows.withColumn("run", run).repartitionById(num_shards * runs, F.col("run"))
+    slot = F.row_number().over(Window.partitionBy("run").orderBy("key", "tie")) - 1
     if runs > 1:
-        placed = placed.join(base, "__run")
-        slot = slot + F.col("__base")
-    law = F.struct(F.lit("bytes").alias("law"), F.expr(f"cast(__run div {runs} as int)").alias("shard"), slot.cast("long").alias("slot"), F.col("__size").alias("size"))
-    return placed.withColumn("__shard", law).select(*docs.columns, "__shard")
+        placed = placed.join(base, "run")
+        slot = slot + F.col("base")
+    law = F.struct(F.lit("bytes").alias("law"), F.expr(f"cast(run div {runs} as int)").alias("shard"), slot.cast("long").alias("slot"), F.col("size").alias("size"))
+    return unwrapped(placed.withColumn("__shard", law), docs.columns, "__shard")

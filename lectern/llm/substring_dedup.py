@@ -115,6 +115,14 @@ def _repeated(level: DataFrame) -> DataFrame:
     return met.groupBy("ident").agg(F.collect_list("place").alias("places"))
 
 
+def among(places: list[int], n: int) -> np.ndarray:
+    """Which of 0 to n are places; others, of a document of the same name, are passed over."""
+    live = np.zeros(n + 1, bool)
+    places = np.asarray(places, np.int64)
+    live[places[places <= n]] = True
+    return live
+
+
 def _short(length):
     def run(text):
         short = windows(word_hashes(text), length // 4)
@@ -128,9 +136,7 @@ def _half(length):
     def run(text, places):
         words = word_hashes(text)
         seeds = seeds_of(windows(words, length // 4), length)
-        live = np.zeros(len(words) + 1, bool)
-        live[places] = True
-        at = np.unique(halves_of(seeds, length)[live[seeds]])
+        at = np.unique(halves_of(seeds, length)[among(places, len(words))[seeds]])
         return windows(words, length // 2)[at], at
 
     return lambda batches: _level(batches, run)
@@ -151,8 +157,7 @@ def _full(length):
             h1, h2, owners, starts = [], [], [], []
             for r in order:
                 words = word_hashes(texts[r])
-                live = np.zeros(len(words) + 1, bool)
-                live[places[r]] = True
+                live = among(places[r], len(words))
                 at = np.nonzero(live[halves_of(seeds_of(windows(words, length // 4), length), length)])[0]
                 whole = windows(words, length // 2)
                 h1.append(joined(whole[at], whole[at + length // 2]))
@@ -180,8 +185,10 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     """doc_id, ident, text and ``lost``: starts of the windows of ``length`` words that also start earlier.
 
     Earlier is a smaller doc_id (null last, then by text) or an earlier start in the same document.
-    Rows alike in doc_id and text count as one document.  ``length`` is a multiple of four.
+    Rows alike in doc_id and text count as one document.  ``length`` must be a multiple of four.
     """
+    if length < 4 or length % 4:
+        raise ValueError("length must be a multiple of four")
     named = docs.select(identity().alias("ident"), "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     # The texts are exchanged once: each of these joins reads the same columns, so Spark reuses it.
@@ -192,7 +199,12 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     firsts = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
     # A rank, as repeated rows of other batches have the same window in the same place: none is later than the other.
     later = whole.withColumn("n", F.dense_rank().over(firsts)).where("n > 1 or h2 < 0")
-    return with_texts(later.groupBy("ident").agg(F.collect_list("place").alias("lost")), "left")
+    # Names decide between candidates only; what goes is told by doc_id as well.
+    lost = later.groupBy("ident", "doc_id").agg(F.collect_list("place").alias("lost"))
+    mine, its = named["doc_id"], lost["doc_id"]
+    # Not as one more key: the exchange of the texts by ident serves this join too.
+    same = ((mine >= its) & (mine <= its)) | (mine.isNull() & its.isNull())
+    return named.join(lost.hint("shuffle_hash"), (named["ident"] == lost["ident"]) & same, "left").select(named["ident"], named["doc_id"], "text", "lost")
 
 
 def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:

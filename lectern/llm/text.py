@@ -27,10 +27,29 @@ def ascii_lower(text: Column) -> Column:
 
 
 def identity() -> Column:
-    """A 64-bit name for a document that holds where doc_id is null or repeated: rows alike in both share it."""
+    """A 64-bit name for a document that holds where doc_id is null or repeated: rows alike in both share it.
+
+    Documents are told apart by doc_id and this name together (:func:`same_document`), so two texts
+    can only be taken for one if they also share their doc_id.
+    """
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))
 
 
+def same_document(left: DataFrame, right: DataFrame) -> Column:
+    """The condition of a join on ident and doc_id, null ids included."""
+    return (left["ident"] == right["ident"]) & left["doc_id"].eqNullSafe(right["doc_id"])
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, a struct of all columns: whatever their names, none clashes with what is added."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
+def unwrapped(rows: DataFrame, columns: list[str], added: str) -> DataFrame:
+    """The columns that were wrapped and ``added``, which takes the place of one of that name."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns if c != added), added)
+
+
 def documents_only(docs: DataFrame) -> DataFrame:
     """doc_id and text; extra columns, whatever their names, are left behind."""
     return docs.select("doc_id", "text")
