@@ -11,7 +11,6 @@ from the top down and rule out whole pairs of runs before any two fingerprints a
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from itertools import pairwise
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.storage import materialize
 from lectern.llm.arrow import add_column
-from lectern.llm.text import identity
+from lectern.llm.text import identity, same_document, wrapped
 from lectern.operators.components import connected_components
 
 #: Distinct fingerprints that one group may have before it is parted again.
@@ -55,18 +54,24 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(">i8")[0])
 
 
-def mixed(x: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits from a hash: the k-th step of a splitmix generator."""
-    x = x + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Keys of a set of shingles, and the least hashes that each is made of: of two sets with a Jaccard
+#: similarity s a share of 1 - (1 - s**DEPTH)**BANDS have a key in common, 0.995 at 0.8.
+BANDS, DEPTH = 10, 4
+#: Of those with a key in common, how many the others meet in the second pass, and the random ways in
+#: which these are told.
+HEADS, WAYS = 4, 3
+_drawn = np.random.default_rng(5)
+MASK, FACTOR = (_drawn.integers(0, 2**64, BANDS * DEPTH, dtype=np.uint64) for _ in range(2))
+FACTOR |= np.uint64(1)
 
 
-def wide_mark(text: str | None, n: int) -> bytes:
-    """Four fingerprints of distinct n-word shingles side by side: 256 bits."""
-    hashes = np.unique(shingle_hashes(text, n))
-    return b"".join(majority(mixed(hashes, k)).to_bytes(8, "little", signed=True) for k in range(1, 5))
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: its number and its least hashes under DEPTH random orders.  An empty set has none."""
+    if not len(hashes):
+        return np.array([], np.int64)
+    least = np.min([((hashes[at : at + 1024, None] ^ MASK) * FACTOR).min(axis=0) for at in range(0, len(hashes), 1024)], axis=0)
+    rows = np.column_stack([np.arange(BANDS, dtype=np.uint64), least.reshape(BANDS, DEPTH)])
+    return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
@@ -124,13 +129,10 @@ def close_pairs(codes: np.ndarray, max_bits: int):
         stack.append((depth - 1, a[fits], b[fits]))
 
 
-def spanning_links(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None, max_bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(codes: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between ids that connect just what the close pairs connect, fewer than there are codes."""
     root = np.arange(len(codes))
     for i, j in close_pairs(codes, max_bits):
-        if wide is not None:
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_bits
-            i, j = i[near], j[near]
         while len(i):
             a, b = root[i], root[j]
             i, j, a, b = (x[a != b] for x in (i, j, a, b))
@@ -141,30 +143,26 @@ def spanning_links(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray | None,
     return ids[moved], ids[root[moved]]
 
 
-def _search(batches, max_bits: int, wide_bits: int):
+def _search(batches, max_bits: int):
     """Groups arrive sorted by key, then Gray rank; the one that is still open waits for the next batch."""
-    key, held, wide = None, [], False
+    key, held = None, []
 
     def close():
-        if sum(len(x[0]) for x in held) < 2:
-            return np.array([], np.int64), np.array([], np.int64)
-        codes, ids, marks = (np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
-        return spanning_links(codes, ids, marks, max_bits, wide_bits)
+        codes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        return spanning_links(codes, ids, max_bits)
 
     for batch in batches:
-        wide = batch.num_columns > 4
         keys = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)])
         codes, ids = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
-        marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(-1, 4) if wide else None
         found = []
         for a, b in pairwise([0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1), len(codes)]):
             if a == b:
                 continue
-            if key is not None and (keys[a] != key).any():
+            if held and (keys[a] != key).any():
                 found.append(close())
                 held = []
             key = keys[a]
-            held.append((codes[a:b], ids[a:b], marks[a:b] if wide else None))
+            held.append((codes[a:b], ids[a:b]))
         yield _links(found)
     yield _links([close()] if held else [])
 
@@ -174,12 +172,11 @@ def _links(found):
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=["a", "b"])
 
 
-def near_links(marks: DataFrame, max_bits: int = 4, wide_bits: int = 256) -> DataFrame:
+def near_links(marks: DataFrame, max_bits: int = 4) -> DataFrame:
     """Links (a, b) between ids that connect all whose codes lie within ``max_bits``.
 
-    ``marks`` has ``code`` and ``id``, each id once; with a column ``wide`` (32 bytes) links also need
-    at most ``wide_bits`` different bits there.  Ids that share a code can't be parted: such a group
-    is compared whole, lot by lot.
+    ``marks`` has ``code`` and ``id``, each of both once: codes that differ can always be parted, so no
+    group stays larger than GROUP.
     """
     masks, members = [0], marks.select(F.lit(0).alias("node"), *marks.columns)
     found = None
@@ -193,8 +190,7 @@ def near_links(marks: DataFrame, max_bits: int = 4, wide_bits: int = 256) -> Dat
         none = large.isEmpty()
         small = members if none else members.join(large, ["node", "pattern"], "left_anti")
         dealt = small.repartition("node", "pattern").sortWithinPartitions("node", "pattern", gray_rank(F.col("code")))
-        wide = [c for c in marks.columns if c == "wide"]
-        links = dealt.select("node", "pattern", "code", "id", *wide).mapInArrow(lambda b: _search(b, max_bits, wide_bits), "a long, b long")
+        links = dealt.select("node", "pattern", "code", "id").mapInArrow(lambda b: _search(b, max_bits), "a long, b long")
         found = links if found is None else found.unionByName(links)
         if none:
             return found
@@ -205,20 +201,21 @@ def near_links(marks: DataFrame, max_bits: int = 4, wide_bits: int = 256) -> Dat
         members = materialize(deeper.dropDuplicates(["node", "id"]), "members")
 
 
-def components(marks: DataFrame, max_bits: int = 4, wide_bits: int = 256) -> DataFrame:
-    """id, component_id and first (the ident kept of the component): a row for each id.
+def components(each: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component_id and first (the document kept of the component): a row for each id.
 
-    ``marks`` has doc_id, ident, id and code, and wide or not.  component_id is the least doc_id of all
-    documents that links reach, null if all are null; the document kept is the one with that doc_id,
-    and the least ident among several.
+    ``each`` has id and ``least``, the first of its documents as struct(n, doc_id, ident), n if doc_id
+    is null.  component_id is the least doc_id of all documents that links reach, null if all are null;
+    the document kept is the one with that doc_id, and the least ident among several.
     """
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ident"))
-    alike = [F.first(c).alias(c) for c in marks.columns if c in ("code", "wide")]
-    each = materialize(marks.groupBy("id").agg(least.alias("least"), *alike), "ids")
-    groups = connected_components(near_links(each.drop("least"), max_bits, wide_bits))
+    groups = connected_components(links)
     joined = each.select("id", "least").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
     kept = joined.groupBy("group").agg(F.min("least").alias("kept"))
-    return joined.join(kept, "group").select("id", F.col("kept.doc_id").alias("component_id"), F.col("kept.ident").alias("first"))
+    return joined.join(kept, "group").select("id", F.col("kept.doc_id").alias("component_id"), F.struct("kept.doc_id", "kept.ident").alias("first"))
+
+
+def least_document() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ident")).alias("least")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -230,41 +227,107 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     """
     named = docs.select("doc_id", identity().alias("ident"), "text")
     marks = materialize(fingerprints(named, shingle, "id", keep=["doc_id", "ident"]), "marks")
-    groups = components(marks.withColumn("code", F.col("id")), max_bits)
+    each = materialize(marks.groupBy("id").agg(least_document()), "ids")
+    groups = components(each, near_links(each.select("id", F.col("id").alias("code")), max_bits))
     return marks.join(groups, "id").withColumnRenamed("id", "fingerprint")
 
 
-#: Of 256 bits, those in which fingerprints of shingle sets with a Jaccard similarity s differ on average:
-#: 256 / pi * acos(2 s / (1 + s)).
-def expected_bits(similarity: float) -> float:
-    return 256 / math.pi * math.acos(2 * similarity / (1 + similarity))
+def _stars(keyed: DataFrame, similarity: float, heads: int = 1) -> DataFrame:
+    """Pairs (a < b) of each id with ``heads`` ids at most that have the same key and about its size.
+
+    ``keyed`` has id, size, key and ``way``; ids fall into ``heads`` parts by a hash that differs from
+    way to way, and the least id of each part stands for it.  Sizes fall into classes of which each is
+    wider than the ratio that similar sets can have, so what is similar lies in one class or in two
+    that follow each other.
+    """
+    part = F.pmod(F.xxhash64("id", "way"), F.lit(heads))
+    classed = keyed.select("id", "key", part.alias("part"), F.floor(F.log("size") / -F.log(F.lit(similarity))).cast("int").alias("class"))
+    met = classed.groupBy("key", "class", "part").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    asking = classed.select("id", "key", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
+    pairs = asking.join(met.select("key", "class", "head"), ["key", "class"]).where("id <> head")
+    return pairs.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word_bits: int = 7, slack: float = 4) -> DataFrame:
-    """ident, component_id and first of every document, for near copies that differ in a few words.
+def similar_ids(each: DataFrame, sets_of, word_bits: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ids whose shingle sets have the similarity; ``each`` has id, code, size and
+    bands, each id once, and ``sets_of`` gives the sets (id, shingles) of the ids asked for.
 
-    At 0.8 of five-word shingles two 64-bit fingerprints differ in 10 bits, too many for any exact
-    index.  So the index works on a fingerprint of the distinct words, which a few edits hardly move
-    (``word_bits``), and a link must also show the similarity in 256 bits of shingle fingerprints,
-    within ``slack`` bits of what is expected.
+    Two passes.  In the first, ids meet that have word fingerprints within ``word_bits`` by the SimHash
+    index, and the least id of all that share a fingerprint or a band of least hashes; this settles
+    large groups.  In the second, what the first hasn't joined meets several others of its bands.
+    """
+    some = each.where("size > 0")
+    codes = materialize(some.groupBy("code").agg(F.min("id").alias("id")), "codes")
+    keyed = some.select("id", "size", F.posexplode(F.array_append("bands", F.col("code"))).alias("way", "key")).withColumn("way", F.col("way") % WAYS)
+    sizes = lambda of: some.select(F.col("id").alias(of), F.col("size").alias(f"size_{of}"))
+
+    def fitting(found: DataFrame) -> DataFrame:
+        sized = found.distinct().join(sizes("a"), "a").join(sizes("b"), "b")
+        return materialize(sized.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")).select("a", "b"), "pairs")
+
+    index = near_links(codes, word_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs, others = fitting(index.unionByName(_stars(keyed, similarity))), fitting(_stars(keyed, similarity, HEADS))
+    sets = materialize(sets_of(pairs.unionByName(others).select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    first = materialize(similar_links(pairs, sets, similarity), "links")
+    joined = connected_components(first)
+    side = lambda of: joined.select(F.col("node").alias(of), F.col("component").alias(f"group_{of}"))
+    known = others.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = known.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    return first.unionByName(materialize(similar_links(apart, sets, similarity), "links"))
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets (id, ``shingles``) have the Jaccard similarity asked for."""
+    side = lambda of: sets.select(F.col("id").alias(of), F.col("shingles").alias(f"set_{of}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word_bits: int = 7) -> DataFrame:
+    """doc_id, ident, component_id and first of every document, for near copies.
+
+    Documents are linked if the sets of their ``shingle``-word shingles have the Jaccard similarity
+    ``similarity``; what is linked is compared set by set, and found as :func:`similar_ids` says.
+    At 0.8 of five-word shingles two 64-bit fingerprints of shingles differ in 10 bits, too many for
+    any exact index, so the SimHash index works on a fingerprint of the distinct words, which a few
+    edits hardly move.  Texts alike in their shingles are one to begin with; those without words are
+    alike.  Rows alike in doc_id and text are one document; other columns are left behind; an empty
+    table gives no rows.
     """
 
     def make():
+        kind = pa.struct({"id": pa.int64(), "code": pa.int64(), "size": pa.int32(), "bands": pa.list_(pa.int64())})
+
         def mark(texts):
-            return pa.array([{"code": majority(np.unique(shingle_hashes(t, 1))), "wide": wide_mark(t, shingle)} for t in texts], pa.struct({"code": pa.int64(), "wide": pa.binary()}))
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            ids = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
+            codes = [majority(np.unique(shingle_hashes(t, 1))) for t in texts]
+            return pa.array(list(zip(ids, codes, map(len, sets), map(band_keys, sets), strict=True)), kind)
 
         return mark
 
+    def make_sets():
+        return lambda texts: pa.array([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))
+
     named = docs.select("doc_id", identity().alias("ident"), "text")
-    marks = add_column(named, make, "mark", "struct<code:bigint,wide:binary>", keep=["doc_id", "ident"])
-    marks = materialize(marks.select("doc_id", "ident", "mark.code", "mark.wide", F.xxhash64("mark.code", "mark.wide").alias("id")), "marks")
-    groups = components(marks, word_bits, round(expected_bits(similarity) + slack))
+    marks = add_column(named, make, "mark", "struct<id:bigint,code:bigint,size:int,bands:array<bigint>>", keep=["doc_id", "ident"])
+    marks = materialize(marks.select("doc_id", "ident", "mark.*"), "marks")
+    each = materialize(marks.groupBy("id").agg(least_document(), *(F.first(c).alias(c) for c in ("code", "size", "bands"))), "ids")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        shown = each.join(asked, "id", "left_semi").select("id", "least.doc_id", "least.ident")
+        texts = named.join(shown, same_document(named, shown)).select("id", "text")
+        return add_column(texts, make_sets, "shingles", "array<int>", keep=["id"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+    groups = components(each, similar_ids(each, sets_of, word_bits, similarity))
     return marks.select("doc_id", "ident", "id").join(groups, "id").drop("id")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, all columns kept; of repeated rows one stays."""
-    stay = groups.where(F.col("ident") == F.col("first")).select(F.col("ident").alias("__ident")).distinct()
-    kept = docs.withColumn("__ident", identity()).join(stay, "__ident", "left_semi")
-    one = F.row_number().over(Window.partitionBy("__ident").orderBy("__ident"))
-    return kept.withColumn("__n", one).where("__n = 1").select(*docs.columns)
+    stay = groups.where((F.col("ident") == F.col("first.ident")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "ident").distinct()
+    rows = wrapped(docs).withColumn("ident", identity())
+    kept = rows.join(stay, same_document(rows, stay), "left_semi")
+    one = F.row_number().over(Window.partitionBy("ident", "doc_id").orderBy("ident"))
+    return kept.withColumn("n", one).where("n = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
