@@ -1,23 +1,30 @@
 """Quality rules: base counts of a text, and a hashed n-gram log-likelihood ratio.
 
 Words and pairs of neighbouring words fall into a fixed number of hash buckets.  Two multinomials
-over the buckets are counted, one over all of the corpus and one over trusted documents; a document's
-score is the mean over its n-grams of the log of their ratio, in thousandths.  What scores below the
-threshold goes.  All of it is column expressions.
+over the buckets are counted, one over all of the corpus and one over trusted documents; an n-gram
+weighs the log of their ratio, in thousandths.  A document has two scores: the mean over all of its
+n-grams, and the weight that only its lowest words stay below, two and one more for every 250 words, so
+that a few words which trusted documents lack aren't lost in a long text.  What is below the threshold
+of either score goes.  All of it is column expressions.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.text import WHITE, body, words
-
-BUCKETS = 1 << 14
-#: The threshold is this quantile of the held-out trusted half's scores, less a margin in thousandths.
-LOW_SHARE, MARGIN = 0.001, 50
+from lectern.functions.storage import materialize
+from lectern.llm.text import WHITE, body, unwrapped, words, wrapped
+
+BUCKETS = 1 << 18
+#: Each threshold is this quantile of the scores of the held-out trusted half, less a margin in
+#: thousandths: of the mean, of the lowest words.
+MEAN_SHARE, MEAN_MARGIN = 0.001, 50
+LOW_SHARE, LOW_MARGIN = 0.002, 200
+#: Words to each that may be lower than the second score.
+WORDS_EACH = 250
+#: Words that a document has at least to pass the base rules.
+MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
 
@@ -39,31 +46,54 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[int] | None:
-    """Log-likelihood ratio of each bucket in thousandths, target over raw; None without trusted texts.
+def bucket_weights(docs: DataFrame, trusted: DataFrame) -> str | None:
+    """Log-likelihood ratio of each bucket in thousandths, target over raw, joined by commas; None without trusted texts.
 
     One pass counts n-grams of all documents and, among them, of the trusted ones; a bucket counts one
-    more than it holds.
+    more than it holds.  What leaves the tasks is at most a row for each bucket and task.
     """
     marked = docs.join(trusted.where("target"), "doc_id", "left")
     tokens = marked.select(words(body()).alias("w"), F.coalesce("target", F.lit(False)).cast("int").alias("t"))
     each = tokens.select("t", F.explode(grams(F.col("w"))).alias("g")).select("t", F.explode(F.array("g.one", "g.two")).alias("bucket"))
-    counts = each.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
-    raw = {r["bucket"]: r["raw"] for r in counts}
-    target = {r["bucket"]: r["target"] for r in counts}
-    n, m = sum(raw.values()) + BUCKETS, sum(target.values())
+    counts = materialize(each.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "counts")
+    n, m = counts.agg(F.sum("raw"), F.sum("target")).first()
     if not m:
         return None
-    return [round(1000 * math.log((target.get(b, 0) + 1) / (m + BUCKETS) * n / (raw.get(b, 0) + 1))) for b in range(BUCKETS)]
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    ratio = (F.coalesce("target", F.lit(0)) + 1) / F.lit(float(m + BUCKETS)) * F.lit(float(n + BUCKETS)) / (F.coalesce("raw", F.lit(0)) + 1)
+    row = F.array_sort(F.collect_list(F.struct("bucket", F.round(1000 * F.log(ratio)).cast("int").alias("weight"))))
+    return every.agg(F.array_join(F.transform(row, lambda x: x["weight"].cast("string")), ",")).first()[0]
 
 
-def likelihood(tokens: Column, weights: list[int]) -> Column:
-    """Mean weight of the n-grams of a text; null without words."""
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+def likelihood(tokens: Column, weights: str) -> Column:
+    """struct(mean, low) of a text, whole thousandths; both null without words."""
+    table = F.split(F.lit(weights), ",").cast("array<int>")
     weight = lambda bucket: F.get(table, bucket)
-    each = F.transform(tokens, lambda w, i: weight(_bucket(w)) + F.when(i + 1 < F.size(tokens), weight(_bucket(w, F.get(tokens, i + 1)))).otherwise(0))
-    total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.try_divide(total, 2 * F.size(tokens) - 1)
+    pair = lambda w, i: F.when(i + 1 < F.size(tokens), weight(_bucket(w, F.get(tokens, i + 1)))).otherwise(0)
+    own = F.transform(tokens, lambda w, i: F.struct(weight(_bucket(w)).alias("one"), pair(w, i).alias("two")))
+    total = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["one"] + x["two"])
+    n = F.size(own)
+    low = F.get(F.array_sort(F.transform(own, lambda x: x["one"])), F.least(n - 1, 1 + F.floor(n / WORDS_EACH).cast("int")))
+    return F.struct(F.when(n > 0, F.floor(F.try_divide(total, 2 * n - 1))).alias("mean"), F.when(n > 0, low).cast("long").alias("low"))
+
+
+def low_ends(scores: DataFrame) -> tuple[int, int] | None:
+    """The thresholds by the scores of held-out documents; None without any.
+
+    Scores are whole numbers of a bounded range, so counting them is exact and small.
+    """
+    of = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(f"score.{c}").alias("value")) for c in ("mean", "low")))).alias("s")
+    counts = scores.select(of).groupBy("s.of", "s.value").agg(F.count("*").alias("n")).collect()
+    ends = []
+    for name, share, margin in (("mean", MEAN_SHARE, MEAN_MARGIN), ("low", LOW_SHARE, LOW_MARGIN)):
+        own = sorted((r["value"], r["n"]) for r in counts if r["of"] == name)
+        left = int(share * (sum(n for _, n in own) - 1))
+        for value, n in own:
+            if left < n:
+                ends.append(value - margin)
+                break
+            left -= n
+    return tuple(ends) if ends else None
 
 
 def repeated_words(hashes: Column, ordered: Column) -> Column:
@@ -72,55 +102,58 @@ def repeated_words(hashes: Column, ordered: Column) -> Column:
     return F.sort_array(F.filter(F.transform(ordered, same), lambda i: i.isNotNull()))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__words`` and ``__base`` = struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+def base_counts(rows: DataFrame) -> DataFrame:
+    """``rows``, of which only ``text`` is read, with ``words`` and ``base`` = struct(n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words)."""
     text = body()
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    d = docs.withColumns({"__words": words(text), "__lines": lines})
-    packed = F.array_join("__words", "")
+    d = rows.withColumns({"words": words(text), "lines": lines})
+    packed = F.array_join("words", "")
     plain = packed
     for c in SYMBOLS:
         plain = F.replace(plain, F.lit(c), F.lit(""))
-    window = F.transform("__words", lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)))
+    window = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     d = d.withColumns({
-        "__chars": F.char_length(packed),
-        "__symbols": F.octet_length(packed) - F.octet_length(plain),
-        "__dup": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "__h": F.slice(window, 1, F.greatest(F.size("__words") - 2, F.lit(0))),
+        "chars": F.char_length(packed),
+        "symbols": F.octet_length(packed) - F.octet_length(plain),
+        "dup": F.size("lines") - F.size(F.array_distinct("lines")),
+        "h": F.slice(window, 1, F.greatest(F.size("words") - 2, F.lit(0))),
     })
-    repeats = F.size(F.array_distinct("__h")) < F.size("__h")
-    d = d.withColumn("__s", F.when(repeats, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    d = d.withColumn("__p", F.when(F.col("__s").isNotNull(), repeated_words(F.col("__h"), F.col("__s"))))
+    repeats = F.size(F.array_distinct("h")) < F.size("h")
+    d = d.withColumn("sorted", F.when(repeats, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    d = d.withColumn("again", F.when(F.col("sorted").isNotNull(), repeated_words(F.col("h"), F.col("sorted"))))
     # Each repeated window covers three words, or as many as lie before the next one.
-    spans = F.transform("__p", lambda p, k: F.least(F.coalesce(F.get("__p", k + 1) - p, F.lit(3)), F.lit(3)))
+    spans = F.transform("again", lambda p, k: F.least(F.coalesce(F.get("again", k + 1) - p, F.lit(3)), F.lit(3)))
     covered = F.coalesce(F.aggregate(spans, F.lit(0), lambda a, x: a + x), F.lit(0))
-    counts = {"n_words": F.size("__words"), "word_chars": F.col("__chars"), "n_symbols": F.col("__symbols"), "n_dup_lines": F.col("__dup"), "n_repeat_words": covered}
-    return d.withColumn("__base", F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))).select(*docs.columns, "__words", "__base")
+    counts = {"n_words": F.size("words"), "word_chars": F.col("chars"), "n_symbols": F.col("symbols"), "n_dup_lines": F.col("dup"), "n_repeat_words": covered}
+    return d.withColumn("base", F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))).select(*rows.columns, "words", "base")
 
 
-def base_failed(base: str = "__base") -> Column:
-    n, repeated = F.col(f"{base}.n_words"), F.col(f"{base}.n_repeat_words")
-    return (n < 50) | (100 * repeated > 50 * n)
+def base_failed() -> Column:
+    n, repeated = F.col("base.n_words"), F.col("base.n_repeat_words")
+    return (n < MIN_WORDS) | (100 * repeated > 50 * n)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``__quality`` = struct(the base counts, base_failed, score, kept).
+    """``docs`` with ``__quality`` = struct(the base counts, base_failed, mean, low, kept).
 
-    A null text has no words and fails.  The threshold lies a margin below the scores of all but a
-    thousandth of trusted documents that the target hasn't seen; without such only the base rules decide.
-    All columns stay, a row for each row.
+    A null text has no words and fails.  The thresholds lie a margin below the scores of nearly all
+    trusted documents of 50 words that the target hasn't seen; without such only the base rules decide,
+    and without trusted texts both scores are null.  All columns stay, whatever their names, but for one
+    named ``__quality``, which gives way; there is a row for each row, repeated ones too, and none for
+    an empty table.  Each repeated row counts in the corpus.
     """
     slim = docs.select("doc_id", "text")
     trusted = trusted_ids(labels)
     weights = bucket_weights(slim, trusted)
-    d = base_counts(docs)
+    d = base_counts(wrapped(docs).select("row", "text"))
     if weights is None:
-        score, good = F.lit(None).cast("double"), F.lit(True)
+        nothing = F.lit(None).cast("long")
+        score, good = F.struct(nothing.alias("mean"), nothing.alias("low")), F.lit(True)
     else:
-        sample = slim.join(trusted.where(~F.col("target")), "doc_id", "left_semi").select(words(body()).alias("w"))
-        low = sample.where(F.size("w") >= 50).agg(F.percentile(likelihood(F.col("w"), weights), F.lit(LOW_SHARE))).first()[0]
-        score = likelihood(F.col("__words"), weights)
-        good = F.lit(True) if low is None else F.coalesce(F.col("__score") >= low - MARGIN, F.lit(False))
-    d = d.withColumn("__score", score)
-    verdict = F.struct("__base.*", base_failed().alias("base_failed"), F.col("__score").alias("score"), (~base_failed() & good).alias("kept"))
-    return d.withColumn("__quality", verdict).select(*docs.columns, "__quality")
+        unseen = slim.join(trusted.where(~F.col("target")), "doc_id", "left_semi").select(words(body()).alias("w"))
+        ends = low_ends(unseen.where(F.size("w") >= MIN_WORDS).select(likelihood(F.col("w"), weights).alias("score")))
+        score = likelihood(F.col("words"), weights)
+        good = F.lit(True) if ends is None else F.coalesce((F.col("score.mean") >= ends[0]) & (F.col("score.low") >= ends[1]), F.lit(False))
+    verdict = F.struct("base.*", base_failed().alias("base_failed"), "score.mean", "score.low", (~base_failed() & good).alias("kept"))
+    return unwrapped(d.withColumn("score", score).withColumn("__quality", verdict), docs.columns, "__quality")
