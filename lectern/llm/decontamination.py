@@ -10,8 +10,8 @@ of which meets all documents.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from itertools import repeat
+import uuid
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +38,21 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items as word numbers, with the place of each of their grams."""
+    """A block of benchmark items (id, text) as word numbers, with the places of each of their grams."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        self.items = {i: np.array([number(w, len(self.vocabulary)) for w in tokens(t)], np.int64) for i, t in rows}
-        places = defaultdict(list)
-        for i, words in self.items.items():
-            for at, g in enumerate(self.grams(words).tolist()):
-                places[g].append((i, at))
-        self.keys = np.array(sorted(places), np.uint64)
-        self.places = [places[k] for k in sorted(places)]
+        self.ids = [i for i, _ in rows]
+        self.items = [np.array([number(w, len(self.vocabulary)) for w in tokens(t)], np.int64) for _, t in rows]
+        grams = [self.grams(words) for words in self.items]
+        flat = np.concatenate([np.array([], np.uint64), *grams])
+        order = np.argsort(flat, kind="stable")
+        # The places of gram k are those from first[k] to first[k + 1].
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.array([], np.int64), *(np.arange(len(g)) for g in grams)])[order]
         # Words of a stretch of text, one flag a number; the last is for words that no item has.
         self.around = np.zeros(len(self.vocabulary) + 1, bool)
 
@@ -124,29 +127,45 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 def matches(block: Items, words: np.ndarray, threshold: float) -> list[dict]:
     """The best alignment of each item with the text, if its share of a full match reaches ``threshold``."""
     at, grams = block.found(words)
-    spots = defaultdict(list)
-    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-        for item, place in block.places[g]:
-            spots[item].append(p - place)
+    if not len(at):
+        return []
+    many = block.first[grams + 1] - block.first[grams]
+    held = np.repeat(block.first[grams] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    item, begin = block.item[held], np.repeat(at, many) - block.place[held]
+    order = np.lexsort((begin, item))
+    item, begin = item[order], begin[order]
     out = []
-    for item, begins in sorted(spots.items()):
-        own = block.items[item]
+    edges = [0, *(np.nonzero(np.diff(item))[0] + 1).tolist(), len(item)]
+    for a, b in pairwise(edges):
+        own = block.items[item[a]]
         m, best, (low, high) = len(own), (0, 0, 0), (0, -1)
-        for begin in sorted(begins):
-            if begin - m >= low and begin + 2 * m <= high:
+        for start in np.unique(begin[a:b]).tolist():
+            if start - m >= low and start + 2 * m <= high:
                 continue  # inside what has been aligned
-            low, high = max(0, begin - m), min(len(words), begin + 2 * m)
+            low, high = max(0, start - m), min(len(words), start + 2 * m)
             around = words[low:high]
-            if block.ceiling(item, around) < threshold * MATCH * m:
+            if block.ceiling(int(item[a]), around) < threshold * MATCH * m:
                 continue
             found = align(own, around)
             if found[0] > best[0]:
                 best = (found[0], low + found[1], low + found[2])
         if best[0] and best[0] >= threshold * MATCH * m:
-            out.append({"item_id": item, "score": best[0] / (MATCH * m), "first_word": best[1], "last_word": best[2]})
+            out.append({"item_id": block.ids[item[a]], "score": best[0] / (MATCH * m), "first_word": best[1], "last_word": best[2]})
     return out
 
 
+#: The block that this Python worker has met last, by name.
+_block: dict[str, Items] = {}
+
+
+def _items(name: str, rows) -> Items:
+    """A block's items, worked out once for each Python worker."""
+    if name not in _block:
+        _block.clear()
+        _block[name] = Items(rows.value)
+    return _block[name]
+
+
 def _blocks(benchmark: DataFrame):
     """Items in blocks of at most BLOCK_CHARS (a longer item alone), streamed to the driver in order of item_id."""
     lot, size = [], 0
@@ -165,19 +184,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     first_word, last_word) of all items that the text holds a copy of, empty if none.
 
     Words are runs of letters and digits, lower-cased.  score is the alignment's share of a full match
-    (1.0: word for word).  Null and empty texts hold nothing; items without words are not looked for;
-    items that share an id count as the last of them.  An empty benchmark gives empty arrays.
+    (1.0: word for word).  Null and empty texts hold nothing; items without words or without an id are
+    not looked for.  Items that share an id but not the text are looked for one by one; equal rows are
+    one item.  A text that holds an item more than once has it once, at its best place, the first of
+    those on a tie.  Repeated rows each have their row, an empty table gives none, an empty benchmark
+    gives empty arrays.  A column named ``__hits`` gives way; others stay, whatever their names.
     """
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
-    out, parts = docs, []
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "__hits"]
+    out, parts = docs.select(F.struct(*keep).alias("row"), "text"), []
+    run = uuid.uuid4().hex
     for n, rows in enumerate(_blocks(benchmark)):
         block = spark.sparkContext.broadcast(rows)
-        name = f"__hits{n}"
+        name = f"hits{n}"
         parts.append(name)
 
-        def search(batches, block=block, name=name):
-            items = Items(block.value)
+        def search(batches, block=block, name=name, run=run):
+            items = _items(run + name, block)
             kind = pa.list_(pa.struct({"item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()}))
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -187,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
         schema = T.StructType([*out.schema.fields, T.StructField(name, T._parse_datatype_string(HITS))])
         out = out.mapInArrow(search, schema)
     empty = F.array().cast(HITS)
-    return out.select(*keep, (F.concat(*parts) if parts else empty).alias("__hits"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), (F.concat(*parts) if parts else empty).alias("__hits"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
