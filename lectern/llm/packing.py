@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.storage import materialize
 from lectern.llm.arrow import add_column
@@ -155,33 +156,60 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return reduce_by_dominance(left, capacity) + best_fit(left, capacity)
 
 
+class Spots:
+    """Where the pieces of each length go, by their rank among them: as many rows as patterns have places."""
+
+    def __init__(self, histogram: dict[int, int], base: dict[tuple[int, int], int], patterns: list[tuple[tuple[int, ...], int]]):
+        places, given, sequence = [], Counter(), 0
+        for lengths, many in patterns:
+            offset = 0
+            for length in lengths:
+                places.append((length, given[length], sequence, offset))
+                given[length] += many
+                offset += length
+            sequence += many
+        # Ranks of one length after another, shortest first: the start of each length in that order.
+        self.before = np.zeros(max(histogram, default=0) + 1, np.int64)
+        for length, total in zip(sorted(histogram), np.cumsum([0, *(histogram[x] for x in sorted(histogram))]).tolist(), strict=False):
+            self.before[length] = total
+        self.slices = np.zeros((len(self.before), SLICES), np.int64)
+        for (length, part), below in base.items():
+            self.slices[length, part] = below
+        length, first, self.sequence, self.offset = np.array(sorted(places), np.int64).reshape(-1, 4).T
+        self.first = self.before[length] + first
+
+    def of(self, length: np.ndarray, part: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """sequence_id and offset of the pieces with these places within a slice of their length."""
+        rank = self.before[length] + self.slices[length, part] + within
+        at = np.searchsorted(self.first, rank, "right") - 1
+        return self.sequence[at] + rank - self.first[at], self.offset[at]
+
+
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048) -> DataFrame:
     """Every piece with its sequence_id (from 0) and offset (tokens before it in the sequence).
 
     All rows of ``docs`` are packed, repeated ones too; only doc_id and text are read.  An empty table
     gives no rows.
     """
-    spark = docs.sparkSession
+    spark, kept = docs.sparkSession, ["doc_id", "piece", "start", "length", "ids_crc32"]
     cut = pieces(docs, tokenizer, capacity).withColumn("slice", F.pmod(F.xxhash64("ident", "piece"), F.lit(SLICES)).cast("int"))
     cut = materialize(cut, "pieces")
     counts = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))  # at most capacity * SLICES rows
     table = counts.collect()
     histogram: Counter = Counter()
-    base = []
+    base = {}
     for r in sorted(table):
-        base.append((r["length"], r["slice"], histogram[r["length"]]))
+        base[r["length"], r["slice"]] = histogram[r["length"]]
         histogram[r["length"]] += r["n"]
-    places, given, sequence = [], Counter(), 0
-    for lengths, many in plan(histogram, capacity):
-        offset = 0
-        for length in lengths:
-            places.append((length, given[length], given[length] + many, sequence, offset))
-            given[length] += many
-            offset += length
-        sequence += many
-    bases = spark.createDataFrame(base, "length long, slice int, before long")
-    spans = spark.createDataFrame(places, "length long, rank_from long, rank_to long, sequence_from long, offset long")
+    spots = spark.sparkContext.broadcast(Spots(histogram, base, plan(histogram, capacity)))
     within = F.row_number().over(Window.partitionBy("length", "slice").orderBy("ident", "piece")) - 1
-    ranked = cut.withColumn("within", within).join(F.broadcast(bases), ["length", "slice"]).withColumn("rank", F.col("within") + F.col("before"))
-    found = ranked.join(F.broadcast(spans), "length").where("rank >= rank_from and rank < rank_to")
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
+    ranked = cut.select(*kept, "slice", within.cast("long").alias("within"))
+    schema = T.StructType([*(ranked.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def place(batches):
+        for batch in batches:
+            length, part, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "slice", "within"))
+            found = [pa.array(x) for x in spots.value.of(length, part, rank)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *found], names=schema.names)
+
+    return ranked.mapInArrow(place, schema)
