@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import add_column
+from lectern.llm.text import identity
 
 #: Hashed features: byte n-grams of the lower-cased text, by n.
 GRAMS, BITS = (1, 2, 3), 14
-#: Labelled rows that the classifiers are fitted on, at most so many of each language.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+#: Labelled rows that the classifiers are fitted on: at most so many of each language and so many in
+#: all, but of no language fewer than LEAST.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST = 400, 8000, 8
 #: Passes of the fit, its step, and the weight that pulls coefficients to zero.
 PASSES, STEP, PULL = 300, 2.0, 1e-4
+#: Rows of the fit that are spread out over all features at a time.
+LOT = 2048
 AMBIGUOUS = 0.6
 
 
@@ -57,32 +61,52 @@ def codewords(k: int) -> np.ndarray:
 
 
 class Model:
-    """Languages, codewords, coefficients (feature x bit), intercepts, and the weight of each bit."""
+    """Languages, codewords, coefficients (feature x bit), intercepts, and the weight of each bit.
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
+    ``rows`` are (lang, numbers of the features of a text, their shares).
+    """
+
+    def __init__(self, rows: list[tuple[str, list[int], list[float]]]):
+        self.langs = sorted({lang for lang, _, _ in rows})
         self.codes = codewords(len(self.langs))
-        x = np.zeros((len(texts), 1 << BITS), np.float32)
-        for row, t in zip(x, texts, strict=True):
-            f = features(t)
-            row += np.bincount(f, minlength=len(row)) / max(len(f), 1)
+        bits = self.codes.shape[1]
+        self.coefficients, self.intercepts, self.weights = np.zeros((1 << BITS, bits), np.float32), np.zeros(bits, np.float32), np.zeros(bits)
+        if not bits:
+            return
+        sizes = np.array([len(f) for _, f, _ in rows])
+        flat, share = (np.concatenate([np.asarray(r[k]) for r in rows]) for k in (1, 2))
+        seen, flat = np.unique(flat, return_inverse=True)
         #: Rare features weigh as much as frequent ones.
-        self.scale = (1 / (np.sqrt((x**2).sum(axis=0) / max(len(x), 1)) + 1e-4)).astype(np.float32) / 30
-        x *= self.scale
-        y = self.codes[[self.langs.index(v) for v in langs]].astype(np.float32) if texts else np.zeros((0, self.codes.shape[1]), np.float32)
-        w, c = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-        for _ in range(PASSES if y.size else 0):
-            slope = -y / (1 + np.exp(np.clip(y * (x @ w + c), -30, 30))) / len(y)
-            w -= STEP * (x.T @ slope + PULL * w)
-            c -= STEP * slope.sum(axis=0)
-        self.coefficients, self.intercepts = w * self.scale[:, None], c
-        right = ((x @ w + c) * y > 0).mean(axis=0) if y.size else np.zeros(0)
+        scale = (1 / (np.sqrt(np.bincount(flat, share**2, len(seen)) / len(rows)) + 1e-4)).astype(np.float32) / 30
+        place = {lang: k for k, lang in enumerate(self.langs)}
+        y = self.codes[[place[lang] for lang, _, _ in rows]].astype(np.float32)
+        ends = np.cumsum(sizes)
+
+        def spread(at: int) -> np.ndarray:
+            inside = slice(ends[at] - sizes[at], ends[min(at + LOT, len(rows)) - 1])
+            x = np.zeros((min(LOT, len(rows) - at), len(seen)), np.float32)
+            x[np.repeat(np.arange(len(x)), sizes[at : at + LOT]), flat[inside]] = share[inside] * scale[flat[inside]]
+            return x
+
+        whole = spread(0) if len(rows) <= LOT else None
+        w, c = np.zeros((len(seen), bits), np.float32), np.zeros(bits, np.float32)
+        for _ in range(PASSES):
+            down, flatter = PULL * w, np.zeros(bits, np.float32)
+            for at in range(0, len(rows), LOT):
+                x, own = spread(at) if whole is None else whole, y[at : at + LOT]
+                slope = -own / (1 + np.exp(np.clip(own * (x @ w + c), -30, 30))) / len(rows)
+                down += x.T @ slope
+                flatter += slope.sum(axis=0)
+            w -= STEP * down
+            c -= STEP * flatter
+        right = sum(((spread(at) @ w + c) * y[at : at + LOT] > 0).sum(axis=0) for at in range(0, len(rows), LOT)) / len(rows)
+        self.coefficients[seen], self.intercepts = w * scale[:, None], c
         self.weights = np.log(np.clip(right, 0.55, 0.995) / (1 - np.clip(right, 0.55, 0.995)))
-        self.weights = self.weights / max(self.weights.sum(), 1e-9)
+        self.weights = self.weights / self.weights.sum()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is ambiguous; ``und`` for texts without a letter."""
-        if not has_letter(text) or not self.langs:
+        if not self.langs or not has_letter(text):
             return "und", 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
@@ -97,33 +121,44 @@ class Model:
         return self.langs[int(loss.argmin())], score, score < AMBIGUOUS
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that may teach: crc32 of doc_id as text modulo 3 is not 1, lang known, a text with a letter."""
-    return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    return rows.select("lang", "text", F.concat_ws(" ", identity(), F.xxhash64(F.lit(1), "text")).alias("ident"))
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+def shares(batches):
+    """lang, ident, numbers and shares of the features of each text."""
+    names = ["lang", "ident", "features", "shares"]
+    for batch in batches:
+        made = [np.unique(features(t), return_counts=True) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        columns = [pa.array([f for f, _ in made], pa.list_(pa.int32())), pa.array([(n / n.sum()).astype(np.float32) for _, n in made], pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names[:2]), *columns], names=names)
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from a bounded sample: rows of each language with the least hash of doc_id, whole texts.
+    """A model from a bounded sample: of every language the rows with the least hash, whole texts.
 
-    The sample has at most SAMPLE_PER_LANGUAGE rows of each of the MAX_LANGUAGES most frequent
-    languages.  Which rows they are is settled without their texts, and without gathering a language.
+    A language has SAMPLE_PER_LANGUAGE rows, or its part of SAMPLE_ROWS if that is less, but LEAST at
+    the least; no language is left out.  Rows alike in doc_id and text are one.  Which rows they are is
+    settled without their texts, and only counts of features reach the driver.
     """
-    names = training_rows(docs).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    counts = names.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * SAMPLE_PER_LANGUAGE / r["n"]))).otherwise(share)
-    # The least hashes of a language lie, but for a vanishing chance, in this share of the range.
-    low = names.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = low.withColumn("n", first).where(F.col("n") <= SAMPLE_PER_LANGUAGE).select("lang", "doc_id")
-    sample = training_rows(docs).join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("doc_id", "lang", "text")
-    rows = sorted(sample.limit(2 * SAMPLE_PER_LANGUAGE * max(len(counts), 1)).collect())
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = training_rows(docs)
+    names = rows.select("lang", "ident", F.pmod(F.xxhash64("ident"), F.lit(1 << 30)).alias("h"))
+    counts = names.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    each = max(LEAST, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(len(counts), 1)))
+    # The least hashes of a language lie, but for a vanishing chance, below this bound: a row for each language.
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (4 * each + 100) / r["n"]) * (1 << 30))) for r in counts], "lang string, bound long")
+    low = names.join(F.broadcast(bounds), "lang").where("h < bound").select("lang", "ident", "h").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "ident"))
+    ids = low.withColumn("n", first).where(F.col("n") <= each).select("lang", "ident")
+    sample = rows.join(F.broadcast(ids), ["lang", "ident"], "left_semi").dropDuplicates(["lang", "ident"])
+    found = sample.mapInArrow(shares, "lang string, ident string, features array<int>, shares array<float>").collect()
+    return Model([(r["lang"], r["features"], r["shares"]) for r in sorted(found, key=lambda r: (r["lang"], r["ident"]))])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
