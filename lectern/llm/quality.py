@@ -46,11 +46,11 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame) -> str | None:
-    """Log-likelihood ratio of each bucket in thousandths, target over raw, joined by commas; None without trusted texts.
+def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
+    """One row, ``weights``: the log-likelihood ratio of each bucket in thousandths, target over raw; None without trusted texts.
 
     One pass counts n-grams of all documents and, among them, of the trusted ones; a bucket counts one
-    more than it holds.  What leaves the tasks is at most a row for each bucket and task.
+    more than it holds.  What leaves a task is at most a row for each bucket.
     """
     marked = docs.join(trusted.where("target"), "doc_id", "left")
     tokens = marked.select(words(body()).alias("w"), F.coalesce("target", F.lit(False)).cast("int").alias("t"))
@@ -62,19 +62,22 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> str | None:
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     ratio = (F.coalesce("target", F.lit(0)) + 1) / F.lit(float(m + BUCKETS)) * F.lit(float(n + BUCKETS)) / (F.coalesce("raw", F.lit(0)) + 1)
     row = F.array_sort(F.collect_list(F.struct("bucket", F.round(1000 * F.log(ratio)).cast("int").alias("weight"))))
-    return every.agg(F.array_join(F.transform(row, lambda x: x["weight"].cast("string")), ",")).first()[0]
+    return materialize(every.agg(F.transform(row, lambda x: x["weight"]).alias("weights")), "weights")
 
 
-def likelihood(tokens: Column, weights: str) -> Column:
-    """struct(mean, low) of a text, whole thousandths; both null without words."""
-    table = F.split(F.lit(weights), ",").cast("array<int>")
-    weight = lambda bucket: F.get(table, bucket)
-    pair = lambda w, i: F.when(i + 1 < F.size(tokens), weight(_bucket(w, F.get(tokens, i + 1)))).otherwise(0)
-    own = F.transform(tokens, lambda w, i: F.struct(weight(_bucket(w)).alias("one"), pair(w, i).alias("two")))
-    total = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["one"] + x["two"])
-    n = F.size(own)
-    low = F.get(F.array_sort(F.transform(own, lambda x: x["one"])), F.least(n - 1, 1 + F.floor(n / WORDS_EACH).cast("int")))
-    return F.struct(F.when(n > 0, F.floor(F.try_divide(total, 2 * n - 1))).alias("mean"), F.when(n > 0, low).cast("long").alias("low"))
+def with_scores(rows: DataFrame, tokens: str, weights: DataFrame) -> DataFrame:
+    """``rows`` with ``score`` = struct(mean, low) of the words ``tokens``, whole thousandths; both null without words.
+
+    The weights are a scalar subquery, read once in a place of its own: a row never holds the table.
+    """
+    words_ = F.transform(tokens, _bucket)
+    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w, i: _bucket(w, F.get(tokens, i + 1)))
+    looked = rows.withColumns({"buckets": F.concat(words_, pairs), "table": weights.select("weights").scalar()})
+    each = looked.select(*rows.columns, F.transform("buckets", lambda b: F.get("table", b)).alias("each"))
+    n = F.size(tokens)
+    mean = F.floor(F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("each"))
+    low = F.get(F.sort_array(F.slice("each", 1, n)), F.least(n - 1, 1 + F.floor(n / WORDS_EACH).cast("int")))
+    return each.withColumn("score", F.struct(F.when(n > 0, mean).alias("mean"), F.when(n > 0, low).cast("long").alias("low"))).drop("each")
 
 
 def low_ends(scores: DataFrame) -> tuple[int, int] | None:
@@ -149,11 +152,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = base_counts(wrapped(docs).select("row", "text"))
     if weights is None:
         nothing = F.lit(None).cast("long")
-        score, good = F.struct(nothing.alias("mean"), nothing.alias("low")), F.lit(True)
+        d, good = d.withColumn("score", F.struct(nothing.alias("mean"), nothing.alias("low"))), F.lit(True)
     else:
         unseen = slim.join(trusted.where(~F.col("target")), "doc_id", "left_semi").select(words(body()).alias("w"))
-        ends = low_ends(unseen.where(F.size("w") >= MIN_WORDS).select(likelihood(F.col("w"), weights).alias("score")))
-        score = likelihood(F.col("words"), weights)
+        ends = low_ends(with_scores(unseen.where(F.size("w") >= MIN_WORDS), "w", weights).select("score"))
+        d = with_scores(d, "words", weights)
         good = F.lit(True) if ends is None else F.coalesce((F.col("score.mean") >= ends[0]) & (F.col("score.low") >= ends[1]), F.lit(False))
     verdict = F.struct("base.*", base_failed().alias("base_failed"), "score.mean", "score.low", (~base_failed() & good).alias("kept"))
-    return unwrapped(d.withColumn("score", score).withColumn("__quality", verdict), docs.columns, "__quality")
+    return unwrapped(d.withColumn("__quality", verdict), docs.columns, "__quality")

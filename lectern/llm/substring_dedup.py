@@ -199,12 +199,12 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     firsts = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "ident", "place")
     # A rank, as repeated rows of other batches have the same window in the same place: none is later than the other.
     later = whole.withColumn("n", F.dense_rank().over(firsts)).where("n > 1 or h2 < 0")
-    # Names decide between candidates only; what goes is told by doc_id as well.
-    lost = later.groupBy("ident", "doc_id").agg(F.collect_list("place").alias("lost"))
-    mine, its = named["doc_id"], lost["doc_id"]
-    # Not as one more key: the exchange of the texts by ident serves this join too.
-    same = ((mine >= its) & (mine <= its)) | (mine.isNull() & its.isNull())
-    return named.join(lost.hint("shuffle_hash"), (named["ident"] == lost["ident"]) & same, "left").select(named["ident"], named["doc_id"], "text", "lost")
+    # Names are 64 bits, and doc_id tells apart what shares one: where it is another's, nothing is lost.
+    # The exchange of the texts by name serves this join too.
+    lost = later.groupBy("ident").agg(F.collect_list("place").alias("lost"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    joined = with_texts(lost.select("ident", "low", "high", "lost"), "left")
+    own = F.col("low").isNull() | (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high"))
+    return joined.select("ident", "doc_id", "text", F.when(own, F.col("lost")).alias("lost"))
 
 
 def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:

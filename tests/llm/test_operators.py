@@ -339,7 +339,7 @@ def test_quality_trusts_all_trusted_documents(spark):
     trusted = {r["doc_id"]: r["target"] for r in quality.trusted_ids(labels).collect()}
     assert set(trusted) == {i for i in range(20_000) if i % 4} and 7000 < sum(trusted.values()) < 8000
     docs = spark.range(20_000).selectExpr("id as doc_id", "concat('w', id) as text")
-    weights = [*map(int, quality.bucket_weights(docs, quality.trusted_ids(labels)).split(","))]
+    weights = quality.bucket_weights(docs, quality.trusted_ids(labels)).first()["weights"]
     bucket = {i: spark_hash(f"w{i}") % quality.BUCKETS for i in range(20_000)}
     raw, target = collections.Counter(bucket.values()), collections.Counter(bucket[i] for i, t in trusted.items() if t)
     n, m = 20_000 + quality.BUCKETS, sum(trusted.values()) + quality.BUCKETS
