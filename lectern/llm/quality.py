@@ -70,9 +70,9 @@ def with_scores(rows: DataFrame, tokens: str, weights: DataFrame) -> DataFrame:
 
     The weights are a scalar subquery, read once in a place of its own: a row never holds the table.
     """
-    words_ = F.transform(tokens, _bucket)
+    ones = F.transform(tokens, lambda w: _bucket(w))
     pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w, i: _bucket(w, F.get(tokens, i + 1)))
-    looked = rows.withColumns({"buckets": F.concat(words_, pairs), "table": weights.select("weights").scalar()})
+    looked = rows.withColumns({"buckets": F.concat(ones, pairs), "table": weights.select("weights").scalar()})
     each = looked.select(*rows.columns, F.transform("buckets", lambda b: F.get("table", b)).alias("each"))
     n = F.size(tokens)
     mean = F.floor(F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("each"))
