@@ -1,178 +1,322 @@
-"""Documents into chunks: structure, sentences, semantic breakpoints, sizes and overlaps."""
+"""Documents into chunks: structure, sentences, semantic breakpoints, sizes and overlaps.
+
+The rules work on one document's text and its arrays, so they are column expressions without a
+shuffle; only where a model has to see every window of sentences are these rows of their own.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectern.functions.embedding import Embed, embed
+from lectern.functions.storage import materialize
+from lectern.functions.texts import strip
 from lectern.operators.retrieval import cosine
 
-#: Sizes of the chunking rules.
-TARGET, HARD_MAX, FAST_SENTENCES, MIN_BLOCK = 400, 2400, 1500, 1200
-PERCENTILE, MIN_DISTANCE = 0.9, 0.12
+#: Characters from which a chunk may end, and at which it ends; sentences of a document
+#: above which it is split by size; sentences and characters up to which a block stays whole.
+MIN_CHARS, TARGET_CHARS, FAST_SENTENCES, WHOLE_SENTENCES, WHOLE_CHARS = 400, 2400, 1500, 2, 1200
+#: The share of distances below a cut, the least distance of a cut, the fewest sentences of a chunk.
+PERCENTILE, MIN_DISTANCE, MIN_SENTENCES = 0.9, 0.12, 2
+#: The version that chunks carry, and the one of chunks split by size.
+VERSION, FAST_VERSION = "v2", "v2-fastpath"
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("M", "Mme", "Mlle", "Dr", "Pr", "art", "Art", "n°", "No", "Cf", "cf", "ex", "Ex", "p", "pp", "vs", "etc", "Etc")
-#: The words that lead a heading of depth 1 when a numeral follows.
-LEADERS = ("Article", "Section", "Chapitre", "Chapter", "Annexe", "Partie", "Titre")
-HEADING = rf"^(#{{1,6}})\s+\S|^(\d+(?:\.\d+){{0,4}})\.?\s+[A-ZÀ-ÖØ-Þ].{{0,200}}$|^(?:{'|'.join(LEADERS)})\s+[IVXLC0-9]+.{{0,200}}$"
+#: A heading line, by hashes, by number or by keyword.
+HEADING = r"^(?:(?:#{1,6}\s+.+)|(?:\d+(?:\.\d+){0,4}\.?\s+[A-ZÀ-ÖØ-Þ][^\n]{0,200})|(?:(?:Article|Section|Chapitre|Chapter|Annexe|Partie|Titre)\s+[IVXLC0-9]+[^\n]{0,200}))\s*$"
+#: Characters behind a piece in which its cut is looked for.
+CUT_WINDOW = 2000
+#: What parts a text for the plain splitter, the best first, and its sizes.
+SEPARATORS, PLAIN_SIZE, PLAIN_OVERLAP = ("\n\n", "\n", ". ", " "), 800, 120
+#: Characters that mark a heading's ends, and a guarded full stop, while a text is taken apart.
+HEAD, BODY, STOP = "\x02", "\x03", "\x01"
 
+STRINGS = "array<string>"
 
-def lines_of(docs: DataFrame, key: str = "source") -> DataFrame:
-    return docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
+def sections(text: Column) -> Column:
+    """struct(heading, depth, text) of what stands before the first heading (if anything) and of each heading.
 
-def heading_depth(line: Column) -> Column:
-    """1 for keyword headings, the number of hashes, or dots plus one; null if the line is no heading."""
-    stripped = F.trim(line)
-    hashes, number = F.regexp_extract(stripped, HEADING, 1), F.regexp_extract(stripped, HEADING, 2)
-    depth = F.when(hashes != "", F.length(hashes)).when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).otherwise(1)
-    return F.when(stripped.rlike(HEADING), depth)
+    A text without a heading is one section, none if it is blank.  Depth is the number of hashes, the
+    dots of the number plus one, or 1.  Bodies are stripped and may be empty.
+    """
+    clean = F.translate(F.coalesce(text, F.lit("")), HEAD + BODY, "")
+    parts = F.split(F.regexp_replace(clean, f"(?md){HEADING}", f"{HEAD}$0{BODY}"), HEAD, -1)
 
+    def section(part: Column) -> Column:
+        marked = F.instr(part, BODY) > 0
+        heading = strip(F.substring_index(part, BODY, 1))
+        hashes, number = F.regexp_extract(heading, r"^(#{1,6})\s", 1), F.regexp_extract(heading, r"^(\d+(?:\.\d+){0,4})", 1)
+        depth = F.when(hashes != "", F.length(hashes)).when(number != "", F.size(F.split(number, r"\."))).otherwise(1)
+        body = strip(F.when(marked, F.substring_index(part, BODY, -1)).otherwise(part))
+        return F.struct(F.when(marked, heading).alias("heading"), F.when(marked, depth).cast("int").alias("depth"), body.alias("text"))
 
-def structure_blocks(docs: DataFrame, key: str = "source") -> DataFrame:
-    """key, block, heading, depth, text: a block for each heading with a body, and for what stands before the first.
+    return F.filter(F.transform(parts, section), lambda s: s["heading"].isNotNull() | (s["text"] != ""))
 
-    A document without a heading is one block; blocks without a body go.
-    """
-    marked = lines_of(docs, key).withColumn("depth", heading_depth(F.col("line")))
-    block = F.sum(F.when(F.col("depth").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("line_no"))
-    rows = marked.withColumn("block", block)
-    body = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("line_no", "depth", "line"))), lambda x: x["depth"].isNull()), lambda x: x["line"])
-    heading = F.max(F.when(F.col("depth").isNotNull(), F.trim("line")))
-    found = rows.groupBy(key, "block").agg(heading.alias("heading"), F.max("depth").alias("depth"), F.trim(F.array_join(body, "\n")).alias("text"))
-    return found.where("text <> '' or heading is not null")
 
+def with_paths(found: Column) -> Column:
+    """struct(heading_path, text) of the sections with a body: the headings above, each less deep than the next."""
+    entry = "array<struct<depth:int,heading:string>>"
+    none = F.struct(F.array().cast(entry).alias("path"), F.array().cast("array<struct<heading_path:array<string>,text:string>>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        above = F.filter(state["path"], lambda h: h["depth"] < s["depth"])
+        path = F.when(s["heading"].isNull(), state["path"]).otherwise(F.array_append(above, F.struct(s["depth"].alias("depth"), s["heading"].alias("heading"))))
+        block = F.struct(F.transform(path, lambda h: h["heading"]).alias("heading_path"), s["text"].alias("text"))
+        return F.struct(path.alias("path"), F.when(s["text"] == "", state["out"]).otherwise(F.array_append(state["out"], block)).alias("out"))
 
-def heading_paths(blocks: DataFrame, key: str = "source") -> DataFrame:
-    """Blocks with ``heading_path``: the headings above, each less deep than the next; empty bodies go."""
-    entry = "struct<depth:int,heading:string>"
-    seen = F.collect_list(F.when(F.col("heading").isNotNull(), F.struct(F.col("depth").cast("int").alias("depth"), "heading"))).over(Window.partitionBy(key).orderBy("block"))
-    path = F.aggregate("__seen", F.array().cast(f"array<{entry}>"), lambda p, h: F.array_append(F.filter(p, lambda x: x["depth"] < h["depth"]), h))
-    with_path = blocks.withColumn("__seen", seen).withColumn("heading_path", F.transform(path, lambda h: h["heading"]))
-    return with_path.drop("__seen").where("text <> ''")
+    return F.aggregate(found, none, step, lambda s: s["out"])
+
+
+def structure_blocks(docs: DataFrame, key: str = "source") -> DataFrame:
+    """key, block, heading, depth, text: a row for each section."""
+    return docs.select(key, F.posexplode(sections(F.col("text"))).alias("block", "s")).select(key, "block", "s.*")
+
+
+def heading_paths(docs: DataFrame, key: str = "source") -> DataFrame:
+    """key, block, heading_path, text: a row for each section with a body, numbered among these."""
+    return docs.select(key, F.posexplode(with_paths(sections(F.col("text")))).alias("block", "s")).select(key, "block", "s.*")
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: they end at . ! ? before white space and a capital or digit, or at a blank line."""
-    guarded = text
-    for a in ABBREVIATIONS:
-        guarded = F.regexp_replace(guarded, f"(?<![\\p{{L}}\\p{{N}}_])({a})\\.\\s", "$1\u0001 ")
-    parts = F.split(guarded, "(?<=[.!?])\\s+(?=[A-ZÀ-ÖØ-Þ0-9])|\\n{2,}")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
+    guarded = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(ABBREVIATIONS)})\.\s", f"$1{STOP} ")
+    parts = F.split(guarded, r"(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ0-9])|\n{2,}", -1)
+    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(STOP), F.lit(".")))), lambda s: s != "")
+
+
+def windows(found: Column) -> Column:
+    """Each sentence with the next one as context."""
+    return F.transform(found, lambda s, i: F.concat_ws(" ", s, F.get(found, i + 1)))
 
 
-def sentence_windows(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """Each sentence with the next one of its block as context."""
-    return rows.withColumn("window", F.concat_ws(" ", "sentence", F.lead("sentence").over(Window.partitionBy(*keys).orderBy(order))))
+def distances(vectors: Column) -> Column:
+    """1 less the cosine of each vector and the next one; one fewer than there are vectors."""
+    n = F.greatest(F.size(vectors) - 1, F.lit(0))
+    return F.zip_with(F.slice(vectors, 1, n), F.slice(vectors, 2, n), lambda a, b: 1 - F.coalesce(cosine(a, b), F.lit(0.0)))
 
 
-def neighbour_distances(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """1 less the cosine of each vector and the next one; null at the end of a block."""
-    following = F.lead("embedding").over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("distance", F.when(following.isNotNull(), 1 - cosine(F.col("embedding"), following)))
+def percentile(values: Column, share: float) -> Column:
+    """The value that ``share`` of the sorted values lie below, between two of them in proportion; null without values."""
+    ordered = F.array_sort(values)
+    at = share * (F.size(values) - 1)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
 
 
-def breakpoints(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """Segments of a block: a cut follows a sentence once 400 characters have come and its distance is
-    at least the 90th percentile of the block (0.12 at least); the count starts anew after it.
+def breakpoints(found: Column, apart: Column) -> Column:
+    """Numbers of the sentences that begin a new chunk.
 
-    Adds ``segment`` (from 0).  The walk through a block is a fold over its ordered sentences.
+    A chunk of MIN_CHARS or more ends where the distance to the next sentence is among the block's
+    widest tenth (and MIN_DISTANCE at least), or where it has TARGET_CHARS.
     """
-    item = F.struct(F.col(order).alias("o"), F.length("sentence").alias("n"), F.col("distance").alias("d"))
-    blocks = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.percentile("distance", F.lit(PERCENTILE)).alias("p"))
-    limit = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(MIN_DISTANCE))
+    limit = F.greatest(percentile(apart, PERCENTILE), F.lit(MIN_DISTANCE))
+    steps = F.zip_with(F.slice(found, 1, F.size(apart)), apart, lambda s, d: F.struct(F.length(s).alias("n"), d.alias("d")))
 
-    def step(state, x):
-        total = state["total"] + x["n"]
-        cut = (total >= TARGET) & (F.coalesce(x["d"], F.lit(-1.0)) >= F.col("limit"))
-        return F.struct(F.when(cut, F.lit(0)).otherwise(total).alias("total"), (state["segment"] + cut.cast("int")).alias("segment"), F.array_append(state["out"], state["segment"]).alias("out"))
+    def step(state: Column, x: Column) -> Column:
+        total, at = state["total"] + x["n"], state["at"] + 1
+        cut = (total >= MIN_CHARS) & ((x["d"] >= state["limit"]) | (total >= TARGET_CHARS))
+        return F.struct(F.when(cut, 0).otherwise(total).alias("total"), at.alias("at"), state["limit"].alias("limit"), F.when(cut, F.array_append(state["out"], at)).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("segment"), F.array().cast("array<int>").alias("out"))
-    walked = blocks.withColumn("limit", limit).withColumn("segments", F.aggregate("items", start, step, lambda s: s["out"]))
-    flat = walked.select(*keys, F.explode(F.arrays_zip(F.transform("items", lambda x: x["o"]).alias("o"), F.col("segments").alias("s"))).alias("z"))
-    return rows.join(flat.select(*keys, F.col("z.o").alias(order), F.col("z.s").alias("segment")), [*keys, order])
+    # The limit rides along: inside the step it would be worked out for each sentence.
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("at"), limit.alias("limit"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
-def assemble(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """keys, chunk, text: segments joined, each led by the last sentence of the one before.
+def assembled(found: Column, begins: Column) -> Column:
+    """Chunks of the sentences between the breaks, each led by the last sentence before it.
 
-    A segment of one sentence goes to the chunk before it.
+    What has fewer than MIN_SENTENCES goes to the end of the chunk before it.
     """
-    size = F.count("*").over(Window.partitionBy(*keys, "segment"))
-    sized = rows.withColumn("lone", (size == 1) & (F.col("segment") > 0))
-    heads = F.sum(F.when((F.lag("segment").over(Window.partitionBy(*keys).orderBy(order)) != F.col("segment")) & ~F.col("lone"), 1).otherwise(0))
-    chunked = sized.withColumn("chunk", heads.over(Window.partitionBy(*keys).orderBy(order)))
-    last = chunked.groupBy(*keys, (F.col("chunk") + 1).alias("chunk")).agg(F.max_by("sentence", order).alias("overlap"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "sentence"))), lambda x: x["sentence"]), " ")
-    joined = chunked.groupBy(*keys, "chunk").agg(text.alias("body")).join(last, [*keys, "chunk"], "left")
-    return joined.select(*keys, "chunk", F.concat_ws(" ", "overlap", "body").alias("text"))
+    spans = F.zip_with(F.concat(F.array(F.lit(0)), begins), F.concat(begins, F.array(F.size(found))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def step(out: Column, x: Column) -> Column:
+        n = F.size(out)
+        own = F.array_join(F.slice(found, x["a"] + 1, x["b"] - x["a"]), " ")
+        tail = F.concat(F.slice(out, 1, n - 1), F.array(F.concat(F.get(out, n - 1), F.lit(" "), own)))
+        led = F.array_append(out, F.concat_ws(" ", F.when(n > 0, F.get(found, x["a"] - 1)), own))
+        return F.when((n > 0) & (x["b"] - x["a"] < MIN_SENTENCES), tail).otherwise(led)
+
+    return F.when(F.size(found) == 0, F.array().cast(STRINGS)).otherwise(F.aggregate(spans, F.array().cast(STRINGS), step))
 
 
-def size_split(text: Column, limit: int = HARD_MAX) -> Column:
+def size_split(text: Column, limit: int = TARGET_CHARS) -> Column:
     """Pieces of words; a piece ends with the word that brings its letters and spaces to the limit."""
     words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    none = F.array().cast(STRINGS)
 
-    def step(state, w):
+    def step(state: Column, w: Column) -> Column:
         total = state["total"] + F.length(w) + 1
-        full = total >= limit
-        piece = F.array_append(state["piece"], w)
-        none = F.array().cast("array<string>")
+        full, piece = total >= limit, F.array_append(state["piece"], w)
         return F.struct(
             F.when(full, F.lit(0)).otherwise(total).alias("total"),
             F.when(full, none).otherwise(piece).alias("piece"),
             F.when(full, F.array_append(state["out"], F.array_join(piece, " "))).otherwise(state["out"]).alias("out"),
         )
 
-    none = F.array().cast("array<string>")
     start = F.struct(F.lit(0).alias("total"), none.alias("piece"), none.alias("out"))
     return F.aggregate(words, start, step, lambda s: F.when(F.size(s["piece"]) > 0, F.array_append(s["out"], F.array_join(s["piece"], " "))).otherwise(s["out"]))
 
 
-def route(docs: DataFrame, key: str = "source") -> DataFrame:
-    """How each document is to be cut: by size (``v2-fastpath``) over 1500 sentences, whole if short, else by meaning."""
-    n = F.size(sentences(F.col("text")))
-    way = F.when(n > FAST_SENTENCES, "size").when((n <= 2) | (F.length("text") <= MIN_BLOCK), "whole").otherwise("semantic")
-    return docs.select(key, n.alias("n_sentences"), way.alias("way"), F.when(way == "size", "v2-fastpath").otherwise("v2").alias("chunker_version"))
+def routed_blocks(docs: DataFrame, *keys: str) -> DataFrame:
+    """keys, block, heading_path, text, sentences, way: the blocks of each document and how each is to be cut.
 
-
-def fixed_chunks(text: Column, size: int = 800, overlap: int = 120) -> Column:
-    """Pieces of ``size`` characters, each starting ``overlap`` before the end of the last one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.filter(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))), lambda p: p != "")
+    By ``size`` are all blocks of a document of more than FAST_SENTENCES; else a block stays ``whole`` if
+    it has two sentences or 1200 characters at most, and is cut by ``meaning`` if it has more.
+    """
+    found = docs.select(*keys, F.transform(with_paths(sections(F.col("text"))), lambda s: F.struct(s["heading_path"], s["text"], sentences(s["text"]).alias("sentences"))).alias("found"))
+    total = F.aggregate("found", F.lit(0), lambda n, s: n + F.size(s["sentences"]))
+    rows = found.select(*keys, total.alias("total"), F.posexplode("found").alias("block", "s")).select(*keys, "total", "block", "s.*")
+    whole = (F.size("sentences") <= WHOLE_SENTENCES) | (F.length("text") <= WHOLE_CHARS)
+    way = F.when(F.col("total") > FAST_SENTENCES, "size").when(whole, "whole").otherwise("meaning")
+    return rows.where(F.size("sentences") > 0).select(*keys, "block", "heading_path", "text", "sentences", way.alias("way"))
+
+
+def chunk_documents(docs: DataFrame, model: Embed | None = None) -> DataFrame:
+    """doc_id, source, chunk_id, chunk, page, heading_path, heading, chunker_version and text of every chunk.
+
+    ``docs`` has doc_id, source and text.  Blocks below headings are cut as :func:`routed_blocks` says;
+    by meaning where the vectors of neighbouring windows lie far apart.  ``model`` adds ``embedding``
+    to a table of windows; :func:`lectern.functions.embedding.embed` says what there is without one.
+    chunk_id holds a hash of the source, doc_id and the place in the document, so it is the same
+    whenever and with whatever else a document is cut.  Null and blank texts give no chunks; repeated rows
+    give repeated chunks.
+    """
+    keys = ["doc_id", "source", "copy"]
+    # Rows alike in doc_id and source are told apart while their windows are rows of their own.
+    named = docs.select("doc_id", "source", F.struct(F.xxhash64("text"), F.monotonically_increasing_id()).alias("copy"), "text")
+    blocks = materialize(routed_blocks(named, *keys), "blocks")
+    direct = blocks.where("way <> 'meaning'").select(*keys, "block", "heading_path", "way", F.when(F.col("way") == "size", size_split(F.col("text"))).otherwise(F.array("text")).alias("pieces"))
+    shown = blocks.where("way = 'meaning'").select(*keys, "block", "heading_path", F.posexplode(F.arrays_zip("sentences", windows(F.col("sentences")).alias("window"))).alias("pos", "z"))
+    vectors = embed(shown.select(*keys, "block", "heading_path", "pos", F.col("z.sentences").alias("sentence"), F.col("z.window").alias("window")), "window", model)
+    # A block has FAST_SENTENCES at most.
+    gathered = vectors.groupBy(*keys, "block").agg(F.first("heading_path").alias("heading_path"), F.array_sort(F.collect_list(F.struct("pos", "sentence", "embedding"))).alias("rows"))
+    split = gathered.select(*keys, "block", "heading_path", F.transform("rows", lambda r: r["sentence"]).alias("sentences"), distances(F.transform("rows", lambda r: r["embedding"])).alias("apart"))
+    broken = split.withColumn("begins", breakpoints(F.col("sentences"), F.col("apart")))
+    pieces = assembled(F.col("sentences"), F.col("begins"))
+    cut = direct.unionByName(broken.select(*keys, "block", "heading_path", F.lit("meaning").alias("way"), pieces.alias("pieces")))
+    rows = cut.select(*keys, "block", "heading_path", "way", F.posexplode("pieces").alias("piece", "text"))
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy("block", "piece")) - 1).cast("long")
+    numbered = rows.withColumn("chunk", place)
+    version = F.when(F.col("way") == "size", FAST_VERSION).otherwise(VERSION)
+    return numbered.select("doc_id", "source", chunk_id("source", "doc_id", F.col("chunk")).alias("chunk_id"), "chunk", F.lit(1).alias("page"), "heading_path", F.array_join("heading_path", " / ").alias("heading"), version.alias("chunker_version"), "text")
+
+
+def chunk_id(source: str, doc_id: str, place: Column, prefix: str = "") -> Column:
+    """A hash of the source, the document and the place in it."""
+    head = F.concat(F.lit(prefix), F.substring(F.md5(F.coalesce(F.col(source).cast("string"), F.lit("unknown"))), 1, 8))
+    return F.concat_ws("_", head, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), place)
+
+
+def plain_pieces(text: str, separators: tuple[str, ...] = SEPARATORS, size: int = PLAIN_SIZE, overlap: int = PLAIN_OVERLAP) -> list[str]:
+    """Pieces of ``size`` characters at most, cut at the best separator that a stretch has; each starts with what
+    the one before ends with, ``overlap`` characters at most."""
+    used = next((k for k, s in enumerate(separators) if s in text), len(separators))
+    mark, finer = (separators[used], separators[used + 1 :]) if used < len(separators) else ("", ())
+    # A separator stays with what follows it; without one every character is a part.
+    parts = [p for p in re.split(f"(?={re.escape(mark)})", text) if p] if mark else list(text)
+    out: list[str] = []
+    held: list[str] = []
+    total = 0
+
+    def close() -> None:
+        if piece := "".join(held).strip():
+            out.append(piece)
+
+    for part in parts:
+        if len(part) >= size and mark:
+            close()
+            held, total = [], 0
+            out += plain_pieces(part, finer, size, overlap) if finer or part != text else [part]
+            continue
+        if total + len(part) > size and held:
+            close()
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.pop(0))
+        held.append(part)
+        total += len(part)
+    close()
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def plain_chunks(text: pd.Series) -> pd.Series:
+    """:func:`plain_pieces` of each text; none of a null or blank one."""
+    return text.map(lambda t: plain_pieces(t) if t and t.strip() else [])
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place (from 0) of each row in its group; a group may be larger than any task.
+
+    Rows are ordered across all groups, counted in each part of that order, and led by the counts of
+    the parts before.
+    """
+    parted = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    dealt = materialize(parted.withColumn("part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(group, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select(F.col(group).alias("g"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order)) - 1
+    placed = dealt.withColumn("inside", inside).join(base, F.col(group).eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    return placed.select(*df.columns, (F.col("base") + F.col("inside")).alias(name))
 
 
-def stamp(chunks: DataFrame, key: str = "source", order: str = "chunk", prefix: str = "") -> DataFrame:
+def stamp(chunks: DataFrame, source: str = "source", order: str = "chunk", prefix: str = "") -> DataFrame:
     """chunk_id from the source's hash and the place among all its chunks."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    return chunks.withColumn("chunk_id", F.concat(F.lit(prefix), F.substring(F.md5(key), 1, 8), F.lit("_"), place))
+    placed = numbered(chunks, source, [order], "place")
+    return placed.select(*chunks.columns, F.concat(F.lit(prefix), F.substring(F.md5(source), 1, 8), F.lit("_"), "place").alias("chunk_id"))
 
 
 def long_splits(text: Column, size: int = 30_000, overlap: int = 2_000) -> Column:
-    """struct(start, piece) of overlapping pieces, cut at the last blank line, else line, else space among
-    the last ``overlap`` characters; the next piece starts ``overlap`` before the cut, but moves on."""
-    n = F.length(text)
-    last = lambda tail, mark: F.when(F.instr(tail, mark) > 0, F.length(tail) - F.locate(mark[::-1], F.reverse(tail)) - len(mark) + 2)
+    """Overlapping stripped pieces of the stripped text; blank ones go, a short text is one piece.
+
+    A piece is cut at the last blank line, else line, else space among its last CUT_WINDOW characters;
+    the next one starts ``overlap`` before the cut, but moves on.
+    """
+    whole = strip(F.coalesce(text, F.lit("")))
+    n = F.length(whole)
+    last = lambda tail, mark: F.when(F.instr(tail, mark) > 0, F.length(tail) - F.locate(mark, F.reverse(tail)) - len(mark) + 1)
 
-    def step(state, _):
+    def step(state: Column, _: Column) -> Column:
         start = state["start"]
         hard = F.least(start + size, n)
-        tail = F.substring(text, hard - overlap + 1, F.lit(overlap))
+        low = F.greatest(start + (size - CUT_WINDOW), start)
+        tail = F.substring(whole, low + 1, hard - low)
         cut = F.coalesce(last(tail, "\n\n"), last(tail, "\n"), last(tail, " "))
-        end = F.when(hard >= n, n).otherwise(F.when(cut > 1, hard - overlap + cut - 1).otherwise(hard))
-        piece = F.struct(start.alias("start"), F.substring(text, start + 1, end - start).alias("piece"))
+        end = F.when((hard < n) & (cut > 0), low + cut).otherwise(hard)
+        piece = strip(F.substring(whole, start + 1, end - start))
         after = F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1))
-        return F.when(start >= n, state).otherwise(F.struct(after.alias("start"), F.array_append(state["out"], piece).alias("out")))
+        more = F.when(piece == "", state["out"]).otherwise(F.array_append(state["out"], piece))
+        return F.when(start >= n, state).otherwise(F.struct(after.alias("start"), more.alias("out")))
+
+    least = max(1, size - min(size, CUT_WINDOW) - overlap + 1)
+    steps = F.sequence(F.lit(0), F.ceil(n / F.lit(least)).cast("int"))
+    start = F.struct(F.lit(0).alias("start"), F.array().cast(STRINGS).alias("out"))
+    walked = F.aggregate(steps, start, step, lambda s: s["out"])
+    return F.when(n <= size, F.array(whole)).otherwise(walked)
 
-    steps = F.sequence(F.lit(0), F.ceil(n / F.lit(size - 2 * overlap)).cast("int"))
-    start = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
-    return F.aggregate(steps, start, step, lambda s: s["out"])
 
+def paged_text(pages: DataFrame, limit: int = 180_000, marker: str = "\n\n[...document tronqué...]") -> DataFrame:
+    """Pages (source, page, text) of each source in one text, each under its number, stripped and cut at the limit.
 
-def paged_text(pages: DataFrame, limit: int = 180_000, marker: str = "\n[truncated]") -> DataFrame:
-    """Pages of each source in one text, each under its number, cut at the limit."""
-    page = F.struct("page", F.concat(F.lit("[page "), "page", F.lit("]\n"), "text").alias("t"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["t"]), "\n\n")
-    joined = pages.groupBy("source").agg(whole.alias("text"))
+    Only pages that begin before the limit are gathered: lengths are added up first, in parts of a source.
+    """
+    marked = pages.select("source", "page", F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    lot = F.floor(F.col("page") / 64)
+    sized = marked.select("source", "page", lot.alias("lot"), "t", (F.length("t") + 2).alias("n"))
+    lots = sized.groupBy("source", "lot").agg(F.sum("n").alias("n"))
+    running = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    base = lots.select("source", "lot", F.coalesce(F.sum("n").over(running("source").orderBy("lot")), F.lit(0)).alias("base"))
+    # White space that is stripped in the end may come before the limit, hence the second half of it.
+    near = sized.join(base.where(F.col("base") < 2 * limit), ["source", "lot"])
+    inside = near.withColumn("at", F.col("base") + F.coalesce(F.sum("n").over(running("source", "lot").orderBy("page")), F.lit(0))).where(F.col("at") < 2 * limit)
+    whole = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda p: p["t"]), "\n\n"))
+    joined = inside.groupBy("source").agg(whole.alias("text"))
     return joined.withColumn("text", F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit(marker))).otherwise(F.col("text")))
 
 

@@ -59,7 +59,7 @@ def effective_view(requirements: DataFrame, corrections: DataFrame) -> DataFrame
 def report_filter(requirements: DataFrame, status: str | None = None, categories: list[str] | None = None, text: str = "") -> DataFrame:
     kept = requirements if status is None else requirements.where(F.col("status") == status)
     kept = kept.where(F.col("category").isin(categories)) if categories else kept
-    return kept.where(F.contains(F.lower(F.concat_ws(" ", "id", "title")), F.lit(text.lower()))) if text else kept
+    return kept.where(F.contains(F.lower(F.concat_ws(" ", "id", "title", "description")), F.lit(text.lower()))) if text else kept
 
 
 def by_confidence(requirements: DataFrame) -> DataFrame:

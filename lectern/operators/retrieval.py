@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import clamp
+from lectern.functions.storage import materialize
 
 #: Fixed values of the scoring rules.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -21,38 +24,42 @@ def top(df: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("rank") < k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, corpus_pos, tf and the chunk's length in terms."""
-    listed = chunks.select("corpus_pos", tokens(F.col("text")).alias("t"))
-    each = listed.select("corpus_pos", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return each.groupBy("term", "corpus_pos", "length").agg(F.count("*").alias("tf"))
+def indexed(chunks: DataFrame) -> DataFrame:
+    """corpus_pos, length and terms of each chunk, worked out once and written to the shared folder."""
+    listed = chunks.select("corpus_pos", tokens(F.col("text")).alias("terms"))
+    return materialize(listed.select("corpus_pos", F.size("terms").alias("length"), "terms"), "terms")
 
 
-def corpus_size(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+def term_statistics(index: DataFrame) -> DataFrame:
+    """df and idf of each term of :func:`indexed` chunks; a negative idf becomes a quarter of the mean idf."""
+    df = materialize(index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    raw = df.withColumn("raw", F.ln((index.count() - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def term_statistics(chunks: DataFrame) -> DataFrame:
-    """df and idf of each term; a negative idf becomes a quarter of the mean idf."""
-    df = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("n")))).withColumn("raw", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+#: Terms of queries up to which they are sent to all tasks; more are joined by an exchange.
+SENT_TERMS = 1_000_000
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, corpus_pos, score, rank: the k best chunks of each query, scores not above 0 left out.
 
-    A repeated query term counts as often; ties keep the corpus order.  The postings meet only the
-    terms that queries have.
+    A repeated query term counts as often; ties keep the corpus order.  Only terms that queries have leave
+    the tasks that read the chunks' terms.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weights = asked.join(term_statistics(chunks), "term")
-    length = 1 - B + B * F.col("length") / F.col("avgdl")
+    index = indexed(chunks)
+    asked = materialize(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    terms = asked.select("term").distinct()
+    # A million terms are some tens of megabytes.
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    mean = index.agg(F.avg("length")).first()[0]
+    met = index.select("corpus_pos", "length", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+    counted = met.groupBy("term", "corpus_pos", "length").agg(F.count("*").alias("tf"))
+    weights = asked.join(term_statistics(index), "term")
+    length = 1 - B + B * F.col("length") / F.lit(mean)
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scored = postings(chunks).join(weights, "term").crossJoin(F.broadcast(corpus_size(chunks)))
-    scores = scored.groupBy("query_id", "corpus_pos").agg(F.round(F.sum(part), 9).alias("score"))
+    scores = counted.join(weights, "term").groupBy("query_id", "corpus_pos").agg(F.round(F.sum(part), 9).alias("score"))
     return top(scores, k, ["query_id"], F.desc("score"), F.asc("corpus_pos")).where("score > 0")
 
 
@@ -64,27 +71,75 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 2000) -> DataFrame:
-    """query_id, chunk_pos, score, rank: the k nearest vectors of each query by cosine.
-
-    Queries meet all vectors in blocks of about ``block``, each broadcast; a task keeps k rows a query.
+def _nearest(held, k: int, grouped: bool, names: list[str]):
+    """A task's k nearest vectors of each query (and group), batch by batch by one matrix product."""
+
+    def best(score: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each row, ties to the lesser place; nothing is -inf."""
+        order = np.lexsort((place, -score), axis=1)[:, :k]
+        return np.take_along_axis(score, order, 1), np.take_along_axis(place, order, 1)
+
+    def run(batches):
+        ids, asked, own = held.value
+        kept: dict = {}
+        for batch in batches:
+            column = batch.column(1)
+            vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+            place = batch.column(0).to_numpy()
+            groups = np.array(batch.column(2).to_pylist(), object) if grouped else np.zeros(len(place), object)
+            size = (vectors * vectors).sum(axis=1)
+            for group in dict.fromkeys(groups.tolist()):
+                at = groups == group
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round((asked @ vectors[at].T) / np.sqrt(np.outer(own, size[at])), 6)
+                score[~np.isfinite(score)] = -np.inf
+                if score.shape[1] > 4 * k:  # what is below the k-th can't be among the best
+                    low = np.partition(score, -k, axis=1)[:, [-k]]
+                    wide = int((score >= low).sum(axis=1).max())
+                    few = np.argsort(-score, axis=1, kind="stable")[:, :wide]
+                    score, found = np.take_along_axis(score, few, 1), place[at][few]
+                else:
+                    found = np.broadcast_to(place[at], score.shape)
+                if group in kept:
+                    score, found = np.hstack([kept[group][0], score]), np.hstack([kept[group][1], found])
+                kept[group] = best(score, found)
+        for group, (score, place) in kept.items():
+            there = score > -np.inf
+            columns = [ids.take(pa.array(np.nonzero(there)[0])), pa.array(place[there]), pa.array(score[there])]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array([group] * len(columns[0]), pa.string())] if grouped else []), names=names)
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, by: str | None = None, block: int = 50_000) -> DataFrame:
+    """query_id, chunk_pos, score, rank: the k nearest vectors of each query by cosine, of each value of ``by`` if named.
+
+    Vectors are read once for every ``block`` queries, which go to all tasks as one matrix; a task keeps k
+    rows for each.  Vectors that are null, of another length or all zeros are never near.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    groups = [by] if by else []
+    names = ["query_id", "chunk_pos", "score", *groups]
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_pos {dict(vectors.dtypes)['chunk_pos']}, score double" + "".join(f", {g} string" for g in groups)
     blocks = max(1, -(-asked.count() // block))
     out = None
     for n in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        scored = vectors.crossJoin(F.broadcast(own)).select("query_id", "chunk_pos", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        found = top(scored, k, ["query_id"], F.desc("score"), F.asc("chunk_pos"))
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
+        size = max((len(r["q"]) for r in rows), default=0)
+        rows = [r for r in rows if len(r["q"]) == size]
+        matrix = np.array([r["q"] for r in rows]).reshape(len(rows), size)
+        held = vectors.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows]), matrix, (matrix * matrix).sum(axis=1)))
+        fitting = vectors.where(F.size("embedding") == size).select("chunk_pos", "embedding", *groups)
+        found = top(fitting.mapInArrow(_nearest(held, k, bool(by), names), schema), k, ["query_id", *groups], F.desc("score"), F.asc("chunk_pos"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def dense_union(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """k from the private collection and k from the shared one in one list."""
-    both = [dense(vectors.where(F.col("collection") == c), queries, k).withColumn("scope", F.lit(c)) for c in ("private", "knowledge_base")]
+    both = dense(vectors.where(F.col("collection").isin("private", "knowledge_base")), queries, k, "collection").withColumnRenamed("collection", "scope")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_pos")) - 1
-    return both[0].unionByName(both[1]).withColumn("rank", rank)
+    return both.withColumn("rank", rank)
 
 
 def fuse(lists: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
@@ -149,11 +204,11 @@ def context_block(hits: DataFrame, *keys: str) -> DataFrame:
 
 
 def two_block_context(hits: DataFrame) -> DataFrame:
-    """A private and a shared block, either left out if empty."""
+    """A private and a shared block, either left out if empty, and which of them are there."""
     by = context_block(hits, "query_id", "scope")
     own = F.max(F.when(F.col("scope") == "private", F.concat(F.lit("### PRIVATE\n"), "context")))
     shared = F.max(F.when(F.col("scope") == "knowledge_base", F.concat(F.lit("### PUBLIC\n"), "context")))
-    return by.groupBy("query_id").agg(F.concat_ws("\n\n", own, shared).alias("context"))
+    return by.groupBy("query_id").agg(F.concat_ws("\n\n", own, shared).alias("context"), own.isNotNull().alias("has_private"), shared.isNotNull().alias("has_kb"))
 
 
 def citations(hits: DataFrame) -> DataFrame:
@@ -170,6 +225,12 @@ def tenant_collection(user: Column) -> Column:
     return F.left(F.concat(F.lit("rag_"), F.lower(F.regexp_replace(user, "[^a-zA-Z0-9]", "_"))), F.lit(40))
 
 
+def visible_chunks(users: DataFrame, chunks: DataFrame, shared: str = "knowledge_base") -> DataFrame:
+    """user and chunk_id of what each user (user, collection) may see: own rows and shared ones, no other tenant's."""
+    seen = users.select("user", F.explode(F.array("collection", F.lit(shared))).alias("collection")).distinct()
+    return seen.join(chunks.select("collection", "chunk_id"), "collection").select("user", "chunk_id", "collection")
+
+
 def answered(queries: DataFrame, hits: DataFrame, message: str) -> DataFrame:
     """Every query with its number of hits, and the message where there are none."""
     counts = hits.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -186,14 +247,28 @@ def history_window(messages: DataFrame, max_turns: int = 10, max_chars: int = 20
     return last.select("conv_id", "turn", "role", text.alias("text"), place.alias("place"))
 
 
-def prompt_messages(contexts: DataFrame, queries: DataFrame, history: DataFrame) -> DataFrame:
-    """query_id and the messages for a model: the system's with the context, the history, the question."""
+#: What the system's message asks for, by the blocks that the context has.
+STRUCTURE = {
+    "both": "Answer in two sections, private documents first, then public sources; don't mix them.",
+    "private": "Answer in one section, from the private documents alone.",
+    "public": "Answer in one section, from the public sources alone.",
+}
+
+
+def prompt_messages(contexts: DataFrame, queries: DataFrame, history: DataFrame, structure: dict[str, str] | None = None) -> DataFrame:
+    """query_id and the messages for a model: the system's by what the context has, with the context, the history, the question.
+
+    ``contexts`` are those of :func:`two_block_context`; ``structure`` has the texts for both, private and public.
+    """
+    asks = structure or STRUCTURE
     past = history.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", F.col("text").alias("content")))).alias("h"))
     joined = queries.join(contexts, "query_id", "left").join(past, "conv_id", "left")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     none = F.array().cast("array<struct<role:string,content:string>>")
     said = F.coalesce(F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), none)
-    system = message("system", F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit(""))))
+    own = F.coalesce("has_private", F.lit(False))
+    asked = F.when(own & F.col("has_kb"), asks["both"]).when(own, asks["private"]).otherwise(asks["public"])
+    system = message("system", F.concat(asked, F.lit("\nContext:\n"), F.coalesce("context", F.lit(""))))
     return joined.select("query_id", F.concat(F.array(system), said, F.array(message("user", F.col("text")))).alias("messages"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.scores import content_key, coverage, percent, weight_of
+from lectern.functions.scores import content_key, coverage, weight_of
+from lectern.functions.texts import strip
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -36,9 +37,11 @@ def owned_analyses(analyses: DataFrame, cdcs: DataFrame, clients: DataFrame) ->
     return analyses.join(owner, "cdc_id")
 
 
-def analysis_status(cdcs: DataFrame, analyses: DataFrame, version: str) -> DataFrame:
-    last = latest_analyses(analyses).select(F.col("cdc_id").alias("id"), F.col("id").alias("analysis_id"), "version")
-    status = F.when(F.col("analysis_id").isNull(), "brouillon").when(F.col("version") != version, "périmé").otherwise("analysé")
+def analysis_status(cdcs: DataFrame, analyses: DataFrame, version: str, fingerprint: str) -> DataFrame:
+    """Whether the latest analysis is there, and still of the version and the corpus of now."""
+    last = latest_analyses(analyses).select(F.col("cdc_id").alias("id"), F.col("id").alias("analysis_id"), "version", "fingerprint")
+    old = (F.coalesce("version", F.lit("")) != version) | (F.coalesce("fingerprint", F.lit("")) != fingerprint)
+    status = F.when(F.col("analysis_id").isNull(), "brouillon").when(old, "périmé").otherwise("analysé")
     return cdcs.join(last, "id", "left").select("id", status.alias("status"))
 
 
@@ -58,7 +61,7 @@ def upsert_votes(votes: DataFrame) -> DataFrame:
 def upsert_corrections(corrections: DataFrame) -> DataFrame:
     """Corrections by user and content; a blank answer or an unknown verdict is turned away."""
     valid = corrections.where(F.col("verdict").isin("covered", "partial", "missing") & (F.trim("answer") != ""))
-    keyed = valid.withColumn("content_key", content_key(F.col("category"), F.lit(None).cast("string"), F.col("title"))).withColumn("answer", F.left("answer", F.lit(8000)))
+    keyed = valid.withColumn("content_key", content_key(F.col("category"), F.col("subdomain"), F.col("title"))).withColumn("answer", F.left("answer", F.lit(8000)))
     last = latest(keyed, ["user_id", "content_key"], F.desc("analysis_id"), F.desc("requirement_id"))
     return last.withColumn("id", F.substring(F.sha1(F.concat_ws("|", F.lit("corr"), "analysis_id", "requirement_id", "user_id")), 1, 16))
 
@@ -91,10 +94,18 @@ def corrected_coverage(requirements: DataFrame, votes: DataFrame) -> DataFrame:
     return each.groupBy("analysis_id").agg(F.count("*").alias("total"), F.round(100 * F.sum("value") / F.count("*"), 1).alias("corrected"))
 
 
-def source_boosts(votes: DataFrame, requirements: DataFrame, owners: DataFrame) -> DataFrame:
-    """Factor of each source that a user's own up-voted requirements cite: 0.1 more a citation, 1.5 at most."""
-    mine = votes.where("vote = 'up'").join(owners.select("analysis_id", "user_id"), ["analysis_id", "user_id"], "left_semi")
-    cited = mine.join(requirements.select("analysis_id", F.col("id").alias("requirement_id"), F.lower(F.trim("source")).alias("source")), ["analysis_id", "requirement_id"])
+def owners(cdcs: DataFrame, clients: DataFrame) -> DataFrame:
+    """analysis_id and user_id where an analysis is named like its specification."""
+    return cdcs.select(F.col("id").alias("analysis_id"), "client_id").join(clients.select(F.col("id").alias("client_id"), "user_id"), "client_id").select("analysis_id", "user_id")
+
+
+def source_boosts(votes: DataFrame, sources: DataFrame, owned: DataFrame) -> DataFrame:
+    """Factor of each source that a user's own up-voted requirements cite: 0.1 more a citation, 1.5 at most.
+
+    ``sources`` has a row for each source of each requirement (analysis_id, requirement_id, source).
+    """
+    mine = votes.where("vote = 'up'").join(owned.select("analysis_id", "user_id"), ["analysis_id", "user_id"], "left_semi")
+    cited = mine.join(sources.select("analysis_id", "requirement_id", F.lower(strip(F.col("source"))).alias("source")), ["analysis_id", "requirement_id"])
     counts = cited.where("source <> ''").groupBy("user_id", "source").agg(F.count("*").alias("n"))
     return counts.withColumn("factor", F.round(F.least(1 + 0.1 * F.col("n"), F.lit(1.5)), 4))
 
@@ -103,12 +114,41 @@ def latest_corrections(corrections: DataFrame) -> DataFrame:
     return latest(corrections, ["user_id", "content_key"], F.desc("analysis_id"), F.desc("requirement_id"))
 
 
-def feedback_export(requirements: DataFrame, votes: DataFrame) -> DataFrame:
-    """Every requirement with the latest vote of any user, as text cells."""
-    last = latest(votes, ["analysis_id", "requirement_id"], F.desc("updated_at"), F.desc("id")).select("analysis_id", F.col("requirement_id").alias("id"), "vote", "comment")
-    cell = F.format_string("%s p.%d (%.3f)", "source", "page", "confidence")
-    cited = F.when(F.length(cell) > 500, F.concat(F.left(cell, F.lit(500)), F.lit("…"))).otherwise(cell)
-    return requirements.join(last, ["analysis_id", "id"], "left").select("analysis_id", "id", "title", "category", "status", F.format_string("%.3f", "confidence").alias("confidence"), cited.alias("sources"), F.coalesce("vote", F.lit("")).alias("vote"), F.coalesce("comment", F.lit("")).alias("comment"))
+#: The columns of the feedback export, and characters of its long cells.
+EXPORT = ("analysis_id", "cdc_filename", "requirement_id", "requirement_title", "domain", "subdomain", "priority", "status", "confidence", "verdict", "evidence_concatenated", "sources_concatenated", "vote", "comment", "voted_at", "voted_by")
+CELL = 500
+
+
+def short(text: Column, limit: int = CELL) -> Column:
+    """The text, or its beginning and an ellipsis that fill the limit."""
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
+
+
+def _in_order(value: Column) -> Column:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("value")))), lambda x: x["value"])
+    return short(F.array_join(F.filter(ordered, lambda x: x != ""), " | "))
+
+
+def feedback_export(requirements: DataFrame, votes: DataFrame, files: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every requirement with the latest vote of any user: sixteen text cells, empty where there is nothing.
+
+    ``files`` has analysis_id and filename; ``evidence`` and ``sources`` a row for each piece of a requirement.
+    """
+    key = ["analysis_id", "requirement_id"]
+    last = latest(votes, key, F.desc("updated_at"), F.desc("id")).select(*key, "vote", "comment", F.col("updated_at").cast("string").alias("voted_at"), F.col("user_id").cast("string").alias("voted_by"))
+    quotes = evidence.groupBy(*key).agg(_in_order(strip(F.col("quote"))).alias("evidence_concatenated"))
+    page = F.when(F.coalesce(F.col("page").cast("string"), F.lit("")).isin("", "?"), "").otherwise(F.concat(F.lit(" p."), F.col("page").cast("string")))
+    score = F.when(F.col("score").isNull(), "").otherwise(F.format_string(" (%.3f)", "score"))
+    cited = sources.groupBy(*key).agg(_in_order(F.concat(strip(F.coalesce(F.nullif("source", F.lit("")), F.lit("?"))), page, score)).alias("sources_concatenated"))
+    named = requirements.withColumnRenamed("id", "requirement_id").withColumns({
+        "requirement_title": F.col("title"),
+        "domain": F.coalesce(F.nullif("category", F.lit("")), F.lit("Autre")),
+        "confidence": F.when(F.col("confidence").isNotNull(), F.format_string("%.3f", "confidence")),
+    })
+    joined = named.join(files.select("analysis_id", F.col("filename").alias("cdc_filename")), "analysis_id", "left")
+    for more in (quotes, cited, last):
+        joined = joined.join(more, key, "left")
+    return joined.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORT))
 
 
 def down_voted(votes: DataFrame) -> DataFrame:
@@ -122,23 +162,42 @@ def cascade_delete(clients: DataFrame, cdcs: DataFrame, analyses: DataFrame, gon
     return without(clients, gone, ["id"]), without(cdcs, lost_cdcs, ["id"]), analyses.join(lost, "cdc_id", "left_anti")
 
 
-def conversations_with_counts(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"))
+def conversations_with_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Conversations of each user with how many messages they have, also none, the latest first."""
+    counts = messages.groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"))
+    listed = conversations.join(counts, "id", "left").select("user_id", "id", "title", "updated_at", F.coalesce("n", F.lit(0)).alias("message_count"))
+    return listed.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "id")))
+
+
+SOURCES = "array<struct<source:string,page:string,url:string,scope:string>>"
 
 
 def messages_with_feedback(messages: DataFrame, ratings: DataFrame) -> DataFrame:
-    return messages.join(ratings.select("conv_id", "turn", "rating"), ["conv_id", "turn"], "left")
+    """Messages with their sources, none where their JSON is missing or broken, and the rating that stands."""
+    sources = F.coalesce(F.from_json("sources_json", SOURCES), F.array().cast(SOURCES))
+    parsed = messages.withColumn("sources", F.filter(sources, lambda s: s.isNotNull())).drop("sources_json")
+    return parsed.join(ratings.select("conv_id", "turn", "rating"), ["conv_id", "turn"], "left")
 
 
 def upsert_ratings(ratings: DataFrame, messages: DataFrame) -> DataFrame:
-    """Ratings of +1 and -1 of messages that exist; one for each message and user."""
+    """The last rating of +1 or -1 of each message and user, of messages that exist; others are turned away."""
     valid = ratings.where(F.col("rating").isin(1, -1)).join(messages.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
-    return valid.groupBy("conv_id", "turn", "user_id").agg(F.max("rating").alias("rating"))
+    return valid.groupBy("conv_id", "turn", "user_id").agg(F.max_by("rating", F.struct("rated_at", "rating")).alias("rating"))
+
+
+def clear_ratings(ratings: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Ratings without those that their users took back (conv_id, turn, user_id)."""
+    return without(ratings, cleared, ["conv_id", "turn", "user_id"])
 
 
-def conversation_export(messages: DataFrame) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return messages.groupBy("conv_id").agg(lines.alias("messages"))
+def conversation_export(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """id and ``document``: a conversation and its messages in order as one JSON text."""
+    sources = F.coalesce(F.from_json("sources_json", SOURCES), F.array().cast(SOURCES))
+    line = F.struct("turn", "role", F.col("text").alias("content"), F.filter(sources, lambda s: s.isNotNull()).alias("sources"))
+    said = messages.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("messages"))
+    joined = conversations.join(said, "id", "left")
+    none = F.array().cast(f"array<struct<turn:bigint,role:string,content:string,sources:{SOURCES}>>")
+    return joined.select("id", F.to_json(F.struct("id", "user_id", "title", "updated_at", F.coalesce("messages", none).alias("messages"))).alias("document"))
 
 
 def job_history(jobs: DataFrame, source: int | None, statuses: list[str], limit: int, offset: int) -> DataFrame:

@@ -2,78 +2,129 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking as C
 from lectern.plans.registry import query
 
+#: Letters whose counts stand in for a model's vector in the test data: both engines count them exactly.
+LETTERS = "eanistrould"
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 #: The documents with every sixth line a heading and every third after those a subheading.
-STRUCTURED = """sd as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when (i - 1) % 6 = 0 then '# ' when (i - 1) % 6 = 3 then '## ' else '' end || x), chr(10)) text from documents),
-  ln as (select doc_id, generate_subscripts(l, 1) no, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from sd)),
-  mk as (select *, regexp_matches(trim(line), '^(#{1,6})\\s+\\S') h from ln), bl as (select *, sum(h::int) over (partition by doc_id order by no) block from mk),
-  blocks as (select doc_id, cast(block as bigint) block, max(case when h then trim(line) end) heading, max(case when h then len(regexp_extract(trim(line), '^#+')) end)::int depth,
-    trim(coalesce(string_agg(line, chr(10) order by no) filter (where not h), '')) text from bl group by 1, 2)"""
-
-
-def structured(v):
+STRUCTURED = """sd as (select doc_id, source, array_to_string(list_transform(string_split(text, chr(10)),
+    lambda x, i: case when (i - 1) % 6 = 0 then '# ' when (i - 1) % 6 = 3 then '## ' else '' end || x), chr(10)) text from documents)"""
+PLAIN = "sd as (select doc_id, source, text from documents)"
+SECTIONS = f"""pt as (select doc_id, source, generate_subscripts(p, 1) - 1 no, unnest(p) part
+    from (select doc_id, source, string_split(regexp_replace(coalesce(text, ''), '(?m){C.HEADING}', chr(2) || '\\0' || chr(3), 'g'), chr(2)) p from sd)),
+  sc as (select doc_id, source, no, case when contains(part, chr(3)) then trim(split_part(part, chr(3), 1), {WS}) end heading,
+    trim(case when contains(part, chr(3)) then split_part(part, chr(3), 2) else part end, {WS}) body from pt),
+  sn as (select doc_id, source, row_number() over (partition by doc_id, source order by no) - 1 no, heading, body as text,
+    case when heading is null then null when regexp_matches(heading, '^#{{1,6}}\\s') then len(regexp_extract(heading, '^#+'))
+      when regexp_matches(heading, '^\\d') then len(string_split(regexp_extract(heading, '^\\d+(?:\\.\\d+){{0,4}}'), '.')) else 1 end::int depth
+    from sc where heading is not null or body <> '')"""
+#: Of each section with a body: the headings that it lies below, as far as the next one of the same or a higher rank.
+PATHS = """nx as (select a.doc_id, a.source, a.no, any_value(a.heading) heading, min(b.no) until from sn a left join sn b
+    on b.doc_id = a.doc_id and b.source = a.source and b.no > a.no and b.depth <= a.depth where a.heading is not null group by 1, 2, 3),
+  bl as (select doc_id, source, no, row_number() over (partition by doc_id, source order by no) - 1 block, text from sn where text <> ''),
+  ph as (select bl.doc_id, bl.source, bl.block, coalesce(string_agg(nx.heading, ' / ' order by nx.no), '') path from bl left join nx
+    on nx.doc_id = bl.doc_id and nx.source = bl.source and nx.no <= bl.no and (nx.until is null or nx.until > bl.no) group by 1, 2, 3)"""
+# Twice, as two neighbouring abbreviations share the character between them.
+GUARDED = f"trim(coalesce(text, ''), {WS})"
+for _ in range(2):
+    GUARDED = f"regexp_replace({GUARDED}, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(C.ABBREVIATIONS)})\\.\\s', '\\1\\2' || chr(1) || ' ', 'g')"
+CUT = f"regexp_replace(regexp_replace({GUARDED}, '([.!?])\\s+([A-ZÀ-ÖØ-Þ0-9])', '\\1' || chr(2) || '\\2', 'g'), '\\n{{2,}}', chr(2), 'g')"
+SENTENCES = f"list_filter(list_transform(string_split({CUT}, chr(2)), lambda s: trim(replace(s, chr(1), '.'), {WS})), lambda s: s <> '')"
+VECTOR = "[" + ", ".join(f"(length(w) - length(replace(w, '{x}', '')))::double" for x in LETTERS) + "]"
+#: Blocks with their sentences and ways; windows of those cut by meaning with their distances; the walk along them.
+WALK = f"""st as (select *, {SENTENCES} s from bl), rt as (select *, sum(len(s)) over (partition by doc_id, source) total from st),
+  wy as (select *, case when total > 1500 then 'size' when len(s) <= 2 or length(text) <= 1200 then 'whole' else 'meaning' end way from rt where len(s) > 0),
+  sx as (select doc_id, source, block, generate_subscripts(s, 1) - 1 i, unnest(s) sentence from wy where way = 'meaning'),
+  wn as (select *, concat_ws(' ', sentence, lead(sentence) over p) w from sx window p as (partition by doc_id, source, block order by i)),
+  vc as (select doc_id, source, block, i, sentence, {VECTOR} v from wn),
+  nv as (select *, lead(v) over (partition by doc_id, source, block order by i) n from vc),
+  ds as (select doc_id, source, block, i, sentence, 1 - coalesce(list_dot_product(v, n) / nullif(sqrt(list_dot_product(v, v) * list_dot_product(n, n)), 0), 0) d from nv where n is not null),
+  lm as (select doc_id, source, block, list_sort(list(d)) o, 0.9::double * (count(*) - 1) a from ds group by all),
+  lt as (select doc_id, source, block, greatest(o[floor(a)::int + 1] + (o[ceil(a)::int + 1] - o[floor(a)::int + 1]) * (a - floor(a)), 0.12) lim from lm),
+  fr as (select ds.*, length(sentence) n, d >= lim far from ds join lt using (doc_id, source, block)),
+  wk as (select doc_id, source, block, i, n total, n >= 400 and (far or n >= 2400) cut from fr where i = 0
+    union all select f.doc_id, f.source, f.block, f.i, case when k.cut then 0 else k.total end + f.n,
+      case when k.cut then 0 else k.total end + f.n >= 400 and (far or case when k.cut then 0 else k.total end + f.n >= 2400)
+      from wk k join fr f on f.doc_id = k.doc_id and f.source = k.source and f.block = k.block and f.i = k.i + 1),
+  sg as (select sx.*, coalesce(sum(wk.cut::int) over (partition by sx.doc_id, sx.source, sx.block order by sx.i rows between unbounded preceding and 1 preceding), 0) seg
+    from sx left join wk using (doc_id, source, block, i)),
+  ch as (select *, sum(case when i = first_i and (seg = 0 or size > 1) then 1 else 0 end) over (partition by doc_id, source, block order by i) - 1 chunk
+    from (select *, min(i) over g first_i, count(*) over g size from sg window g as (partition by doc_id, source, block, seg))),
+  bd as (select doc_id, source, block, chunk, min(i) - any_value(case when chunk > 0 then 1 else 0 end) a, max(i) b from ch group by 1, 2, 3, 4),
+  cx as (select bd.doc_id, bd.source, bd.block, bd.chunk piece, string_agg(sentence, ' ' order by i) text from bd join sx
+    on sx.doc_id = bd.doc_id and sx.source = bd.source and sx.block = bd.block and i between a and b group by 1, 2, 3, 4)"""
+CHUNKS = """al as (select doc_id, source, block, piece, text from cx union all select doc_id, source, block, 0, text from wy where way = 'whole'),
+  nm as (select *, row_number() over (partition by doc_id, source order by block, piece) - 1 chunk from al)
+  select doc_id, concat_ws('_', substr(md5(source), 1, 8), doc_id, chunk) chunk_id, chunk, path heading, 'v2' chunker_version, md5(text) digest from nm join ph using (doc_id, source, block)"""
+
+
+def chunks_sql(documents: str) -> str:
+    """The chunks of ``documents`` (CTE ``sd``) of 1500 sentences at most, told by joins and one recursion."""
+    return f"with recursive {documents}, {SECTIONS}, {PATHS}, {WALK}, {CHUNKS}"
+
+
+def structured(v) -> DataFrame:
     mark = lambda x, i: F.concat(F.when(i % 6 == 0, "# ").when(i % 6 == 3, "## ").otherwise(""), x)
-    return v.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
+    return v.documents.select("doc_id", "source", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
 
 
-def sentence_rows(v):
-    return v.documents.select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence"))
+def letter_counts(df: DataFrame, column: str) -> DataFrame:
+    """Stands in for a model: how often each of LETTERS is in the text."""
+    counts = [(F.length(column) - F.length(F.replace(F.col(column), F.lit(x), F.lit("")))).cast("double") for x in LETTERS]
+    return df.withColumn("embedding", F.array(*counts))
 
 
-def vector_rows(v):
-    return v.embeddings.select("label", F.col("vec_id").cast("int").alias("pos"), "embedding", F.concat(F.lit("s"), F.repeat(F.lit("x"), (F.col("vec_id") % 200).cast("int"))).alias("sentence"))
+def with_distances(v) -> DataFrame:
+    """Blocks cut by meaning, with their sentences and the distances between neighbouring windows."""
+    blocks = C.routed_blocks(structured(v), "doc_id").where("way = 'meaning'")
+    shown = blocks.select("doc_id", "block", "sentences", C.windows(F.col("sentences")).alias("windows"))
+    vector = lambda w: F.array(*((F.length(w) - F.length(F.replace(w, F.lit(x), F.lit("")))).cast("double") for x in LETTERS))
+    return shown.select("doc_id", "block", "sentences", C.distances(F.transform("windows", vector)).alias("apart"))
 
 
-@query("c01_structure_blocks", f"with {STRUCTURED} select doc_id, block, heading, depth, md5(text) digest from blocks where text <> '' or heading is not null")
+@query("c01_structure_blocks", f"with {STRUCTURED}, {SECTIONS} select doc_id, no::int block, heading, depth, md5(text) digest from sn")
 def _(v):
     return C.structure_blocks(structured(v), "doc_id").select("doc_id", "block", "heading", "depth", F.md5("text").alias("digest"))
 
 
-@query("c02_heading_paths", f"""with {STRUCTURED}, p as (select *, last_value(case when depth = 1 then heading end ignore nulls) over (partition by doc_id order by block) h1 from blocks)
-  select doc_id, block, coalesce(case when depth = 2 then concat_ws(' > ', h1, heading) else heading end, '') path from p where text <> ''""")
+@query("c02_heading_paths", f"with {STRUCTURED}, {SECTIONS}, {PATHS} select doc_id, block::int block, path from ph")
 def _(v):
-    return C.heading_paths(C.structure_blocks(structured(v), "doc_id"), "doc_id").select("doc_id", "block", F.array_join("heading_path", " > ").alias("path"))
+    return C.heading_paths(structured(v), "doc_id").select("doc_id", "block", F.array_join("heading_path", " / ").alias("path"))
 
 
-SENT = "string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([A-ZÀ-ÖØ-Þ0-9])', '\\1' || chr(2) || '\\2', 'g'), '\\n{2,}', chr(2), 'g'), chr(2))"
-# Twice, as two neighbouring abbreviations share the character between them.
-GUARD = "(text, '(^|[^\\p{L}\\p{N}_])(M|Mme|Mlle|Dr|Pr|art|Art|n°|No|Cf|cf|ex|Ex|p|pp|vs|etc|Etc)\\.\\s', '\\1\\2' || chr(1) || ' ', 'g')"
-GUARD = f"regexp_replace{GUARD.replace('(text', f'(regexp_replace{GUARD}', 1)}"
-SENTENCES = f"""st as (select doc_id, list_filter(list_transform({SENT.replace('(text,', f'({GUARD},', 1)}, lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '') s from documents)"""
-
-
-@query("c03_sentences", f"with {SENTENCES} select doc_id, len(s) n, md5(array_to_string(s, '|')) digest from st")
+@query("c03_sentences", f"with st as (select doc_id, {SENTENCES} s from documents) select doc_id, len(s) n, md5(array_to_string(s, '|')) digest from st")
 def _(v):
     s = C.sentences(F.col("text"))
-    return v.documents.select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
+    return v.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query("c04_sentence_windows", f"with {SENTENCES}, r as (select doc_id, generate_subscripts(s, 1) - 1 pos, unnest(s) sentence from st) select doc_id, pos::int pos, md5(concat_ws(' ', sentence, lead(sentence) over (partition by doc_id order by pos))) digest from r")
+@query("c04_sentence_windows", f"""with st as (select doc_id, {SENTENCES} s from documents), r as (select doc_id, generate_subscripts(s, 1) - 1 pos, unnest(s) sentence from st)
+  select doc_id, pos::int pos, md5(concat_ws(' ', sentence, lead(sentence) over (partition by doc_id order by pos))) digest from r""")
 def _(v):
-    return C.sentence_windows(sentence_rows(v), ["doc_id"]).select("doc_id", "pos", F.md5("window").alias("digest"))
-
+    s = v.documents.select("doc_id", C.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.posexplode(C.windows(F.col("s"))).alias("pos", "w")).select("doc_id", "pos", F.md5("w").alias("digest"))
 
-DIST = "nd as (select label, vec_id, round(1 - list_cosine_similarity(embedding::double[], lead(embedding) over (partition by label order by vec_id)::double[]), 6) distance from embeddings)"
 
-
-@query("c05_neighbour_distances", f"with {DIST} select label, vec_id::int pos, distance from nd")
+@query("c05_neighbour_distances", f"with recursive {STRUCTURED}, {SECTIONS}, {PATHS}, {WALK} select doc_id, block::int block, i::int pos, round(d, 9) distance from ds")
 def _(v):
-    return C.neighbour_distances(vector_rows(v), ["label"]).select("label", "pos", F.round("distance", 6).alias("distance"))
+    return with_distances(v).select("doc_id", "block", F.posexplode("apart").alias("pos", "d")).select("doc_id", "block", "pos", F.round("d", 9).alias("distance"))
 
 
-@query("c06_breakpoints")
+@query("c06_breakpoints", f"with recursive {STRUCTURED}, {SECTIONS}, {PATHS}, {WALK} select doc_id, block::int block, (i + 1)::int begins from wk where cut")
 def _(v):
-    return C.breakpoints(C.neighbour_distances(vector_rows(v), ["label"]), ["label"]).select("label", "pos", "segment")
+    return with_distances(v).select("doc_id", "block", F.explode(C.breakpoints(F.col("sentences"), F.col("apart"))).alias("begins"))
 
 
-@query("c07_assemble")
+@query("c07_assemble", f"with recursive {STRUCTURED}, {SECTIONS}, {PATHS}, {WALK} select doc_id, block::int block, piece::int piece, length(text) n, md5(text) digest from cx")
 def _(v):
-    rows = C.breakpoints(C.neighbour_distances(vector_rows(v), ["label"]), ["label"])
-    return C.assemble(rows, ["label"]).select("label", F.col("chunk").cast("long").alias("chunk"), F.length("text").alias("n"), F.md5("text").alias("digest"))
+    broken = with_distances(v).withColumn("begins", C.breakpoints(F.col("sentences"), F.col("apart")))
+    rows = broken.select("doc_id", "block", F.posexplode(C.assembled(F.col("sentences"), F.col("begins"))).alias("piece", "text"))
+    return rows.select("doc_id", "block", "piece", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 @query("c08_size_split", """with recursive w as (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') w from documents),
@@ -87,32 +138,39 @@ def _(v):
     return v.documents.select("doc_id", F.size(C.size_split(F.col("text"))).cast("long").alias("pieces")).where("pieces > 0")
 
 
-@query("c09_route", f"""with {SENTENCES}, d as (select doc_id, len(s) n, length(text) c from st join documents using (doc_id)),
-  r as (select doc_id, n, case when n > 1500 then 'size' when n <= 2 or c <= 1200 then 'whole' else 'semantic' end way from d)
-  select doc_id, n n_sentences, way, case when way = 'size' then 'v2-fastpath' else 'v2' end chunker_version from r""")
+@query("c09_route", f"with recursive {STRUCTURED}, {SECTIONS}, {PATHS}, {WALK} select doc_id, block::int block, len(s) n_sentences, way from wy")
 def _(v):
-    return C.route(v.documents, "doc_id").withColumn("n_sentences", F.col("n_sentences").cast("long"))
+    return C.routed_blocks(structured(v), "doc_id").select("doc_id", "block", F.size("sentences").cast("long").alias("n_sentences"), "way")
 
 
-@query("c10_fixed_chunks", """with p as (select doc_id, unnest(range(0, greatest(length(text) - 120 - 1, 0) + 1, 680)) first_char, text from documents)
-  select doc_id, first_char // 680 as chunk, md5(substr(text, first_char + 1, 800)) digest from p where substr(text, first_char + 1, 800) <> ''""")
+@query("c10_plain_chunks")
 def _(v):
-    return v.documents.select("doc_id", F.posexplode(C.fixed_chunks(F.col("text"))).alias("chunk", "piece")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("piece").alias("digest"))
+    return v.documents.select("doc_id", F.posexplode(C.plain_chunks("text")).alias("chunk", "piece")).select("doc_id", "chunk", F.length("piece").alias("n"), F.md5("piece").alias("digest"))
 
 
 @query("c11_stamp", "select doc_id, concat(substr(md5(source), 1, 8), '_', row_number() over (partition by source order by doc_id) - 1) chunk_id from documents")
 def _(v):
-    return C.stamp(v.documents, "source", "doc_id").select("doc_id", "chunk_id")
-
-
-@query("c12_long_splits")
+    return C.stamp(v.documents.select("doc_id", "source"), "source", "doc_id").select("doc_id", "chunk_id")
+
+
+@query("c12_long_splits", f"""with recursive t as (select doc_id, trim(coalesce(text, ''), {WS}) text from documents), n as (select doc_id, text, length(text) n from t),
+  raw as (select doc_id, 0 no, 0 as start, 0 as ends, 0 as follow from n where n > 3000
+    union all select doc_id, no + 1, follow, e, case when e >= n then n else greatest(e - 300, follow + 1) end from (
+      select *, case when follow + 3000 >= n then n when cut > 0 then follow + 1000 + cut else follow + 3000 end e from (
+        select doc_id, no, follow, n, coalesce(
+            case when contains(tail, chr(10) || chr(10)) then length(tail) - strpos(reverse(tail), chr(10) || chr(10)) - 1 end,
+            case when contains(tail, chr(10)) then length(tail) - strpos(reverse(tail), chr(10)) end,
+            case when contains(tail, ' ') then length(tail) - strpos(reverse(tail), ' ') end) cut
+        from (select raw.*, n, substr(text, follow + 1001, least(3000, n - follow) - 1000) tail from raw join n using (doc_id) where follow < n)))),
+  pc as (select doc_id, no, trim(substr(text, start + 1, ends - start), {WS}) piece from raw join n using (doc_id) where no > 0 union all select doc_id, 1, text from n where n <= 3000)
+  select doc_id, row_number() over (partition by doc_id order by no) - 1 piece_no, length(piece) n, md5(piece) digest from pc where piece <> '' or no = 1""")
 def _(v):
     pieces = C.long_splits(F.col("text"), size=3000, overlap=300)
-    return v.documents.select("doc_id", F.posexplode(pieces).alias("piece_no", "p")).select("doc_id", "piece_no", "p.start", F.length("p.piece").alias("n"), F.md5("p.piece").alias("digest"))
+    return v.documents.select("doc_id", F.posexplode(pieces).alias("piece_no", "p")).select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.length("p").cast("long").alias("n"), F.md5("p").alias("digest"))
 
 
-@query("c13_paged_text", """with t as (select source, string_agg('[page ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) order by doc_id) text from documents group by 1)
-  select source, md5(case when length(text) > 180000 then left(text, 180000) || chr(10) || '[truncated]' else text end) digest from t""")
+@query("c13_paged_text", f"""with t as (select source, trim(string_agg('[page ' || doc_id || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by doc_id), {WS}) text from documents group by 1)
+  select source, md5(case when length(text) > 180000 then left(text, 180000) || chr(10) || chr(10) || '[...document tronqué...]' else text end) digest from t""")
 def _(v):
     return C.paged_text(v.documents.withColumnRenamed("doc_id", "page")).select("source", F.md5("text").alias("digest"))
 
@@ -125,3 +183,8 @@ def _(v):
 @query("c15_totals", "select collection, count(distinct source) documents, count(*) chunks from chunks_v group by 1")
 def _(v):
     return C.totals(v.chunks)
+
+
+@query("c16_chunk_documents", chunks_sql(STRUCTURED))
+def _(v):
+    return C.chunk_documents(structured(v), letter_counts).select("doc_id", "chunk_id", "chunk", "heading", "chunker_version", F.md5("text").alias("digest"))

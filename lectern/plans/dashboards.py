@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scores import content_key, tier
 from lectern.operators import dashboards as D
+from lectern.operators import requirements as E
 from lectern.operators import workspace as W
 from lectern.plans.registry import query
 from lectern.plans.workspace import KEY, STATE
@@ -72,7 +73,7 @@ def _(v):
     return D.effective_view(v.requirements, v.corrections).select("analysis_id", "id", "status", "confidence", "corrected")
 
 
-@query("g10_report_filter", "select analysis_id, id, title from requirements_v where status = 'missing' and category in ('ECONOMY', 'PROMO') and contains(lower(id || ' ' || title), 'red')")
+@query("g10_report_filter", "select analysis_id, id, title from requirements_v where status = 'missing' and category in ('ECONOMY', 'PROMO') and contains(lower(id || ' ' || title || ' ' || coalesce(description, '')), 'red')")
 def _(v):
     return D.report_filter(v.requirements, "missing", ["ECONOMY", "PROMO"], "Red").select("analysis_id", "id", "title")
 
@@ -152,8 +153,8 @@ def _(v):
 
 @query("e23_batch_repass", f"""with {STATE} select r.analysis_id, r.id from requirements_v r where confidence < 0.5 or exists (select 1 from state s where s.analysis_id = r.analysis_id and s.requirement_id = r.id and vote = 'down' and user_id = 1)""")
 def _(v):
-    mine = W.upsert_votes(v.votes).where("vote = 'down' and user_id = 1").select("analysis_id", F.col("requirement_id").alias("id"), F.lit(True).alias("down")).distinct()
-    return v.requirements.join(mine, ["analysis_id", "id"], "left").where("coalesce(confidence, 0) < 0.5 or down").select("analysis_id", "id")
+    mine = W.upsert_votes(v.votes).where("vote = 'down' and user_id = 1")
+    return E.repass_batch(v.requirements, down_voted=mine).select("analysis_id", "id")
 
 
 @query("e25_summary", f"select analysis_id, {COUNTS} from requirements_v group by 1")
@@ -161,15 +162,16 @@ def _(v):
     return D.summary(v.requirements)
 
 
-@query("e26_corrections_applied", f"""with c as (select distinct on (k) {KEY} k, verdict from corrections_v where user_id = 0 order by k), r as (select *, {KEY} k from requirements_v)
-    select r.analysis_id, r.id, coalesce(c.verdict, r.status) status, case when c.verdict is not null then 1.0 else confidence end confidence from r left join c using (k)""")
+@query("e26_corrections_applied", f"""with c as (select * from (select user_id, {KEY} k, verdict fix, answer, analysis_id origin, row_number() over (partition by user_id, {KEY} order by analysis_id desc, requirement_id desc) rn from corrections_v) where rn = 1),
+    r as (select q.*, o.user_id, {KEY} k from requirements_v q join cdcs_v d on d.id = q.analysis_id join clients_v o on o.id = d.client_id)
+    select r.analysis_id, r.id, r.user_id, coalesce(fix, r.status) status, coalesce(answer, r.verdict) verdict, case when fix is not null then 1.0 else confidence end confidence, fix is not null correction_applied, origin correction_source_analysis_id
+    from r left join c on c.user_id = r.user_id and c.k = r.k""")
 def _(v):
-    fixed = W.latest_corrections(W.upsert_corrections(v.corrections.where("user_id = 0"))).select("content_key", "verdict")
-    keyed = v.requirements.withColumn("content_key", content_key(F.col("category"), F.lit(None).cast("string"), F.col("title")))
-    joined = keyed.join(fixed, "content_key", "left")
-    return joined.select("analysis_id", "id", F.coalesce("verdict", "status").alias("status"), F.when(F.col("verdict").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"))
+    mine = v.requirements.join(W.owners(v.cdcs, v.clients), "analysis_id")
+    fixed = E.apply_corrections(mine, W.latest_corrections(W.upsert_corrections(v.corrections)))
+    return fixed.select("analysis_id", "id", "user_id", "status", "verdict", "confidence", "correction_applied", "correction_source_analysis_id")
 
 
-@query("e27_content_key", f"select distinct category, title, {KEY} content_key from requirements_v")
+@query("e27_content_key", f"select distinct category, subdomain, title, {KEY} content_key from requirements_v")
 def _(v):
-    return v.requirements.select("category", "title", content_key(F.col("category"), F.lit(None).cast("string"), F.col("title")).alias("content_key")).distinct()
+    return v.requirements.select("category", "subdomain", "title", content_key(F.col("category"), F.col("subdomain"), F.col("title")).alias("content_key")).distinct()

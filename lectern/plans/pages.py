@@ -6,24 +6,41 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scores import coverage
 from lectern.functions.storage import new_path
+from lectern.operators import workspace as W
 from lectern.plans.registry import query
+from lectern.plans.workspace import EXPORT, exported
 from lectern.sources import pages as P
 from lectern.sources import tables as S
 
 SQL_CLEAN = r"""cl as (select page_id, url, html, regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), html),
     '(?is)<!--.*?-->|<nav\b[^>]*>.*?</nav>|<header\b[^>]*>.*?</header>|<footer\b[^>]*>.*?</footer>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<form\b[^>]*>.*?</form>|<aside\b[^>]*>.*?</aside>|<div class="ad">.*?</div>', '', 'g') bare from pages),
   sp as (select page_id, url, html, string_split(regexp_replace(bare, '(?i)<(h[1-4]|p|li|td|th)\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:] b from cl),
-  tx as (select page_id, url, html, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '^[^' || chr(2) || ']*' || chr(2), ''), '(?s)<[^>]*>', ' ', 'g'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), lambda t: length(t) >= 3), chr(10)) text from sp)"""
+  nt as (select page_id, url, html, list_transform(b, lambda x: {'tag': lower(left(x, 1)), 'text': trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '^[^' || chr(2) || ']*' || chr(2), ''), '(?s)<[^>]*>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))}) t from sp),
+  tx as (select page_id, url, html, array_to_string(list_transform(list_filter(t, lambda x: length(x.text) >= 3), lambda x: case when x.tag = 'h' then chr(10) || x.text || chr(10) else x.text end), chr(10)) text from nt)"""
+#: Paragraphs packed one after another by a recursion; pieces of each page.
+SQL_PACKED = SQL_CLEAN + r""", pp as (select page_id, url, text, list_filter(list_transform(string_split_regex(text, '
+\s*
+'), lambda p: trim(p)), lambda p: p <> '') p from tx),
+  pe as (select page_id, generate_subscripts(p, 1) i, unnest(p) p from pp),
+  wk as (select page_id, i, length(p) n, 0 piece from pe where i = 1
+    union all select e.page_id, e.i, case when w.n + length(e.p) + 2 <= 1800 then w.n + length(e.p) + 2 else length(e.p) end, w.piece + case when w.n + length(e.p) + 2 <= 1800 then 0 else 1 end
+      from wk w join pe e on e.page_id = w.page_id and e.i = w.i + 1),
+  pk as (select page_id, piece, string_agg(p, chr(10) || chr(10) order by i) chunk from wk join pe using (page_id, i) group by 1, 2
+    union all select page_id, 0, left(text, 1800) from pp where len(p) = 0 and text <> ''),
+  ps as (select page_id::varchar source_id, left(%s, 1) source, piece pos, chunk, 'section-' || (piece + 1) || '/' || count(*) over (partition by page_id) page from pk join pages using (page_id))"""
 SLUG = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1)"
 
 
+SQL_PACKED %= SLUG
+
+
 def cleaned(v):
     return v.pages.select("page_id", "url", "html", P.clean_text(P.main_part(F.col("html"))).alias("text"))
 
 
 def sections(v):
-    rows = cleaned(v).select(P.slug(F.col("url")).substr(1, 1).alias("source"), F.col("page_id").cast("string").alias("source_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    rows = cleaned(v).select(P.slug(F.col("url")).substr(1, 1).alias("source"), F.col("page_id").cast("string").alias("source_id"), "text")
     return P.packed_sections(rows)
 
 
@@ -72,26 +89,55 @@ def _(v):
     return v.pages.select("page_id", F.array_join(refs, "|").alias("refs"))
 
 
-@query("b09_record_body", "select item_id, 'Titre ' || item_id || chr(10) || chr(10) || 'body of ' || item_id as body from benchmark")
+#: Records over the benchmark, with attributes and parts that some of them lack.
+XML = """concat('<?xml version="1.0" encoding="UTF-8"?><Publication', case when item_id % 3 > 0 then concat(' ID="F', cast(item_id as varchar(20)), '" spUrl="https://x/', cast(item_id as varchar(20)), '"') else '' end,
+  case when item_id % 4 > 0 then ' dateDerniereModificationImportante="2024-03-05T10:00:00"' else '' end, '>', case when item_id % 2 = 0 then concat('<dc:title> Title ', cast(item_id as varchar(20)), ' </dc:title>') else '' end,
+  '<dc:subject>Travail</dc:subject>', case when item_id % 5 > 0 then '<dc:description>About it</dc:description>' else '' end, '<dc:source>art. 3, https://law/1 ,https://law/2</dc:source>',
+  '<Introduction><Texte>ab</Texte><Titre>Head <b>of</b> it</Titre></Introduction><Liste type="puce"><Item><Paragraphe> first &amp; foremost </Paragraphe></Item><Item><Paragraphe>', cast(item_id as varchar(20)), '</Paragraphe></Item></Liste></Publication>')"""
+RECORDS = """rb as (select item_id, case when item_id % 5 > 0 then 'About it' || chr(10) || chr(10) else '' end || 'Head of it' || chr(10) || chr(10) || 'first & foremost ' || item_id || chr(10) || chr(10) || 'first & foremost'
+  || case when length(item_id::varchar) > 3 then chr(10) || chr(10) || item_id else '' end body from benchmark)"""
+
+
+@query("b09_record_body", f"with {RECORDS} select item_id, body from rb")
+def _(v):
+    return v.benchmark.select("item_id", P.record_body(F.expr(XML)).alias("body"))
+
+
+@query("a04_record_scan", f"""with {RECORDS}, s as (select item_id, case when item_id % 3 > 0 then 'F' || item_id else case when item_id % 2 = 0 then 'F' else 'N' end || 'file' || item_id end source_id, body from rb where item_id % 7 > 0)
+  select source_id, case when item_id % 3 > 0 then 'https://x/' || item_id else 'https://base/' || source_id end url, case when item_id % 4 > 0 then '2024-03-05' end updated, case when item_id % 2 = 0 then 'Title ' || item_id else source_id end title,
+  'Travail' subject, 'https://law/1|https://law/2' refs, md5(body) digest from s""")
 def _(v):
-    xml = F.concat(F.lit("<P><Titre>Titre "), "item_id", F.lit("</Titre><Texte>ab</Texte><Liste><Paragraphe> body of "), "item_id", F.lit(" </Paragraphe></Liste></P>"))
-    return v.benchmark.select("item_id", P.record_body(xml).alias("body"))
+    """Files written by their names, read back by those names: others than F and N stay out."""
+    path = new_path(v.spark, "records")
+    kind = F.when(F.col("item_id") % 7 == 0, "X").when(F.col("item_id") % 2 == 0, "F").otherwise("N")
+    rows = v.benchmark.select("item_id", kind.alias("kind"), F.expr(XML).alias("xml"))
+    rows.write.partitionBy("kind", "item_id").text(path)
+    # A folder stands for a file here, as Spark names its files itself.
+    name = F.concat(F.regexp_extract("path", "kind=(\\w)", 1), F.lit("file"), F.regexp_extract("path", "item_id=(\\d+)", 1), F.lit(".xml"))
+    files = v.spark.read.text(f"{path}/*/*", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml")).select(name.alias("name"), "xml")
+    found = P.parse_records(S.of_records(files), "https://base/")
+    return found.select("source_id", "url", "updated", "title", "subject", F.array_join("references", "|").alias("refs"), F.md5("text").alias("digest"))
 
 
-@query("b10_pack_paragraphs")
+@query("b10_pack_paragraphs", f"with recursive {SQL_PACKED} select source, source_id, pos::int pos, length(chunk) n, md5(chunk) digest from ps")
 def _(v):
-    return sections(v).select("source", "source_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("digest"))
+    return sections(v).select("source", "source_id", "pos", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("digest"))
 
 
-@query("b11_section_labels")
+@query("b11_section_labels", f"with recursive {SQL_PACKED} select source_id, pos::int pos, page from ps")
 def _(v):
     return sections(v).select("source_id", "pos", "page")
 
 
-@query("b12_metadata", f"select page_id, {SLUG} source_id, case when page_id % 2 = 0 then 'paie' else 'rh' end domaine, 'fr' as language from pages")
+@query("b12_metadata", f"""select page_id, 'boards' source, {SLUG} source_id, url url_canonique, case when page_id % 2 = 0 then 'paie' else 'rh|dsn' end domaine, 'fr' as language, 'kb' as scope, case when page_id % 3 = 0 then '?' else 'section-1/1' end page,
+  case when page_id % 4 = 0 then '2024-01-02' end date_maj, version from (select *, null::varchar as version from pages)""")
 def _(v):
-    meta = F.struct(P.slug(F.col("url")).alias("source_id"), F.coalesce(F.when(F.col("page_id") % 2 == 0, "paie"), F.lit("rh")).alias("domaine"), F.lit("fr").alias("language"))
-    return v.pages.select("page_id", meta.alias("m")).select("page_id", "m.*")
+    rows = v.pages.select(
+        "page_id", "url", P.slug(F.col("url")).alias("source_id"), F.lit("t").alias("title"), F.when(F.col("page_id") % 4 == 0, F.lit("2024-01-02").cast("date")).alias("updated"),
+        F.when(F.col("page_id") % 2 == 0, "paie").alias("domaine"), F.when(F.col("page_id") % 3 != 0, "section-1/1").alias("page"),
+    )
+    found = P.with_metadata(rows, "boards", ["rh", "dsn"]).select("page_id", "metadata.*")
+    return found.withColumn("domaine", F.array_join("domaine", "|")).drop("title")
 
 
 @query("b13_length_guard", "select doc_id, length(left(text, 12000)) n, length(text) > 12000 cut from documents where length(trim(text)) >= 50")
@@ -99,17 +145,34 @@ def _(v):
     return P.length_guard(v.documents.withColumnRenamed("text", "chunk")).select("doc_id", F.length("chunk").cast("long").alias("n"), "cut")
 
 
-@query("b14_stable_ids", """with g as (select source, 'r' || lang source_id, doc_id, 'section-1/1' page from documents where length(trim(text)) >= 50), p as (select *, row_number() over (partition by source, source_id order by doc_id) - 1 place from g)
-  select doc_id, place, left(sha256(concat_ws('::', source, source_id, page, place)), 32) chunk_id from p""")
+@query("b14_stable_ids", f"""with recursive {SQL_PACKED}, g as (select *, row_number() over (partition by source, source_id order by pos) - 1 place from ps where length(trim(chunk)) >= 50)
+  select source_id, page, place, left(sha256(concat_ws('::', source, source_id, page, place)), 32) chunk_id from g""")
 def _(v):
-    rows = v.documents.select("doc_id", "source", F.concat(F.lit("r"), "lang").alias("source_id"), F.lit("section-1/1").alias("page"), F.col("doc_id").alias("pos"), F.col("text").alias("chunk"))
-    return P.stable_ids(P.length_guard(rows)).select("doc_id", F.col("place").cast("long").alias("place"), "chunk_id")
+    return P.stable_ids(P.length_guard(sections(v))).select("source_id", "page", F.col("place").cast("long").alias("place"), "chunk_id")
 
 
 @query("b15_run_report", """select source, count(distinct doc_id) fetched, count_if(length(trim(text)) >= 50) chunks, count_if(doc_id % 50 = 0) errors from documents group by 1""")
 def _(v):
-    rows = v.documents.select("source", F.col("doc_id").alias("source_id"), F.col("text").alias("chunk"), (F.col("doc_id") % 50 == 0).alias("failed"))
-    return P.run_report(rows, P.length_guard(rows))
+    return P.run_report(run_rows(v), P.length_guard(run_rows(v)))
+
+
+def run_rows(v):
+    return v.documents.select("source", F.col("doc_id").alias("source_id"), F.col("text").alias("chunk"), F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("no title in "), "lang")).alias("error"))
+
+
+@query("b15_run_errors", "select source, doc_id source_id, 'parse/chunk failed: no title in ' || lang message from documents where doc_id % 50 = 0 and lang is not null")
+def _(v):
+    return P.run_errors(run_rows(v))
+
+
+BOARDS = P.Source("boards", ("rh", "dsn"), marker="<h1>", words=("/en/", "/fr/"))
+
+
+@query("b17_run_source", f"""with recursive {SQL_PACKED.replace("from tx)", "from tx where length(html) >= 200 and contains(html, '<h1>') and not contains(lower(url), '/app/error/') and (contains(lower(url), '/en/') or contains(lower(url), '/fr/')))", 1)},
+  g as (select source_id, pos, chunk, page, {SLUG} slug, row_number() over (partition by {SLUG} order by pos, chunk) - 1 place from ps join pages on page_id::varchar = source_id where length(trim(chunk)) >= 50)
+  select slug source_id, page, place, left(sha256(concat_ws('::', 'boards', slug, page, place)), 32) chunk_id, md5(left(chunk, 12000)) digest from g""")
+def _(v):
+    return P.run_source(v.pages, BOARDS).select("source_id", "page", F.col("place").cast("long").alias("place"), "chunk_id", F.md5("chunk").alias("digest"))
 
 
 @query("b16_length_statistics", "select source, min(length(text)) shortest, max(length(text)) longest, round(avg(length(text)), 6) mean from documents group by 1")
@@ -169,21 +232,57 @@ def _(v):
     return v.chunks.where("collection <> 'private'").select("chunk_id")
 
 
-@query("a14_feedback_csv", """select analysis_id, id, concat_ws(';', id, case when contains(t, ';') or contains(t, '"') then '"' || replace(t, '"', '""') || '"' else t end) line from (select *, case when analysis_id % 2 = 0 then title || ';"x"' else title end t from requirements_v)""")
+COLUMNS = ", ".join(f"""case when regexp_matches("{c}", '[;"\\r\\n]') then '"' || replace("{c}", '"', '""') || '"' else "{c}" end""" for c in W.EXPORT)
+
+
+@query("a14_feedback_csv", f"with {EXPORT} select concat_ws(';', {COLUMNS}) line from ex union all select '{';'.join(W.EXPORT)}'")
 def _(v):
-    t = F.when(F.col("analysis_id") % 2 == 0, F.concat("title", F.lit(';"x"'))).otherwise(F.col("title"))
-    return v.requirements.select("analysis_id", "id", F.concat_ws(";", S.csv_cell(F.col("id")), S.csv_cell(t)).alias("line"))
+    """The sink's lines, read back; the reader takes the byte order mark away."""
+    path = new_path(v.spark, "feedback")
+    S.write_feedback_csv(exported(v), path)
+    return v.spark.read.option("lineSep", "\r\n").text(f"{path}/*").select(F.col("value").alias("line"))
+
+
+def reported(v):
+    """Requirements with their lists: criteria, evidence and sources."""
+    key = ["analysis_id", "requirement_id"]
+    listed = lambda rows, value: rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("x")))), lambda p: p["x"]).alias("x"))
+    quotes = listed(v.evidence, F.trim("quote")).withColumnRenamed("x", "evidence")
+    cited = listed(v.sources, F.struct("source", "page", "score")).withColumnRenamed("x", "sources")
+    rows = v.requirements.drop("source").withColumnRenamed("id", "requirement_id").join(quotes, key, "left").join(cited, key, "left").withColumnRenamed("requirement_id", "id")
+    criteria = F.when(F.col("page") % 3 == 0, F.array(F.lit("one"), F.lit("two"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"source_location": F.when(F.col("page") % 2 == 0, F.concat(F.lit("p. "), "page")), "acceptance_criteria": criteria, "filename": F.concat(F.lit("spec-"), "analysis_id", F.lit(".docx")), "evidence": F.coalesce("evidence", F.array().cast("array<string>"))})
+
+
+NL = "chr(10)"
+LISTS = """ev as (select analysis_id, requirement_id, list(trim(quote) order by pos) quotes from evidence_v group by 1, 2),
+  sr as (select analysis_id, requirement_id, list({'source': coalesce(source, '?'), 'page': page, 'score': score} order by pos) cited from sources_v group by 1, 2),
+  rp as (select r.*, case when r.page % 2 = 0 then 'p. ' || r.page end place, case when r.page % 3 = 0 then ['one', 'two'] else [] end criteria, coalesce(quotes, []) quotes, cited
+    from requirements_v r left join ev on ev.analysis_id = r.analysis_id and ev.requirement_id = r.id left join sr on sr.analysis_id = r.analysis_id and sr.requirement_id = r.id)"""
+LINES = f"""'### ' || id || ' — ' || coalesce(title, '') || {NL} || coalesce('**Catégorie** : ' || category || '  ' || {NL}, '') || '**Priorité** : ' || priority || '  ' || {NL} || coalesce('**Localisation source** : ' || place || '  ' || {NL}, '') || {NL}
+  || coalesce(description || {NL} || {NL}, '') || coalesce('> **Verdict** — ' || verdict || {NL} || {NL}, '')
+  || case when len(criteria) > 0 then '**Critères d''acceptation** :' || {NL} || array_to_string(list_transform(criteria, lambda x: '- ' || x), {NL}) || {NL} || {NL} else '' end
+  || case when len(quotes) > 0 then '**Preuves** :' || {NL} || array_to_string(list_transform(quotes, lambda x: '- ' || x), {NL}) || {NL} || {NL} else '' end
+  || '**Sources retrouvées** :' || {NL} || array_to_string(list_transform(cited, lambda x: '- ' || x.source || case when x.page is null and x.score is null then '' else ' (' || concat_ws(', ', 'p.' || x.page, 'score ' || printf('%.3f', x.score)) || ')' end), {NL}) || {NL} || {NL} || '---' || {NL}"""
 
 
-@query("a16_markdown_report", """select analysis_id, md5('| total | covered |' || chr(10) || '| ' || count(*) || ' | ' || count_if(status = 'covered') || ' |' || chr(10) || chr(10) || string_agg('- ' || id || ' [' || status || '] ' || coalesce(title, ''), chr(10) order by list_position(['covered', 'partial', 'missing', 'ambiguous'], status), id)) digest from requirements_v group by 1""")
+@query("a16_markdown_report", f"""with {LISTS}, en as (select analysis_id, id, status, {LINES} entry from rp),
+  gr as (select analysis_id, status, count(*) n, string_agg(entry || {NL}, '' order by id) body from en group by 1, 2),
+  ct as (select analysis_id, count(*) total, count_if(status = 'covered') c, count_if(status = 'partial') p, count_if(status = 'missing') m, count_if(status = 'ambiguous') a from en group by 1),
+  bo as (select analysis_id, string_agg('## ' || case status when 'covered' then 'Exigences couvertes' when 'partial' then 'Exigences partielles' when 'missing' then 'Exigences manquantes' else 'Exigences ambiguës' end || ' (' || n || ')' || {NL} || {NL} || body, ''
+    order by list_position(['covered', 'partial', 'missing', 'ambiguous'], status)) body from gr group by 1)
+  select analysis_id, md5('# Analyse de cahier des charges — spec-' || analysis_id || '.docx' || {NL} || {NL} || '_Généré le now_' || {NL} || {NL} || '## Synthèse' || {NL} || {NL} || '| Indicateur | Valeur |' || {NL} || '|---|---|' || {NL}
+    || '| Total exigences | ' || total || ' |' || {NL} || '| Couvertes | ' || c || ' |' || {NL} || '| Partielles | ' || p || ' |' || {NL} || '| Manquantes | ' || m || ' |' || {NL} || '| Ambiguës | ' || a || ' |' || {NL}
+    || '| **Couverture** | **' || printf('%.1f', round(100 * (c + 0.5::double * p) / total, 1)) || '%** |' || {NL} || {NL} || regexp_replace(body, '\n$', '')) digest from ct join bo using (analysis_id)""")
 def _(v):
-    return S.report_markdown(v.requirements).select("analysis_id", F.md5("markdown").alias("digest"))
+    return S.report_markdown(reported(v), "now").select("analysis_id", F.md5("markdown").alias("digest"))
 
 
-@query("a17_flat_export", "select analysis_id, id, source || ' (p.' || page || ')' sources, 'a' || chr(10) || '— b' evidence from requirements_v")
+@query("a17_flat_export", f"""with {LISTS} select analysis_id, id "ID", coalesce(title, '') "Titre", coalesce(category, '') "Catégorie", priority "Priorité", case status when 'covered' then 'Couvert' when 'partial' then 'Partiel' when 'missing' then 'Manquant' else 'Ambigu' end "Statut",
+  coalesce(verdict, '') "Verdict", coalesce(description, '') "Description", array_to_string(list_transform(criteria, lambda x: '• ' || x), {NL}) "Critères d'acceptation", coalesce(place, '') "Localisation source",
+  array_to_string(list_transform(quotes, lambda x: '— ' || x), {NL}) "Preuves", array_to_string(list_transform(cited, lambda x: x.source || coalesce(' (p.' || x.page || ')', '')), '; ') "Sources retrouvées" from rp""")
 def _(v):
-    rows = v.requirements.withColumns({"sources": F.array(F.struct("source", "page")), "evidence": F.array(F.lit("a"), F.lit("b"))})
-    return S.flat_export(rows).select("analysis_id", "id", "sources", "evidence")
+    return S.flat_export(reported(v))
 
 
 @query("a01_text_scan", "select r_regionkey region, r_name || chr(10) as text from region")

@@ -9,25 +9,30 @@ from lectern.operators import quality as Q
 from lectern.operators import requirements as E
 from lectern.operators import workspace as W
 from lectern.plans.registry import query
-from lectern.plans.workspace import STATE, _owners
+from lectern.plans.retrieval import HITS, hits
+from lectern.plans.workspace import STATE
 
 DOMAINS = ["ECONOMY", "LARGE", "PROMO"]
 TKEY = "trim(regexp_replace(translate(lower(title), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'))"
-VEC = "v as (select label analysis_id, vec_id idx, embedding from embeddings)"
+#: A report is a hundred vectors that follow each other.
+VEC = "v as (select vec_id // 100 analysis_id, vec_id idx, embedding from embeddings)"
 PAIRS = f"{VEC}, pairs as (select a.analysis_id, a.idx a, b.idx b from v a join v b on a.analysis_id = b.analysis_id and a.idx < b.idx where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= 0.35)"
 
 
 def vectors(v):
-    return v.embeddings.select(F.col("label").alias("analysis_id"), F.col("vec_id").alias("idx"), "embedding")
+    return v.embeddings.select(F.expr("vec_id div 100").alias("analysis_id"), F.col("vec_id").alias("idx"), "embedding")
 
 
 def parts(v):
     """Parts as requirements: idx, analysis (the size) and a title with marks and accents."""
     accented = F.concat(F.initcap("p_name"), F.when(F.col("p_partkey") % 2 == 0, " É!").otherwise(" e"))
-    return v.part.select(F.col("p_partkey").alias("idx"), F.col("p_size").alias("analysis_id"), accented.alias("title"), F.col("p_retailprice").alias("price"))
+    criteria = F.array_repeat(F.lit("c"), (F.col("p_retailprice").cast("long") % 3).cast("int"))
+    description = F.repeat(F.col("p_brand"), (F.col("p_partkey") % 4).cast("int"))
+    return v.part.select(F.col("p_partkey").alias("idx"), F.col("p_size").alias("analysis_id"), accented.alias("title"), criteria.alias("acceptance_criteria"), description.alias("description"))
 
 
-PARTS = "pt as (select p_partkey idx, p_size analysis_id, p_name || case when p_partkey % 2 = 0 then ' É!' else ' e' end title, p_retailprice price from part)"
+PARTS = """pt as (select p_partkey idx, p_size analysis_id, p_name || case when p_partkey % 2 = 0 then ' É!' else ' e' end title, floor(p_retailprice)::bigint % 3 n_criteria,
+  length(p_brand) * (p_partkey % 4) n_description from part)"""
 ROOTS = f"{PARTS}, r as (select *, min(idx) over (partition by analysis_id, {TKEY}) root from pt)"
 
 
@@ -36,26 +41,43 @@ def rooted(v):
     return E.duplicate_groups(rows, E.exact_links(rows))
 
 
-@query("e01_extraction_requests", """with p as (select doc_id, unnest(range(0, greatest(length(text) - 120 - 1, 0) + 1, 680)) s, text from documents), k as (select doc_id, s // 680 i, substr(text, s + 1, 800) piece from p where substr(text, s + 1, 800) <> '')
-  select doc_id, (i + 1)::int part, md5('Part ' || (i + 1) || '/' || count(*) over (partition by doc_id) || chr(10) || piece) digest from k""")
+@query("e01_extraction_requests")
 def _(v):
-    return E.extraction_requests(v.documents, C.fixed_chunks(F.col("text"))).select("doc_id", "part", F.md5("request").alias("digest"))
+    return E.extraction_requests(v.documents, C.long_splits(F.col("text"))).select("doc_id", "part", F.md5("request").alias("digest"))
+
+
+#: Model responses over the parts: fenced JSON whose fields come in all the forms that models give them, every fifth broken.
+RECORD = """case when p_partkey % 5 = 0 then 'no json' else concat('```json\n{"requirements": [{"title": "', p_name, case when p_partkey % 2 = 0 then ' ' else repeat(' more', 60) end,
+  '", "description": "', p_brand, '", "category": "', lower(p_type), '", "priority": "', case p_partkey % 4 when 0 then ' SHOULD' when 1 then 'wont' when 2 then 'someday' else 'could' end,
+  case when p_partkey % 3 = 0 then '", "obligation_level": "Recommandée' when p_partkey % 3 = 1 then '", "obligation_level": "compulsory' else '' end,
+  case when p_partkey % 6 = 1 then '", "subdomain": " sub ' when p_partkey % 6 = 2 then '", "subdomain": " ' else '' end,
+  case when p_partkey % 7 > 3 then '", "source_location": " p. 3 ' else '' end, '", "notes": "n',
+  case p_partkey % 4 when 0 then '", "acceptance_criteria": ["a", " ", "b "], "depends_on": ["C1R01", 7]' when 1 then '", "acceptance_criteria": "just one"' when 2 then '", "acceptance_criteria": []' else '", "depends_on": null' end,
+  '}]}\n```') end"""
 
 
 def responses(v):
-    json = F.to_json(F.struct(F.array(F.struct(F.lit("").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("description"), F.lower("p_type").alias("category"), F.lit("Should").alias("priority"))).alias("requirements")))
-    text = F.when(F.col("p_partkey") % 5 == 0, "no json").otherwise(F.concat(F.lit("```json\n"), json, F.lit("\n```")))
-    return v.part.select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 9).cast("int").alias("part"), text.alias("response"))
+    return v.part.select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 9).cast("int").alias("part"), F.expr(RECORD).alias("response"))
+
 
+PARSED = """pr as (select p_partkey doc_id, p_partkey k, p_name || case when p_partkey % 2 = 0 then ' ' else repeat(' more', 60) end title, p_brand description, p_type from part where p_partkey % 5 <> 0)"""
+TITLE = "trim(left(trim(title), 200))"
 
-@query("e02_parse_requirements", "select p_partkey doc_id, p_name title, lower(p_type) category from part where p_partkey % 5 <> 0")
+
+@query("e02_parse_requirements", f"""with {PARSED} select doc_id, title, lower(p_type) category, description, case k % 4 when 0 then '["a"," ","b "]' when 1 then 'just one' when 2 then '[]' end acceptance_criteria,
+  case when k % 4 = 0 then '["C1R01",7]' end depends_on, case when k % 7 > 3 then ' p. 3 ' end source_location from pr""")
 def _(v):
-    return E.parse_requirements(responses(v)).select("doc_id", "title", "category")
+    return E.parse_requirements(responses(v)).select("doc_id", "title", "category", "description", "acceptance_criteria", "depends_on", "source_location")
 
 
-@query("e03_normalize", "select p_partkey doc_id, 'should' priority, 'recommended' obligation_level, case when p_type in ('ECONOMY', 'LARGE', 'PROMO') then p_type else 'Autre' end category from part where p_partkey % 5 <> 0")
+@query("e03_normalize", f"""with {PARSED} select doc_id, left(trim(title), 200) title, description, case when p_type in ('ECONOMY', 'LARGE', 'PROMO') then p_type else 'Autre' end category, case when k % 6 = 1 then 'sub' end subdomain,
+  case k % 4 when 0 then 'should' when 1 then 'wont' when 2 then 'must' else 'could' end priority,
+  case when k % 3 = 0 then 'recommandée' else case k % 4 when 0 then 'recommandée' when 2 then 'contractuelle' else 'optionnelle' end end obligation_level,
+  case k % 4 when 0 then 'a|b' when 1 then 'just one' else '' end acceptance_criteria, case when k % 7 > 3 then 'p. 3' else 'non localisé' end source_location, case when k % 4 = 0 then 'C1R01|7' else '' end depends_on, 'n' notes from pr""")
 def _(v):
-    return E.normalize(E.parse_requirements(responses(v)), DOMAINS).select("doc_id", "priority", "obligation_level", "category")
+    rows = E.normalize(E.parse_requirements(responses(v)), DOMAINS)
+    lists = {c: F.array_join(c, "|") for c in ("acceptance_criteria", "depends_on")}
+    return rows.withColumns(lists).select("doc_id", "title", "description", "category", "subdomain", "priority", "obligation_level", "acceptance_criteria", "source_location", "depends_on", "notes")
 
 
 @query("e04_title_keys", f"with {PARTS} select idx, {TKEY} k from pt")
@@ -85,23 +107,23 @@ def _(v):
     return E.duplicate_groups(rows.select("idx"), E.semantic_links(rows, "analysis_id", 0.35)).select("idx", "root")
 
 
-@query("e09_representatives", f"with {ROOTS} select root, idx from (select *, row_number() over (partition by root order by price desc, idx) n from r) where n = 1")
+@query("e09_representatives", f"with {ROOTS} select root, idx from (select *, row_number() over (partition by root order by n_criteria desc, n_description desc, idx) n from r) where n = 1")
 def _(v):
-    return E.representatives(rooted(v), F.desc("price")).select("root", "idx")
+    return E.representatives(rooted(v), *E.richest()).select("root", "idx")
 
 
-@query("e10_renumber", f"with {ROOTS} select analysis_id, idx, printf('R%03d', row_number() over (partition by analysis_id order by root)) new_id from (select *, row_number() over (partition by root order by price desc, idx) n from r) where n = 1")
+@query("e10_renumber", f"with {ROOTS} select analysis_id, idx, printf('R%03d', row_number() over (partition by analysis_id order by root)) new_id from (select *, row_number() over (partition by root order by n_criteria desc, n_description desc, idx) n from r) where n = 1")
 def _(v):
-    return E.renumber(E.representatives(rooted(v), F.desc("price"))).select("analysis_id", "idx", "new_id")
+    return E.renumber(E.representatives(rooted(v), *E.richest())).select("analysis_id", "idx", "new_id")
 
 
-@query("e11_dependencies", f"""with {ROOTS}, k as (select *, printf('R%03d', row_number() over (partition by analysis_id order by root)) new_id from (select *, row_number() over (partition by root order by price desc, idx) n from r) where n = 1),
+@query("e11_dependencies", f"""with {ROOTS}, k as (select *, printf('R%03d', row_number() over (partition by analysis_id order by root)) new_id from (select *, row_number() over (partition by root order by n_criteria desc, n_description desc, idx) n from r) where n = 1),
   ids as (select r.analysis_id, r.idx::varchar old_id, k.new_id new_key from r join k using (root)), d as (select analysis_id, new_id, unnest(['0', '1', '2']) p, unnest([(idx - 50)::varchar, idx::varchar, (idx + 50)::varchar]) old_id from k),
   led as (select d.analysis_id, d.new_id, p, new_key from d join ids using (analysis_id, old_id) where new_key <> d.new_id), o as (select analysis_id, new_id, new_key, min(p) p from led group by all)
   select k.analysis_id, k.new_id, coalesce(string_agg(new_key, ',' order by p), '') deps from k left join o using (analysis_id, new_id) group by 1, 2""")
 def _(v):
     groups = rooted(v)
-    kept = E.renumber(E.representatives(groups, F.desc("price")))
+    kept = E.renumber(E.representatives(groups, *E.richest()))
     ids = groups.select("analysis_id", "root", F.col("idx").cast("string").alias("old")).join(kept.select("root", F.col("new_id").alias("new")), "root")
     asked = kept.withColumn("depends_on", F.array(*((F.col("idx") + d).cast("string") for d in (-50, 0, 50))))
     return E.remap_dependencies(asked, ids).select("analysis_id", "new_id", F.array_join("depends_on", ",").alias("deps"))
@@ -113,21 +135,25 @@ def _(v):
 
 
 FEW = f"""{STATE}, own as (select d.id analysis_id, c.user_id from cdcs_v d join clients_v c on c.id = d.client_id),
-  j as (select s.user_id, r.category, s.requirement_id, r.title, r.status, s.analysis_id, s.updated_at from state s join own using (analysis_id, user_id) join requirements_v r on r.analysis_id = s.analysis_id and r.id = s.requirement_id where vote = 'up'),
+  j as (select s.user_id, r.category, s.requirement_id, left(r.title, 200) title, left(r.description, 600) description, left(r.verdict, 600) verdict, r.status, s.analysis_id, s.updated_at
+    from state s join own using (analysis_id, user_id) join requirements_v r on r.analysis_id = s.analysis_id and r.id = s.requirement_id where vote = 'up'),
   o as (select * from (select *, row_number() over (partition by user_id, category, requirement_id, lower(title) order by updated_at desc, analysis_id) n from j) where n = 1),
   few as (select * from (select *, row_number() over (partition by user_id, category order by updated_at desc, analysis_id, requirement_id) as rank from o) where rank <= 3)"""
 
 
 def few(v):
-    return E.few_shot(W.upsert_votes(v.votes), _owners(v), v.requirements)
+    return E.few_shot(W.upsert_votes(v.votes), W.owners(v.cdcs, v.clients), v.requirements, v.evidence)
 
 
-@query("e14_few_shot", f"with {FEW} select user_id, category, rank, analysis_id, requirement_id from few")
+@query("e14_few_shot", f"""with {FEW}, q as (select analysis_id, requirement_id, string_agg(left(quote, 200), '|' order by pos) quotes from evidence_v where pos < 3 group by 1, 2)
+  select user_id, category, rank, analysis_id, requirement_id, title, description, verdict, coalesce(quotes, '') evidence from few left join q using (analysis_id, requirement_id)""")
 def _(v):
-    return few(v).select("user_id", "category", F.col("rank").cast("long").alias("rank"), "analysis_id", "requirement_id")
+    return few(v).select("user_id", "category", F.col("rank").cast("long").alias("rank"), "analysis_id", "requirement_id", "title", "description", "verdict", F.array_join("evidence", "|").alias("evidence"))
 
 
-BLOCKS = f"{FEW}, bk as (select user_id, category, string_agg(rank || '. ' || left(title, 200) || ' -> ' || status, chr(10) order by rank) as blk from few group by 1, 2)"
+BLOCKS = f"""{FEW}, bk as (select user_id, category, '# Exemples de verdicts validés par l''utilisateur (référence de style et rigueur)' || repeat(chr(10), 2) || string_agg(
+  'Exemple ' || rank || ' (domaine: ' || coalesce(category, '?') || ', statut: ' || status || ') :' || chr(10) || 'Exigence : ' || trim(title) || chr(10)
+  || case when trim(coalesce(description, '')) = '' then '' else 'Description : ' || trim(description) || chr(10) end || 'Verdict : ' || trim(coalesce(verdict, '')) || repeat(chr(10), 2), '' order by rank) || '---' || chr(10) as blk from few group by 1, 2)"""
 
 
 @query("e15_few_shot_block", f"with {BLOCKS} select user_id, category, blk as block from bk")
@@ -135,55 +161,96 @@ def _(v):
     return E.few_shot_block(few(v))
 
 
-@query("e16_verdict_requests", f"with {BLOCKS} select r.analysis_id, r.id, md5(concat_ws(chr(10), 'Requirement: ' || r.title, 'Examples:' || chr(10) || blk)) digest from requirements_v r join own using (analysis_id) left join bk on bk.user_id = own.user_id and bk.category = r.category")
+CRITERIA = "case page % 3 when 0 then '(aucun fourni)' when 1 then '- ' || title else '- ' || title || chr(10) || '- shown on p.' || page end"
+
+
+def full_requirements(v):
+    """Requirements with their owners and with criteria: none, one or two."""
+    some = F.filter(F.array("title", F.concat(F.lit("shown on p."), "page")), lambda x: x.isNotNull())
+    return v.requirements.join(W.owners(v.cdcs, v.clients), "analysis_id").withColumn("acceptance_criteria", F.slice(some, 1, (F.col("page") % 3).cast("int")))
+
+
+def contexts(v):
+    """What was found for each requirement: its sources, nothing where the page is divisible by 5."""
+    return v.requirements.select("analysis_id", "id", F.when(F.col("page") % 5 == 0, " ").otherwise(F.concat(F.lit("found by "), "source")).alias("context"))
+
+
+@query("e16_verdict_requests", f"""with {BLOCKS}, rq as (select r.*, own.user_id from requirements_v r join own using (analysis_id) where r.page % 5 <> 0)
+  select rq.analysis_id, rq.id, md5(coalesce(blk, '') || 'Exigence à évaluer' || chr(10) || repeat('-', 18) || chr(10) || 'ID : ' || rq.id || chr(10) || 'Titre : ' || title || chr(10) || 'Catégorie : ' || rq.category || chr(10)
+    || 'Priorité : ' || priority || chr(10) || 'Description : ' || description || chr(10) || 'Critères d''acceptation :' || chr(10) || {CRITERIA} || repeat(chr(10), 2)
+    || 'Extraits de la documentation produit' || chr(10) || repeat('-', 36) || chr(10) || 'found by ' || source || repeat(chr(10), 2) || 'Réponds en JSON strict (voir schéma du système).') digest
+  from rq left join bk on bk.user_id = rq.user_id and bk.category = rq.category""")
+def _(v):
+    return E.verdict_requests(full_requirements(v), E.few_shot_block(few(v)), contexts(v)).select("analysis_id", "id", F.md5("request").alias("digest"))
+
+
+@query("e13_hypothesis_requests", f"""select r.analysis_id, r.id, md5('Exigence :' || chr(10) || 'Titre : ' || title || chr(10) || 'Catégorie : ' || category || chr(10) || 'Description : ' || description || chr(10) || 'Critères d''acceptation : ' || {CRITERIA}
+  || repeat(chr(10), 2) || 'Réponse hypothétique (2-3 phrases, vocabulaire métier) :') digest from requirements_v r join cdcs_v d on d.id = r.analysis_id join clients_v c on c.id = d.client_id""")
 def _(v):
-    rows = v.requirements.join(_owners(v), "analysis_id")
-    return E.verdict_requests(rows, E.few_shot_block(few(v))).select("analysis_id", "id", F.md5("request").alias("digest"))
+    return E.hypothesis_requests(full_requirements(v)).select("analysis_id", "id", F.md5("request").alias("digest"))
 
 
-@query("e17_parse_verdicts", """select analysis_id, id, case when page % 4 = 0 then 'ambiguous' else status end status, case when page % 4 = 0 then 0.5 when page % 4 = 1 then least(confidence + 0.5, 1) else confidence end::double llm_confidence, case when page % 4 = 0 then 0 else 1 end n_evidence from requirements_v""")
+@query("e17_parse_verdicts", """select analysis_id, id, case when page % 4 = 0 then 'ambiguous' else status end status, case when page % 4 = 0 then 0.5 when page % 4 = 1 then least(confidence + 0.5, 1) else confidence end::double llm_confidence,
+  case when page % 4 = 0 then '' else 'e|' || source end evidence, case when page % 4 = 0 then '' else verdict end verdict from requirements_v""")
 def _(v):
-    text = F.concat(F.lit('```json\n{"status": "'), F.upper("status"), F.lit('", "evidence": ["e", " "], "confidence": '), F.when(F.col("page") % 4 == 1, F.col("confidence") + 0.5).otherwise(F.col("confidence")).cast("string"), F.lit("}\n```"))
+    text = F.concat(F.lit('```json\n{"status": "'), F.upper("status"), F.lit('", "verdict": " '), "verdict", F.lit(' ", "evidence": ["e", "", " '), "source", F.lit('"], "confidence": '), F.when(F.col("page") % 4 == 1, F.col("confidence") + 0.5).otherwise(F.col("confidence")).cast("string"), F.lit("}\n```"))
     rows = v.requirements.select("analysis_id", "id", F.when(F.col("page") % 4 == 0, '{"status": "perhaps", "confidence": "high"}').otherwise(text).alias("response"))
-    return E.parse_verdicts(rows).select("analysis_id", "id", "status", "llm_confidence", F.size("evidence").alias("n_evidence"))
+    return E.parse_verdicts(rows).select("analysis_id", "id", "status", "llm_confidence", F.array_join("evidence", "|").alias("evidence"), "verdict")
 
 
 JUDGED = """select analysis_id, id, case when page % 5 = 0 then 'missing' when page % 5 = 1 then 'ambiguous' else status end status,
+  case when page % 5 = 0 then 'Aucun extrait pertinent trouvé dans la base indexée.' when page % 5 = 1 then 'Erreur pendant l''analyse : timeout' else verdict end verdict,
+  case when page % 5 in (0, 1) then 0 else confidence end::double llm_confidence, case when page % 5 = 0 then 0 else 0.5 end::double retrieval_confidence, case when page % 5 in (0, 1) then 0 else 1 end n_evidence,
   case when page % 5 = 0 then 0 when page % 5 = 1 then 0.15::double else round(0.7::double * confidence + 0.15::double, 3) end::double confidence from requirements_v"""
 
 
 def results(v):
-    base = v.requirements.select("analysis_id", "id")
-    made = v.requirements.select("analysis_id", "id", F.when(F.col("page") % 5 != 0, "text").otherwise(" ").alias("context"), F.when(F.col("page") % 5 != 1, F.col("status")).alias("result_status"), F.when(F.col("page") % 5 != 1, F.col("confidence")).alias("llm_confidence"), F.lit(0.5).alias("retrieval_confidence"))
-    return E.judged(base, made)
+    base = v.requirements.drop("status", "verdict", "confidence")
+    answered = F.col("page") % 5 != 1
+    made = v.requirements.select(
+        "analysis_id", "id", F.when(answered, F.col("status")).alias("result_status"), F.when(answered, F.col("verdict")).alias("result_verdict"),
+        F.when(answered, F.array("source")).alias("result_evidence"), F.when(answered, F.col("confidence")).alias("llm_confidence"), F.when(~answered, "timeout").alias("error"), F.lit(0.5).alias("retrieval_confidence"),
+    ).join(contexts(v), ["analysis_id", "id"])
+    return E.judged(base, made).withColumn("n_evidence", F.size("evidence"))
 
 
 @query("e18_judged", JUDGED)
 def _(v):
-    return results(v).select("analysis_id", "id", "status", "confidence")
+    return results(v).select("analysis_id", "id", "status", "verdict", "llm_confidence", "retrieval_confidence", "n_evidence", "confidence")
 
 
-@query("e19_empty_context", f"select analysis_id, id from ({JUDGED}) where status = 'missing' and confidence = 0")
+@query("e19_empty_context", f"select analysis_id, id, verdict, llm_confidence, retrieval_confidence from ({JUDGED}) where status = 'missing' and confidence = 0 and n_evidence = 0")
 def _(v):
-    return results(v).where("status = 'missing' and confidence = 0").select("analysis_id", "id")
+    return results(v).where("status = 'missing' and confidence = 0 and n_evidence = 0").select("analysis_id", "id", "verdict", "llm_confidence", "retrieval_confidence")
 
 
-@query("e20_failed_calls", f"select status, count(*) n from ({JUDGED}) group by 1")
+@query("e20_failed_calls", f"select status, verdict like 'Erreur%' failed, count(*) n from ({JUDGED}) group by 1, 2")
 def _(v):
-    return results(v).groupBy("status").agg(F.count("*").alias("n"))
+    return results(v).groupBy("status", F.col("verdict").startswith("Erreur").alias("failed")).agg(F.count("*").alias("n"))
 
 
-@query("e21_source_projection", "select analysis_id, id, left(source, 500) source, page, confidence score from requirements_v")
+@query("e21_source_projection", f"with {HITS} select query_id, count(*) n, md5(string_agg(left(text, 500) || '|' || source || '|' || page || '|' || printf('%.6f', rrf_score), chr(10) order by rank)) digest from hits group by 1")
 def _(v):
-    source = F.array(F.struct(F.left("source", F.lit(500)).alias("source"), "page", F.col("confidence").alias("score")))
-    return v.requirements.select("analysis_id", "id", F.explode(source).alias("s")).select("analysis_id", "id", "s.*")
+    line = lambda s: F.concat_ws("|", s["text"], s["source"], s["page"], F.format_string("%.6f", s["score"]))
+    return E.shown_sources(hits(v)).select("query_id", F.size("sources").cast("long").alias("n"), F.md5(F.array_join(F.transform("sources", line), "\n")).alias("digest"))
+
+
+@query("e23_repass_batch", """select analysis_id, id, 'asked' how from requirements_v where page % 3 = 0 and page % 2 = 0
+  union all select analysis_id, id, 'unsure' from requirements_v where confidence < 0.5 and page % 2 = 0 union all select analysis_id, id, 'forced' from requirements_v where page % 3 = 0""")
+def _(v):
+    rows = v.requirements.withColumn("repass_applied", F.col("page") % 2 == 1)
+    asked = rows.where("page % 3 = 0")
+    named = {"asked": E.repass_batch(rows, asked), "unsure": E.repass_batch(rows), "forced": E.repass_batch(rows, asked, force=True)}
+    each = [df.select("analysis_id", "id", F.lit(how).alias("how")) for how, df in named.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("e24_merge_repass", """select analysis_id, id, case when status = 'ambiguous' and page % 2 = 0 then 'covered' else status end status, case when status = 'ambiguous' and page % 2 = 0 then 0.9 else confidence end::double confidence, page % 2 = 1 or status = 'ambiguous' repass_applied from requirements_v""")
+@query("e24_merge_repass", """with h as (select *, status = 'ambiguous' and page % 2 = 0 hit from requirements_v) select analysis_id, id, case when hit then 'covered' else status end status, case when hit then 0.9 else confidence end::double confidence,
+  case when hit then 'again' else verdict end verdict, page % 2 = 1 or hit repass_applied, case when hit then 'large' end repass_model, case when hit then 'batch_user_request' end repass_reason from h""")
 def _(v):
     rows = v.requirements.withColumn("repass_applied", F.col("page") % 2 == 1)
-    second = v.requirements.where("status = 'ambiguous'").select("analysis_id", "id", F.lit("covered").alias("status"), F.lit(0.9).alias("confidence"))
-    return E.merge_repass(rows, second).select("analysis_id", "id", "status", "confidence", "repass_applied")
+    second = v.requirements.where("status = 'ambiguous'").select("analysis_id", "id", F.lit("covered").alias("status"), F.lit(0.9).alias("confidence"), F.lit("again").alias("verdict"))
+    return E.merge_repass(rows, second, "large").select("analysis_id", "id", "status", "confidence", "verdict", "repass_applied", "repass_model", "repass_reason")
 
 
 @query("e28_work_list", "select distinct source || ':' || cdc_id k from jobs_v j where not exists (select 1 from jobs_v r where r.source = j.source and r.cdc_id = j.cdc_id and r.status = 'success' and r.finished_at > timestamp '2024-01-30 00:00:00')")
@@ -193,7 +260,7 @@ def _(v):
     return E.work_list(keyed.select("cache_key").distinct(), done, F.lit("2024-01-31 00:00:00").cast("timestamp")).select(F.col("cache_key").alias("k"))
 
 
-@query("e29_corpus_fingerprint")
+@query("e29_corpus_fingerprint", "select collection, count(*) n, sum(('0x' || left(md5(concat_ws('|', chunk_id, coalesce(text, ''))), 8))::bigint)::bigint fingerprint from chunks_v group by 1")
 def _(v):
     return E.corpus_fingerprint(v.chunks)
 
@@ -255,11 +322,11 @@ def scored(v):
     return Q.with_scores(v.queries, scores)
 
 
-@query("i01_evaluation_rows", "select q.query_id, count(c.corpus_pos) n, md5(coalesce(string_agg(c.text, '|' order by c.corpus_pos), '')) digest, case when q.query_id % 2 = 0 then 'yes' else '' end answer from queries_v q left join chunks_v c on c.corpus_pos % 40 = q.query_id and c.corpus_pos < 120 group by q.query_id")
+@query("i01_evaluation_rows", f"""with {HITS} select q.query_id, count(h.key) n, md5(coalesce(string_agg(h.text, '|' order by h.rank), '')) digest, case when q.query_id % 2 = 0 then 'yes' else '' end answer
+  from queries_v q left join hits h on h.query_id = q.query_id group by q.query_id""")
 def _(v):
-    hits = v.chunks.where("corpus_pos < 120").select((F.col("corpus_pos") % 40).alias("query_id"), F.col("corpus_pos").alias("rank"), "text")
     answers = v.queries.where("query_id % 2 = 0").select("query_id", F.lit("yes").alias("answer"))
-    return Q.evaluation_rows(v.queries.select("query_id"), hits, answers).select("query_id", F.size("contexts").cast("long").alias("n"), F.md5(F.array_join("contexts", "|")).alias("digest"), "answer")
+    return Q.evaluation_rows(v.queries.select("query_id"), hits(v).select("query_id", "rank", "text"), answers).select("query_id", F.size("contexts").cast("long").alias("n"), F.md5(F.array_join("contexts", "|")).alias("digest"), "answer")
 
 
 @query("i02_scores", f"with {SCORED} select query_id, m faithfulness from sc")

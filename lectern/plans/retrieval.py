@@ -8,10 +8,10 @@ from lectern.operators import retrieval as R
 from lectern.plans.registry import query
 
 TOK = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s]+'), lambda t: t <> '')"
-STATS = f"""dt as (select corpus_pos, {TOK} t from chunks_v), size as (select count(*) n, avg(len(t)) avgdl from dt),
-  post as (select corpus_pos, len(t) len, unnest(t) term from dt), tf as (select term, corpus_pos, len, count(*) tf from post group by all),
-  dfs as (select term, count(*) df, ln((any_value(n) - count(*) + 0.5)::double / (count(*) + 0.5)) raw from tf, size group by term),
-  idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from dfs) else raw end idf from dfs)"""
+STATS = f"""dt as materialized (select corpus_pos, {TOK} t from chunks_v), size as materialized (select count(*) n, avg(len(t)) avgdl from dt),
+  post as (select corpus_pos, len(t) len, unnest(t) term from dt), tf as materialized (select term, corpus_pos, len, count(*) tf from post group by all),
+  dfs as materialized (select term, count(*) df, ln(((select n from size) - count(*) + 0.5)::double / (count(*) + 0.5)) raw from tf group by term),
+  mn as materialized (select avg(raw) mean from dfs), idf as materialized (select term, df, case when raw < 0 then 0.25 * mean else raw end idf from dfs, mn)"""
 BM25 = f"""{STATS}, qt as (select query_id, unnest({TOK}) term from queries_v), qc as (select query_id, term, count(*) times from qt group by all),
   sc as (select query_id, corpus_pos, round(sum(times * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))), 9) score from tf join qc using (term) join idf using (term), size group by all),
   sparse as (select * from (select *, row_number() over (partition by query_id order by score desc, corpus_pos) - 1 as rank from sc) where rank < 20 and score > 0)"""
@@ -50,7 +50,7 @@ def _(v):
 
 @query("d02_term_statistics", f"with {STATS} select term, df, round(idf, 6) idf from idf")
 def _(v):
-    return R.term_statistics(v.chunks).withColumn("idf", F.round("idf", 6))
+    return R.term_statistics(R.indexed(v.chunks)).withColumn("idf", F.round("idf", 6))
 
 
 @query("d03_bm25", f"with {BM25} select query_id, corpus_pos, round(score, 6) score, rank from sparse")
@@ -160,6 +160,17 @@ def _(v):
     return v.clients.select("id", R.tenant_collection(F.col("name")).alias("collection"))
 
 
+@query("d19_visible_chunks", """select id as user, count(*) filter (where mine) own, count(*) filter (where not mine) shared from (
+    select u.id, c.collection = u.collection mine from (select distinct id, case when id % 2 = 0 then 'private' else 'rag_' || id end collection from clients_v where id % 20 = 0) u
+    join chunks_v c on c.collection in (u.collection, 'knowledge_base')) group by 1""")
+def _(v):
+    own = F.when(F.col("id") % 2 == 0, "private").otherwise(F.concat(F.lit("rag_"), "id"))
+    users = v.clients.where("id % 20 = 0").select(F.col("id").alias("user"), own.alias("collection"))
+    seen = R.visible_chunks(users, v.chunks)
+    shared = F.col("collection") == "knowledge_base"
+    return seen.groupBy("user").agg(F.count_if(~shared).alias("own"), F.count_if(shared).alias("shared"))
+
+
 @query("d20_collection_isolation", "select collection, count(*) n, min(corpus_pos) first_pos from chunks_v where collection in ('knowledge_base') group by 1")
 def _(v):
     return v.chunks.where(F.col("collection").isin("knowledge_base")).groupBy("collection").agg(F.count("*").alias("n"), F.min("corpus_pos").alias("first_pos"))
@@ -179,22 +190,33 @@ def _(v):
     return R.history_window(v.messages, 2, 200).withColumn("place", F.col("place").cast("long"))
 
 
-@query("d23_prompt_messages", f"""with {HITS}, {HISTORY}, b as (select query_id, {JOINED} context from hits group by 1), h as (select conv_id, string_agg(role || '=' || text, '|' order by place) past from hist group by 1)
-  select q.query_id, md5(concat_ws('|', 'system=Context:' || chr(10) || coalesce(context, ''), past, 'user=' || text)) digest from queries_v q left join b using (query_id) left join h on h.conv_id = q.query_id""")
+@query("d23_prompt_messages", f"""with {HITS}, {HISTORY}, sb as (select query_id, scope, {JOINED} context from hits group by 1, 2),
+  b as (select query_id, string_agg(case scope when 'private' then '### PRIVATE' else '### PUBLIC' end || chr(10) || context, chr(10) || chr(10) order by scope desc) context, bool_or(scope = 'private') own, bool_or(scope = 'knowledge_base') kb from sb group by 1),
+  h as (select conv_id, string_agg(role || '=' || text, '|' order by place) past from hist group by 1)
+  select q.query_id, md5(concat_ws('|', 'system=' || case when own and kb then '{R.STRUCTURE["both"].replace("'", "''")}' when own then '{R.STRUCTURE["private"]}' else '{R.STRUCTURE["public"]}' end || chr(10) || 'Context:' || chr(10) || coalesce(context, ''), past, 'user=' || text)) digest
+  from queries_v q left join b using (query_id) left join h on h.conv_id = q.query_id""")
 def _(v):
     asked = v.queries.withColumn("conv_id", F.col("query_id"))
-    messages = R.prompt_messages(R.context_block(hits(v), "query_id"), asked, R.history_window(v.messages, 2, 200))
+    messages = R.prompt_messages(R.two_block_context(hits(v)), asked, R.history_window(v.messages, 2, 200))
     return messages.select("query_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "|")).alias("digest"))
 
 
+# Hypotheses of two of three queries, each with the vector of the query twenty places on.
 HYDE = f"""hq as (select query_id, left(trim(left(text, 60)), 600) text from queries_v where query_id % 3 > 0), ht as (select query_id, unnest({TOK}) term from hq), hc as (select query_id, term, count(*) times from ht group by all),
   hs as (select query_id, corpus_pos, round(sum(times * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))), 9) score from tf join hc using (term) join idf using (term), size group by all),
-  hyde as (select * from (select *, row_number() over (partition by query_id order by score desc, corpus_pos) - 1 as rank from hs) where rank < 20 and score > 0)"""
+  hsp as (select * from (select *, row_number() over (partition by query_id order by score desc, corpus_pos) - 1 as rank from hs) where rank < 20 and score > 0),
+  hd as (select query_id - 20 query_id, chunk_pos, score, rank from dense where query_id >= 20),
+  hf as (select query_id, key, round(sum(1 / (61.0::double + rank)), 6) rrf_score, min((list_no, rank)) seen, max(case when list_no = 0 then score end) dense_score from (select query_id, 0 list_no, rank, chunk_pos as key, score from hd union all select query_id, 1, rank, corpus_pos, score from hsp) group by query_id, key),
+  hyde as (select * from (select *, row_number() over (partition by query_id order by rrf_score desc, seen, key) - 1 as rank from hf) where rank < 10),
+  raw as (select * from fused)"""
+BOTH = "select query_id, 0 list_no, rank, key, rrf_score score from raw union all select query_id, 1, rank, key, rrf_score from hyde"
 
 
-@query("e13_hypotheses", f"""with {BM25}, {HYDE}, {fuse('select query_id, 0 list_no, rank, corpus_pos as key, score from sparse union all select query_id, 1, rank, corpus_pos, score from hyde', 'query_id', 10)}
-  select query_id, key, rrf_score, rank from fused""")
+@query("e13_hypotheses", f"""with {BM25}, {DENSE}, {fuse(LISTS, 'query_id', 10)}, {HYDE}, {fuse(BOTH, 'query_id', 10).replace('fs as', 'gs as').replace('from fs', 'from gs').replace('fused as', 'last as')}
+  select query_id, key, rrf_score, rank from last""")
 def _(v):
     hypotheses = v.queries.select("query_id", F.when(F.col("query_id") % 3 > 0, F.left("text", F.lit(60))).alias("hypothesis"))
-    raw, more = (R.bm25(v.chunks, q).withColumnRenamed("corpus_pos", "key") for q in (v.queries, R.with_hypotheses(v.queries, hypotheses)))
-    return R.fuse_with_hypotheses(raw, more).select("query_id", "key", "rrf_score", F.col("rank").cast("long").alias("rank"))
+    moved = v.query_vectors.where("query_id >= 20").withColumn("query_id", F.col("query_id") - 20)
+    raw = hybrid(v, 10)
+    more = R.hybrid(v.chunks, v.vectors, R.with_hypotheses(v.queries, hypotheses), moved, 10)
+    return R.fuse_with_hypotheses(*(h.withColumn("score", F.col("rrf_score")) for h in (raw, more))).select("query_id", "key", "rrf_score", F.col("rank").cast("long").alias("rank"))

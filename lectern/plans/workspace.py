@@ -12,7 +12,8 @@ STATE = """state as (select analysis_id, requirement_id, user_id, min(updated_at
   substr(sha1(concat_ws('|', analysis_id, requirement_id, user_id)), 1, 16) id
   from votes_v where vote in ('up', 'down') group by 1, 2, 3)"""
 LAST = "last as (select * from (select *, row_number() over (partition by cdc_id order by created_at desc, id desc) rn from analyses_v) where rn = 1)"
-KEY = "sha256(concat_ws('||', trim(regexp_replace(lower(coalesce(category, '')), '\\s+', ' ', 'g')), '', trim(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g'))))"
+NORM = "trim(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'))"
+KEY = f"sha256(concat_ws('||', {', '.join(NORM.format(c) for c in ('category', 'subdomain', 'title'))}))"
 
 
 @query("f01_clients", "select c.user_id, c.id, c.name, count(d.id) cdc_count from clients_v c left join cdcs_v d on d.client_id = c.id group by all")
@@ -36,9 +37,10 @@ def _(v):
     return W.owned_analyses(v.analyses, v.cdcs, v.clients).select("id", "cdc_id", "user_id")
 
 
-@query("f05_analysis_status", f"with {LAST} select c.id, case when l.id is null then 'brouillon' when version <> 'v2' then 'périmé' else 'analysé' end status from cdcs_v c left join last l on l.cdc_id = c.id")
+@query("f05_analysis_status", f"""with {LAST} select c.id, case when l.id is null then 'brouillon' when version <> 'v2' or fingerprint <> 'f2' then 'périmé' else 'analysé' end status
+    from cdcs_v c left join last l on l.cdc_id = c.id""")
 def _(v):
-    return W.analysis_status(v.cdcs, v.analyses, "v2")
+    return W.analysis_status(v.cdcs, v.analyses, "v2", "f2")
 
 
 @query("f06_feedback_upsert", f"with {STATE} select id, analysis_id, requirement_id, user_id, vote, comment, created_at, updated_at from state")
@@ -88,15 +90,14 @@ def _(v):
     return W.corrected_coverage(v.requirements, W.upsert_votes(v.votes))
 
 
-def _owners(v):
-    return W.owned_analyses(v.cdcs.select(F.col("id").alias("analysis_id"), F.col("id").alias("cdc_id")), v.cdcs, v.clients).select("analysis_id", "user_id")
+BOOSTS = f"""with {STATE}, b as (select s.user_id, lower(trim(r.source)) source, count(*) n from state s join cdcs_v d on d.id = s.analysis_id
+      join clients_v c on c.id = d.client_id and c.user_id = s.user_id join sources_v r on r.analysis_id = s.analysis_id and r.requirement_id = s.requirement_id where vote = 'up' and trim(r.source) <> '' group by 1, 2)
+    select user_id, source, n, round(least(1 + 0.1::double * n, 1.5), 4) factor from b"""
 
 
-@query("f14_source_boosts", f"""with {STATE}, b as (select s.user_id, lower(trim(r.source)) source, count(*) n from state s join cdcs_v d on d.id = s.analysis_id
-      join clients_v c on c.id = d.client_id and c.user_id = s.user_id join requirements_v r on r.analysis_id = s.analysis_id and r.id = s.requirement_id where vote = 'up' group by 1, 2)
-    select user_id, source, n, round(least(1 + 0.1::double * n, 1.5), 4) factor from b""")
+@query("f14_source_boosts", BOOSTS)
 def _(v):
-    return W.source_boosts(W.upsert_votes(v.votes), v.requirements, _owners(v))
+    return W.source_boosts(W.upsert_votes(v.votes), v.sources, W.owners(v.cdcs, v.clients))
 
 
 @query("f15_latest_corrections", f"""select user_id, content_key, analysis_id, requirement_id from (select *, row_number() over (partition by user_id, content_key order by analysis_id desc, requirement_id desc) rn
@@ -105,11 +106,26 @@ def _(v):
     return W.latest_corrections(W.upsert_corrections(v.corrections)).select("user_id", "content_key", "analysis_id", "requirement_id")
 
 
-@query("f16_feedback_export", f"""with {STATE}, l as (select * from (select *, row_number() over (partition by analysis_id, requirement_id order by updated_at desc, id desc) rn from state) where rn = 1)
-    select r.analysis_id, r.id, r.title, r.category, r.status, printf('%.3f', r.confidence) confidence, printf('%s p.%d (%.3f)', r.source, r.page, r.confidence) sources,
-           coalesce(l.vote, '') vote, coalesce(l.comment, '') "comment" from requirements_v r left join l on l.analysis_id = r.analysis_id and l.requirement_id = r.id""")
+SHORT = "case when length(x) > 500 then left(x, 499) || '…' else x end"
+EXPORT = f"""{STATE}, l as (select * from (select *, row_number() over (partition by analysis_id, requirement_id order by updated_at desc, id desc) rn from state) where rn = 1),
+    ev as (select analysis_id, requirement_id, {SHORT} quotes from (select analysis_id, requirement_id, string_agg(trim(quote), ' | ' order by pos) x from evidence_v where trim(quote) <> '' group by 1, 2)),
+    sr as (select analysis_id, requirement_id, {SHORT} cited from (select analysis_id, requirement_id, string_agg(coalesce(trim(source), '?') || coalesce(' p.' || page, '') || coalesce(printf(' (%.3f)', score), ''), ' | ' order by pos) x from sources_v group by 1, 2)),
+    ex as (select r.analysis_id::varchar analysis_id, coalesce(a.filename, '') cdc_filename, r.id requirement_id, coalesce(r.title, '') requirement_title, coalesce(r.category, 'Autre') "domain", coalesce(r.subdomain, '') subdomain, r.priority, r.status,
+      coalesce(printf('%.3f', r.confidence), '') confidence, coalesce(r.verdict, '') verdict, coalesce(quotes, '') evidence_concatenated, coalesce(cited, '') sources_concatenated,
+      coalesce(l.vote, '') vote, coalesce(l.comment, '') "comment", coalesce(strftime(l.updated_at, '%Y-%m-%d %H:%M:%S'), '') voted_at, coalesce(l.user_id::varchar, '') voted_by
+      from requirements_v r left join (select id, 'spec-' || id || '.docx' filename from cdcs_v) a on a.id = r.analysis_id left join l on l.analysis_id = r.analysis_id and l.requirement_id = r.id
+      left join ev on ev.analysis_id = r.analysis_id and ev.requirement_id = r.id left join sr on sr.analysis_id = r.analysis_id and sr.requirement_id = r.id)"""
+
+
+def exported(v):
+    files = v.cdcs.select(F.col("id").alias("analysis_id"), F.concat(F.lit("spec-"), "id", F.lit(".docx")).alias("filename"))
+    votes = W.upsert_votes(v.votes).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+    return W.feedback_export(v.requirements, votes, files, v.evidence, v.sources)
+
+
+@query("f16_feedback_export", f"with {EXPORT} select * from ex")
 def _(v):
-    return W.feedback_export(v.requirements, W.upsert_votes(v.votes))
+    return exported(v)
 
 
 @query("f17_down_voted", f"with {STATE} select distinct user_id, analysis_id, requirement_id from state where vote = 'down'")
@@ -126,25 +142,40 @@ def _(v):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("f19_conversations", "select conv_id, count(*) n_messages, max(turn) last_turn from messages_v group by 1")
+@query("f19_conversations", """select *, row_number() over (partition by user_id order by updated_at desc, id) place from (
+    select c.user_id, c.id, c.title, c.updated_at, count(m.conv_id) message_count from threads_v c left join messages_v m on m.conv_id = c.id group by all)""")
 def _(v):
-    return W.conversations_with_counts(v.messages)
+    return W.conversations_with_counts(v.threads, v.messages)
+
+
+RATED = """rt as (select conv_id, turn, user_id, arg_max(rating, (rated_at, rating)) rating from message_feedback_v where rating in (1, -1) group by 1, 2, 3)"""
 
 
-@query("f20_messages_with_feedback", "select m.conv_id, m.turn, m.role, f.rating from messages_v m left join message_feedback_v f using (conv_id, turn)")
+@query("f20_messages_with_feedback", f"""with {RATED} select m.conv_id, m.turn, m.role, rt.rating,
+    case when sources_json is null or sources_json = '{{broken' then '' else concat('src', m.conv_id % 20, ' ', m.turn, ', kb ') end sources from messages_v m left join rt using (conv_id, turn)""")
 def _(v):
-    return W.messages_with_feedback(v.messages, v.message_feedback).select("conv_id", "turn", "role", "rating")
+    rows = W.messages_with_feedback(v.messages, W.upsert_ratings(v.message_feedback, v.messages))
+    shown = F.array_join(F.transform("sources", lambda s: F.concat(s["source"], F.lit(" "), F.coalesce(s["page"], F.lit("")))), ", ")
+    return rows.select("conv_id", "turn", "role", "rating", shown.alias("sources"))
 
 
-@query("f21_rating_upsert", "select conv_id, turn, user_id, max(rating) rating from message_feedback_v where rating in (1, -1) group by 1, 2, 3")
+@query("f21_rating_upsert", f"with {RATED} select * from rt")
 def _(v):
     return W.upsert_ratings(v.message_feedback, v.messages)
 
 
-@query("f22_conversation_export", "select conv_id, string_agg(concat(turn, ':', role, ':', md5(text)), '|' order by turn, role, text) digest from messages_v group by 1")
+@query("f21_rating_clear", f"with {RATED} select * from rt where turn % 4 <> 1")
+def _(v):
+    return W.clear_ratings(W.upsert_ratings(v.message_feedback, v.messages), v.message_feedback.where("turn % 4 = 1"))
+
+
+JSON_SOURCES = """case when sources_json is null or sources_json = '{broken' then [] else [json_object('source', 'src' || (conv_id % 20), 'page', turn::varchar), json_object('source', 'kb')] end"""
+
+
+@query("f22_conversation_export", f"""with m as (select conv_id, list(json_object('turn', turn, 'role', role, 'content', text, 'sources', {JSON_SOURCES}) order by turn, role, text) said from messages_v group by 1)
+    select c.id, md5(json_object('id', c.id, 'user_id', c.user_id, 'title', c.title, 'updated_at', c.updated_at, 'messages', coalesce(said, []))::varchar) digest from threads_v c left join m on m.conv_id = c.id""")
 def _(v):
-    line = lambda m: F.concat_ws(":", m["turn"], m["role"], F.md5(m["text"]))
-    return W.conversation_export(v.messages).select("conv_id", F.array_join(F.transform("messages", line), "|").alias("digest"))
+    return W.conversation_export(v.threads, v.messages).select("id", F.md5("document").alias("digest"))
 
 
 @query("f23_job_history", "select id, source, status from jobs_v where source = 1 and status in ('success', 'error') order by finished_at desc, id desc limit 50 offset 10")

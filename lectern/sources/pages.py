@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.texts import strip
+
 #: Months in French, with and without accents.
 MONTHS = {"janvier": 1, "février": 2, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "decembre": 12}
 DROPPED = "nav|header|footer|script|style|noscript|form|aside"
@@ -23,13 +27,25 @@ def main_part(html: Column) -> Column:
     return F.coalesce(part("article"), part("main"), part("body"), html)
 
 
+def stripped_nodes(markup: Column) -> Column:
+    """The texts between tags, each stripped, with one space between."""
+    nodes = F.transform(F.split(markup, "(?s)<[^>]*>"), lambda t: strip(unescape(t)))
+    return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
+
+
 def clean_text(html: Column) -> Column:
-    """Text of headings, paragraphs, list items and cells, a line each; each block is cut at the next opener."""
+    """Text of headings, paragraphs, list items and cells, a line each, headings with a blank line on either side.
+
+    Each block is cut at the next opener; texts of less than three characters go.
+    """
     bare = F.regexp_replace(html, f"(?is)<!--.*?-->|<({DROPPED})\\b[^>]*>.*?</\\1>|<div class=\"ad\">.*?</div>", "")
     marked = F.regexp_replace(bare, "(?i)<(h[1-4]|p|li|td|th)\\b[^>]*>", "\u0001$1\u0002")
     blocks = F.slice(F.split(marked, "\u0001"), 2, 1_000_000)
     text = lambda b: F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace(b, "^[^\u0002]*\u0002", ""), "(?s)<[^>]*>", " ")), "\\s+", " "))
-    return F.array_join(F.filter(F.transform(blocks, text), lambda t: F.length(t) >= 3), "\n")
+    named = F.transform(blocks, lambda b: F.struct(F.lower(F.left(b, F.lit(1))).alias("tag"), text(b).alias("text")))
+    kept = F.filter(named, lambda x: F.length(x["text"]) >= 3)
+    line = lambda x: F.when(x["tag"] == "h", F.concat(F.lit("\n"), x["text"], F.lit("\n"))).otherwise(x["text"])
+    return F.array_join(F.transform(kept, line), "\n")
 
 
 def title(html: Column, slug: Column) -> Column:
@@ -68,10 +84,60 @@ def legal_references(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda u: F.trim(u)), lambda u: F.startswith(u, F.lit("http")))
 
 
+#: Elements of a record whose texts make its body.
+BODY = ("Titre", "Paragraphe", "Texte", "Liste")
+
+
+def element(xml: Column, name: str) -> Column:
+    """The stripped text of the first element of that name, null without one."""
+    found = strip(F.xpath_string(xml, F.lit(f"//*[name()='{name}']")))
+    return F.nullif(found, F.lit(""))
+
+
 def record_body(xml: Column) -> Column:
-    """Paragraph texts of over three characters, a blank line between."""
-    texts = F.filter(F.transform(F.xpath(xml, F.lit("//Titre/text()|//Paragraphe/text()|//Texte/text()")), lambda t: F.trim(t)), lambda t: F.length(t) > 3)
-    return F.array_join(texts, "\n\n")
+    """The description and the texts of titles, paragraphs, texts and lists in order, a blank line between.
+
+    What lies inside a list counts for the list and for itself; texts of up to three characters go.
+    """
+    parts = F.split(xml, f"<(?=(?:{'|'.join(BODY)})[\\s>])")
+    inside = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.regexp_extract(p, f"^({'|'.join(BODY)})[\\s>]", 1).alias("name"))), lambda x: x["name"] != "")
+
+    def text(x: Column) -> Column:
+        rest = F.array_join(F.slice(parts, x["i"] + 1, F.size(parts)), "<")
+        content = F.regexp_replace(F.get(F.split(rest, F.concat(F.lit("</"), x["name"], F.lit("\\s*>")), 2), F.lit(0)), "(?s)^[^>]*>", "")
+        return stripped_nodes(content)
+
+    texts = F.filter(F.transform(inside, text), lambda t: F.length(t) > 3)
+    return F.array_join(F.concat(F.filter(F.array(F.coalesce(element(xml, "dc:description"), F.lit(""))), lambda d: d != ""), texts), "\n\n")
+
+
+def parse_records(files: DataFrame, url_base: str = "") -> DataFrame:
+    """A row for each file (name, xml) that holds a publication: id, url, date, title, subject, references and text."""
+    attribute = lambda a: F.nullif(F.xpath_string("xml", F.lit(f"//Publication/@{a}")), F.lit(""))
+    xml = F.col("xml")
+    named = files.where(F.contains(xml, F.lit("<Publication"))).withColumn("source_id", F.coalesce(attribute("ID"), F.regexp_replace("name", "\\.xml$", "")))
+    return named.select(
+        "source_id",
+        F.coalesce(attribute("spUrl"), F.concat(F.lit(url_base), "source_id")).alias("url"),
+        F.left(attribute("dateDerniereModificationImportante"), F.lit(10)).alias("updated"),
+        F.coalesce(element(xml, "dc:title"), "source_id").alias("title"),
+        F.coalesce(element(xml, "dc:subject"), F.lit("")).alias("subject"),
+        legal_references(F.coalesce(element(xml, "dc:source"), F.lit(""))).alias("references"),
+        record_body(xml).alias("text"),
+    )
+
+
+def with_metadata(pages: DataFrame, source: str, domains: list[str]) -> DataFrame:
+    """``pages`` with ``metadata``, the same fields for all sources; a page's own ``domaine`` comes before the source's.
+
+    ``pages`` has source_id, title, url, updated, page and domaine, each of which may be null.
+    """
+    own = F.when(F.col("domaine").isNotNull(), F.array("domaine")).otherwise(F.array(*map(F.lit, domains)))
+    fields = {
+        "source": F.lit(source), "source_id": F.col("source_id"), "title": F.col("title"), "url_canonique": F.col("url"), "date_maj": F.col("updated").cast("string"),
+        "domaine": own, "version": F.lit(None).cast("string"), "language": F.lit("fr"), "scope": F.lit("kb"), "page": F.coalesce(F.col("page").cast("string"), F.lit("?")),
+    }
+    return pages.withColumn("metadata", F.struct(*(c.alias(k) for k, c in fields.items())))
 
 
 def pack_paragraphs(text: Column, limit: int = 1800) -> Column:
@@ -92,9 +158,9 @@ def pack_paragraphs(text: Column, limit: int = 1800) -> Column:
     return F.when(F.size(paragraphs) > 0, packed).otherwise(F.filter(F.array(F.left(text, F.lit(limit))), lambda t: t != ""))
 
 
-def packed_sections(pages: DataFrame) -> DataFrame:
+def packed_sections(pages: DataFrame, limit: int = 1800) -> DataFrame:
     """A row for each piece of each page with its label; ``pages`` has source, source_id, text and more."""
-    pieces = pack_paragraphs(F.col("text"))
+    pieces = pack_paragraphs(F.col("text"), limit)
     spread = pages.withColumn("__n", F.size(pieces)).select("*", F.posexplode(pieces).alias("pos", "chunk"))
     return spread.withColumn("page", F.concat(F.lit("section-"), F.col("pos") + 1, F.lit("/"), "__n")).drop("__n")
 
@@ -106,18 +172,51 @@ def length_guard(chunks: DataFrame, least: int = 50, most: int = 12_000) -> Data
 
 
 def stable_ids(chunks: DataFrame) -> DataFrame:
-    """Place of each chunk in its record after the guard, and an id made of source, record, label and place."""
-    place = F.row_number().over(Window.partitionBy("source", "source_id").orderBy("pos")) - 1
+    """Place of each chunk in its record after the guard, and an id made of source, record, label and place; a record is one page."""
+    place = F.row_number().over(Window.partitionBy("source", "source_id").orderBy("pos", "chunk")) - 1
     return chunks.withColumn("place", place).withColumn("chunk_id", F.left(F.sha2(F.concat_ws("::", "source", "source_id", "page", "place"), 256), F.lit(32)))
 
 
 def run_report(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pages fetched, chunks made and error pages of each source."""
     made = chunks.groupBy("source").agg(F.count("*").alias("chunks"))
-    got = pages.groupBy("source").agg(F.count_distinct("source_id").alias("fetched"), F.count_if("failed").alias("errors"))
+    got = pages.groupBy("source").agg(F.count_distinct("source_id").alias("fetched"), F.count("error").alias("errors"))
     return got.join(made, "source", "left").select("source", "fetched", F.coalesce("chunks", F.lit(0)).alias("chunks"), "errors")
 
 
+def run_errors(pages: DataFrame) -> DataFrame:
+    """What went wrong, a row for each page with an ``error``; a page that fails doesn't end the run."""
+    return pages.where("error is not null").select("source", "source_id", F.concat(F.lit("parse/chunk failed: "), "error").alias("message"))
+
+
+@dataclass(frozen=True)
+class Source:
+    """How pages of one source become chunks: its rules, the domains it stands for, and the size of its pieces."""
+
+    name: str
+    domains: tuple[str, ...]
+    marker: str
+    ids: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+    strict: bool = False
+    limit: int = 1800
+
+
+def run_source(pages: DataFrame, source: Source) -> DataFrame:
+    """source, source_id, page, chunk_id, chunk and metadata of the pages (url, html) of a source, all of its rules applied.
+
+    Error pages and pages out of scope go; without ids and words all are in scope.
+    """
+    kept = pages.where(~is_error_page(F.col("url"), F.col("html"), source.marker)).withColumn("source_id", slug(F.col("url")))
+    if source.ids or source.words:
+        kept = kept.where(in_scope(F.col("source_id"), F.col("url"), list(source.ids), None if source.strict else list(source.words)))
+    text = clean_text(main_part(F.col("html")))
+    made = kept.select("url", "source_id", F.lit(source.name).alias("source"), title(F.col("html"), F.col("source_id")).alias("title"), text.alias("text"))
+    dated = made.withColumns({"updated": F.coalesce(numeric_date(F.col("text")), french_date(F.col("text"))), "domaine": F.lit(None).cast("string")})
+    pieces = stable_ids(length_guard(packed_sections(dated, source.limit)))
+    return with_metadata(pieces, source.name, list(source.domains)).select("source", "source_id", "page", "place", "chunk_id", "chunk", "metadata")
+
+
 def length_statistics(chunks: DataFrame) -> DataFrame:
     n = F.length("chunk")
     return chunks.groupBy("source").agg(F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(F.avg(n), 6).alias("mean"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.texts import strip
+
+#: Endings of the files that can be read.
 SUPPORTED = (".pdf", ".docx", ".txt", ".md", ".xlsx", ".xls")
 REPORT = "struct<filename:string,requirements:array<struct<id:string,title:string,status:string,confidence:double>>>"
 
@@ -29,10 +32,13 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("question", "ground_truth").na.drop()
 
 
-def read_records(spark: SparkSession, path: str, row_tag: str = "Publication") -> DataFrame:
-    """XML records whose file name starts with F or N."""
-    rows = spark.read.format("xml").option("rowTag", row_tag).load(path)
-    return rows.where(F.regexp_extract(F.col("_metadata.file_name"), "^[FN]", 0) != "")
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """name and xml of the XML files whose name starts with F or N, whole; see :func:`lectern.sources.pages.parse_records`."""
+    return of_records(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("xml")))
+
+
+def of_records(files: DataFrame) -> DataFrame:
+    return files.where(F.col("name").rlike("^[FN].*\\.xml$"))
 
 
 def parse_report(text: Column) -> Column:
@@ -89,19 +95,64 @@ def write_evaluation_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def report_markdown(requirements: DataFrame) -> DataFrame:
-    """A report of each analysis: its counts, then its requirements by status in the fixed order."""
-    order = F.array_position(F.array(*map(F.lit, ("covered", "partial", "missing", "ambiguous"))), F.col("status"))
-    line = F.struct(order.alias("o"), F.col("id").alias("i"), F.concat(F.lit("- "), "id", F.lit(" ["), "status", F.lit("] "), F.coalesce("title", F.lit(""))).alias("l"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n")
-    head = F.concat(F.lit("| total | covered |\n| "), F.count("*"), F.lit(" | "), F.count_if(F.col("status") == "covered"), F.lit(" |\n\n"))
-    return requirements.groupBy("analysis_id").agg(F.concat(head, body).alias("markdown"))
+#: How reports call the statuses, and the headings of their groups in order.
+STATUS_LABEL = {"covered": "Couvert", "partial": "Partiel", "missing": "Manquant", "ambiguous": "Ambigu"}
+GROUPS = {"covered": "Exigences couvertes", "partial": "Exigences partielles", "missing": "Exigences manquantes", "ambiguous": "Exigences ambiguës"}
+#: The rows of the summary table.
+SUMMARY = {"covered": "Couvertes", "partial": "Partielles", "missing": "Manquantes", "ambiguous": "Ambiguës"}
+#: The columns of the flat export.
+FLAT = ("ID", "Titre", "Catégorie", "Priorité", "Statut", "Verdict", "Description", "Critères d'acceptation", "Localisation source", "Preuves", "Sources retrouvées")
+
+
+def _joined(lines: Column, sep: str = "\n") -> Column:
+    return F.array_join(lines, sep)
+
+
+def _entry() -> Column:
+    """A requirement of a report: what it is, says and rests on; what is empty is left out."""
+    label = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"**{name}** : "), c, F.lit("  \n"))).otherwise("")
+    block = lambda head, lines, show: F.when(F.size(lines) > 0, F.concat(F.lit(f"**{head}** :\n"), _joined(F.transform(lines, show)), F.lit("\n\n"))).otherwise("")
+    bullet = lambda x: F.concat(F.lit("- "), x)
+
+    def source(s: Column) -> Column:
+        page, score = F.concat(F.lit("p."), s["page"].cast("string")), F.concat(F.lit("score "), F.format_string("%.3f", s["score"]))
+        extra = F.concat_ws(", ", F.when(s["page"].isNotNull(), page), F.when(s["score"].isNotNull(), score))
+        return F.concat(F.lit("- "), F.coalesce(F.nullif(s["source"], F.lit("")), F.lit("?")), F.when(extra != "", F.concat(F.lit(" ("), extra, F.lit(")"))).otherwise(""))
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(
+        F.lit("### "), "id", F.lit(" — "), text("title"), F.lit("\n"), label("Catégorie", F.col("category")), label("Priorité", F.col("priority")), label("Localisation source", F.col("source_location")), F.lit("\n"),
+        F.when(text("description") != "", F.concat("description", F.lit("\n\n"))).otherwise(""),
+        F.when(text("verdict") != "", F.concat(F.lit("> **Verdict** — "), "verdict", F.lit("\n\n"))).otherwise(""),
+        block("Critères d'acceptation", F.col("acceptance_criteria"), bullet), block("Preuves", F.col("evidence"), bullet), block("Sources retrouvées", F.col("sources"), source), F.lit("---\n"),
+    )
+
+
+def report_markdown(requirements: DataFrame, made_at: str = "") -> DataFrame:
+    """analysis_id and the report of each: its counts, then its requirements by status in the fixed order.
+
+    ``requirements`` has filename and, besides texts, the arrays acceptance_criteria, evidence and sources
+    (source, page, score).  Statuses other than the four count in the total but aren't shown.
+    """
+    status = F.lower(F.coalesce("status", F.lit("")))
+    entries = requirements.select("analysis_id", "filename", "id", status.alias("status"), _entry().alias("entry"))
+    ordered = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("id", "entry"))))
+    gathered = entries.groupBy("analysis_id").agg(F.max("filename").alias("filename"), F.count("*").alias("total"), *(ordered(s).alias(s) for s in GROUPS))
+    share = F.round(100 * (F.size("covered") + 0.5 * F.size("partial")) / F.col("total"), 1)
+    rows = [F.concat(F.lit(f"| {label} | "), F.size(s).cast("string"), F.lit(" |\n")) for s, label in SUMMARY.items()]
+    table = F.concat(F.lit("## Synthèse\n\n| Indicateur | Valeur |\n|---|---|\n| Total exigences | "), F.col("total").cast("string"), F.lit(" |\n"), *rows, F.lit("| **Couverture** | **"), F.format_string("%.1f", share), F.lit("%** |\n\n"))
+    groups = [F.when(F.size(s) > 0, F.concat(F.lit(f"## {head} ("), F.size(s).cast("string"), F.lit(")\n\n"), _joined(F.transform(s, lambda e: F.concat(e["entry"], F.lit("\n"))), ""))).otherwise("") for s, head in GROUPS.items()]
+    head = F.concat(F.lit("# Analyse de cahier des charges — "), F.coalesce("filename", F.lit("")), F.lit(f"\n\n_Généré le {made_at}_\n\n"))
+    return gathered.select("analysis_id", F.regexp_replace(F.concat(head, table, *groups), "\\n\\z", "").alias("markdown"))
 
 
 def flat_export(requirements: DataFrame) -> DataFrame:
-    """Requirements with evidence a line each and sources as ``src (p.X)``."""
-    cited = F.array_join(F.transform("sources", lambda s: F.concat(s["source"], F.lit(" (p."), s["page"], F.lit(")"))), "; ")
-    return requirements.withColumns({"evidence": F.array_join("evidence", "\n— "), "sources": cited})
+    """analysis_id and the eleven columns of FLAT: criteria and evidence a line each, sources as ``src (p.X)``."""
+    cited = lambda s: F.concat(F.coalesce(F.nullif(s["source"], F.lit("")), F.lit("?")), F.when(s["page"].isNotNull(), F.concat(F.lit(" (p."), s["page"].cast("string"), F.lit(")"))).otherwise(""))
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in STATUS_LABEL.items() for x in pair)), F.lower("status")), F.lower("status"))
+    bulleted = lambda c, mark: _joined(F.transform(c, lambda x: F.concat(F.lit(mark), x)))
+    values = [F.col("id"), F.col("title"), F.col("category"), F.col("priority"), label, F.col("verdict"), F.col("description"), bulleted("acceptance_criteria", "• "), F.col("source_location"), strip(bulleted("evidence", "— ")), _joined(F.transform("sources", cited), "; ")]
+    return requirements.select("analysis_id", *(F.coalesce(c, F.lit("")).alias(name) for name, c in zip(FLAT, values, strict=True)))
 
 
 CHUNK = T.StructType([T.StructField(c, T.StringType()) for c in ("chunk_id", "collection", "source", "text")])

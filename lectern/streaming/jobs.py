@@ -1,28 +1,49 @@
-"""Streaming jobs: incremental ingestion, redelivery, job outcomes and running feedback."""
+"""Streaming jobs: incremental ingestion, redelivery, job outcomes and running feedback.
 
-from __future__ import annotations
+A job writes what each micro-batch makes to a folder of that batch, which a batch that runs again
+replaces; :func:`current` reads the latest row of each key.  So a batch costs what it holds, whatever has
+come before, and nothing is gathered in the driver.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.chunking import fixed_chunks, stamp
+from lectern.functions.embedding import Embed
+from lectern.operators.chunking import chunk_documents
+from lectern.operators.workspace import source_boosts
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest(documents: DataFrame, out: str, checkpoint: str, pieces: Callable = fixed_chunks) -> StreamingQuery:
-    """New documents to chunks with stable ids, appended batch by batch; a batch that runs again writes the same place."""
+def to_batches(stream: DataFrame, out: str, checkpoint: str, make=None, mode: str = "append") -> StreamingQuery:
+    """All that is there now, what ``make`` makes of each batch under ``out/batch=<number>``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        cut = batch.select("source", F.posexplode(pieces(F.col("text"))).alias("chunk", "text"))
-        stamp(cut).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        made = make(batch) if make else batch
+        made.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def current(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The rows of the latest batch of each key."""
+    rows = spark.read.parquet(out)
+    last = F.max("batch").over(Window.partitionBy(*keys))
+    return rows.withColumn("last", last).where("batch = last").drop("batch", "last")
+
 
-    return documents.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def ingest(documents: DataFrame, out: str, checkpoint: str, model: Embed | None = None) -> StreamingQuery:
+    """New documents (doc_id, source, text) to chunks with stable ids.
+
+    A document that comes again replaces its chunks: :func:`current` by source and doc_id shows the
+    chunks of its latest version alone, also where it has fewer now.
+    """
+    return to_batches(documents, out, checkpoint, lambda batch: chunk_documents(batch, model))
 
 
 def once(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -31,19 +52,26 @@ def once(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def outcomes(jobs: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Successes and errors by window and source; rows later than the watermark don't count."""
+    """Successes and errors by window and source; in update mode rows later than the watermark don't count."""
     span = F.window("finished_at", window, slide) if slide else F.window("finished_at", window)
     counts = jobs.withWatermark("finished_at", delay).groupBy(span.alias("w"), "source").agg(F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "error").alias("error"))
     return counts.select(F.col("w.start").alias("start"), "source", "success", "error")
 
 
-def feedback_totals(votes: DataFrame) -> DataFrame:
-    """Running totals of votes by analysis, in update mode."""
-    return votes.groupBy("analysis_id").agg(F.count_if(F.col("vote") == "up").alias("up"), F.count_if(F.col("vote") == "down").alias("down"))
+VOTE_KEY = ["analysis_id", "requirement_id", "user_id"]
+
+
+def latest_votes(votes: DataFrame) -> DataFrame:
+    """The last valid vote of each analysis, requirement and user so far, in update mode: a changed vote replaces the one before."""
+    valid = votes.where(F.col("vote").isin("up", "down"))
+    return valid.groupBy(*VOTE_KEY).agg(F.max_by("vote", F.struct("updated_at", "event_id")).alias("vote"))
+
+
+def feedback_totals(state: DataFrame) -> DataFrame:
+    """Votes by analysis, of the votes that stand."""
+    return state.groupBy("analysis_id").agg(F.count_if(F.col("vote") == "up").alias("up"), F.count_if(F.col("vote") == "down").alias("down"))
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through a streaming query into a memory table; for small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def running_boosts(state: DataFrame, sources: DataFrame, owned: DataFrame) -> DataFrame:
+    """Boosts of the sources that stand up-voted now."""
+    return source_boosts(state, sources, owned)

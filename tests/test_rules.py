@@ -1,7 +1,11 @@
 """Pinned numbers and rules on small tables; folds against plain Python."""
 
+import datetime
+import hashlib
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import scores
@@ -12,6 +16,7 @@ from lectern.operators import workspace as W
 from lectern.operators.components import connected_components
 from lectern.sources import pages as P
 from lectern.sources import tables as S
+from lectern.streaming import jobs as J
 
 
 def one(spark, column, **values):
@@ -28,10 +33,10 @@ def test_coverage_and_blend(spark):
 
 
 def test_boosts(spark):
-    hits = spark.createDataFrame([(1, "neutre.pdf", 0.012, 0), (1, "Boostée.pdf", 0.010, 1), (1, "BOOSTÉE.PDF", 0.008, 2)], "query_id int, source string, rrf_score double, rank int")
+    hits = spark.createDataFrame([(1, "plain.pdf", 0.012, 0), (1, "Guide Été.pdf", 0.010, 1), (1, " GUIDE ÉTÉ.PDF", 0.008, 2)], "query_id int, source string, rrf_score double, rank int")
     none = spark.createDataFrame([], "source string, factor double")
     assert [r["rank"] for r in R.boosted(hits, none).orderBy("rrf_score").collect()] == [2, 1, 0]
-    up = spark.createDataFrame([("boostée.pdf", 1.5)], "source string, factor double")
+    up = spark.createDataFrame([("guide été.pdf", 1.5)], "source string, factor double")
     assert [(r["rrf_score"], r["boosted"]) for r in R.boosted(hits, up).orderBy("rank").collect()] == [(0.015, True), (0.012, False), (0.012, True)]
 
 
@@ -44,14 +49,59 @@ def test_votes_replace_and_are_checked(spark):
 
 
 def test_merge_repass_guards(spark):
-    rows = spark.createDataFrame([(1, "R001", "covered", 0.9, False), (1, "R002", "ambiguous", 0.3, False), (1, "R003", "missing", 0.0, True)], "analysis_id int, id string, status string, confidence double, repass_applied boolean")
+    rows = spark.createDataFrame([(1, "R001", "covered", 0.9, False, "h1"), (1, "R002", "ambiguous", 0.3, False, "h2"), (1, "R003", "missing", 0.0, True, "h3")], "analysis_id int, id string, status string, confidence double, repass_applied boolean, hypothesis string")
     again = spark.createDataFrame([(1, "R002", "covered", 0.8), (1, "R003", "covered", 0.8)], "analysis_id int, id string, status string, confidence double")
-    assert [r["status"] for r in E.merge_repass(rows, again).orderBy("id").collect()] == ["covered", "covered", "missing"]
+    got = E.merge_repass(rows, again, "large").orderBy("id").collect()
+    assert [r["status"] for r in got] == ["covered", "covered", "missing"]
+    assert [(r["repass_applied"], r["repass_model"], r["repass_reason"], r["hypothesis"]) for r in got] == [(False, None, None, "h1"), (True, "large", "batch_user_request", "h2"), (True, None, None, "h3")]
     assert [r["status"] for r in E.merge_repass(rows, again, force=True).orderBy("id").collect()] == ["covered"] * 3
+    asked = spark.createDataFrame([(1, "R001"), (1, "R003")], "analysis_id int, id string")
+    assert [r["id"] for r in E.repass_batch(rows, asked).collect()] == ["R001"]
+    assert [r["id"] for r in E.repass_batch(rows, asked, force=True).orderBy("id").collect()] == ["R001", "R003"]
+    down = spark.createDataFrame([(1, "R001")], "analysis_id int, requirement_id string")
+    assert [r["id"] for r in E.repass_batch(rows, down_voted=down).orderBy("id").collect()] == ["R001", "R002"]
+
+
+def test_requirement_record(spark):
+    """Valid values stay, others become what the priority implies; lists come as lists, as one text or not at all."""
+    made = """```json
+{"requirements": [
+ {"title": " Payslip ", "priority": "COULD", "obligation_level": "Contractuelle", "category": "paie", "subdomain": " ", "acceptance_criteria": ["a", "", " b "], "depends_on": ["C0R01", 3], "description": "d"},
+ {"title": "x", "priority": "urgent", "obligation_level": "mandatory", "category": "Gardening", "acceptance_criteria": "only one", "source_location": " p. 2 "},
+ {"title": "y", "priority": "wont", "notes": null}, {"title": "  "}]}
+```"""
+    rows = E.normalize(E.with_provisional_ids(E.parse_requirements(spark.createDataFrame([(1, 2, made), (2, 1, "[broken")], "doc_id int, part int, response string")))).orderBy("pos").collect()
+    assert [(r["id"], r["title"], r["priority"], r["obligation_level"], r["category"]) for r in rows] == [("C2R01", "Payslip", "could", "contractuelle", "Paie"), ("C2R02", "x", "must", "contractuelle", "Autre"), ("C2R03", "y", "wont", "optionnelle", "Autre")]
+    assert [(r["acceptance_criteria"], r["depends_on"], r["subdomain"], r["source_location"], r["notes"]) for r in rows] == [(["a", "b"], ["C0R01", "3"], None, "non localisé", ""), (["only one"], [], None, "p. 2", ""), ([], [], None, "non localisé", "")]
+    many = spark.createDataFrame([(["c"] * 12,)], "c array<string>").select(E.listed(F.to_json("c"), 400, 8).alias("x")).first()["x"]
+    assert len(many) == 8
+
+
+def test_representative_is_the_richest(spark):
+    rows = spark.createDataFrame([(1, 1, ["a"], "long text"), (2, 1, ["a", "b"], "s"), (3, 1, ["c", "d"], "longer"), (4, 4, [], "")], "idx int, root int, acceptance_criteria array<string>, description string")
+    assert sorted(r["idx"] for r in E.representatives(rows, *E.richest()).collect()) == [3, 4]
+
+
+def test_ratings_keep_the_last(spark):
+    messages = spark.createDataFrame([(1, 1)], "conv_id int, turn int")
+    ratings = spark.createDataFrame([(1, 1, 7, 1, 10), (1, 1, 7, -1, 11), (1, 1, 8, -1, 5), (1, 1, 8, 1, 6), (1, 1, 8, 0, 9), (1, 2, 7, 1, 1)], "conv_id int, turn int, user_id int, rating int, rated_at int")
+    state = W.upsert_ratings(ratings, messages)
+    assert sorted(map(tuple, state.collect())) == [(1, 1, 7, -1), (1, 1, 8, 1)]
+    gone = spark.createDataFrame([(1, 1, 7)], "conv_id int, turn int, user_id int")
+    assert [r["user_id"] for r in W.clear_ratings(state, gone).collect()] == [8]
+
+
+def test_judged_cases(spark):
+    rows = spark.createDataFrame([(1, i) for i in "abc"], "analysis_id int, id string")
+    results = spark.createDataFrame([(1, "a", " ", "covered", "v", ["e"], 0.9, 0.5, None), (1, "b", "text", None, None, None, None, 0.5, "timeout"), (1, "c", "text", "partial", "v", ["e"], 0.8, 0.5, None)], "analysis_id int, id string, context string, result_status string, result_verdict string, result_evidence array<string>, llm_confidence double, retrieval_confidence double, error string")
+    got = {r["id"]: r for r in E.judged(rows, results).collect()}
+    assert (got["a"]["status"], got["a"]["verdict"], got["a"]["evidence"], got["a"]["llm_confidence"], got["a"]["retrieval_confidence"], got["a"]["confidence"]) == ("missing", E.NOTHING_FOUND, [], 0, 0, 0)
+    assert (got["b"]["status"], got["b"]["verdict"], got["b"]["llm_confidence"], got["b"]["confidence"]) == ("ambiguous", E.CALL_FAILED + "timeout", 0, 0.15)
+    assert (got["c"]["status"], got["c"]["confidence"]) == ("partial", 0.71)
 
 
 def test_csv_cells_and_fences(spark):
-    assert one(spark, S.csv_cell(F.lit('avis ; "tres" douteux'))) == '"avis ; ""tres"" douteux"'
+    assert one(spark, S.csv_cell(F.lit('un mot; "deux"'))) == '"un mot; ""deux"""'
     assert one(spark, E.unfenced(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert one(spark, F.size(S.parse_report(F.lit("{broken")))) == 0
     assert one(spark, E.title_key(F.lit("  Été : Gérer l'ÂGE "))) == "ete gerer l age"
@@ -68,28 +118,87 @@ def test_sentences_keep_abbreviations(spark):
 
 
 def test_structure(spark):
-    text = "intro\n# A\nbody a\n## B\nbody b\n1.2 Titre\nbody c\n# Empty\n# D\nbody d"
-    docs = spark.createDataFrame([("s", text), ("t", "no heading"), ("u", "")], "source string, text string")
-    rows = C.heading_paths(C.structure_blocks(docs)).orderBy("source", "block").collect()
-    assert [(r["source"], r["heading_path"], r["text"]) for r in rows] == [("s", [], "intro"), ("s", ["# A"], "body a"), ("s", ["# A", "## B"], "body b"), ("s", ["# A", "1.2 Titre"], "body c"), ("s", ["# D"], "body d"), ("t", [], "no heading")]
+    text = "intro\n# A\nbody a\n## B\nbody b\n1.2 Titre\nbody c\n# Empty\n \t\n\n# D\nbody d\n  # no heading\nArticle 3 bis\nbody e"
+    docs = spark.createDataFrame([("s", text), ("t", "no heading"), ("u", ""), ("v", None)], "source string, text string")
+    rows = C.heading_paths(docs).orderBy("source", "block").collect()
+    wanted = [("s", [], "intro"), ("s", ["# A"], "body a"), ("s", ["# A", "## B"], "body b"), ("s", ["# A", "1.2 Titre"], "body c"), ("s", ["# D"], "body d\n  # no heading"), ("s", ["Article 3 bis"], "body e"), ("t", [], "no heading")]
+    assert [(r["source"], r["heading_path"], r["text"]) for r in rows] == wanted
+    sections = C.structure_blocks(docs).where("source = 's'").orderBy("block").collect()
+    assert [(r["heading"], r["depth"]) for r in sections] == [(None, None), ("# A", 1), ("## B", 2), ("1.2 Titre", 2), ("# Empty", 1), ("# D", 1), ("Article 3 bis", 1)] and sections[4]["text"] == ""
+
+
+def walked(sizes, apart):
+    """Where chunks begin, step by step."""
+    d = sorted(apart)
+    at = 0.9 * (len(d) - 1)
+    limit = max(d[int(at)] + (at - int(at)) * (d[min(int(at) + 1, len(d) - 1)] - d[int(at)]), 0.12) if d else 0
+    total, begins = 0, []
+    for i, x in enumerate(apart):
+        total += sizes[i]
+        if total >= 400 and (x >= limit or total >= 2400):
+            begins.append(i + 1)
+            total = 0
+    return begins
+
+
+def gathered(sentences, begins):
+    out = []
+    for a, b in zip([0, *begins], [*begins, len(sentences)], strict=True):
+        if out and b - a < 2:
+            out[-1] += " " + " ".join(sentences[a:b])
+        else:
+            out.append(" ".join(sentences[max(0, a - 1) if out else a : b]))
+    return out
 
 
 def test_breakpoints_fold(spark):
     rnd = random.Random(3)
-    rows = [(b, i, "x" * rnd.randint(50, 300), rnd.random()) for b in range(3) for i in range(20)]
-    made = C.breakpoints(spark.createDataFrame(rows, "b int, pos int, sentence string, distance double"), ["b"])
-    got = {(r["b"], r["pos"]): r["segment"] for r in made.collect()}
-    for b in range(3):
-        own = sorted(r for r in rows if r[0] == b)
-        d = sorted(r[3] for r in own)
-        at = 0.9 * (len(d) - 1)
-        limit = max(d[int(at)] + (at - int(at)) * (d[min(int(at) + 1, len(d) - 1)] - d[int(at)]), 0.12)
-        total = segment = 0
-        for _, i, s, x in own:
-            assert got[b, i] == segment
-            total += len(s)
-            if total >= 400 and x >= limit:
-                total, segment = 0, segment + 1
+    blocks = [(["x" * 300] * 30, [0.0] * 29), (["only one"], []), (["a" * 500, "b" * 10], [0.9])]
+    for _ in range(12):
+        n = rnd.randint(1, 40)
+        blocks.append(([rnd.choice("abc") * rnd.randint(50, 700) for _ in range(n)], [rnd.random() for _ in range(n - 1)]))
+    rows = spark.createDataFrame([(k, *b) for k, b in enumerate(blocks)], "k int, found array<string>, apart array<double>")
+    begun = rows.withColumn("begins", C.breakpoints(F.col("found"), F.col("apart")))
+    got = begun.select("k", "begins", C.assembled(F.col("found"), F.col("begins")).alias("chunks")).orderBy("k").collect()
+    for r, (found, apart) in zip(got, blocks, strict=True):
+        begins = walked([*map(len, found)], apart)
+        assert r["begins"] == begins and r["chunks"] == gathered(found, begins)
+    assert got[0]["begins"] == [8, 16, 24]  # flat text is cut at 2400 characters: four chunks
+
+
+def test_chunk_documents(spark):
+    """All ways through the chunker, a sentence at a time in plain Python."""
+    rnd = random.Random(7)
+    sentence = lambda: f"{rnd.choice('ABCDE')}{' '.join(rnd.choice(['lorem', 'ipsum', 'zzz', 'aeiou']) for _ in range(rnd.randint(5, 30)))}."
+    long = " ".join(sentence() for _ in range(60))
+    docs = [(1, "s", f"# One\n{long}\n## Two\nShort. Text."), (2, "s", " ".join(f"Word {i}." for i in range(1600))), (3, None, "  \n"), (4, "t", None), (5, "t", "Lone"), (5, "t", "Lone")]
+    letters = "aei"
+    vector = lambda w: [float(w.count(x)) for x in letters]
+    model = lambda df, c: df.withColumn("embedding", F.array(*((F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))).cast("double") for x in letters)))
+    rows = C.chunk_documents(spark.createDataFrame(docs, "doc_id int, source string, text string"), model).orderBy("doc_id", "chunk").collect()
+    found = re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", long)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    vectors = [vector(" ".join(found[i : i + 2])) for i in range(len(found))]
+    begins = walked([*map(len, found)], [1 - cos(a, b) for a, b in zip(vectors, vectors[1:], strict=False)])
+    own = [r for r in rows if r["doc_id"] == 1]
+    assert [r["text"] for r in own] == [*gathered(found, begins), "Short. Text."] and {r["chunker_version"] for r in own} == {"v2"}
+    assert own[-1]["heading_path"] == ["# One", "## Two"] and own[-1]["heading"] == "# One / ## Two"
+    assert [r["chunk_id"] for r in own] == [f"{hashlib.md5(b's').hexdigest()[:8]}_1_{i}" for i in range(len(own))]
+    fast = [r for r in rows if r["doc_id"] == 2]
+    assert {r["chunker_version"] for r in fast} == {"v2-fastpath"} and " ".join(r["text"] for r in fast) == docs[1][2] and all(len(r["text"]) >= 2399 for r in fast[:-1])
+    assert [(r["text"], r["chunk"]) for r in rows if r["doc_id"] == 5] == [("Lone", 0)] * 2 and {r["doc_id"] for r in rows} == {1, 2, 5}
+
+
+def test_plain_pieces():
+    assert C.plain_pieces("") == [] and C.plain_pieces("short") == ["short"]
+    text = "\n\n".join(" ".join(f"w{p}x{i}" for i in range(60)) for p in range(6))
+    pieces = C.plain_pieces(text)
+    assert all(len(p) <= 800 for p in pieces) and all(p in text for p in pieces)
+    assert pieces[0].count("\n\n") >= 1 and {w for p in pieces for w in p.split()} == set(text.split())
+    solid = "y" * 2000
+    assert all(len(p) <= 800 for p in C.plain_pieces(solid)) and C.plain_pieces(solid)[0] == "y" * 800
+    lapped = C.plain_pieces(" ".join(f"word{i:04}" for i in range(400)))
+    assert all(a.split()[-1] in b.split() for a, b in zip(lapped, lapped[1:], strict=False))
 
 
 def test_pack_and_long_splits(spark):
@@ -97,14 +206,79 @@ def test_pack_and_long_splits(spark):
     packed = one(spark, P.pack_paragraphs(F.lit("\n\n".join(paragraphs))))
     assert packed == ["a" * 900 + "\n\n" + "b" * 800, "c" * 400, "d" * 2500, "e"]
     assert one(spark, P.pack_paragraphs(F.lit(""))) == []
-    text = " ".join(f"word{i}" for i in range(2000))
+    text = " \n" + " ".join(f"word{i}" for i in range(2000)) + "\n\n" + "z" * 7000 + " \n" + " " * 3500 + "end  "
     pieces = one(spark, C.long_splits(F.lit(text), size=3000, overlap=300))
-    assert pieces[0]["start"] == 0 and all(len(p["piece"]) <= 3000 for p in pieces)
-    end = 0
-    for p in pieces:
-        assert text[p["start"] : p["start"] + len(p["piece"])] == p["piece"] and p["start"] <= end
-        end = p["start"] + len(p["piece"])
-    assert end == len(text)
+    whole, start, wanted = text.strip(), 0, []
+    while start < len(whole):  # cut by cut
+        end = min(start + 3000, len(whole))
+        if end < len(whole):
+            low = start + 1000
+            at = next((k for k in (whole[low:end].rfind(m) for m in ("\n\n", "\n", " ")) if k >= 0), -1)
+            end = low + at if at > 0 else end
+        wanted.append(whole[start:end].strip())
+        if end >= len(whole):
+            break
+        start = max(end - 300, start + 1)
+    assert pieces == [w for w in wanted if w]
+    assert one(spark, C.long_splits(F.lit("  short "), size=3000, overlap=300)) == ["short"]
+
+
+def test_paged_text_stops_at_the_limit(spark):
+    pages = spark.range(500).select(F.lit("s").alias("source"), "id", F.repeat(F.lit("x"), 100).alias("text")).withColumnRenamed("id", "page")
+    got = C.paged_text(pages, limit=1000).first()["text"]
+    whole = "\n\n".join(f"[page {i}]\n{'x' * 100}" for i in range(500))
+    assert got == whole[:1000] + "\n\n[...document tronqué...]"
+
+
+def test_dense_is_exact(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(i, rng.normal(size=8).astype("float32").tolist(), "private" if i % 3 else "knowledge_base") for i in range(300)] + [(900, [0.0] * 8, "private"), (901, None, "private"), (902, [1.0], "private"), (903, vectors_copy := [1.0] * 8, "private"), (904, vectors_copy, "private")]
+    queries = [(i, rng.normal(size=8).astype("float32").tolist()) for i in range(7)] + [(50, [1.0] * 8)]
+    v = spark.createDataFrame(vectors, "chunk_pos long, embedding array<float>, collection string").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    def ranked(query, rows):
+        scored = [(-round(float(np.dot(x, query) / np.sqrt(np.dot(x, x) * np.dot(query, query))), 6), i) for i, x in ((i, np.array(x, float)) for i, x, _ in rows if x and len(x) == 8 and any(x))]
+        return [i for _, i in sorted(scored)[:5]]
+    for block in (3, 50_000):
+        got = R.dense(v, q, 5, block=block).orderBy("query_id", "rank").collect()
+        for i, x in queries:
+            assert [r["chunk_pos"] for r in got if r["query_id"] == i] == ranked(np.array(x, float), vectors)
+    by = R.dense(v, q, 5, "collection").collect()
+    for c in ("private", "knowledge_base"):
+        assert [r["chunk_pos"] for r in sorted(by, key=lambda r: r["rank"]) if r["query_id"] == 2 and r["collection"] == c] == ranked(np.array(queries[2][1], float), [x for x in vectors if x[2] == c])
+    assert R.dense(v, q.limit(0), 5).count() == R.dense(v.limit(0), q, 5).count() == 0
+
+
+def test_streams(spark, tmp_path):
+    """A document that comes again replaces its chunks, a changed vote counts once, rows later than the watermark don't count."""
+    docs = "doc_id long, source string, text string"
+    rows = [[(1, "s", "One. Two."), (2, "s", "Three.")], [(1, "s", "Four."), (3, "s", "Five.")]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, docs).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+    out, checkpoint = f"file://{tmp_path}/chunks", f"file://{tmp_path}/state"
+    for k in (0, 1):
+        spark.read.parquet(f"{tmp_path}/in{k}").write.mode("append").parquet(f"{tmp_path}/arriving")
+        J.ingest(J.read_stream(spark, f"{tmp_path}/arriving", docs), out, checkpoint).awaitTermination()
+    now = J.current(spark, out, ["source", "doc_id"]).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in now) == [(1, "Four."), (2, "Three."), (3, "Five.")] and len({r["chunk_id"] for r in now}) == 3
+
+    kind = "analysis_id int, requirement_id string, user_id int, vote string, updated_at int, event_id int"
+    for k, part in enumerate([[(1, "R1", 7, "up", 1, 1), (1, "R1", 8, "up", 1, 2)], [(1, "R1", 7, "down", 2, 3), (1, "R1", 8, "sideways", 3, 4)]]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/votes")
+        out = f"file://{tmp_path}/state_of_votes"
+        J.to_batches(J.latest_votes(J.read_stream(spark, f"{tmp_path}/votes", kind)), out, f"file://{tmp_path}/votes_checkpoint", mode="update").awaitTermination()
+        totals = J.feedback_totals(J.current(spark, out, J.VOTE_KEY)).first()
+        assert (totals["up"], totals["down"]) == [(2, 0), (1, 1)][k]
+
+    jobs = "finished_at timestamp, source int, status string"
+    days = [["2024-01-01 10:00:00", "2024-01-02 10:00:00"], ["2024-01-05 10:00:00"], ["2024-01-05 11:00:00", "2024-01-01 11:00:00"]]
+    for part in days:
+        stamped = [(datetime.datetime.fromisoformat(x), 1, "success") for x in part]
+        spark.createDataFrame(stamped, jobs).coalesce(1).write.mode("append").parquet(f"{tmp_path}/jobs")
+        out = f"file://{tmp_path}/outcomes"
+        J.to_batches(J.outcomes(J.read_stream(spark, f"{tmp_path}/jobs", jobs, 1)), out, f"file://{tmp_path}/jobs_checkpoint", mode="update").awaitTermination()
+    counted = {str(r["start"])[:10]: r["success"] for r in J.current(spark, out, ["start", "source"]).collect()}
+    assert counted == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-05": 2}
 
 
 def test_components(spark):
@@ -152,9 +326,10 @@ def test_sinks(spark, tmp_path):
     S.write_snapshot(chunks.where("source = 'u'").withColumn("text", F.lit("new")), str(tmp_path / "k"))
     assert {(r["source"], r["text"]) for r in spark.read.parquet(str(tmp_path / "k")).collect()} == {("s", "t"), ("u", "new")}
     (tmp_path / "x").mkdir()
-    for name in ("F1.xml", "X1.xml"):
-        (tmp_path / "x" / name).write_text('<r><Publication ID="1"><title>t</title></Publication></r>')
-    assert S.read_records(spark, str(tmp_path / "x")).count() == 1
+    for name in ("F1.xml", "X1.xml", "N2.txt"):
+        (tmp_path / "x" / name).write_text('<Publication ID="F1"><dc:title>t</dc:title><Texte>some text</Texte></Publication>')
+    record = P.parse_records(S.read_records(spark, str(tmp_path / "x"))).collect()
+    assert [(r["source_id"], r["title"], r["text"]) for r in record] == [("F1", "t", "some text")]
 
 
 def test_embedding(spark):
