@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import materialize
-from lectern.llm.text import WHITE, body, unwrapped, words, wrapped
+from lectern.llm.text import WHITE, body, unwrapped, words
 
 BUCKETS = 1 << 18
 #: Each threshold is this quantile of the scores of the held-out trusted half, less a margin in
@@ -28,13 +28,18 @@ MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
 
+def of_target(doc_id: str = "doc_id") -> Column:
+    """Whether a document, if it is trusted, counts as the target; else it sets the thresholds."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(2)) == 0
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """All doc_ids labelled as of good quality and not toxic, with ``target`` for one half.
 
-    That half is counted as the target, the other half sets the threshold.  Null ids and repeats don't count.
+    That half is counted as the target, the other half sets the thresholds.  Null ids and repeats don't count.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.withColumn("target", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    return good.withColumn("target", of_target())
 
 
 def grams(tokens: Column) -> Column:
@@ -49,13 +54,18 @@ def _bucket(*parts: Column) -> Column:
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """One row, ``weights``: the log-likelihood ratio of each bucket in thousandths, target over raw; None without trusted texts.
 
-    One pass counts n-grams of all documents and, among them, of the trusted ones; a bucket counts one
-    more than it holds.  What leaves a task is at most a row for each bucket.
+    One pass counts n-grams of all documents, one those of the trusted ones in the target half; only
+    that half's texts are exchanged, as ids are as many as documents and can't be broadcast.  A bucket
+    counts one more than it holds.  What leaves a task is at most a row for each bucket.
     """
-    marked = docs.join(trusted.where("target"), "doc_id", "left")
-    tokens = marked.select(words(body()).alias("w"), F.coalesce("target", F.lit(False)).cast("int").alias("t"))
-    each = tokens.select("t", F.explode(grams(F.col("w"))).alias("g")).select("t", F.explode(F.array("g.one", "g.two")).alias("bucket"))
-    counts = materialize(each.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "counts")
+
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        # A column first: inside the lambda it would be split anew for each word.
+        each = texts.select(words(body()).alias("w")).select(F.explode(grams(F.col("w"))).alias("g")).select(F.explode(F.array("g.one", "g.two")).alias("bucket"))
+        return each.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias(name))
+
+    chosen = docs.where(of_target()).join(trusted.where("target").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    counts = materialize(counted(docs, "raw").join(counted(chosen, "target"), "bucket", "left"), "counts")
     n, m = counts.agg(F.sum("raw"), F.sum("target")).first()
     if not m:
         return None
@@ -81,11 +91,11 @@ def with_scores(rows: DataFrame, tokens: str, weights: DataFrame) -> DataFrame:
 
 
 def low_ends(scores: DataFrame) -> tuple[int, int] | None:
-    """The thresholds by the scores of held-out documents; None without any.
+    """The thresholds by the scores (mean, low) of held-out documents; None without any.
 
     Scores are whole numbers of a bounded range, so counting them is exact and small.
     """
-    of = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(f"score.{c}").alias("value")) for c in ("mean", "low")))).alias("s")
+    of = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in ("mean", "low")))).alias("s")
     counts = scores.select(of).groupBy("s.of", "s.value").agg(F.count("*").alias("n")).collect()
     ends = []
     for name, share, margin in (("mean", MEAN_SHARE, MEAN_MARGIN), ("low", LOW_SHARE, LOW_MARGIN)):
@@ -137,26 +147,29 @@ def base_failed() -> Column:
     return (n < MIN_WORDS) | (100 * repeated > 50 * n)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``__quality`` = struct(the base counts, base_failed, mean, low, kept).
+def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with ``__quality`` = struct(the base counts, base_failed, mean, low, kept).
 
     A null text has no words and fails.  The thresholds lie a margin below the scores of nearly all
     trusted documents of 50 words that the target hasn't seen; without such only the base rules decide,
     and without trusted texts both scores are null.  All columns stay, whatever their names, but for one
     named ``__quality``, which gives way; there is a row for each row, repeated ones too, and none for
-    an empty table.  Each repeated row counts in the corpus.
+    an empty table.  Each repeated row counts in the corpus.  Every text is scored once: the scores are
+    written with the columns kept, and the thresholds and verdicts come from there.
     """
+    keep = docs.columns if keep is None else keep
     slim = docs.select("doc_id", "text")
     trusted = trusted_ids(labels)
     weights = bucket_weights(slim, trusted)
-    d = base_counts(wrapped(docs).select("row", "text"))
+    d = base_counts(docs.select(F.struct(*keep).alias("row"), "doc_id", "text"))
     if weights is None:
         nothing = F.lit(None).cast("long")
-        d, good = d.withColumn("score", F.struct(nothing.alias("mean"), nothing.alias("low"))), F.lit(True)
+        d = d.withColumn("score", F.struct(nothing.alias("mean"), nothing.alias("low")))
     else:
-        unseen = slim.join(trusted.where(~F.col("target")), "doc_id", "left_semi").select(words(body()).alias("w"))
-        ends = low_ends(with_scores(unseen.where(F.size("w") >= MIN_WORDS), "w", weights).select("score"))
         d = with_scores(d, "words", weights)
-        good = F.lit(True) if ends is None else F.coalesce((F.col("score.mean") >= ends[0]) & (F.col("score.low") >= ends[1]), F.lit(False))
+    d = materialize(d.select("row", "doc_id", "base", "score"), "scores")
+    unseen = d.where(~of_target()).where(F.col("base.n_words") >= MIN_WORDS).select("doc_id", "score.*")
+    ends = None if weights is None else low_ends(unseen.join(trusted.where(~F.col("target")).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"))
+    good = F.lit(True) if ends is None else F.coalesce((F.col("score.mean") >= ends[0]) & (F.col("score.low") >= ends[1]), F.lit(False))
     verdict = F.struct("base.*", base_failed().alias("base_failed"), "score.mean", "score.low", (~base_failed() & good).alias("kept"))
-    return unwrapped(d.withColumn("__quality", verdict), docs.columns, "__quality")
+    return unwrapped(d.withColumn("__quality", verdict), keep, "__quality")

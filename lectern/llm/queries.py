@@ -37,7 +37,7 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "__quality.*").drop("mean", "low")
+    return score_quality(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "__quality.*").drop("mean", "low")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

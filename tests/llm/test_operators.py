@@ -283,7 +283,7 @@ def buckets_of(text):
 def brute_quality(rows, labels):
     """mean, low and kept of every text that passes the base rules, by the formulas."""
     good = {i for i, q, x in labels if q == 1 and not x and i is not None}
-    target = {i for i in good if (xxhash.xxh64_intdigest(int(i).to_bytes(8, "little"), seed=42)) % 2 == 0}
+    target = {i for i in good if spark_hash(str(i)) % 2 == 0}
     raw, trusted = collections.Counter(), collections.Counter()
     for i, t in rows:
         for b in itertools.chain(*buckets_of(t)):
