@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,21 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written to the shared folder inside it.
+
+    For long-lived sessions: results must be written or collected inside, as a lazy one still reads
+    the tables behind it.
+    """
+    before = {*_written}
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Spark can reach."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import pathlib
 import random
 import re
 
@@ -332,6 +333,17 @@ def test_sinks(spark, tmp_path):
     assert [(r["source_id"], r["title"], r["text"]) for r in record] == [("F1", "t", "some text")]
 
 
+def test_scratch_tables_go(spark):
+    from lectern.functions.storage import materialize, scratch
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        gone = materialize(spark.range(5), "gone")
+        files = gone.inputFiles()
+        assert gone.count() == 5 and files
+    assert kept.count() == 3 and not any(pathlib.Path(f.removeprefix("file:").replace("///", "/")).exists() for f in files)
+
+
 def test_embedding(spark):
     from lectern.functions.embedding import embed
 
