@@ -42,9 +42,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.withColumn("target", of_target())
 
 
-def grams(tokens: Column) -> Column:
-    """Buckets of the words, and of the pairs of neighbours (null for the last word)."""
-    return F.transform(tokens, lambda w, i: F.struct(_bucket(w).alias("one"), F.when(i + 1 < F.size(tokens), _bucket(w, F.get(tokens, i + 1))).alias("two")))
+def buckets(tokens: Column) -> Column:
+    """Buckets of all words, then those of all pairs of neighbours; ``tokens`` is a column, as lambdas read it again and again."""
+    ones = F.transform(tokens, lambda w: _bucket(w))
+    others = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.concat(ones, F.transform(others, lambda w, i: _bucket(w, F.get(tokens, i + 1))))
 
 
 def _bucket(*parts: Column) -> Column:
@@ -60,9 +62,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """
 
     def counted(texts: DataFrame, name: str) -> DataFrame:
-        # A column first: inside the lambda it would be split anew for each word.
-        each = texts.select(words(body()).alias("w")).select(F.explode(grams(F.col("w"))).alias("g")).select(F.explode(F.array("g.one", "g.two")).alias("bucket"))
-        return each.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias(name))
+        each = texts.select(words(body()).alias("w")).select(F.explode(buckets(F.col("w"))).alias("bucket"))
+        return each.groupBy("bucket").agg(F.count("*").alias(name))
 
     chosen = docs.where(of_target()).join(trusted.where("target").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     counts = materialize(counted(docs, "raw").join(counted(chosen, "target"), "bucket", "left"), "counts")
@@ -80,9 +81,7 @@ def with_scores(rows: DataFrame, tokens: str, weights: DataFrame) -> DataFrame:
 
     The weights are a scalar subquery, read once in a place of its own: a row never holds the table.
     """
-    ones = F.transform(tokens, lambda w: _bucket(w))
-    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w, i: _bucket(w, F.get(tokens, i + 1)))
-    looked = rows.withColumns({"buckets": F.concat(ones, pairs), "table": weights.select("weights").scalar()})
+    looked = rows.withColumns({"buckets": buckets(F.col(tokens)), "table": weights.select("weights").scalar()})
     each = looked.select(*rows.columns, F.transform("buckets", lambda b: F.get("table", b)).alias("each"))
     n = F.size(tokens)
     mean = F.floor(F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("each"))
