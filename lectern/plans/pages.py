@@ -21,7 +21,7 @@ SQL_CLEAN = r"""cl as (select page_id, url, html, regexp_replace(coalesce(nullif
 #: Paragraphs packed one after another by a recursion; pieces of each page.
 SQL_PACKED = SQL_CLEAN + r""", pp as (select page_id, url, text, list_filter(list_transform(string_split_regex(text, '
 \s*
-'), lambda p: trim(p)), lambda p: p <> '') p from tx),
+'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: p <> '') p from tx),
   pe as (select page_id, generate_subscripts(p, 1) i, unnest(p) p from pp),
   wk as (select page_id, i, length(p) n, 0 piece from pe where i = 1
     union all select e.page_id, e.i, case when w.n + length(e.p) + 2 <= 1800 then w.n + length(e.p) + 2 else length(e.p) end, w.piece + case when w.n + length(e.p) + 2 <= 1800 then 0 else 1 end

@@ -145,7 +145,7 @@ def pack_paragraphs(text: Column, limit: int = 1800) -> Column:
 
     Without any paragraph the first ``limit`` characters are the one piece, if there are any.
     """
-    paragraphs = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), strip), lambda p: p != "")
     start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
 
     def step(s, p):
