@@ -153,17 +153,23 @@ def _(v):
     return C.stamp(v.documents.select("doc_id", "source"), "source", "doc_id").select("doc_id", "chunk_id")
 
 
-@query("c12_long_splits", f"""with recursive t as (select doc_id, trim(coalesce(text, ''), {WS}) text from documents), n as (select doc_id, text, length(text) n from t),
-  raw as (select doc_id, 0 no, 0 as start, 0 as ends, 0 as follow from n where n > 3000
-    union all select doc_id, no + 1, follow, e, case when e >= n then n else greatest(e - 300, follow + 1) end from (
-      select *, case when follow + 3000 >= n then n when cut > 0 then follow + 1000 + cut else follow + 3000 end e from (
+def long_sql(size: int, overlap: int) -> str:
+    """CTEs up to ``lp`` (doc_id, piece_no, piece): overlapping pieces of the documents, cut by cut."""
+    low = size - C.CUT_WINDOW
+    return f"""t as (select doc_id, trim(coalesce(text, ''), {WS}) text from documents), n as (select doc_id, text, length(text) n from t),
+  raw as (select doc_id, 0 no, 0 as start, 0 as ends, 0 as follow from n where n > {size}
+    union all select doc_id, no + 1, follow, e, case when e >= n then n else greatest(e - {overlap}, follow + 1) end from (
+      select *, case when follow + {size} >= n then n when cut > 0 then follow + {low} + cut else follow + {size} end e from (
         select doc_id, no, follow, n, coalesce(
             case when contains(tail, chr(10) || chr(10)) then length(tail) - strpos(reverse(tail), chr(10) || chr(10)) - 1 end,
             case when contains(tail, chr(10)) then length(tail) - strpos(reverse(tail), chr(10)) end,
             case when contains(tail, ' ') then length(tail) - strpos(reverse(tail), ' ') end) cut
-        from (select raw.*, n, substr(text, follow + 1001, least(3000, n - follow) - 1000) tail from raw join n using (doc_id) where follow < n)))),
-  pc as (select doc_id, no, trim(substr(text, start + 1, ends - start), {WS}) piece from raw join n using (doc_id) where no > 0 union all select doc_id, 1, text from n where n <= 3000)
-  select doc_id, row_number() over (partition by doc_id order by no) - 1 piece_no, length(piece) n, md5(piece) digest from pc where piece <> '' or no = 1""")
+        from (select raw.*, n, substr(text, follow + {low} + 1, least({size}, n - follow) - {low}) tail from raw join n using (doc_id) where follow < n)))),
+  pc as (select doc_id, no, trim(substr(text, start + 1, ends - start), {WS}) piece from raw join n using (doc_id) where no > 0 union all select doc_id, 1, text from n where n <= {size}),
+  lp as (select doc_id, row_number() over (partition by doc_id order by no) - 1 piece_no, piece from pc where piece <> '' or no = 1)"""
+
+
+@query("c12_long_splits", f"with recursive {long_sql(3000, 300)} select doc_id, piece_no, length(piece) n, md5(piece) digest from lp")
 def _(v):
     pieces = C.long_splits(F.col("text"), size=3000, overlap=300)
     return v.documents.select("doc_id", F.posexplode(pieces).alias("piece_no", "p")).select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.length("p").cast("long").alias("n"), F.md5("p").alias("digest"))

@@ -8,6 +8,7 @@ from lectern.operators import chunking as C
 from lectern.operators import quality as Q
 from lectern.operators import requirements as E
 from lectern.operators import workspace as W
+from lectern.plans.chunking import long_sql
 from lectern.plans.registry import query
 from lectern.plans.retrieval import HITS, hits
 from lectern.plans.workspace import STATE
@@ -41,7 +42,7 @@ def rooted(v):
     return E.duplicate_groups(rows, E.exact_links(rows))
 
 
-@query("e01_extraction_requests")
+@query("e01_extraction_requests", f"""with recursive {long_sql(30_000, 2_000)} select doc_id, (piece_no + 1)::int part, md5('Part ' || (piece_no + 1) || '/' || count(*) over (partition by doc_id) || chr(10) || piece) digest from lp""")
 def _(v):
     return E.extraction_requests(v.documents, C.long_splits(F.col("text"))).select("doc_id", "part", F.md5("request").alias("digest"))
 
