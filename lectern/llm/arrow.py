@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
 #: Rows that are worked on together: what is made of them is in memory at once.
 ROWS = 1000
+#: Bytes of text that such rows have together, unless one alone has more.
+BYTES = 8 << 20
+
+
+def bounded(batches: Iterator[pa.RecordBatch], of: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``ROWS`` rows and about ``BYTES`` bytes of column ``of``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(of))), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes.astype(np.int64)), 0
+        while at < batch.num_rows:
+            below = ends[at - 1] if at else 0
+            end = min(at + ROWS, max(at + 1, int(np.searchsorted(ends, below + BYTES, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def add_column(df: DataFrame, make: Callable[[], Callable[[list], pa.Array]], name: str, kind: str, of: str = "text", keep: list[str] | None = None) -> DataFrame:

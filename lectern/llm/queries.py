@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lectern.functions.storage import table
 from lectern.llm.decontamination import contaminated
 from lectern.llm.langid import fit, held_out, identify
+from lectern.llm.licenses import scan_licenses
 from lectern.llm.line_dedup import dedup_lines
+from lectern.llm.manifest import folded, leaf, merkle_manifest, proof_text
 from lectern.llm.packing import pack
 from lectern.llm.quality import score_quality
+from lectern.llm.resampling import resample
 from lectern.llm.sharding import histogram_shards
 from lectern.llm.simhash import near_duplicates
 from lectern.llm.substring_dedup import drop_repeated_words
@@ -68,6 +71,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample(docs, table(spark, sf_dir, "benchmark"), share=10, min_words=20, longest=1, buckets=10_000, seed=2024, keep=["doc_id"])
+    return drawn.select("doc_id", "__draw.*")
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "__licenses.*").drop("spans")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every row the path, and what it makes of the row as it is or, where tampered with, as it has become."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    now = F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    tampered = leaf([now if c == "n_chars" else F.col(c) for c in columns])
+    d = merkle_manifest(docs, columns, by="lang", extra={"tampered": tampered})
+    d = d.withColumns({"folded_root": folded(F.col("tampered"), F.col("path")), "proof_sha256": F.sha2(proof_text(F.col("path")), 256)})
+    return d.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +105,9 @@ QUERIES = {
     "op8_language_codes": op8_language_codes,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_license_scans": op12_license_scans,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
