@@ -34,6 +34,8 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+#: Templates of at most so many characters together are broadcast; more meet the texts in an exchange.
+BROADCAST_CHARS = 1 << 20
 #: Words in a run that is looked up.
 GRAM = 4
 #: Diagonals that lie this far apart at most belong to one copy.
@@ -58,7 +60,8 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int
     given = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, label string, text string")
     d = given.withColumn("w", license_words(F.col("text")))
     each = d.select("template", "label", F.size("w").alias("of"), F.posexplode(grams(F.col("w"), k)).alias("tpos", "gram"))
-    return each.withColumn("hash", F.xxhash64("gram"))
+    places = each.withColumn("hash", F.xxhash64("gram"))
+    return F.broadcast(places) if sum(len(text) for _, text in templates) <= BROADCAST_CHARS else places
 
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
@@ -84,8 +87,8 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     A span is struct(start, end, template, label, share): words from ``start`` to before ``end``, and the
     share of the template that its hits cover.  Runs of words are joined by hash and compared as text;
-    the templates are a parameter, and Spark's size check decides whether they are broadcast.  Rows alike
-    in doc_id and text count as one document.  A document's hits meet in one group, which is no longer
+    the templates are a parameter, and broadcast up to ``BROADCAST_CHARS``.  Rows alike in doc_id and text
+    count as one document.  A document's hits meet in one group, which is no longer
     than its text.
     """
     known = template_grams(docs.sparkSession, TEMPLATES if templates is None else templates, k)

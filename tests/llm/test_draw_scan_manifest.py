@@ -169,6 +169,14 @@ def test_licenses_edited_and_repeated(spark, whole):
     assert [words(texts[2])[s["start"] : s["end"]] for s in spans if s["template"] == 0] == 2 * [words(licenses.TEMPLATES[0][1])]
 
 
+def test_licenses_of_many_templates(spark, whole, monkeypatch):
+    """Templates beyond the bound of a broadcast give the same."""
+    few = spark.createDataFrame([(r["doc_id"], r["text"]) for r in whole[:50]], "doc_id long, text string")
+    want = sorted(map(tuple, licenses.scan_licenses(few, keep=["doc_id"]).select("doc_id", "__licenses.*").collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_CHARS", 10)
+    assert sorted(map(tuple, licenses.scan_licenses(few, keep=["doc_id"]).select("doc_id", "__licenses.*").collect())) == want
+
+
 def test_licenses_of_awkward_rows(spark, odd):
     docs, rows = odd
     got = licenses.scan_licenses(docs)
