@@ -50,6 +50,12 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its scan has fewer parts than there are, so at most 128 MB for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was written to the shared folder inside it.

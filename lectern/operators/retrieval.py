@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import clamp
-from lectern.functions.storage import materialize
+from lectern.functions.storage import materialize, spread
 
 #: Fixed values of the scoring rules.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -24,43 +28,167 @@ def top(df: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("rank") < k)
 
 
-def indexed(chunks: DataFrame) -> DataFrame:
-    """corpus_pos, length and terms of each chunk, worked out once and written to the shared folder."""
-    listed = chunks.select("corpus_pos", tokens(F.col("text")).alias("terms"))
-    return materialize(listed.select("corpus_pos", F.size("terms").alias("length"), "terms"), "terms")
+@dataclass(frozen=True)
+class Corpus:
+    """Statistics of a corpus: chunks, their mean length in terms, and df and idf of each term."""
 
+    chunks: int
+    mean_length: float
+    terms: DataFrame
+
+
+#: Rows of a batch that are scored together, and scores that are in memory at once.
+SCORED_ROWS, TILE = 2000, 4_000_000
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    """df and idf of each term of :func:`indexed` chunks; a negative idf becomes a quarter of the mean idf."""
-    df = materialize(index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
-    raw = df.withColumn("raw", F.ln((index.count() - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw")).first()[0]
-    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys)))
 
-#: Terms of queries up to which they are sent to all tasks; more are joined by an exchange.
-SENT_TERMS = 1_000_000
+
+def _counts(batches):
+    """term and df of each batch; the row without a term holds the batch's chunks and the sum of their lengths."""
+    for batch in batches:
+        column = batch.column(0)
+        flat = column.flatten().dictionary_encode()
+        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(column)), lengths)
+        size = max(len(flat.dictionary), 1)
+        once = _distinct(row * size + flat.indices.to_numpy(zero_copy_only=False))[0] % size
+        df = np.bincount(once.astype(np.int64), minlength=len(flat.dictionary))
+        terms = pa.concat_arrays([flat.dictionary, pa.nulls(1, flat.dictionary.type)])
+        yield pa.RecordBatch.from_arrays([terms, pa.array([*df, len(column)], pa.int64()), pa.array([*([0] * len(df)), lengths.sum()], pa.int64())], names=["term", "df", "length"])
+
+
+def corpus_statistics(chunks: DataFrame) -> Corpus:
+    """One pass over the chunks; a negative idf becomes a quarter of the mean idf."""
+    found = spread(chunks.select("text")).select(tokens(F.col("text")).alias("terms")).mapInArrow(_counts, "term string, df long, length long")
+    df = materialize(found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")), "df")
+    n, total = (df.where("term is null").select("df", "length").first() or (0, 0))[:2]
+    raw = df.where("term is not null").withColumn("raw", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
+    return Corpus(n, total / n if n else 0.0, terms)
+
+
+class _Best:
+    """The k best (score, place) of each query so far, ties to the lesser place; -inf is nothing."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.place = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def offer(self, rows: slice, score: np.ndarray, place: np.ndarray) -> None:
+        """More scores of some queries, a column for each place."""
+        k = self.k
+        if score.shape[1] > 4 * k:  # what is below the k-th can't be among the best
+            low = np.partition(score, -k, axis=1)[:, [-k]]
+            wide = int((score >= low).sum(axis=1).max())
+            few = np.argsort(-score, axis=1, kind="stable")[:, :wide]
+            score, found = np.take_along_axis(score, few, 1), place[few]
+        else:
+            found = np.broadcast_to(place, score.shape)
+        score, found = np.hstack([self.score[rows], score]), np.hstack([self.place[rows], found])
+        order = np.lexsort((found, -score), axis=1)[:, :k]
+        self.score[rows], self.place[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+
+    def arrays(self, ids: pa.Array) -> list[pa.Array]:
+        there = self.score > -np.inf
+        return [ids.take(pa.array(np.nonzero(there)[0])), pa.array(self.place[there]), pa.array(self.score[there])]
+
+
+class AskedTerms:
+    """What a block of queries asks for, by term: the queries that hold it and its weight in each.
+
+    Terms that a quarter of the queries hold are columns of a matrix, so that a term that everyone asks
+    for costs a product; the others are lists.
+    """
+
+    def __init__(self, asked: pa.Table):
+        codes = asked["query_id"].combine_chunks().dictionary_encode()
+        terms = asked["term"].combine_chunks().dictionary_encode()
+        self.ids, self.terms = codes.dictionary, terms.dictionary
+        query, term, weight = (x.to_numpy(zero_copy_only=False) for x in (codes.indices, terms.indices, asked["weight"]))
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order].astype(np.int64), weight[order]
+        many = np.bincount(term, minlength=len(self.terms))
+        self.starts = np.concatenate([[0], np.cumsum(many)])
+        common = np.flatnonzero(4 * many > len(self.ids))
+        self.column = np.full(len(self.terms), -1)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(self.ids)))
+        for c, t in enumerate(common):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.matrix[c, self.query[own]] = self.weight[own]
+
+    def scores(self, terms: pa.Array, mean_length: float) -> np.ndarray:
+        """Scores of all queries (rows) against a batch of chunks, given by their lists of terms."""
+        chunks, queries = len(terms), len(self.ids)
+        length = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        found = pc.index_in(terms.flatten(), value_set=self.terms)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        row, term = np.repeat(np.arange(chunks), length)[known], found.drop_null().to_numpy(zero_copy_only=False)
+        key, tf = _distinct(row * len(self.terms) + term)
+        row, term = key // len(self.terms), key % len(self.terms)
+        value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean_length))
+        common = self.column[term] >= 0
+        held = np.zeros((chunks, len(self.matrix)))
+        held[row[common], self.column[term[common]]] = value[common]
+        score = (held @ self.matrix).T.ravel()
+        row, term, value = row[~common], term[~common], value[~common]
+        many = self.starts[term + 1] - self.starts[term]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(term):  # postings times queries, some millions at a time
+            below = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, below + TILE, "right")))
+            part = slice(at, end)
+            each = np.repeat(np.arange(at, end), many[part])
+            place = np.arange(len(each)) - np.repeat(ends[part] - many[part] - below, many[part]) + self.starts[term[each]]
+            score += np.bincount(self.query[place] * chunks + row[each], weights=value[each] * self.weight[place], minlength=len(score))
+            at = end
+        return score.reshape(queries, chunks)
+
+
+#: Pairs of a query and a term that go to all tasks at once, some tens of megabytes.
+SENT_PAIRS = 1_000_000
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, corpus_pos, score, rank: the k best chunks of each query, scores not above 0 left out.
+    """query_id, corpus_pos (a whole number), score, rank: the k best chunks of each query, scores not above 0 left out.
 
-    A repeated query term counts as often; ties keep the corpus order.  Only terms that queries have leave
-    the tasks that read the chunks' terms.
+    A repeated query term counts as often; ties keep the corpus order.  The chunks are scored where they are
+    read, batch by batch against a block of queries, and k rows of each query leave a task: nothing is
+    exchanged by term.  Queries beyond a block cost another pass over the chunks.
     """
-    index = indexed(chunks)
-    asked = materialize(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
-    terms = asked.select("term").distinct()
-    # A million terms are some tens of megabytes.
-    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
-    mean = index.agg(F.avg("length")).first()[0]
-    met = index.select("corpus_pos", "length", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-    counted = met.groupBy("term", "corpus_pos", "length").agg(F.count("*").alias("tf"))
-    weights = asked.join(term_statistics(index), "term")
-    length = 1 - B + B * F.col("length") / F.lit(mean)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scores = counted.join(weights, "term").groupBy("query_id", "corpus_pos").agg(F.round(F.sum(part), 9).alias("score"))
-    return top(scores, k, ["query_id"], F.desc("score"), F.asc("corpus_pos")).where("score > 0")
+    corpus = corpus_statistics(chunks)
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weights = materialize(asked.join(corpus.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+    blocks = max(1, -(-weights.count() // SENT_PAIRS))
+    listed = spread(chunks.select("corpus_pos", "text")).select("corpus_pos", tokens(F.col("text")).alias("terms"))
+    found = []
+    for n in range(blocks):
+        block = AskedTerms(weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow())
+        held = chunks.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, held=held):
+            block, kept = held.value, None
+            step = max(1, min(SCORED_ROWS, TILE // max(1, len(block.ids))))
+            kept = _Best(len(block.ids), k)
+            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+                if len(block.ids):
+                    score = np.round(block.scores(batch.column(1), corpus_mean), 9)
+                    score[score <= 0] = -np.inf
+                    kept.offer(slice(None), score, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays(kept.arrays(block.ids), names=["query_id", "corpus_pos", "score"])
+
+        corpus_mean = corpus.mean_length
+        kinds = f"query_id {dict(queries.dtypes)['query_id']}, corpus_pos long, score double"
+        found.append(top(listed.mapInArrow(run, kinds), k, ["query_id"], F.desc("score"), F.asc("corpus_pos")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,67 +200,62 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _nearest(held, k: int, grouped: bool, names: list[str]):
-    """A task's k nearest vectors of each query (and group), batch by batch by one matrix product."""
-
-    def best(score: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of each row, ties to the lesser place; nothing is -inf."""
-        order = np.lexsort((place, -score), axis=1)[:, :k]
-        return np.take_along_axis(score, order, 1), np.take_along_axis(place, order, 1)
+    """A task's k nearest vectors of each query (and group), tile by tile of a matrix product."""
 
     def run(batches):
-        ids, asked, own = held.value
+        ids, asked = held.value  # rows of length 1
+        step = max(1, min(SCORED_ROWS, TILE // max(1, len(asked))))
+        wide = max(1, TILE // step)
         kept: dict = {}
-        for batch in batches:
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             column = batch.column(1)
             vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
             place = batch.column(0).to_numpy()
             groups = np.array(batch.column(2).to_pylist(), object) if grouped else np.zeros(len(place), object)
-            size = (vectors * vectors).sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
             for group in dict.fromkeys(groups.tolist()):
                 at = groups == group
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    score = np.round((asked @ vectors[at].T) / np.sqrt(np.outer(own, size[at])), 6)
-                score[~np.isfinite(score)] = -np.inf
-                if score.shape[1] > 4 * k:  # what is below the k-th can't be among the best
-                    low = np.partition(score, -k, axis=1)[:, [-k]]
-                    wide = int((score >= low).sum(axis=1).max())
-                    few = np.argsort(-score, axis=1, kind="stable")[:, :wide]
-                    score, found = np.take_along_axis(score, few, 1), place[at][few]
-                else:
-                    found = np.broadcast_to(place[at], score.shape)
-                if group in kept:
-                    score, found = np.hstack([kept[group][0], score]), np.hstack([kept[group][1], found])
-                kept[group] = best(score, found)
-        for group, (score, place) in kept.items():
-            there = score > -np.inf
-            columns = [ids.take(pa.array(np.nonzero(there)[0])), pa.array(place[there]), pa.array(score[there])]
+                best = kept.setdefault(group, _Best(len(asked), k))
+                for low in range(0, len(asked), wide):
+                    score = np.round(asked[low : low + wide] @ vectors[at].T, 6)
+                    score[~np.isfinite(score)] = -np.inf
+                    best.offer(slice(low, low + wide), score, place[at])
+        for group, best in kept.items():
+            columns = best.arrays(ids)
             yield pa.RecordBatch.from_arrays(columns + ([pa.array([group] * len(columns[0]), pa.string())] if grouped else []), names=names)
 
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, by: str | None = None, block: int = 50_000) -> DataFrame:
-    """query_id, chunk_pos, score, rank: the k nearest vectors of each query by cosine, of each value of ``by`` if named.
+#: Numbers of query vectors that go to all tasks at once: 64 MB.
+SENT_NUMBERS = 8_000_000
 
-    Vectors are read once for every ``block`` queries, which go to all tasks as one matrix; a task keeps k
-    rows for each.  Vectors that are null, of another length or all zeros are never near.
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, by: str | None = None, block: int | None = None) -> DataFrame:
+    """query_id, chunk_pos (a whole number), score, rank: the k nearest vectors of each query by cosine, of each value of ``by`` if named.
+
+    Queries of each length meet the vectors of that length.  Vectors are read once for every ``block``
+    queries (as many as fill 64 MB by default), which go to all tasks as one matrix; a task keeps k rows for each and has a
+    tile of scores in memory.  Vectors that are null or all zeros are never near.
     """
     asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
     groups = [by] if by else []
     names = ["query_id", "chunk_pos", "score", *groups]
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_pos {dict(vectors.dtypes)['chunk_pos']}, score double" + "".join(f", {g} string" for g in groups)
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for n in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
-        size = max((len(r["q"]) for r in rows), default=0)
-        rows = [r for r in rows if len(r["q"]) == size]
-        matrix = np.array([r["q"] for r in rows]).reshape(len(rows), size)
-        held = vectors.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows]), matrix, (matrix * matrix).sum(axis=1)))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_pos long, score double" + "".join(f", {g} string" for g in groups)
+    lengths = asked.groupBy(F.size("q").alias("size")).count().where("size > 0").orderBy("size").collect()
+    found = [vectors.sparkSession.createDataFrame([], schema + ", rank int")]
+    for size, many in lengths:
+        blocks = -(-many // (block or max(1, SENT_NUMBERS // size)))
         fitting = vectors.where(F.size("embedding") == size).select("chunk_pos", "embedding", *groups)
-        found = top(fitting.mapInArrow(_nearest(held, k, bool(by), names), schema), k, ["query_id", *groups], F.desc("score"), F.asc("chunk_pos"))
-        out = found if out is None else out.unionByName(found)
-    return out
+        for n in range(blocks):
+            own = asked.where((F.size("q") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).toArrow()
+            matrix = own["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+            held = vectors.sparkSession.sparkContext.broadcast((own["query_id"].combine_chunks(), matrix))
+            found.append(top(fitting.mapInArrow(_nearest(held, k, bool(by), names), schema), k, ["query_id", *groups], F.desc("score"), F.asc("chunk_pos")))
+    return reduce(DataFrame.unionByName, found[1:] or found)
 
 
 def dense_union(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

@@ -50,7 +50,7 @@ def _(v):
 
 @query("d02_term_statistics", f"with {STATS} select term, df, round(idf, 6) idf from idf")
 def _(v):
-    return R.term_statistics(R.indexed(v.chunks)).withColumn("idf", F.round("idf", 6))
+    return R.corpus_statistics(v.chunks).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query("d03_bm25", f"with {BM25} select query_id, corpus_pos, round(score, 6) score, rank from sparse")

@@ -2,11 +2,14 @@
 
 import datetime
 import hashlib
+import math
 import pathlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scores
@@ -250,6 +253,55 @@ def test_dense_is_exact(spark):
     assert R.dense(v, q.limit(0), 5).count() == R.dense(v.limit(0), q, 5).count() == 0
 
 
+def test_dense_takes_queries_of_all_lengths(spark, monkeypatch):
+    """Queries of two lengths, each against the vectors of its own; tiles of one query; no query is lost."""
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0])], "chunk_pos long, embedding array<float>")
+    q = spark.createDataFrame([(7, [0.0, 2.0, 0.0]), (8, [3.0, 0.0]), (9, [0.0, 1.0]), (10, []), (11, None)], "query_id long, embedding array<float>")
+    want = [(7, 4, 1.0, 0), (7, 3, 0.0, 1), (8, 1, 1.0, 0), (8, 2, 0.6, 1), (9, 2, 0.8, 0), (9, 1, 0.0, 1)]
+    for tile in (1, 4_000_000):
+        monkeypatch.setattr(R, "TILE", tile)
+        assert sorted(map(tuple, R.dense(v, q, 2).select("query_id", "chunk_pos", "score", "rank").collect()), key=lambda r: (r[0], r[3])) == want
+
+
+def brute_bm25(chunks, queries, k):
+    docs = {i: (t or "").lower().split() for i, t in chunks}
+    df = Counter(w for d in docs.values() for w in set(d))
+    raw = {w: math.log((len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    mean = sum(map(len, docs.values())) / len(docs)
+    found = []
+    for query_id, text in queries:
+        scores = []
+        for i, d in docs.items():
+            tf = Counter(d)
+            score = round(sum((low if raw[w] < 0 else raw[w]) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in (text or "").lower().split() if w in tf), 9)
+            scores += [(-score, i)] if score > 0 else []
+        found += [(query_id, i, n, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+    return found
+
+
+@pytest.mark.parametrize("tile", [7, 4_000_000])
+def test_bm25_is_exact(spark, monkeypatch, tile):
+    """A word that all chunks and all queries hold, words of a few, ties, repeated words, nothing to ask; small tiles and blocks."""
+    rnd = random.Random(5)
+    word = lambda: "w%d" % min(int(rnd.expovariate(0.05)), 90)
+    chunks = [(i, "the the " + " ".join(word() for _ in range(rnd.randint(1, 40)))) for i in range(150)]
+    chunks += [(150, None), (151, ""), (152, chunks[0][1]), (153, chunks[0][1]), (154, "the"), (155, "Rare")]
+    queries = [(q, "the " + " ".join(word() for _ in range(rnd.randint(1, 12)))) for q in range(30)] + [(90, None), (91, "unheard of"), (92, "rare rare RARE"), (93, chunks[0][1])]
+    monkeypatch.setattr(R, "TILE", tile)
+    if tile < 100:
+        monkeypatch.setattr(R, "SENT_PAIRS", 50)
+    c = spark.createDataFrame(chunks, "corpus_pos long, text string").repartition(3)
+    got = R.bm25(c, spark.createDataFrame(queries, "query_id long, text string"), 5)
+    told = {(r["query_id"], r["corpus_pos"], r["rank"]): r["score"] for r in got.collect()}
+    want = {x[:3]: x[3] for x in brute_bm25(chunks, queries, 5)}
+    assert told.keys() == want.keys() and all(math.isclose(told[x], want[x], abs_tol=1e-6) for x in want)
+    # Only the exchange that gathers each query's best is left: nothing meets by term.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "term" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert R.bm25(c.limit(0), spark.createDataFrame(queries, "query_id long, text string")).count() == 0 == R.bm25(c, spark.createDataFrame([], "query_id long, text string")).count()
+
+
 def test_streams(spark, tmp_path):
     """A document that comes again replaces its chunks, a changed vote counts once, rows later than the watermark don't count."""
     docs = "doc_id long, source string, text string"
