@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking as C
@@ -152,9 +154,14 @@ def _(v):
     return few(v).select("user_id", "category", F.col("rank").cast("long").alias("rank"), "analysis_id", "requirement_id", "title", "description", "verdict", F.array_join("evidence", "|").alias("evidence"))
 
 
-BLOCKS = f"""{FEW}, bk as (select user_id, category, '# Exemples de verdicts validés par l''utilisateur (référence de style et rigueur)' || repeat(chr(10), 2) || string_agg(
-  'Exemple ' || rank || ' (domaine: ' || coalesce(category, '?') || ', statut: ' || status || ') :' || chr(10) || 'Exigence : ' || trim(title) || chr(10)
-  || case when trim(coalesce(description, '')) = '' then '' else 'Description : ' || trim(description) || chr(10) end || 'Verdict : ' || trim(coalesce(verdict, '')) || repeat(chr(10), 2), '' order by rank) || '---' || chr(10) as blk from few group by 1, 2)"""
+def sql_filled(template: str, **values: str) -> str:
+    """A template as SQL, its names replaced by expressions."""
+    told = lambda p: "'" + p.replace("'", "''") + "'"
+    return " || ".join(told(p) if n % 2 == 0 else f"coalesce({values[p]}::varchar, '')" for n, p in enumerate(re.split(r"\{(\w+)\}", template)))
+
+
+ONE = sql_filled(E.ONE_EXAMPLE, rank="rank", category="coalesce(category, '?')", status="status", title="trim(title)", description="trim(description)", verdict="trim(verdict)")
+BLOCKS = f"""{FEW}, bk as (select user_id, category, {sql_filled(E.EXAMPLES, examples=f"string_agg({ONE}, '' order by rank)")} as blk from few group by 1, 2)"""
 
 
 @query("e15_few_shot_block", f"with {BLOCKS} select user_id, category, blk as block from bk")
@@ -162,7 +169,7 @@ def _(v):
     return E.few_shot_block(few(v))
 
 
-CRITERIA = "case page % 3 when 0 then '(aucun fourni)' when 1 then '- ' || title else '- ' || title || chr(10) || '- shown on p.' || page end"
+CRITERIA = "case page % 3 when 0 then '(none given)' when 1 then '- ' || title else '- ' || title || chr(10) || '- shown on p.' || page end"
 
 
 def full_requirements(v):
@@ -177,16 +184,14 @@ def contexts(v):
 
 
 @query("e16_verdict_requests", f"""with {BLOCKS}, rq as (select r.*, own.user_id from requirements_v r join own using (analysis_id) where r.page % 5 <> 0)
-  select rq.analysis_id, rq.id, md5(coalesce(blk, '') || 'Exigence à évaluer' || chr(10) || repeat('-', 18) || chr(10) || 'ID : ' || rq.id || chr(10) || 'Titre : ' || title || chr(10) || 'Catégorie : ' || rq.category || chr(10)
-    || 'Priorité : ' || priority || chr(10) || 'Description : ' || description || chr(10) || 'Critères d''acceptation :' || chr(10) || {CRITERIA} || repeat(chr(10), 2)
-    || 'Extraits de la documentation produit' || chr(10) || repeat('-', 36) || chr(10) || 'found by ' || source || repeat(chr(10), 2) || 'Réponds en JSON strict (voir schéma du système).') digest
+  select rq.analysis_id, rq.id, md5({sql_filled(E.VERDICT_REQUEST, examples="blk", id="rq.id", title="title", category="rq.category", priority="priority", description="description", criteria=CRITERIA, context="'found by ' || source")}) digest
   from rq left join bk on bk.user_id = rq.user_id and bk.category = rq.category""")
 def _(v):
     return E.verdict_requests(full_requirements(v), E.few_shot_block(few(v)), contexts(v)).select("analysis_id", "id", F.md5("request").alias("digest"))
 
 
-@query("e13_hypothesis_requests", f"""select r.analysis_id, r.id, md5('Exigence :' || chr(10) || 'Titre : ' || title || chr(10) || 'Catégorie : ' || category || chr(10) || 'Description : ' || description || chr(10) || 'Critères d''acceptation : ' || {CRITERIA}
-  || repeat(chr(10), 2) || 'Réponse hypothétique (2-3 phrases, vocabulaire métier) :') digest from requirements_v r join cdcs_v d on d.id = r.analysis_id join clients_v c on c.id = d.client_id""")
+@query("e13_hypothesis_requests", f"""select r.analysis_id, r.id, md5({sql_filled(E.ANSWER_REQUEST, title="title", category="category", description="description", criteria=CRITERIA)}) digest
+  from requirements_v r join cdcs_v d on d.id = r.analysis_id join clients_v c on c.id = d.client_id""")
 def _(v):
     return E.hypothesis_requests(full_requirements(v)).select("analysis_id", "id", F.md5("request").alias("digest"))
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scores
+from lectern.functions.templates import filled
 from lectern.operators import chunking as C
 from lectern.operators import requirements as E
 from lectern.operators import retrieval as R
@@ -302,6 +303,31 @@ def test_bm25_is_exact(spark, monkeypatch, tile):
     assert R.bm25(c.limit(0), spark.createDataFrame(queries, "query_id long, text string")).count() == 0 == R.bm25(c, spark.createDataFrame([], "query_id long, text string")).count()
 
 
+def test_semantic_links_of_a_large_report(spark):
+    """A report of 800 rows by candidates, a small one by all pairs; copies, null and zero vectors; the least of four runs by bands is 0.98."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 64))
+    rows = [(1, i, v) for i, v in enumerate(base)]
+    near = [(1, 1200 + i, base[i % 90] + rng.normal(size=64) * rng.uniform(0.2, 0.6)) for i in range(500)]
+    rows += near + [(1, 5000, base[0]), (1, 5001, base[0]), (2, 6000, base[0]), (2, 6001, base[0] * 2), (2, 6002, base[1])]
+    told = [(g, i, v.tolist()) for g, i, v in rows] + [(2, 6003, None), (2, 6004, [0.0] * 64), (2, 6005, [0.0] * 64)]
+    df = spark.createDataFrame(told, "analysis_id long, idx long, embedding array<double>").repartition(3)
+    own = [(i, v / np.sqrt(v @ v)) for g, i, v in rows if g == 1]
+    ids, m = np.array([i for i, _ in own]), np.array([v for _, v in own])
+    a, b = np.nonzero(np.triu(np.round(m @ m.T, 6) >= 0.88, 1))
+    want = {(1, *sorted((int(ids[x]), int(ids[y])))) for x, y in zip(a, b, strict=True)} | {(2, 6000, 6001)}
+    got = {tuple(r) for r in E.semantic_links(df, "analysis_id", 0.88, compared=300).collect()}
+    assert len(want) > 500 and got <= want and len(got) >= 0.98 * len(want) and {(1, 0, 5000), (1, 0, 5001), (1, 5000, 5001), (2, 6000, 6001)} <= got
+    assert {tuple(r) for r in E.semantic_links(df, "analysis_id", 0.88, compared=10_000).collect()} == want
+
+
+def test_templates(spark):
+    row = spark.createDataFrame([("a", None)], "x string, y string")
+    assert row.select(filled("{x}: {y}{x}!", x=F.col("x"), y=F.col("y"))).first()[0] == "a: a!"
+    with pytest.raises(KeyError):
+        filled("{z}", x=F.col("x"))
+
+
 def test_streams(spark, tmp_path):
     """A document that comes again replaces its chunks, a changed vote counts once, rows later than the watermark don't count."""
     docs = "doc_id long, source string, text string"
