@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from lectern.functions.scores import coverage
 from lectern.functions.storage import new_path
 from lectern.operators import workspace as W
+from lectern.operators.chunking import chunk_documents
+from lectern.plans.chunking import chunks_sql, letter_counts
 from lectern.plans.registry import query
 from lectern.plans.workspace import EXPORT, exported
 from lectern.sources import pages as P
 from lectern.sources import tables as S
+from lectern.sources.store import Store
 
 SQL_CLEAN = r"""cl as (select page_id, url, html, regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), html),
     '(?is)<!--.*?-->|<nav\b[^>]*>.*?</nav>|<header\b[^>]*>.*?</header>|<footer\b[^>]*>.*?</footer>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<form\b[^>]*>.*?</form>|<aside\b[^>]*>.*?</aside>|<div class="ad">.*?</div>', '', 'g') bare from pages),
@@ -204,32 +207,65 @@ def _(v):
     return v.documents.where(S.supported(F.concat("source", F.element_at(endings, (F.col("doc_id") % 4 + 1).cast("int"))))).select("doc_id")
 
 
-@query("a08_upsert", "select chunk_id, case when corpus_pos % 3 = 0 then 'new' else source end source from chunks_v where corpus_pos % 5 <> 0 or corpus_pos % 3 = 0")
+def stored(v, rows, unit=("collection", "source")) -> Store:
+    """A new store with ``rows``, written in two lots."""
+    store = Store(v.spark, new_path(v.spark, "store"), rows.schema, unit, slots=8)
+    for half in (0, 1):
+        store.upsert(rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == half))
+    return store
+
+
+@query("a08_upsert", "select chunk_id, collection, case when corpus_pos % 3 = 0 then 'new' else source end source from chunks_v where corpus_pos % 5 <> 0 or corpus_pos % 3 = 0")
+def _(v):
+    """Chunks move to another source; the second run changes nothing."""
+    store = stored(v, v.chunks.where("corpus_pos % 5 <> 0").select("chunk_id", "collection", "source"))
+    new = v.chunks.where("corpus_pos % 3 = 0").select("chunk_id", "collection", F.lit("new").alias("source"))
+    for _ in range(2):
+        store.upsert(new.unionByName(new))
+    return store.read()
+
+
+@query("a09_delete_source", "select chunk_id, collection from chunks_v where source is null or source <> 'src1'")
 def _(v):
-    stored = v.chunks.where("corpus_pos % 5 <> 0").select("chunk_id", "source")
-    new = v.chunks.where("corpus_pos % 3 = 0").select("chunk_id", F.lit("new").alias("source"))
-    return S.upserted(stored, new.unionByName(new))
+    store = stored(v, v.chunks.select("chunk_id", "collection", "source"))
+    store.remove(F.col("source") == "src1")
+    return store.read().select("chunk_id", "collection")
 
 
-@query("a09_delete_source", "select chunk_id from chunks_v where source is null or source <> 'src1'")
+@query("a09_deleted_counts", "select collection, source, count(*) deleted from chunks_v where source in ('src1', 'src3') group by all")
 def _(v):
-    return S.without_source(v.chunks, "src1").select("chunk_id")
+    return stored(v, v.chunks.select("chunk_id", "collection", "source")).remove(F.col("source").isin("src1", "src3"))
 
 
 @query("a10_purge_report", "select collection, count_if(source = 'src1' and collection = 'knowledge_base') deleted from chunks_v group by 1")
 def _(v):
-    return S.deletion_report(v.chunks, S.without_source(v.chunks, "src1", "knowledge_base"))
+    store = stored(v, v.chunks.select("chunk_id", "collection", "source"))
+    removed = store.remove((F.col("source") == "src1") & (F.col("collection") == "knowledge_base"))
+    return S.deletion_report(removed, store.read())
 
 
-@query("a11_refresh", "select chunk_id, source, case when source = 'src2' then 'v2' else 'v1' end version from chunks_v")
+@query("a11_refresh", f"""{chunks_sql("sd as (select doc_id, source, case when source = 'src2' then text else 'Short. Old. ' || doc_id end text from documents)")}""")
 def _(v):
-    stored, fresh = v.chunks.withColumn("version", F.lit("v1")), v.chunks.where("source = 'src2'").withColumn("version", F.lit("v2"))
-    return S.without_source(stored, "src2").unionByName(fresh).select("chunk_id", "source", "version")
+    """All documents are stored in an old version; one source is cut again, once and once more, by the chunker."""
+    columns = ["doc_id", "source", "chunk_id", "chunk", "heading", "chunker_version", "text"]
+    old = v.documents.select("doc_id", "source", F.concat(F.lit("Short. Old. "), "doc_id").alias("text"))
+    rows = chunk_documents(old, letter_counts).select(*columns)
+    store = Store(v.spark, new_path(v.spark, "store"), rows.schema, ("source",), slots=8)
+    store.replace(rows, rows)
+    for _ in range(2):
+        source = v.documents.where("source = 'src2'")
+        store.replace(source, chunk_documents(source, letter_counts).select(*columns))
+    return store.read().select(*(c for c in columns if c not in ("source", "text")), F.md5("text").alias("digest"))
 
 
-@query("a12_reset_collection", "select chunk_id from chunks_v where collection <> 'private'")
+@query("a12_reset_collection", "select chunk_id, source from chunks_v where collection <> 'private' union all select 'fresh', 'src1'")
 def _(v):
-    return v.chunks.where("collection <> 'private'").select("chunk_id")
+    """A collection is emptied, what no reader needs is deleted, and a row comes in."""
+    store = stored(v, v.chunks.select("chunk_id", "collection", "source"))
+    store.remove(F.col("collection") == "private")
+    store.vacuum()
+    store.upsert(v.spark.createDataFrame([("fresh", "private", "src1")], store.schema))
+    return store.read().select("chunk_id", "source")
 
 
 COLUMNS = ", ".join(f"""case when regexp_matches("{c}", '[;"\\r\\n]') then '"' || replace("{c}", '"', '""') || '"' else "{c}" end""" for c in W.EXPORT)

@@ -27,12 +27,19 @@ def _drained(v: Views, df: DataFrame, keys: list[str], mode: str = "update") ->
     return J.current(v.spark, out, keys)
 
 
+CHUNKS = "doc_id long, source string, chunk_id string, chunk long, heading string, chunker_version string, text string"
+
+
 @query("j01_ingest", chunks_sql(PLAIN))
 def _(v):
-    out = new_path(v.spark, "chunks")
-    J.ingest(_stream(v, "documents").select("doc_id", "source", "text"), out, new_path(v.spark, "stream"), letter_counts).awaitTermination()
-    chunks = J.current(v.spark, out, ["source", "doc_id"])
-    return chunks.select("doc_id", "chunk_id", "chunk", "heading", "chunker_version", F.md5("text").alias("digest"))
+    """Every document comes three times: as it was, with its text as it is now, and, in part, once more."""
+    docs, first = v.documents.select("doc_id", "source", "text"), new_path(v.spark, "documents")
+    for number, lot in enumerate((docs.withColumn("text", F.concat(F.lit("Old. "), F.col("doc_id").cast("string"))), docs, docs.where("doc_id % 3 = 0")), 1):
+        lot.withColumn("version", F.lit(number)).coalesce(1).write.mode("append").parquet(first)
+    store = J.Store(v.spark, new_path(v.spark, "chunks"), CHUNKS, ("source", "doc_id"), slots=8)
+    stream = J.read_stream(v.spark, first, v.spark.read.parquet(first).schema, 1)
+    J.ingest(stream, store, new_path(v.spark, "stream"), letter_counts).awaitTermination()
+    return store.read().select("doc_id", "chunk_id", "chunk", "heading", "chunker_version", F.md5("text").alias("digest"))
 
 
 @query("j02_redelivery", "select event_id % 500 chunk_id from events group by 1")

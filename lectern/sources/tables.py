@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.texts import strip
 
@@ -50,27 +49,11 @@ def supported(source: Column) -> Column:
     return F.lower(F.regexp_extract(source, "\\.[^.]+$", 0)).isin(*SUPPORTED)
 
 
-def upserted(stored: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Stored rows with the new ones in place of those of the same key; of repeated new keys one stays."""
-    fresh = new.dropDuplicates([key])
-    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)
-
-
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Write rows into their (collection, source) partitions, replacing those alone."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "source").parquet(path)
-
-
-def without_source(stored: DataFrame, source: str, collection: str | None = None) -> DataFrame:
-    gone = F.col("source").eqNullSafe(source)
-    return stored.where(~(gone & F.col("collection").eqNullSafe(collection)) if collection else ~gone)
-
-
-def deletion_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows gone from each collection, never below 0."""
-    count = lambda df, name: df.groupBy("collection").agg(F.count("*").alias(name))
-    joined = count(before, "was").join(count(after, "now"), "collection", "left")
-    return joined.select("collection", F.greatest(F.col("was") - F.coalesce("now", F.lit(0)), F.lit(0)).alias("deleted"))
+def deletion_report(removed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows gone from each collection, by what a store's ``remove`` tells, and 0 for those that have lost none."""
+    gone = removed.groupBy("collection").agg(F.sum("deleted").alias("n"))
+    every = stored.select("collection").distinct().unionByName(gone.select("collection")).distinct().withColumnRenamed("collection", "c")
+    return every.join(gone, F.col("c").eqNullSafe(F.col("collection")), "left").select(F.col("c").alias("collection"), F.coalesce("n", F.lit(0)).cast("long").alias("deleted"))
 
 
 def csv_cell(value: Column, separator: str = ";") -> Column:
@@ -153,6 +136,3 @@ def flat_export(requirements: DataFrame) -> DataFrame:
     bulleted = lambda c, mark: _joined(F.transform(c, lambda x: F.concat(F.lit(mark), x)))
     values = [F.col("id"), F.col("title"), F.col("category"), F.col("priority"), label, F.col("verdict"), F.col("description"), bulleted("acceptance_criteria", "• "), F.col("source_location"), strip(bulleted("evidence", "— ")), _joined(F.transform("sources", cited), "; ")]
     return requirements.select("analysis_id", *(F.coalesce(c, F.lit("")).alias(name) for name, c in zip(FLAT, values, strict=True)))
-
-
-CHUNK = T.StructType([T.StructField(c, T.StringType()) for c in ("chunk_id", "collection", "source", "text")])

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions.embedding import Embed
+from lectern.functions.storage import materialize
 from lectern.operators.chunking import chunk_documents
 from lectern.operators.workspace import source_boosts
+from lectern.sources.store import Store
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -37,13 +39,21 @@ def current(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("last", last).where("batch = last").drop("batch", "last")
 
 
-def ingest(documents: DataFrame, out: str, checkpoint: str, model: Embed | None = None) -> StreamingQuery:
-    """New documents (doc_id, source, text) to chunks with stable ids.
+def ingest(documents: DataFrame, store: Store, checkpoint: str, model: Embed | None = None) -> StreamingQuery:
+    """New and changed documents (doc_id, source, text, and ``version`` if there is one) to chunks in ``store``.
 
-    A document that comes again replaces its chunks: :func:`current` by source and doc_id shows the
-    chunks of its latest version alone, also where it has fewer now.
+    The unit of ``store`` is a document: its chunks are replaced by those of its latest version, and a document that
+    has become null or blank loses them.  Of several rows of a document in one micro-batch the one of
+    the highest ``version`` counts, else that of the greatest hash of its text.  A batch costs its own
+    documents and the slots that these lie in; a batch that runs again leaves the same rows.
     """
-    return to_batches(documents, out, checkpoint, lambda batch: chunk_documents(batch, model))
+
+    def write(batch: DataFrame, number: int) -> None:
+        order = F.struct(*([F.col("version")] if "version" in batch.columns else []), F.xxhash64(F.coalesce("text", F.lit(""))))
+        latest = materialize(batch.groupBy("doc_id", "source").agg(F.max_by("text", order).alias("text")), "batch")
+        store.replace(latest, chunk_documents(latest, model).select(*store.names))
+
+    return documents.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def once(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -21,6 +21,7 @@ from lectern.operators import workspace as W
 from lectern.operators.components import connected_components
 from lectern.sources import pages as P
 from lectern.sources import tables as S
+from lectern.sources.store import Conflict, Store
 from lectern.streaming import jobs as J
 
 
@@ -329,18 +330,7 @@ def test_templates(spark):
 
 
 def test_streams(spark, tmp_path):
-    """A document that comes again replaces its chunks, a changed vote counts once, rows later than the watermark don't count."""
-    docs = "doc_id long, source string, text string"
-    rows = [[(1, "s", "One. Two."), (2, "s", "Three.")], [(1, "s", "Four."), (3, "s", "Five.")]]
-    for k, part in enumerate(rows):
-        spark.createDataFrame(part, docs).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
-    out, checkpoint = f"file://{tmp_path}/chunks", f"file://{tmp_path}/state"
-    for k in (0, 1):
-        spark.read.parquet(f"{tmp_path}/in{k}").write.mode("append").parquet(f"{tmp_path}/arriving")
-        J.ingest(J.read_stream(spark, f"{tmp_path}/arriving", docs), out, checkpoint).awaitTermination()
-    now = J.current(spark, out, ["source", "doc_id"]).collect()
-    assert sorted((r["doc_id"], r["text"]) for r in now) == [(1, "Four."), (2, "Three."), (3, "Five.")] and len({r["chunk_id"] for r in now}) == 3
-
+    """A changed vote counts once, rows later than the watermark don't count."""
     kind = "analysis_id int, requirement_id string, user_id int, vote string, updated_at int, event_id int"
     for k, part in enumerate([[(1, "R1", 7, "up", 1, 1), (1, "R1", 8, "up", 1, 2)], [(1, "R1", 7, "down", 2, 3), (1, "R1", 8, "sideways", 3, 4)]]):
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/votes")
@@ -360,6 +350,79 @@ def test_streams(spark, tmp_path):
     assert counted == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-05": 2}
 
 
+def test_ingested_documents(spark, tmp_path):
+    """Three batches: several versions in one, a document that becomes blank, one with fewer chunks; then a batch that runs again."""
+    kind = "doc_id long, source string, text string, version int"
+    long = "\n".join(f"# Part {i}\nText of part {i}." for i in range(4))
+    batches = [[(1, "s", long, 1), (2, "s", "Two.", 1), (3, None, "Three.", 1)], [(1, "s", "Older.", 2), (1, "s", "One now.", 3), (4, "s", "Four.", 1)], [(2, "s", " \n", 2), (4, "s", None, 2), (3, None, "Three again.", 2)]]
+    want = [{1: 4, 2: 1, 3: 1}, {1: ["One now."], 2: ["Two."], 3: ["Three."], 4: ["Four."]}, {1: ["One now."], 3: ["Three again."]}]
+    schema = "doc_id long, source string, chunk_id string, chunk long, heading string, text string"
+    store = Store(spark, f"file://{tmp_path}/chunks", spark.createDataFrame([], schema).schema, ("source", "doc_id"), slots=4)
+    for rows, expected in zip(batches, want, strict=True):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/arriving")
+        J.ingest(J.read_stream(spark, f"{tmp_path}/arriving", kind), store, f"file://{tmp_path}/state").awaitTermination()
+        found = {}
+        for r in store.read().orderBy("chunk").collect():
+            found.setdefault(r["doc_id"], []).append(r["text"])
+        assert found == expected or {k: len(v) for k, v in found.items()} == expected
+    before = sorted(map(tuple, store.read().collect()), key=str)
+    # A read meets the live slots alone, and a stream that starts anew over all files ends in the same rows.
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "__folder" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    store.vacuum()
+    assert sorted(map(tuple, store.read().collect()), key=str) == before
+    J.ingest(J.read_stream(spark, f"{tmp_path}/arriving", kind), store, f"file://{tmp_path}/other").awaitTermination()
+    assert sorted(map(tuple, store.read().collect()), key=str) == before
+
+
+def test_stored_collection(spark, tmp_path):
+    """Rows move to another unit, null units, empty stores, a writer that is lost before its commit, two writers, what vacuum leaves."""
+    kind = "chunk_id string, collection string, source string, text string"
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    stored = lambda s: sorted(map(tuple, s.read().collect()), key=str)
+    store = Store(spark, f"file://{tmp_path}/s", rows(("", "", "", "")).schema, slots=3)
+    assert stored(store) == [] and store.remove(F.col("source") == "a").count() == 0
+    first = [("1", "k", "a", "x"), ("2", "k", "b", "x"), ("3", "k", None, "x"), ("4", None, "a", "x")]
+    store.upsert(rows(*first))
+    assert stored(store) == sorted(first, key=str)
+    before = store.read()
+    store.upsert(rows(("2", "k", "a/ü", "moved"), ("2", "k", "a/ü", "moved"), ("5", "k", None, "new")))
+    now = [("1", "k", "a", "x"), ("2", "k", "a/ü", "moved"), ("3", "k", None, "x"), ("4", None, "a", "x"), ("5", "k", None, "new")]
+    assert stored(store) == sorted(now, key=str) and sorted(map(tuple, before.collect()), key=str) == sorted(first, key=str)
+    assert sorted(map(tuple, store.remove(F.col("source") == "a").collect()), key=str) == sorted([("k", "a", 1), (None, "a", 1)], key=str)
+    assert {r[0] for r in stored(store)} == {"2", "3", "5"}
+    store.replace(rows(("", "k", None, "")), rows(("6", "k", None, "y")))
+    assert {r[0] for r in stored(store)} == {"2", "6"}
+
+    # Written but not committed: readers see the old rows, and the next writer starts over.
+    versions, state = store.versions(), stored(store)
+    commit = store._file_system
+    def lost(path):
+        if "/commits/" in path:
+            raise OSError("lost")
+        return commit(path)
+    store._file_system = lost
+    with pytest.raises(OSError, match="lost"):
+        store.upsert(rows(("9", "k", "z", "lost")))
+    store._file_system = commit
+    assert stored(store) == state and store.versions() == versions
+    store.upsert(rows(("9", "k", "z", "there")))
+    assert ("9", "k", "z", "there") in stored(store) and len(stored(store)) == len(state) + 1
+
+    # Two writers from the same state: the second one is told, and has changed nothing.
+    other, stale = Store(spark, store.path, store.schema, slots=3), store.versions()
+    store.upsert(rows(("10", "k", "z", "first")))
+    other.versions = lambda: stale
+    with pytest.raises(Conflict):
+        other.upsert(rows(("10", "k", "z", "second")))
+    assert ("10", "k", "z", "first") in stored(store)
+    state = stored(store)
+    store.vacuum()
+    assert stored(store) == state
+    store.remove(F.lit(True))
+    assert stored(store) == []
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(7, None), (9, 9)]
@@ -379,15 +442,6 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_upsert_and_delete(spark):
-    stored = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "chunk_id string, source string")
-    new = spark.createDataFrame([("2", "n"), ("2", "n"), ("4", "m")], "chunk_id string, source string")
-    once = S.upserted(stored, new)
-    assert sorted(r["chunk_id"] for r in once.collect()) == ["1", "2", "3", "4"]
-    assert sorted(map(tuple, S.upserted(once, new).collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
-    assert {r["chunk_id"] for r in S.without_source(stored, "b").collect()} == {"1", "3"}
-
-
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("R1", 'a;"b"\nc'), ("R2", None)], "id string, note string")
     S.write_feedback_csv(rows, str(tmp_path / "f"))
@@ -400,10 +454,6 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.md").write_text("x\ny")
     assert S.read_texts(spark, str(tmp_path / "d")).first()["text"] == "x\ny"
-    chunks = spark.createDataFrame([("1", "c", "s", "t"), ("2", "c", "u", "t")], "chunk_id string, collection string, source string, text string")
-    S.write_snapshot(chunks, str(tmp_path / "k"))
-    S.write_snapshot(chunks.where("source = 'u'").withColumn("text", F.lit("new")), str(tmp_path / "k"))
-    assert {(r["source"], r["text"]) for r in spark.read.parquet(str(tmp_path / "k")).collect()} == {("s", "t"), ("u", "new")}
     (tmp_path / "x").mkdir()
     for name in ("F1.xml", "X1.xml", "N2.txt"):
         (tmp_path / "x" / name).write_text('<Publication ID="F1"><dc:title>t</dc:title><Texte>some text</Texte></Publication>')
