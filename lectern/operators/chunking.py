@@ -278,27 +278,37 @@ def long_splits(text: Column, size: int = 30_000, overlap: int = 2_000) -> Colum
     A piece is cut at the last blank line, else line, else space among its last CUT_WINDOW characters;
     the next one starts ``overlap`` before the cut, but moves on.
     """
-    whole = strip(F.coalesce(text, F.lit("")))
-    n = F.length(whole)
     last = lambda tail, mark: F.when(F.instr(tail, mark) > 0, F.length(tail) - F.locate(mark, F.reverse(tail)) - len(mark) + 1)
 
-    def step(state: Column, _: Column) -> Column:
-        start = state["start"]
+    def part(s: Column, at: Column, length: Column) -> Column:
+        """Characters of the text, looked up in the one or two blocks that hold them."""
+        block = F.floor(at / size).cast("int")
+        both = F.concat(F.get(s["blocks"], block), F.coalesce(F.get(s["blocks"], block + 1), F.lit("")))
+        return F.coalesce(F.substring(both, at - block * size + 1, length), F.lit(""))
+
+    def step(s: Column, _: Column) -> Column:
+        start, n = s["start"], s["n"]
         hard = F.least(start + size, n)
         low = F.greatest(start + (size - CUT_WINDOW), start)
-        tail = F.substring(whole, low + 1, hard - low)
+        tail = part(s, low, hard - low)
         cut = F.coalesce(last(tail, "\n\n"), last(tail, "\n"), last(tail, " "))
         end = F.when((hard < n) & (cut > 0), low + cut).otherwise(hard)
-        piece = strip(F.substring(whole, start + 1, end - start))
+        piece = strip(part(s, start, end - start))
         after = F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1))
-        more = F.when(piece == "", state["out"]).otherwise(F.array_append(state["out"], piece))
-        return F.when(start >= n, state).otherwise(F.struct(after.alias("start"), more.alias("out")))
+        more = F.when(piece == "", s["out"]).otherwise(F.array_append(s["out"], piece))
+        moved = F.struct(after.alias("start"), more.alias("out"), s["blocks"].alias("blocks"), n.alias("n"))
+        return F.when(start >= n, s).otherwise(moved)
 
+    # The text is stripped and cut into blocks once, as what the fold starts from: its steps don't read the text again.
+    whole = F.transform(F.array(strip(F.coalesce(text, F.lit("")))), lambda t: F.struct(t.alias("t"), F.length(t).alias("n")))
     least = max(1, size - min(size, CUT_WINDOW) - overlap + 1)
-    steps = F.sequence(F.lit(0), F.ceil(n / F.lit(least)).cast("int"))
-    start = F.struct(F.lit(0).alias("start"), F.array().cast(STRINGS).alias("out"))
-    walked = F.aggregate(steps, start, step, lambda s: s["out"])
-    return F.when(n <= size, F.array(whole)).otherwise(walked)
+
+    def walked(w: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("start"), F.array().cast(STRINGS).alias("out"), F.regexp_extract_all(w["t"], F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("blocks"), w["n"].alias("n"))
+        steps = F.sequence(F.lit(0), F.ceil(w["n"] / F.lit(least)).cast("int"))
+        return F.when(w["n"] <= size, F.array(w["t"])).otherwise(F.aggregate(steps, begin, step, lambda s: s["out"]))
+
+    return F.get(F.transform(whole, walked), F.lit(0))
 
 
 def paged_text(pages: DataFrame, limit: int = 180_000, marker: str = "\n\n[...document tronqué...]") -> DataFrame:

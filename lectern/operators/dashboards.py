@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import STATUSES, clamp, coverage, finite, percent
-
-#: The order of the domains of the test data's categories, unknown ones last.
-DOMAINS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+from lectern.operators.requirements import CATEGORIES
 
 
 def confidence_histogram(rows: DataFrame, buckets: int = 5) -> DataFrame:
@@ -69,14 +67,15 @@ def by_confidence(requirements: DataFrame) -> DataFrame:
 
 
 def status_facets(requirements: DataFrame) -> DataFrame:
-    """Counts of each status and of all, of what other filters leave."""
-    counts = requirements.groupingSets([["status"], []], "status").agg(F.count("*").alias("n"))
-    return counts.withColumn("status", F.coalesce("status", F.lit("all")))
+    """Counts of each status and of all, of what other filters leave; rows without a status have a null one."""
+    counts = requirements.groupingSets([["status"], []], "status").agg(F.count("*").alias("n"), F.grouping("status").alias("every"))
+    return counts.select(F.when(F.col("every") == 1, "all").otherwise(F.col("status")).alias("status"), "n")
 
 
-def by_domain(requirements: DataFrame) -> DataFrame:
-    """Counts of each status by domain, in the fixed order."""
-    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("category")), F.lit(0)), F.lit(len(DOMAINS) + 1))
+def by_domain(requirements: DataFrame, domains: list[str] | None = None) -> DataFrame:
+    """Counts of each status by domain, in the order of ``domains`` (the nine by default), others last."""
+    domains = CATEGORIES if domains is None else domains
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, domains)), F.col("category")), F.lit(0)), F.lit(len(domains) + 1))
     counts = requirements.groupBy("category").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
     return counts.withColumn("domain_order", order.cast("long")).orderBy("domain_order", "category")
 
@@ -92,10 +91,16 @@ def coverage_band(percentage: Column) -> Column:
 
 
 def repaired_summary(stored: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Stored fields where they are finite, else recounted."""
-    fresh = summary(requirements).select("analysis_id", *(F.col(c).alias(f"__{c}") for c in ("total", "coverage_percent")))
+    """The six fields of each analysis: stored ones where they are finite, else recounted (0 without requirements).
+
+    A coverage that isn't stored is the share of ``covered`` in ``total``, as both are shown.
+    """
+    counts = ("total", *STATUSES)
+    fresh = summary(requirements).select("analysis_id", *(F.col(c).alias(f"__{c}") for c in counts))
     joined = stored.join(fresh, "analysis_id", "full")
-    return joined.select("analysis_id", F.coalesce("total", "__total").alias("total"), F.coalesce(finite(F.col("coverage_percent")), "__coverage_percent").alias("coverage_percent"))
+    shown = joined.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.col(f"__{c}").cast("double"), F.lit(0.0)).cast("long") for c in counts})
+    share = F.when(F.col("total") > 0, F.col("covered") / F.col("total") * 100).otherwise(0.0)
+    return shown.select("analysis_id", *counts, F.coalesce(finite(F.col("coverage_percent")), share).alias("coverage_percent"))
 
 
 def success_rate(jobs: DataFrame) -> DataFrame:
@@ -106,10 +111,18 @@ def success_rate(jobs: DataFrame) -> DataFrame:
 
 def next_run(schedules: DataFrame, now: Column) -> DataFrame:
     """The least next run of the enabled schedules, and how far ahead it is."""
-    minutes = F.floor((F.unix_timestamp("next_run_at") - F.unix_timestamp(now)) / 60)
-    first = schedules.where("enabled").agg(F.min("next_run_at").alias("next_run_at")).withColumn("minutes", minutes)
-    ahead = F.when(F.col("minutes") < 60, F.concat("minutes", F.lit(" min"))).when(F.col("minutes") < 1440, F.concat(F.floor(F.col("minutes") / 60), F.lit(" h"))).otherwise(F.concat(F.floor(F.col("minutes") / 1440), F.lit(" d")))
-    return first.withColumn("ahead", ahead)
+    first = schedules.where("enabled").agg(F.min("next_run_at").alias("next_run_at"))
+    return first.withColumn("ahead", ahead(F.col("next_run_at"), now))
+
+
+def ahead(at: Column, now: Column) -> Column:
+    """How far ahead a time is, in minutes, hours or days, each rounded from the one before; a dash without a time."""
+    rounded = lambda x: F.floor(x + 0.5)
+    seconds = F.unix_timestamp(at) - F.unix_timestamp(now)
+    minutes = rounded(seconds / 60)
+    hours = rounded(minutes / 60)
+    told = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    return F.when(at.isNull(), "—").when(seconds <= 0, "imminent").when(minutes < 60, told(minutes, " min")).when(hours < 24, told(hours, " h")).otherwise(told(rounded(hours / 24), " j"))
 
 
 def jobs_per_day(jobs: DataFrame, now: Column, days: int, condition: Column) -> DataFrame:
@@ -120,9 +133,10 @@ def jobs_per_day(jobs: DataFrame, now: Column, days: int, condition: Column) ->
 
 
 def progress(log: Column) -> Column:
-    """struct(done, total) of the last "cumul X/Y" of a log, null without one or with a total of 0."""
-    done = F.element_at(F.regexp_extract_all(log, F.lit("cumul (\\d+)/(\\d+)"), 1), -1).try_cast("long")
-    total = F.element_at(F.regexp_extract_all(log, F.lit("cumul (\\d+)/(\\d+)"), 2), -1).try_cast("long")
+    """struct(done, total) of the first "cumul X/Y" of a log, else of its first "X/Y"; null without one or with a total of 0."""
+    named, plain = "(?i)cumul\\s+(\\d+)\\s*/\\s*(\\d+)", "(\\d+)\\s*/\\s*(\\d+)"
+    part = lambda n: F.coalesce(*(F.nullif(F.regexp_extract(log, p, n), F.lit("")) for p in (named, plain))).try_cast("long")
+    done, total = part(1), part(2)
     return F.when(total > 0, F.struct(done.alias("done"), total.alias("total")))
 
 

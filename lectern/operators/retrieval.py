@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scores import clamp
 from lectern.functions.storage import materialize, spread
+from lectern.functions.texts import WHITE, strip
 
 #: Fixed values of the scoring rules.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -265,6 +266,15 @@ def dense_union(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     return both.withColumn("rank", rank)
 
 
+#: Collections that each purpose may see; reports are judged by the referential alone.
+ROUTES = {"chat": ("private", "knowledge_base"), "analysis": ("referential",)}
+
+
+def routed(chunks: DataFrame, purpose: str) -> DataFrame:
+    """The chunks that a purpose may see, for any search to go through; an unknown purpose is an error."""
+    return chunks.where(F.col("collection").isin(*ROUTES[purpose]))
+
+
 def fuse(lists: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, list_no, rank, key, ...): rrf_score and the first k keys.
 
@@ -304,8 +314,8 @@ def rerank(hits: DataFrame, pair_scores: DataFrame, width: int = 15, k: int = 5)
 
 def boosted(hits: DataFrame, boosts: DataFrame) -> DataFrame:
     """rrf_score times the factor of the hit's source where it is above 1; ranks follow."""
-    own = boosts.where("factor > 1").select(F.lower(F.trim("source")).alias("__s"), "factor")
-    joined = hits.withColumn("__s", F.lower(F.trim("source"))).join(own, "__s", "left").drop("__s")
+    own = boosts.where("factor > 1").select(F.lower(strip(F.col("source"))).alias("__s"), "factor")
+    joined = hits.withColumn("__s", F.lower(strip(F.col("source")))).join(own, "__s", "left").drop("__s")
     score = F.round(F.col("rrf_score") * F.coalesce("factor", F.lit(1.0)), 6)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "rank")) - 1
     return joined.withColumns({"rrf_score": score, "boosted": F.col("factor").isNotNull()}).drop("factor").withColumn("rank", place)
@@ -363,8 +373,8 @@ def answered(queries: DataFrame, hits: DataFrame, message: str) -> DataFrame:
 
 def history_window(messages: DataFrame, max_turns: int = 10, max_chars: int = 2000) -> DataFrame:
     """The last messages of user and assistant in each conversation, blank ones left out, long ones cut."""
-    spoken = messages.where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
-    text = F.when(F.length("text") > max_chars, F.concat(F.rtrim(F.left("text", F.lit(max_chars))), F.lit("…"))).otherwise(F.col("text"))
+    spoken = messages.where(F.col("role").isin("user", "assistant") & (strip(F.col("text")) != ""))
+    text = F.when(F.length("text") > max_chars, F.concat(F.rtrim(F.left("text", F.lit(max_chars)), F.lit(WHITE)), F.lit("…"))).otherwise(F.col("text"))
     last = top(spoken, max_turns, ["conv_id"], F.desc("turn"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return last.select("conv_id", "turn", "role", text.alias("text"), place.alias("place"))
@@ -397,7 +407,7 @@ def prompt_messages(contexts: DataFrame, queries: DataFrame, history: DataFrame,
 
 def with_hypotheses(queries: DataFrame, hypotheses: DataFrame, limit: int = 600) -> DataFrame:
     """Hypothetical answers as queries of their own: trimmed, cut, blank ones left out."""
-    text = F.left(F.trim(F.coalesce("hypothesis", F.lit(""))), F.lit(limit))
+    text = F.left(strip(F.coalesce("hypothesis", F.lit(""))), F.lit(limit))
     return queries.select("query_id").join(hypotheses, "query_id").select("query_id", text.alias("text")).where("text <> ''")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import content_key, coverage, weight_of
-from lectern.functions.texts import strip
+from lectern.functions.texts import clipped, strip
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -58,12 +58,31 @@ def upsert_votes(votes: DataFrame) -> DataFrame:
     return state.select(key.alias("id"), "analysis_id", "requirement_id", "user_id", "last.vote", "last.comment", "created_at", "updated_at")
 
 
+#: Characters of a correction's answer and of its notes.
+ANSWER, NOTES = 8000, 2000
+
+
 def upsert_corrections(corrections: DataFrame) -> DataFrame:
-    """Corrections by user and content; a blank answer or an unknown verdict is turned away."""
-    valid = corrections.where(F.col("verdict").isin("covered", "partial", "missing") & (F.trim("answer") != ""))
-    keyed = valid.withColumn("content_key", content_key(F.col("category"), F.col("subdomain"), F.col("title"))).withColumn("answer", F.left("answer", F.lit(8000)))
-    last = latest(keyed, ["user_id", "content_key"], F.desc("analysis_id"), F.desc("requirement_id"))
-    return last.withColumn("id", F.substring(F.sha1(F.concat_ws("|", F.lit("corr"), "analysis_id", "requirement_id", "user_id")), 1, 16))
+    """The state after all corrections: id, analysis_id, requirement_id, user_id, content_key, verdict, answer, notes, created_at, updated_at.
+
+    One row for each analysis, requirement and user, as it was put last; the first time of a key stays as
+    created_at.  Texts are stripped and cut, blank notes are null; a blank answer or requirement and an
+    unknown verdict are turned away.  Of the same time the greater verdict and answer count.
+    """
+    named = corrections.withColumns({"requirement_id": strip(F.col("requirement_id")), "answer": clipped(F.col("answer"), ANSWER), "notes": F.nullif(clipped(F.col("notes"), NOTES), F.lit(""))})
+    valid = named.where(F.col("verdict").isin("covered", "partial", "missing") & (F.col("answer") != "") & (F.col("requirement_id") != ""))
+    keyed = valid.withColumn("content_key", content_key(F.col("category"), F.col("subdomain"), F.col("title")))
+    shown = ["content_key", "verdict", "answer", "notes"]
+    last = F.max_by(F.struct(*shown), F.struct("updated_at", "verdict", "answer"))
+    state = keyed.groupBy("analysis_id", "requirement_id", "user_id").agg(F.min("updated_at").alias("created_at"), F.max("updated_at").alias("updated_at"), last.alias("last"))
+    key = F.substring(F.sha1(F.concat_ws("|", F.lit("corr"), "analysis_id", "requirement_id", "user_id")), 1, 16)
+    return state.select(key.alias("id"), "analysis_id", "requirement_id", "user_id", *(F.col(f"last.{c}") for c in shown), "created_at", "updated_at")
+
+
+def corrections_list(state: DataFrame) -> DataFrame:
+    """The corrections of each analysis and user with their place, the newest first, the lesser id on a tie."""
+    place = F.row_number().over(Window.partitionBy("analysis_id", "user_id").orderBy(F.desc("updated_at"), "id"))
+    return state.withColumn("place", place)
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,7 +130,8 @@ def source_boosts(votes: DataFrame, sources: DataFrame, owned: DataFrame) -> Dat
 
 
 def latest_corrections(corrections: DataFrame) -> DataFrame:
-    return latest(corrections, ["user_id", "content_key"], F.desc("analysis_id"), F.desc("requirement_id"))
+    """The newest correction of each user and content, the lesser id on a tie, whatever analysis it was made in."""
+    return latest(corrections, ["user_id", "content_key"], F.desc("updated_at"), F.asc("id"))
 
 
 #: The columns of the feedback export, and characters of its long cells.
@@ -218,6 +238,8 @@ def unread_notifications(notifications: DataFrame, k: int = 20) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def repair_interrupted(jobs: DataFrame, message: str = "interrupted") -> DataFrame:
-    hit = F.col("status") == "running"
-    return jobs.withColumns({"status": F.when(hit, "error").otherwise(F.col("status")), "error": F.when(hit, F.lit(message))})
+def repair_interrupted(jobs: DataFrame, now: Column, message: str = "interrupted") -> DataFrame:
+    """Running jobs end as errors at ``now``, with ``message`` where they have no error of their own; others stay as they are."""
+    hit = F.coalesce(F.col("status") == "running", F.lit(False))
+    put = {"status": F.lit("error"), "error": F.coalesce("error", F.lit(message)), "finished_at": now}
+    return jobs.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in put.items()})

@@ -9,7 +9,7 @@ from lectern.operators import dashboards as D
 from lectern.operators import requirements as E
 from lectern.operators import workspace as W
 from lectern.plans.registry import query
-from lectern.plans.workspace import KEY, STATE
+from lectern.plans.workspace import CORRECTED, KEY, STATE
 
 NOW = "timestamp '2024-02-01 00:00:00'"
 EFFECTIVE = "e as (select r.* replace (coalesce(c.verdict, r.status) as status, case when c.verdict is not null then 1.0 else r.confidence end as confidence), c.verdict is not null corrected from requirements_v r left join corrections_v c on c.analysis_id = r.analysis_id and c.requirement_id = r.id)"
@@ -83,15 +83,15 @@ def _(v):
     return D.by_confidence(v.requirements).select("analysis_id", "id", "place")
 
 
-@query("g12_status_facets", "select coalesce(status, 'all') status, count(*) n from requirements_v where category = 'ECONOMY' group by grouping sets ((status), ())")
+@query("g12_status_facets", "select case when grouping(s) = 1 then 'all' else s end status, count(*) n from (select nullif(status, 'ambiguous') s from requirements_v where category = 'ECONOMY') group by grouping sets ((s), ())")
 def _(v):
-    return D.status_facets(D.report_filter(v.requirements, categories=["ECONOMY"]))
+    return D.status_facets(D.report_filter(v.requirements, categories=["ECONOMY"]).withColumn("status", F.nullif("status", F.lit("ambiguous"))))
 
 
 @query("g13_by_domain", """select category, count_if(status = 'covered') covered, count_if(status = 'partial') "partial", count_if(status = 'missing') missing, count_if(status = 'ambiguous') ambiguous,
     cast(coalesce(list_position(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'], category), 7) as bigint) domain_order from requirements_v group by 1""")
 def _(v):
-    return D.by_domain(v.requirements)
+    return D.by_domain(v.requirements, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
 
 
 @query("g14_categories", "select distinct category from requirements_v")
@@ -109,11 +109,17 @@ def _(v):
     return D.summary(v.requirements).groupBy(D.coverage_band(F.col("coverage_percent")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("g17_repaired_summary", f"""with s as (select analysis_id, {COUNTS} from requirements_v group by 1)
-    select analysis_id, total, case when analysis_id % 2 = 0 then 50.0 else coverage_percent end coverage_percent from s""")
+@query("g17_repaired_summary", f"""with s as (select analysis_id, {COUNTS} from requirements_v group by 1),
+    r as (select analysis_id, case when analysis_id % 7 = 0 then 2 * total else total end total, case when analysis_id % 5 = 0 then 1 else covered end covered, "partial", case when analysis_id % 4 = 0 then 0 else missing end missing, ambiguous from s)
+    select *, case when analysis_id % 2 = 0 then 50.0::double else covered / total * 100 end coverage_percent from r
+    union all select -1, 4, 3, 0, 0, 0, 75.0""")
 def _(v):
-    stored = D.summary(v.requirements).select("analysis_id", F.when(F.col("analysis_id") % 3 != 0, F.col("total")).alias("total"), F.when(F.col("analysis_id") % 2 == 0, 50.0).otherwise(F.lit(float("nan"))).alias("coverage_percent"))
-    return D.repaired_summary(stored, v.requirements)
+    """Summaries that lack fields, differ from the requirements, or have none; and requirements without a summary."""
+    n, nothing = F.col("analysis_id"), F.lit(None).cast("long")
+    kept = D.summary(v.requirements).where("analysis_id % 11 > 0 or analysis_id % 7 = 0 or analysis_id % 5 = 0 or analysis_id % 4 = 0 or analysis_id % 2 = 0")
+    stored = kept.select("analysis_id", F.when(n % 7 == 0, 2 * F.col("total")).otherwise(nothing).alias("total"), F.when(n % 5 == 0, 1).alias("covered"), nothing.alias("partial"), F.when(n % 4 == 0, 0).alias("missing"), nothing.alias("ambiguous"), F.when(n % 2 == 0, 50.0).otherwise(F.lit(float("nan"))).alias("coverage_percent"))
+    lone = v.spark.createDataFrame([(-1, 4, 3, None, None, None, None)], "analysis_id long, total long, covered int, partial long, missing int, ambiguous long, coverage_percent double")
+    return D.repaired_summary(stored.unionByName(lone), v.requirements)
 
 
 @query("g18_success_rate", """with r as (select source, round(100.0::double * count_if(status = 'success') / nullif(count_if(status in ('success', 'error')), 0), 1) rate from jobs_v group by 1)
@@ -122,11 +128,24 @@ def _(v):
     return D.success_rate(v.jobs)
 
 
-@query("g19_next_run", f"""with s as ({SCHEDULES}), f as (select cast(floor(date_diff('second', {NOW}, date_trunc('second', min(next_run_at))) / 60) as bigint) as "minutes" from s where enabled)
-    select "minutes", case when "minutes" < 60 then "minutes" || ' min' when "minutes" < 1440 then ("minutes" // 60) || ' h' else ("minutes" // 1440) || ' d' end ahead from f""")
+def sql_ahead(at: str) -> str:
+    seconds = f"date_diff('second', {NOW}, date_trunc('second', {at}))"
+    minutes = f"floor({seconds} / 60 + 0.5)::bigint"
+    hours = f"floor({minutes} / 60 + 0.5)::bigint"
+    return f"case when {at} is null then '—' when {seconds} <= 0 then 'imminent' when {minutes} < 60 then {minutes} || ' min' when {hours} < 24 then {hours} || ' h' else floor({hours} / 24 + 0.5)::bigint || ' j' end"
+
+
+@query("g19_next_run", f"with s as ({SCHEDULES}), f as (select min(next_run_at) next_run_at from s where enabled) select {sql_ahead('next_run_at')} ahead from f")
 def _(v):
     schedules = v.events.select("event_id", (F.col("event_id") % 3 != 0).alias("enabled"), (F.col("ts") + F.expr("interval 40 days")).cast("timestamp").alias("next_run_at"))
-    return D.next_run(schedules, now()).select("minutes", "ahead")
+    return D.next_run(schedules, now()).select("ahead")
+
+
+@query("g19_ahead", f"select event_id, {sql_ahead('due')} ahead from (select event_id, case when event_id % 9 > 0 then {NOW} + (event_id * event_id % 400000 - 20000) * interval 1 second end as due from events)")
+def _(v):
+    """Times from hours ago to days ahead, some of them null."""
+    seconds = F.col("event_id") * F.col("event_id") % 400_000 - 20_000
+    return v.events.select("event_id", D.ahead(F.when(F.col("event_id") % 9 > 0, F.timestamp_seconds(F.unix_timestamp(now()) + seconds)), now()).alias("ahead"))
 
 
 @query("g20_jobs_per_day", f"""with c as (select cast(floor(date_diff('second', date_trunc('second', finished_at), {NOW}) / 86400) as bigint) age from jobs_v where status = 'error')
@@ -135,10 +154,16 @@ def _(v):
     return D.jobs_per_day(v.jobs, now(), 14, F.col("status") == "error")
 
 
-@query("g21_progress", "select event_id, event_id % 50 done, event_id % 100 total from events where event_id % 100 > 0")
+#: Logs without any progress, with it in both forms, in any case and spacing, and with a total of 0.
+LOG = """case event_id % 6 when 0 then 'nothing yet' when 1 then concat('page 1/2', chr(10), 'CUMUL  ', event_id, ' / ', event_id % 40 + 1) when 2 then concat('page ', event_id % 7, '/9 of 4/5') when 3 then 'cumul 1/0'
+  when 4 then concat('step 1', chr(10), 'cumul 3/8', chr(10), 'cumul 9/10') end"""
+
+
+@query("g21_progress", rf"""with l as (select event_id, {LOG} log from events), m as (select event_id, case when regexp_matches(log, '(?i)cumul\s+\d+\s*/\s*\d+') then regexp_extract(log, '(?i)cumul\s+(\d+)\s*/\s*(\d+)', ['done', 'total'])
+    else regexp_extract(log, '(\d+)\s*/\s*(\d+)', ['done', 'total']) end p from l)
+  select event_id, case when try_cast(p.total as bigint) > 0 then try_cast(p.done as bigint) end done, case when try_cast(p.total as bigint) > 0 then try_cast(p.total as bigint) end total from m""")
 def _(v):
-    log = F.format_string("step 1\ncumul 0/9\ncumul %d/%d end", F.col("event_id") % 50, F.col("event_id") % 100)
-    return v.events.select("event_id", D.progress(log).alias("p")).where("p is not null").select("event_id", "p.done", "p.total")
+    return v.events.select("event_id", D.progress(F.expr(LOG.replace("chr(10)", "'\\n'"))).alias("p")).select("event_id", "p.done", "p.total")
 
 
 @query("g22_visible_jobs", "select id, status from jobs_v where status in ('queued', 'running') or date_diff('second', date_trunc('second', finished_at), timestamp '2024-01-30 12:00:00') <= 300")
@@ -162,13 +187,13 @@ def _(v):
     return D.summary(v.requirements)
 
 
-@query("e26_corrections_applied", f"""with c as (select * from (select user_id, {KEY} k, verdict fix, answer, analysis_id origin, row_number() over (partition by user_id, {KEY} order by analysis_id desc, requirement_id desc) rn from corrections_v) where rn = 1),
+@query("e26_corrections_applied", f"""with {CORRECTED}, c as (select * from (select user_id, content_key k, verdict fix, answer, analysis_id origin, row_number() over (partition by user_id, content_key order by updated_at desc, id) rn from co) where rn = 1),
     r as (select q.*, o.user_id, {KEY} k from requirements_v q join cdcs_v d on d.id = q.analysis_id join clients_v o on o.id = d.client_id)
     select r.analysis_id, r.id, r.user_id, coalesce(fix, r.status) status, coalesce(answer, r.verdict) verdict, case when fix is not null then 1.0 else confidence end confidence, fix is not null correction_applied, origin correction_source_analysis_id
     from r left join c on c.user_id = r.user_id and c.k = r.k""")
 def _(v):
     mine = v.requirements.join(W.owners(v.cdcs, v.clients), "analysis_id")
-    fixed = E.apply_corrections(mine, W.latest_corrections(W.upsert_corrections(v.corrections)))
+    fixed = E.apply_corrections(mine, W.latest_corrections(W.upsert_corrections(v.correction_events)))
     return fixed.select("analysis_id", "id", "user_id", "status", "verdict", "confidence", "correction_applied", "correction_source_analysis_id")
 
 

@@ -15,6 +15,7 @@ from lectern.sources import pages as P
 from lectern.sources import tables as S
 from lectern.sources.store import Store
 
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_CLEAN = r"""cl as (select page_id, url, html, regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), html),
     '(?is)<!--.*?-->|<nav\b[^>]*>.*?</nav>|<header\b[^>]*>.*?</header>|<footer\b[^>]*>.*?</footer>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<form\b[^>]*>.*?</form>|<aside\b[^>]*>.*?</aside>|<div class="ad">.*?</div>', '', 'g') bare from pages),
   sp as (select page_id, url, html, string_split(regexp_replace(bare, '(?i)<(h[1-4]|p|li|td|th)\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:] b from cl),
@@ -103,7 +104,7 @@ RECORDS = """rb as (select item_id, case when item_id % 5 > 0 then 'About it' ||
 
 @query("b09_record_body", f"with {RECORDS} select item_id, body from rb")
 def _(v):
-    return v.benchmark.select("item_id", P.record_body(F.expr(XML)).alias("body"))
+    return P.record_body(v.benchmark.select("item_id", F.expr(XML).alias("xml"))).select("item_id", "body")
 
 
 @query("a04_record_scan", f"""with {RECORDS}, s as (select item_id, case when item_id % 3 > 0 then 'F' || item_id else case when item_id % 2 = 0 then 'F' else 'N' end || 'file' || item_id end source_id, body from rb where item_id % 7 > 0)
@@ -122,6 +123,14 @@ def _(v):
     return found.select("source_id", "url", "updated", "title", "subject", F.array_join("references", "|").alias("refs"), F.md5("text").alias("digest"))
 
 
+@query("a07_record_errors", "select 'F' || item_id || '.xml' as name from benchmark where item_id % 3 = 1")
+def _(v):
+    """Every third record is cut off before its end; the others aren't disturbed."""
+    whole = F.expr(XML)
+    files = v.benchmark.select(F.format_string("F%d.xml", "item_id").alias("name"), F.when(F.col("item_id") % 3 == 1, F.expr(f"left({XML}, length({XML}) - 20)")).otherwise(whole).alias("xml"))
+    return P.record_errors(files).where("message like 'parse/chunk failed: %'").select("name")
+
+
 @query("b10_pack_paragraphs", f"with recursive {SQL_PACKED} select source, source_id, pos::int pos, length(chunk) n, md5(chunk) digest from ps")
 def _(v):
     return sections(v).select("source", "source_id", "pos", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("digest"))
@@ -143,18 +152,23 @@ def _(v):
     return found.withColumn("domaine", F.array_join("domaine", "|")).drop("title")
 
 
-@query("b13_length_guard", "select doc_id, length(left(text, 12000)) n, length(text) > 12000 cut from documents where length(trim(text)) >= 50")
+@query("b13_length_guard", f"select doc_id, length(left(trim(text, {WS}), 12000)) n, length(trim(text, {WS})) > 12000 cut, md5(left(trim(text, {WS}), 12000)) digest from documents where length(trim(text, {WS})) >= 50")
+def _(v):
+    return P.length_guard(v.documents.withColumnRenamed("text", "chunk")).select("doc_id", F.length("chunk").cast("long").alias("n"), "cut", F.md5("chunk").alias("digest"))
+
+
+@query("b13_guard_counts", f"select source, count_if(n >= 300) upserted, count_if(n < 300) dropped, count_if(n > 2000) truncated from (select source, length(trim(coalesce(text, ''), {WS})) n from documents) group by 1")
 def _(v):
-    return P.length_guard(v.documents.withColumnRenamed("text", "chunk")).select("doc_id", F.length("chunk").cast("long").alias("n"), "cut")
+    return P.guard_counts(v.documents.withColumnRenamed("text", "chunk"), 300, 2000)
 
 
-@query("b14_stable_ids", f"""with recursive {SQL_PACKED}, g as (select *, row_number() over (partition by source, source_id order by pos) - 1 place from ps where length(trim(chunk)) >= 50)
+@query("b14_stable_ids", f"""with recursive {SQL_PACKED}, g as (select *, row_number() over (partition by source, source_id order by pos) - 1 place from ps where length(trim(chunk, {WS})) >= 50)
   select source_id, page, place, left(sha256(concat_ws('::', source, source_id, page, place)), 32) chunk_id from g""")
 def _(v):
     return P.stable_ids(P.length_guard(sections(v))).select("source_id", "page", F.col("place").cast("long").alias("place"), "chunk_id")
 
 
-@query("b15_run_report", """select source, count(distinct doc_id) fetched, count_if(length(trim(text)) >= 50) chunks, count_if(doc_id % 50 = 0) errors from documents group by 1""")
+@query("b15_run_report", f"""select source, count(distinct doc_id) fetched, count_if(length(trim(text, {WS})) >= 50) chunks, count_if(doc_id % 50 = 0) errors from documents group by 1""")
 def _(v):
     return P.run_report(run_rows(v), P.length_guard(run_rows(v)))
 
@@ -172,8 +186,8 @@ BOARDS = P.Source("boards", ("rh", "dsn"), marker="<h1>", words=("/en/", "/fr/")
 
 
 @query("b17_run_source", f"""with recursive {SQL_PACKED.replace("from tx)", "from tx where length(html) >= 200 and contains(html, '<h1>') and not contains(lower(url), '/app/error/') and (contains(lower(url), '/en/') or contains(lower(url), '/fr/')))", 1)},
-  g as (select source_id, pos, chunk, page, {SLUG} slug, row_number() over (partition by {SLUG} order by pos, chunk) - 1 place from ps join pages on page_id::varchar = source_id where length(trim(chunk)) >= 50)
-  select slug source_id, page, place, left(sha256(concat_ws('::', 'boards', slug, page, place)), 32) chunk_id, md5(left(chunk, 12000)) digest from g""")
+  g as (select source_id, pos, chunk, page, {SLUG} slug, row_number() over (partition by {SLUG} order by pos, chunk) - 1 place from ps join pages on page_id::varchar = source_id where length(trim(chunk, {WS})) >= 50)
+  select slug source_id, page, place, left(sha256(concat_ws('::', 'boards', slug, page, place)), 32) chunk_id, md5(left(trim(chunk, {WS}), 12000)) digest from g""")
 def _(v):
     return P.run_source(v.pages, BOARDS).select("source_id", "page", F.col("place").cast("long").alias("place"), "chunk_id", F.md5("chunk").alias("digest"))
 

@@ -259,11 +259,26 @@ def _(v):
     return E.merge_repass(rows, second, "large").select("analysis_id", "id", "status", "confidence", "verdict", "repass_applied", "repass_model", "repass_reason")
 
 
-@query("e28_work_list", "select distinct source || ':' || cdc_id k from jobs_v j where not exists (select 1 from jobs_v r where r.source = j.source and r.cdc_id = j.cdc_id and r.status = 'success' and r.finished_at > timestamp '2024-01-30 00:00:00')")
+#: Keys of all documents by two versions of the corpus; results of the first one, some too old.
+KEYED = """k as (select doc_id, sha256('v2|judge|' || doc_id % 5 || '|' || coalesce(source, '') || '|' || coalesce(text, '')) k, sha256('v2|judge|' || doc_id % 5 || '|' || coalesce(source, '') || case when source = 'src2' then '!' else '' end || '|' || coalesce(text, '')) n from documents)"""
+
+
+@query("e28_cache_key", f"with {KEYED} select doc_id, k from k")
+def _(v):
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return v.documents.select("doc_id", E.cache_key("v2", "judge", F.col("doc_id") % 5, F.coalesce("source", F.lit("")), content).alias("k"))
+
+
+@query("e28_work_list", f"with {KEYED} select doc_id from k where n not in (select k from k where doc_id % 4 > 0)")
 def _(v):
-    keyed = v.jobs.withColumn("cache_key", F.concat_ws(":", "source", "cdc_id"))
-    done = keyed.where("status = 'success'").select("cache_key", F.col("finished_at").cast("timestamp").alias("created_at"))
-    return E.work_list(keyed.select("cache_key").distinct(), done, F.lit("2024-01-31 00:00:00").cast("timestamp")).select(F.col("cache_key").alias("k"))
+    """Inputs that no fresh result answers: those of a changed source, those never judged, and those judged a day ago or more."""
+    key = lambda source: E.cache_key("v2", "judge", F.col("doc_id") % 5, source, F.coalesce("text", F.lit("")).cast("binary"))
+    old = F.coalesce("source", F.lit(""))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    at = F.when(F.col("doc_id") % 8 == 0, now - F.expr("interval 24 hours")).otherwise(now - F.expr("interval 1 hour"))
+    results = v.documents.where("doc_id % 4 > 0 or doc_id % 8 = 0").select(key(old).alias("cache_key"), at.alias("created_at"))
+    inputs = v.documents.select("doc_id", key(F.concat(old, F.when(F.col("source") == "src2", "!").otherwise(""))).alias("cache_key"))
+    return E.work_list(inputs, results, now).select("doc_id")
 
 
 @query("e29_corpus_fingerprint", "select collection, count(*) n, sum(('0x' || left(md5(concat_ws('|', chunk_id, coalesce(text, ''))), 8))::bigint)::bigint fingerprint from chunks_v group by 1")

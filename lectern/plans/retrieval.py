@@ -112,9 +112,11 @@ def _(v):
     return R.boosted(hits(v), boosts).select("query_id", "key", "rrf_score", "boosted", F.col("rank").cast("long").alias("rank"))
 
 
-@query("d13_dense_fallback", f"with {WIDE} select query_id, key, dense_score from fused where dense_score is not null")
+@query("d13_dense_fallback", f"""with {BM25}, {DENSE}, {fuse(LISTS.replace("from sparse", "from sparse where query_id % 2 = 0"), 'query_id', 15)} select query_id, key, rrf_score, dense_score, rank from fused""")
 def _(v):
-    return hybrid(v, 15).where("dense_score is not null").select("query_id", "key", "dense_score")
+    """Every other query has no words: its list is the dense one, scored by its ranks."""
+    asked = v.queries.withColumn("text", F.when(F.col("query_id") % 2 == 0, F.col("text")))
+    return R.hybrid(v.chunks, v.vectors, asked, v.query_vectors, 15).select("query_id", "key", "rrf_score", "dense_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("d14_retrieval_confidence", f"with {HYBRID} select q.query_id, coalesce(round(greatest(least(avg(f.rrf_score) / (2 / 62.0::double), 1), 0), 6), 0) confidence from queries_v q left join fused f on f.query_id = q.query_id and f.rank < 3 group by 1")
@@ -171,9 +173,12 @@ def _(v):
     return seen.groupBy("user").agg(F.count_if(~shared).alias("own"), F.count_if(shared).alias("shared"))
 
 
-@query("d20_collection_isolation", "select collection, count(*) n, min(corpus_pos) first_pos from chunks_v where collection in ('knowledge_base') group by 1")
+@query("d20_collection_isolation", """with c as (select corpus_pos, case when corpus_pos % 7 = 0 then 'referential' else collection end collection from chunks_v)
+  select purpose, collection, count(*) n, min(corpus_pos) first_pos from c join (values ('chat', 'private'), ('chat', 'knowledge_base'), ('analysis', 'referential')) r(purpose, collection) using (collection) group by 1, 2""")
 def _(v):
-    return v.chunks.where(F.col("collection").isin("knowledge_base")).groupBy("collection").agg(F.count("*").alias("n"), F.min("corpus_pos").alias("first_pos"))
+    chunks = v.chunks.withColumn("collection", F.when(F.col("corpus_pos") % 7 == 0, "referential").otherwise(F.col("collection")))
+    both = [R.routed(chunks, purpose).withColumn("purpose", F.lit(purpose)) for purpose in ("chat", "analysis")]
+    return both[0].unionByName(both[1]).groupBy("purpose", "collection").agg(F.count("*").alias("n"), F.min("corpus_pos").alias("first_pos"))
 
 
 @query("d21_no_hit_message", f"with {DENSE} select q.query_id, count(d.query_id) n_hits, case when count(d.query_id) = 0 then 'nothing relevant' end as message from queries_v q left join dense d using (query_id) group by 1")

@@ -54,7 +54,13 @@ VIEWS = {
     "jobs_v": """
         select event_id id, user_id % 4 source, user_id % 5 user_id, event_id % 40 cdc_id, ts finished_at,
                case event_type when 'purchase' then 'success' when 'error' then 'error' when 'click' then 'running'
-                    when 'view' then 'queued' else 'cancelled' end status from events""",
+                    when 'view' then 'queued' else 'cancelled' end status,
+               case when event_type = 'error' then concat('failed at ', cast(event_id as varchar(20))) when event_type = 'click' and event_id % 3 = 0 then 'disk full' end error from events""",
+    "correction_events_v": """
+        select analysis_id, requirement_id, category, subdomain, title, case when (analysis_id + k) % 9 = 8 then 'perhaps' when k = 0 then 'covered' else 'partial' end verdict,
+               case when (analysis_id + k) % 11 = 10 then ' ' else concat(' answer ', cast(k as varchar(4)), ' to ', title, ' ') end answer,
+               case analysis_id % 3 when 0 then concat('  note ', title) when 1 then '  ' end notes, user_id, cast(analysis_id * 7919 % 1000 + k * (analysis_id % 3) as int) updated_at
+        from corrections_v, (select 0 k union all select 1 k) r where k = 0 or analysis_id % 2 = 0""",
     "notifications_v": """
         select event_id id, user_id, event_type level, ts created_at, case when value < 20 then ts end read_at from events""",
     "messages_v": """

@@ -48,11 +48,21 @@ def _(v):
     return W.upsert_votes(v.votes)
 
 
-@query("f07_correction_upsert", f"""select substr(sha1(concat_ws('|', 'corr', analysis_id, requirement_id, user_id)), 1, 16) id, user_id, content_key, verdict, answer from (
-    select *, row_number() over (partition by user_id, content_key order by analysis_id desc, requirement_id desc) rn
-    from (select *, {KEY} content_key from corrections_v)) where rn = 1""")
+#: The corrections that stand: the last valid one of each analysis, requirement and user.
+CORRECTED = f"""ce as (select *, {KEY} content_key from correction_events_v where verdict in ('covered', 'partial', 'missing') and trim(answer) <> ''),
+  co as (select substr(sha1(concat_ws('|', 'corr', analysis_id, requirement_id, user_id)), 1, 16) id, analysis_id, requirement_id, user_id, content_key, verdict, trim(answer) answer, nullif(trim(notes), '') notes, created_at, updated_at from (
+    select *, min(updated_at) over p created_at, row_number() over (partition by analysis_id, requirement_id, user_id order by updated_at desc, verdict desc, answer desc) rn
+    from ce window p as (partition by analysis_id, requirement_id, user_id)) where rn = 1)"""
+
+
+@query("f07_correction_upsert", f"with {CORRECTED} select * from co")
+def _(v):
+    return W.upsert_corrections(v.correction_events)
+
+
+@query("f09_corrections_list", f"with {CORRECTED} select analysis_id, user_id, id, verdict, notes, row_number() over (partition by analysis_id, user_id order by updated_at desc, id) place from co")
 def _(v):
-    return W.upsert_corrections(v.corrections).select("id", "user_id", "content_key", "verdict", "answer")
+    return W.corrections_list(W.upsert_corrections(v.correction_events)).select("analysis_id", "user_id", "id", "verdict", "notes", "place")
 
 
 @query("f08_feedback_delete", f"with {STATE} select id, vote from state s where not exists (select 1 from corrections_v c where c.analysis_id = s.analysis_id and c.requirement_id = s.requirement_id)")
@@ -100,10 +110,9 @@ def _(v):
     return W.source_boosts(W.upsert_votes(v.votes), v.sources, W.owners(v.cdcs, v.clients))
 
 
-@query("f15_latest_corrections", f"""select user_id, content_key, analysis_id, requirement_id from (select *, row_number() over (partition by user_id, content_key order by analysis_id desc, requirement_id desc) rn
-    from (select *, {KEY} content_key from corrections_v)) where rn = 1""")
+@query("f15_latest_corrections", f"""with {CORRECTED} select user_id, content_key, analysis_id, requirement_id, verdict from (select *, row_number() over (partition by user_id, content_key order by updated_at desc, id) rn from co) where rn = 1""")
 def _(v):
-    return W.latest_corrections(W.upsert_corrections(v.corrections)).select("user_id", "content_key", "analysis_id", "requirement_id")
+    return W.latest_corrections(W.upsert_corrections(v.correction_events)).select("user_id", "content_key", "analysis_id", "requirement_id", "verdict")
 
 
 SHORT = "case when length(x) > 500 then left(x, 499) || '…' else x end"
@@ -194,6 +203,8 @@ def _(v):
     return W.unread_notifications(v.notifications).select("user_id", "id", "rank", "unread")
 
 
-@query("f26_repair_interrupted", "select id, case when status = 'running' then 'error' else status end status, case when status = 'running' then 'interrupted' end error from jobs_v")
+@query("f26_repair_interrupted", """select id, case when status = 'running' then 'error' else status end status, case when status = 'running' then coalesce(error, 'interrupted') else error end error,
+  strftime(case when status = 'running' then timestamp '2024-03-01 00:00:00' else finished_at end, '%Y-%m-%d %H:%M:%S') finished_at from jobs_v""")
 def _(v):
-    return W.repair_interrupted(v.jobs).select("id", "status", "error")
+    found = W.repair_interrupted(v.jobs.withColumn("finished_at", F.col("finished_at").cast("timestamp")), F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    return found.select("id", "status", "error", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"))

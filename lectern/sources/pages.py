@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.texts import strip
+from lectern.functions.texts import WHITE, strip
 
 #: Months in French, with and without accents.
 MONTHS = {"janvier": 1, "février": 2, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "decembre": 12}
+#: Elements of a page that are left out.
 DROPPED = "nav|header|footer|script|style|noscript|form|aside"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
@@ -49,7 +54,7 @@ def clean_text(html: Column) -> Column:
 
 
 def title(html: Column, slug: Column) -> Column:
-    first = F.trim(unescape(F.regexp_replace(F.regexp_extract(html, "(?is)<h1\\b[^>]*>(.*?)</h1>", 1), "(?s)<[^>]*>", "")))
+    first = strip(unescape(F.regexp_replace(F.regexp_extract(html, "(?is)<h1\\b[^>]*>(.*?)</h1>", 1), "(?s)<[^>]*>", "")))
     return F.coalesce(F.nullif(first, F.lit("")), slug)
 
 
@@ -81,52 +86,112 @@ def in_scope(identifier: Column, subject: Column, ids: list[str], words: list[st
 
 
 def legal_references(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda u: F.trim(u)), lambda u: F.startswith(u, F.lit("http")))
+    return F.filter(F.transform(F.split(text, ","), lambda u: strip(u)), lambda u: F.startswith(u, F.lit("http")))
 
 
 #: Elements of a record whose texts make its body.
 BODY = ("Titre", "Paragraphe", "Texte", "Liste")
 
 
-def element(xml: Column, name: str) -> Column:
-    """The stripped text of the first element of that name, null without one."""
-    found = strip(F.xpath_string(xml, F.lit(f"//*[name()='{name}']")))
-    return F.nullif(found, F.lit(""))
+#: Attributes of a record and elements of it that are fields.
+ATTRIBUTES = {"ID": "id", "spUrl": "url", "dateDerniereModificationImportante": "updated"}
+FIELDS = {"dc:title": "title", "dc:subject": "subject", "dc:source": "source", "dc:description": "description"}
+RECORD = T.StructType([*(T.StructField(c, T.StringType()) for c in (*ATTRIBUTES.values(), *FIELDS.values())), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 
-def record_body(xml: Column) -> Column:
-    """The description and the texts of titles, paragraphs, texts and lists in order, a blank line between.
+class _Record:
+    """One pass over a record.  Texts between tags are kept once; an element of BODY is a stretch of them, from where
+    it opens to where it closes, those inside it included.  Of each field the first element counts."""
 
-    What lies inside a list counts for the list and for itself; texts of up to three characters go.
+    def __init__(self) -> None:
+        self.values: dict[str, str] = {}
+        self.nodes: list[str] = []
+        self.found: list[list[int]] = []
+        self.open: dict[str, list[int]] = {name: [] for name in BODY}
+        self.inside: list[str] = []
+
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        if name == "Publication":
+            for a in ATTRIBUTES.keys() & attributes.keys():
+                self.values.setdefault(ATTRIBUTES[a], attributes[a])
+        if name in self.open:
+            self.open[name].append(len(self.found))
+            self.found.append([len(self.nodes), 0])
+        if name in FIELDS and (FIELDS[name] not in self.values or name in self.inside):
+            self.values.setdefault(FIELDS[name], "")
+            self.inside.append(name)
+
+    def end(self, name: str) -> None:
+        if name in self.open:
+            self.found[self.open[name].pop()][1] = len(self.nodes)
+        if name in self.inside:
+            self.inside.remove(name)
+
+    def text(self, data: str) -> None:
+        if stripped := data.strip(WHITE):
+            self.nodes.append(stripped)
+        for name in set(self.inside):
+            self.values[FIELDS[name]] += data
+
+
+def read_record(xml: str) -> dict:
+    """The attributes, fields and texts of a record, empty ones null; ``error`` alone if it isn't well-formed."""
+    record, parser = _Record(), expat.ParserCreate()
+    parser.buffer_text, parser.buffer_size = True, 1 << 20
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = record.start, record.end, record.text
+    try:
+        parser.Parse(re.sub(r"^\s*<\?xml[^>]*\?>", "", xml).encode(), True)
+    except expat.ExpatError as error:
+        return {"error": str(error)}
+    return {k: v.strip(WHITE) or None for k, v in record.values.items()} | {"texts": [" ".join(record.nodes[a:b]) for a, b in record.found]}
+
+
+@F.pandas_udf(RECORD)
+def record_parts(xml: pd.Series) -> pd.DataFrame:
+    """:func:`read_record` of each record; nothing of a null one."""
+    return pd.DataFrame([read_record(x) if x else {} for x in xml], columns=RECORD.fieldNames(), dtype=object).astype(object).where(lambda d: d.notna(), None)
+
+
+def _body(parts: Column) -> Column:
+    texts = F.filter(F.coalesce(parts["texts"], F.array().cast("array<string>")), lambda t: F.length(t) > 3)
+    return F.array_join(F.concat(F.array_compact(F.array(parts["description"])), texts), "\n\n")
+
+
+def record_body(records: DataFrame) -> DataFrame:
+    """``records`` (xml) with ``body``: the description and the texts of titles, paragraphs, texts and lists in order, a blank line between.
+
+    What lies inside a list counts for the list and for itself; texts of up to three characters go.  A
+    record that isn't well-formed has none.
     """
-    parts = F.split(xml, f"<(?=(?:{'|'.join(BODY)})[\\s>])")
-    inside = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.regexp_extract(p, f"^({'|'.join(BODY)})[\\s>]", 1).alias("name"))), lambda x: x["name"] != "")
+    return records.withColumn("__parts", record_parts("xml")).withColumn("body", _body(F.col("__parts"))).drop("__parts")
 
-    def text(x: Column) -> Column:
-        rest = F.array_join(F.slice(parts, x["i"] + 1, F.size(parts)), "<")
-        content = F.regexp_replace(F.get(F.split(rest, F.concat(F.lit("</"), x["name"], F.lit("\\s*>")), 2), F.lit(0)), "(?s)^[^>]*>", "")
-        return stripped_nodes(content)
 
-    texts = F.filter(F.transform(inside, text), lambda t: F.length(t) > 3)
-    return F.array_join(F.concat(F.filter(F.array(F.coalesce(element(xml, "dc:description"), F.lit(""))), lambda d: d != ""), texts), "\n\n")
+def _read(files: DataFrame) -> DataFrame:
+    return files.where(F.contains("xml", F.lit("<Publication"))).select("name", record_parts("xml").alias("r"))
 
 
 def parse_records(files: DataFrame, url_base: str = "") -> DataFrame:
-    """A row for each file (name, xml) that holds a publication: id, url, date, title, subject, references and text."""
-    attribute = lambda a: F.nullif(F.xpath_string("xml", F.lit(f"//Publication/@{a}")), F.lit(""))
-    xml = F.col("xml")
-    named = files.where(F.contains(xml, F.lit("<Publication"))).withColumn("source_id", F.coalesce(attribute("ID"), F.regexp_replace("name", "\\.xml$", "")))
+    """A row for each file (name, xml) that holds a publication: id, url, date, title, subject, references and text.
+
+    Each file is parsed once; one that isn't well-formed is left out, and :func:`record_errors` tells why.
+    """
+    named = _read(files).where("r.error is null").withColumn("source_id", F.coalesce("r.id", F.regexp_replace("name", "\\.xml$", "")))
     return named.select(
         "source_id",
-        F.coalesce(attribute("spUrl"), F.concat(F.lit(url_base), "source_id")).alias("url"),
-        F.left(attribute("dateDerniereModificationImportante"), F.lit(10)).alias("updated"),
-        F.coalesce(element(xml, "dc:title"), "source_id").alias("title"),
-        F.coalesce(element(xml, "dc:subject"), F.lit("")).alias("subject"),
-        legal_references(F.coalesce(element(xml, "dc:source"), F.lit(""))).alias("references"),
-        record_body(xml).alias("text"),
+        F.coalesce("r.url", F.concat(F.lit(url_base), "source_id")).alias("url"),
+        F.left("r.updated", F.lit(10)).alias("updated"),
+        F.coalesce("r.title", "source_id").alias("title"),
+        F.coalesce("r.subject", F.lit("")).alias("subject"),
+        legal_references(F.coalesce("r.source", F.lit(""))).alias("references"),
+        _body(F.col("r")).alias("text"),
     )
 
 
+def record_errors(files: DataFrame) -> DataFrame:
+    """name and message of the files that hold a publication but can't be parsed; they don't end a run."""
+    return _read(files).where("r.error is not null").select("name", F.concat(F.lit("parse/chunk failed: "), "r.error").alias("message"))
+
+
 def with_metadata(pages: DataFrame, source: str, domains: list[str]) -> DataFrame:
     """``pages`` with ``metadata``, the same fields for all sources; a page's own ``domaine`` comes before the source's.
 
@@ -166,11 +231,17 @@ def packed_sections(pages: DataFrame, limit: int = 1800) -> DataFrame:
 
 
 def length_guard(chunks: DataFrame, least: int = 50, most: int = 12_000) -> DataFrame:
-    """Chunks of at least ``least`` characters, cut at ``most``, and whether they were cut."""
-    kept = chunks.where(F.length(F.trim("chunk")) >= least)
+    """Stripped chunks of at least ``least`` characters, cut at ``most``, and whether they were cut."""
+    kept = chunks.withColumn("chunk", strip(F.coalesce("chunk", F.lit("")))).where(F.length("chunk") >= least)
     return kept.withColumn("cut", F.length("chunk") > most).withColumn("chunk", F.left("chunk", F.lit(most)))
 
 
+def guard_counts(chunks: DataFrame, least: int = 50, most: int = 12_000) -> DataFrame:
+    """What the guard stores, drops as too short and cuts, by source."""
+    n = F.length(strip(F.coalesce("chunk", F.lit(""))))
+    return chunks.groupBy("source").agg(F.count_if(n >= least).alias("upserted"), F.count_if(n < least).alias("dropped"), F.count_if(n > most).alias("truncated"))
+
+
 def stable_ids(chunks: DataFrame) -> DataFrame:
     """Place of each chunk in its record after the guard, and an id made of source, record, label and place; a record is one page."""
     place = F.row_number().over(Window.partitionBy("source", "source_id").orderBy("pos", "chunk")) - 1

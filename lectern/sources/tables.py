@@ -19,7 +19,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def sheet_text(rows: DataFrame, cells: list[str], sheet: str, order: str) -> DataFrame:
     """Rows of a sheet as lines of their non-empty cells, under the sheet's name."""
-    line = F.array_join(F.filter(F.transform(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells)), lambda x: F.trim(x)), lambda x: x != ""), " | ")
+    line = F.array_join(F.filter(F.transform(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells)), lambda x: strip(x)), lambda x: x != ""), " | ")
     lines = rows.select(sheet, F.col(order).alias("__o"), line.alias("line")).where("line <> ''")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "line"))), lambda x: x["line"]), "\n")
     return lines.groupBy(sheet).agg(F.concat(F.lit("## Feuille : "), F.col(sheet).cast("string"), F.lit("\n"), body).alias("text"))

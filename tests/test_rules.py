@@ -6,6 +6,7 @@ import math
 import pathlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scores
 from lectern.functions.templates import filled
 from lectern.operators import chunking as C
+from lectern.operators import dashboards as D
 from lectern.operators import requirements as E
 from lectern.operators import retrieval as R
 from lectern.operators import workspace as W
@@ -423,6 +425,67 @@ def test_stored_collection(spark, tmp_path):
     assert stored(store) == []
 
 
+def test_record_bodies(spark):
+    """Lists inside lists, empty elements, entities, records that aren't well-formed, and a time that grows with the text alone."""
+    xml = "<?xml version='1.0' encoding='ISO-8859-1'?><Publication ID='F7'><dc:title>One</dc:title><Liste type='a'><Item>outer one</Item><Liste><Item>inner &lt;two&gt;</Item></Liste><Item>outer threé</Item></Liste><Titre/><Texte>abc</Texte><dc:title>Two</dc:title></Publication>"
+    assert P.read_record(xml)["texts"] == ["outer one inner <two> outer threé", "inner <two>", "", "abc"] and P.read_record(xml)["title"] == "One"
+    files = spark.createDataFrame([("F1.xml", xml), ("F2.xml", "<Publication><Texte>cut off"), ("F3.xml", "<Publication><dc:description>About</dc:description><Texte>a &nbsp; b</Texte></Publication>"), ("F4.xml", "<Publication><dc:description>About</dc:description></Publication>"), ("F5.xml", None), ("F6.xml", "<other/>")], "name string, xml string")
+    got = {r["source_id"]: (r["title"], r["text"]) for r in P.parse_records(files).collect()}
+    assert got == {"F7": ("One", "outer one inner <two> outer threé\n\ninner <two>"), "F4": ("F4", "About")}
+    assert sorted(r["name"] for r in P.record_errors(files).collect()) == ["F2.xml", "F3.xml"]
+    took = {}
+    for n in (4_000, 16_000):
+        text = "<Publication>" + "<Paragraphe>some text of it</Paragraphe>" * n + "</Publication>"
+        began = time.perf_counter()
+        assert len(P.read_record(text)["texts"]) == n
+        took[n] = time.perf_counter() - began
+    assert took[16_000] < 2 and took[16_000] < 12 * took[4_000] + 0.1
+
+
+def test_long_texts_split_in_time_with_their_length(spark):
+    words = " ".join(f"wörd{i % 97}" for i in range(160_000))
+    took = {}
+    for mb in (1, 4):
+        df = spark.createDataFrame([(words * mb,)], "text string")
+        began = time.perf_counter()
+        pieces = df.select(C.long_splits(F.col("text"))).first()[0]
+        took[mb] = time.perf_counter() - began
+        assert len(pieces) > 35 * mb and all(len(p) <= 30_000 for p in pieces) and pieces[-1].endswith(words[-20:])
+    assert took[4] < 8 * took[1] + 2
+
+
+def test_progress_and_times(spark):
+    logs = [("none", None), (None, None), ("page 3/4\nCumul  5 /\t9 then cumul 7/9", (5, 9)), ("1/2 and 2/2", (1, 2)), ("cumul 4/0", None), ("cumul x/y 8/9", (8, 9)), ("9" * 30 + "/3", (None, 3))]
+    got = spark.createDataFrame([(x,) for x, _ in logs], "log string").select(D.progress(F.col("log"))).collect()
+    assert [None if r[0] is None else tuple(r[0]) for r in got] == [x for _, x in logs]
+    jobs = spark.createDataFrame([(1, "running", "disk full", None), (2, "running", None, None), (3, "error", "bad host", "2024-01-01"), (4, None, None, None)], "id int, status string, error string, finished_at string")
+    assert sorted(tuple(r) for r in W.repair_interrupted(jobs, F.lit("now")).where("id < 4").collect()) == [(1, "error", "disk full", "now"), (2, "error", "interrupted", "now"), (3, "error", "bad host", "2024-01-01")]
+    assert W.repair_interrupted(jobs, F.lit("now")).where("id = 4").first()["status"] is None
+    rows = spark.createDataFrame([("a",), (None,), ("a",)], "status string")
+    assert {tuple(r) for r in D.status_facets(rows).collect()} == {("a", 2), (None, 1), ("all", 3)}
+
+
+def test_corrections_by_time(spark):
+    kind = "analysis_id long, requirement_id string, user_id long, category string, subdomain string, title string, verdict string, answer string, notes string, updated_at int"
+    rows = [(9, "R1", 1, "c", "s", "t", "covered", "\n first ", " ", 1), (9, " R1", 1, "c", "s", "t", "missing", "second", " why\t", 5), (2, "R4", 1, "c", "s", "t", "partial", "newest", None, 7), (3, "R1", 1, "c", "s", "t", "perhaps", "x", None, 9), (3, " ", 1, "c", "s", "t", "covered", "x", None, 9), (3, "R1", 1, "c", "s", "t", "covered", "\n\t", None, 9)]
+    state = W.upsert_corrections(spark.createDataFrame(rows, kind))
+    assert sorted((r["analysis_id"], r["verdict"], r["answer"], r["notes"], r["created_at"], r["updated_at"]) for r in state.collect()) == [(2, "partial", "newest", None, 7, 7), (9, "missing", "second", "why", 1, 5)]
+    assert [r["analysis_id"] for r in W.latest_corrections(state).collect()] == [2]
+
+
+def test_cache_keys(spark):
+    row = spark.createDataFrame([("u", "f", b"\x00text")], "user string, finger string, content binary")
+    key = lambda version="v", model="m", user="u", finger="f", content=b"\x00text": hashlib.sha256(f"{version}|{model}|{user}|{finger}|".encode() + content).hexdigest()
+    of = lambda v="v", m="m": row.select(E.cache_key(v, m, F.col("user"), F.col("finger"), F.col("content"))).first()[0]
+    assert of() == key() and of("v2") == key("v2") and of(m="n") == key(model="n") and len({of(), of("v2"), of(m="n")}) == 3
+
+
+def test_guard_strips(spark):
+    chunks = spark.createDataFrame([("a", "\n" * 60 + "x"), ("a", None), ("a", " " * 9 + "y" * 60 + "\t"), ("b", "z" * 13_000)], "source string, chunk string")
+    assert sorted((r["source"], len(r["chunk"]), r["cut"]) for r in P.length_guard(chunks).collect()) == [("a", 60, False), ("b", 12_000, True)]
+    assert sorted(map(tuple, P.guard_counts(chunks).collect())) == [("a", 1, 2, 0), ("b", 1, 0, 1)]
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(7, None), (9, 9)]
