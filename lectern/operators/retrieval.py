@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectern.functions.models import Model, with_model
 from lectern.functions.scores import clamp
 from lectern.functions.storage import materialize, spread
 from lectern.functions.texts import WHITE, strip
@@ -312,6 +315,17 @@ def rerank(hits: DataFrame, pair_scores: DataFrame, width: int = 15, k: int = 5)
     return top(scored, k, ["query_id"], F.desc_nulls_last("rerank_score"), F.asc("key"))
 
 
+def rerank_with(hits: DataFrame, queries: DataFrame, chunks: DataFrame, key: str, load: Callable[[], Model], width: int = 15, k: int = 5, batch: int = 64) -> DataFrame:
+    """:func:`rerank` by a model that scores pairs of ``query`` and ``text``, loaded once a worker and asked in batches.
+
+    ``queries`` has query_id and text, ``chunks`` key and text.  Only the first ``width`` hits of a query are scored.
+    """
+    first = hits.where(F.col("rank") < width).select("query_id", "key")
+    pairs = first.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("key", "text"), "key")
+    scores = with_model(pairs, key, load, ["query", "text"], "rerank_score", T.DoubleType(), batch)
+    return rerank(hits, scores.select("query_id", "key", "rerank_score"), width, k)
+
+
 def boosted(hits: DataFrame, boosts: DataFrame) -> DataFrame:
     """rrf_score times the factor of the hit's source where it is above 1; ranks follow."""
     own = boosts.where("factor > 1").select(F.lower(strip(F.col("source"))).alias("__s"), "factor")

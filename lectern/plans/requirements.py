@@ -6,12 +6,15 @@ import re
 
 from pyspark.sql import functions as F
 
+from lectern.functions.storage import materialize, new_path
 from lectern.operators import chunking as C
 from lectern.operators import quality as Q
 from lectern.operators import requirements as E
+from lectern.operators import upkeep as U
 from lectern.operators import workspace as W
 from lectern.plans.chunking import long_sql
 from lectern.plans.registry import query
+from lectern.sources.store import Store
 from lectern.plans.retrieval import HITS, hits
 from lectern.plans.workspace import STATE
 
@@ -281,11 +284,25 @@ def _(v):
     return E.work_list(inputs, results, now).select("doc_id")
 
 
-@query("e29_corpus_fingerprint", "select collection, count(*) n, sum(('0x' || left(md5(concat_ws('|', chunk_id, coalesce(text, ''))), 8))::bigint)::bigint fingerprint from chunks_v group by 1")
+WORDS = ", ".join(f"(sum(('0x' || substr(m, {8 * k + 1}, 8))::bigint) % 4294967296)::bigint f{k}" for k in range(4))
+SQL_FINGERPRINT = f"""h as (select collection, md5(concat_ws('|', chunk_id, coalesce(text, ''))) m from KEPT), f as (select collection, count(*) n, {WORDS} from h group by 1)
+  select collection, n, printf('%08x%08x%08x%08x', f0, f1, f2, f3) fingerprint from f"""
+
+
+@query("e29_corpus_fingerprint", "with " + SQL_FINGERPRINT.replace("KEPT", "chunks_v"))
 def _(v):
     return E.corpus_fingerprint(v.chunks)
 
 
+@query("e29_updated_fingerprint", "with " + SQL_FINGERPRINT.replace("KEPT", "chunks_v where corpus_pos % 7 <> 0"))
+def _(v):
+    """What came and what went, added to and taken from the state before: the same as a recount."""
+    before = materialize(E.fingerprint_state(v.chunks.where("corpus_pos % 5 <> 0"), "collection"), "fingerprints")
+    came = E.fingerprint_state(v.chunks.where("corpus_pos % 5 = 0"), "collection")
+    went = E.fingerprint_state(v.chunks.where("corpus_pos % 7 = 0"), "collection")
+    return E.fingerprints(E.merged_fingerprints(before, came, went, "collection"), "collection")
+
+
 TARGETS = ("private", "knowledge_base", "archive")
 CH = "ch as (select chunk_id, collection, case when corpus_pos % 10 > 0 then source end source from chunks_v)"
 INTEGRITY = f"with {CH} select t.collection, count(c.collection) points, count(distinct source) sources, count_if(c.collection is not null and source is null) orphans, 0::bigint without_id, count(c.collection) = 0 missing from (select unnest(['private', 'knowledge_base', 'archive']) collection) t left join ch c using (collection) group by 1"
@@ -324,9 +341,53 @@ def _(v):
     return Q.stale(v.chunks.withColumn("chunker_version", F.get(versions, (F.col("corpus_pos") % 4).cast("int"))), "v2")
 
 
-@query("h06_source_status", "with l as (select source, arg_max(id, (finished_at, id)) id, arg_max(status, (finished_at, id)) status from jobs_v where source < 3 group by 1) select r.source, l.id, coalesce(l.status, 'never') status from (select distinct source from jobs_v) r left join l using (source)")
+@query("h06_source_status", "with l as (select source, arg_max(id, (finished_at, id)) id, arg_max(status, (finished_at, id)) status from jobs_v group by 1) select r.source, l.id, coalesce(l.status, 'never') status from (select distinct source from jobs_v union select 99) r left join l using (source)")
+def _(v):
+    """One declared source has never run."""
+    declared = v.jobs.select("source").distinct().unionByName(v.spark.createDataFrame([(99,)], v.jobs.select("source").schema))
+    return Q.source_status(declared, v.jobs)
+
+
+def old_store(v) -> Store:
+    """Chunks of whole documents: of three sources by an old version, of the others by this one."""
+    version = F.when(F.col("source").isin("src1", "src2", "src3"), "v1").otherwise("v2")
+    rows = v.documents.where("source is not null").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), "source", F.col("text").alias("text"), version.alias("chunker_version"))
+    store = Store(v.spark, new_path(v.spark, "store"), rows.schema, ("source",), slots=8)
+    store.replace(rows, rows)
+    return store
+
+
+def cut_anew(v, source: str):
+    """Documents of a source by this version; those of one source can't be read."""
+    text = F.when(F.col("source") == "src2", F.raise_error(F.lit("no such page"))).otherwise(F.left("text", F.lit(100)))
+    return v.documents.where(F.col("source") == source).select(F.concat(F.lit("n"), "doc_id").alias("chunk_id"), "source", text.cast("string").alias("text"), F.lit("v2").alias("chunker_version"))
+
+
+@query("h05_version_repair", """select source, count(*) chunks, md5(string_agg(case when source in ('src1', 'src3') then 'n' || doc_id || left(text, 100) else 'c' || doc_id || coalesce(text, '') end, '|' order by doc_id)) digest
+  from documents where source is not null group by 1""")
+def _(v):
+    """Old sources are cut anew; one fails and keeps what it has.  Twice: the second run only meets that one."""
+    store = old_store(v)
+    for _ in range(2):
+        U.reindex_stale(store, "v2", lambda source: cut_anew(v, source))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.substring("chunk_id", 2, 20).cast("long").alias("o"), F.concat("chunk_id", F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), "|")
+    return store.read().groupBy("source").agg(F.count("*").alias("chunks"), F.md5(text).alias("digest"))
+
+
+@query("h07_reindex_run", "select source, case when source = 'src2' then 'error' else 'success' end status, case when source = 'src2' then 0 else count(*) end chunks from documents where source in ('src1', 'src2', 'src3') group by 1")
+def _(v):
+    return U.reindex(old_store(v), ["src1", "src2", "src3"], lambda source: cut_anew(v, source)).select("source", "status", "chunks")
+
+
+@query("h04_dimension_repair", "select collection, count(*) chunks from vectors_v where collection <> 'private' group by 1")
 def _(v):
-    return Q.source_status(v.jobs.select("source").distinct(), v.jobs.where("source < 3"))
+    """The collection with a vector of another size is emptied, the other one stays."""
+    short = F.when((F.col("collection") == "private") & (F.col("chunk_pos") % 3 == 0), F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    rows = v.vectors.select(F.col("chunk_pos").cast("string").alias("chunk_id"), "collection", short.alias("embedding"))
+    store = Store(v.spark, new_path(v.spark, "store"), rows.schema, ("collection",), slots=4)
+    store.replace(rows, rows)
+    U.drop_wrong_size(store, 64)
+    return store.read().groupBy("collection").agg(F.count("*").alias("chunks"))
 
 
 @query("h07_reindex_report", "select source, count_if(status <> 'error') done, count_if(status = 'error') errors from jobs_v group by 1")

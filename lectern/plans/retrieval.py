@@ -105,6 +105,18 @@ def _(v):
     return R.rerank(wide, pairs).select("query_id", "key", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
 
+def near_lengths():
+    """Stands in for a cross-encoder: how near the lengths of the two texts are."""
+    return lambda rows: 1 / (1 + (rows["query"].str.len() - rows["text"].str.len()).abs())
+
+
+@query("d11_model_rerank", f"""with {WIDE}, p as (select f.query_id, f.key, round(1 / (1 + abs(length(q.text) - length(c.text)))::double, 9) rerank_score from fused f left join queries_v q using (query_id) left join chunks_v c on c.corpus_pos = f.key)
+  select query_id, key, rerank_score, n as rank from (select *, row_number() over (partition by query_id order by rerank_score desc nulls last, key) - 1 n from p) where n < 5""")
+def _(v):
+    found = R.rerank_with(hybrid(v, 15), v.queries, v.chunks.select(F.col("corpus_pos").alias("key"), "text"), "lengths", near_lengths)
+    return found.select("query_id", "key", F.round("rerank_score", 9).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("d12_source_boost", f"""with {HITS}, b as (select *, case source when 'src1' then 1.3 when 'src5' then 1.5 end::double factor from hits), s as (select query_id, key, rank old, round(rrf_score * coalesce(factor, 1), 6) rrf_score, factor is not null boosted from b)
   select query_id, key, rrf_score, boosted, row_number() over (partition by query_id order by rrf_score desc, old) - 1 as rank from s""")
 def _(v):

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import os
 import pathlib
 import random
 import re
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scores
+from lectern.functions.models import embedding_model
 from lectern.functions.templates import filled
 from lectern.operators import chunking as C
 from lectern.operators import dashboards as D
@@ -486,6 +488,35 @@ def test_guard_strips(spark):
     assert sorted(map(tuple, P.guard_counts(chunks).collect())) == [("a", 1, 2, 0), ("b", 1, 0, 1)]
 
 
+def test_models_are_loaded_once_a_worker(spark, tmp_path):
+    def load():
+        with open(f"{tmp_path}/loads", "a") as log:
+            log.write(f"{os.getpid()}\n")
+        def model(rows):
+            assert 0 < len(rows) <= 7
+            return rows["text"].str.len().fillna(0).map(lambda n: [float(n), 1.0])
+        return model
+    df = spark.createDataFrame([(i, "x" * i if i % 5 else None) for i in range(200)], "id long, t string").repartition(8)
+    embed_ = embedding_model(str(tmp_path), load, batch=7)
+    for _ in range(2):
+        got = {r["id"]: r["embedding"] for r in embed_(df, "t").collect()}
+        assert got == {i: [float(i if i % 5 else 0), 1.0] for i in range(200)}
+    pids = (tmp_path / "loads").read_text().split()
+    assert len(pids) == len(set(pids))  # 16 tasks, but no worker loads twice
+    chunks = C.chunk_documents(spark.createDataFrame([(1, "s", "One sentence here. " * 200)], "doc_id long, source string, text string"), embed_)
+    assert chunks.count() > 1
+
+
+def test_fingerprints_add_up(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "collection string, chunk_id string, text string")
+    a, b, c = ("k", "1", "x"), ("k", "2", None), ("p", "3", "y")
+    state = lambda *r: E.fingerprint_state(rows(*r), "collection")
+    whole = E.merged_fingerprints(state(a, c), state(b), state(c), "collection")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, state(b, a).collect()))
+    twice = E.fingerprints(state(a, a), "collection").first()["fingerprint"]
+    assert twice != E.fingerprints(state(a), "collection").first()["fingerprint"] and len(twice) == 32
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(7, None), (9, 9)]
