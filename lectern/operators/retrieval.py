@@ -278,6 +278,11 @@ def routed(chunks: DataFrame, purpose: str) -> DataFrame:
     return chunks.where(F.col("collection").isin(*ROUTES[purpose]))
 
 
+def fusion_key(chunk_id: Column, text: Column) -> Column:
+    """What makes two hits the same chunk: its id, or without one the first 80 characters of its text."""
+    return F.coalesce(F.nullif(chunk_id, F.lit("")), F.left(text, F.lit(80)))
+
+
 def fuse(lists: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, list_no, rank, key, ...): rrf_score and the first k keys.
 

@@ -39,8 +39,12 @@ SLUG = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1)"
 SQL_PACKED %= SLUG
 
 
+#: What the pages hold besides their text.
+ADS = (("div", "ad"),)
+
+
 def cleaned(v):
-    return v.pages.select("page_id", "url", "html", P.clean_text(P.main_part(F.col("html"))).alias("text"))
+    return v.pages.select("page_id", "url", "html", P.clean_text(P.main_part(F.col("html")), ADS).alias("text"))
 
 
 def sections(v):
@@ -182,7 +186,7 @@ def _(v):
     return P.run_errors(run_rows(v))
 
 
-BOARDS = P.Source("boards", ("rh", "dsn"), marker="<h1>", words=("/en/", "/fr/"))
+BOARDS = P.Source("boards", ("rh", "dsn"), marker="<h1>", words=("/en/", "/fr/"), dropped=ADS)
 
 
 @query("b17_run_source", f"""with recursive {SQL_PACKED.replace("from tx)", "from tx where length(html) >= 200 and contains(html, '<h1>') and not contains(lower(url), '/app/error/') and (contains(lower(url), '/en/') or contains(lower(url), '/fr/')))", 1)},
@@ -229,6 +233,12 @@ def stored(v, rows, unit=("collection", "source")) -> Store:
     return store
 
 
+@query("a07_rejected", "select source || case doc_id % 4 when 3 then '.EXE' else '' end source, case doc_id % 4 when 3 then 'unsupported file ending: .exe' else 'no file ending' end message from documents where doc_id % 4 in (2, 3) and source is not null union all select null, 'no file name' from documents where source is null")
+def _(v):
+    endings = F.array(*map(F.lit, (".pdf", ".MD", "", ".EXE")))
+    return S.rejected(v.documents.select(F.concat("source", F.element_at(endings, (F.col("doc_id") % 4 + 1).cast("int"))).alias("source")))
+
+
 @query("a08_upsert", "select chunk_id, collection, case when corpus_pos % 3 = 0 then 'new' else source end source from chunks_v where corpus_pos % 5 <> 0 or corpus_pos % 3 = 0")
 def _(v):
     """Chunks move to another source; the second run changes nothing."""

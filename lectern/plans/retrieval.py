@@ -79,6 +79,12 @@ def _(v):
     return hybrid(v, 15).select("query_id", "key", "rrf_score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("d07_fusion_key", """with h as (select corpus_pos, case when corpus_pos % 3 = 0 then '' when corpus_pos % 3 = 1 then chunk_id end id, text from chunks_v) select coalesce(nullif(id, ''), left(text, 80)) as key, count(*) n from h group by 1""")
+def _(v):
+    some = F.when(F.col("corpus_pos") % 3 == 0, "").when(F.col("corpus_pos") % 3 == 1, F.col("chunk_id"))
+    return v.chunks.select(R.fusion_key(some, F.col("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 @query("d08_rrf_of_lists", f"""with {BM25}, h as (select query_id, 0 list_no, rank, corpus_pos as key, score from sparse union all select query_id, 1, 19 - rank, corpus_pos, score from sparse), {fuse('select * from h', 'query_id', 10)}
   select query_id, key, rrf_score, rank from fused""")
 def _(v):

@@ -26,10 +26,19 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def main_part(html: Column) -> Column:
-    """The article, else the main element, else the body, else all of the page."""
-    part = lambda tag: F.nullif(F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
-    return F.coalesce(part("article"), part("main"), part("body"), html)
+#: Where the text of a page is looked for, one after another.
+CONTAINERS = ("article", "main", "body")
+
+
+def main_part(html: Column, containers: tuple[str, ...] = CONTAINERS) -> Column:
+    """The first of ``containers`` (``tag``, or ``tag#id`` for the one of that id) that the page has, else all of the page."""
+
+    def part(selector: str) -> Column:
+        tag, _, name = selector.partition("#")
+        having = f"[^>]*\\bid\\s*=\\s*[\"']?{re.escape(name)}(?=[\"'\\s>])" if name else ""
+        return F.nullif(F.regexp_extract(html, f"(?is)<{tag}\\b{having}[^>]*>(.*)</{tag}>", 1), F.lit(""))
+
+    return F.coalesce(*map(part, containers), html)
 
 
 def stripped_nodes(markup: Column) -> Column:
@@ -38,12 +47,14 @@ def stripped_nodes(markup: Column) -> Column:
     return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
 
 
-def clean_text(html: Column) -> Column:
+def clean_text(html: Column, dropped: tuple[tuple[str, str], ...] = ()) -> Column:
     """Text of headings, paragraphs, list items and cells, a line each, headings with a blank line on either side.
 
-    Each block is cut at the next opener; texts of less than three characters go.
+    Each block is cut at the next opener; texts of less than three characters go.  ``dropped`` names elements
+    (tag, class) that a source's pages hold besides their text; one ends at its first end tag.
     """
-    bare = F.regexp_replace(html, f"(?is)<!--.*?-->|<({DROPPED})\\b[^>]*>.*?</\\1>|<div class=\"ad\">.*?</div>", "")
+    boxes = "".join(f"|<{tag}\\b[^>]*\\bclass\\s*=\\s*[\"']?{re.escape(name)}(?=[\"'\\s>])[^>]*>.*?</{tag}>" for tag, name in dropped)
+    bare = F.regexp_replace(html, f"(?is)<!--.*?-->|<({DROPPED})\\b[^>]*>.*?</\\1>{boxes}", "")
     marked = F.regexp_replace(bare, "(?i)<(h[1-4]|p|li|td|th)\\b[^>]*>", "\u0001$1\u0002")
     blocks = F.slice(F.split(marked, "\u0001"), 2, 1_000_000)
     text = lambda b: F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace(b, "^[^\u0002]*\u0002", ""), "(?s)<[^>]*>", " ")), "\\s+", " "))
@@ -271,6 +282,8 @@ class Source:
     words: tuple[str, ...] = ()
     strict: bool = False
     limit: int = 1800
+    containers: tuple[str, ...] = CONTAINERS
+    dropped: tuple[tuple[str, str], ...] = ()
 
 
 def run_source(pages: DataFrame, source: Source) -> DataFrame:
@@ -281,7 +294,7 @@ def run_source(pages: DataFrame, source: Source) -> DataFrame:
     kept = pages.where(~is_error_page(F.col("url"), F.col("html"), source.marker)).withColumn("source_id", slug(F.col("url")))
     if source.ids or source.words:
         kept = kept.where(in_scope(F.col("source_id"), F.col("url"), list(source.ids), None if source.strict else list(source.words)))
-    text = clean_text(main_part(F.col("html")))
+    text = clean_text(main_part(F.col("html"), source.containers), source.dropped)
     made = kept.select("url", "source_id", F.lit(source.name).alias("source"), title(F.col("html"), F.col("source_id")).alias("title"), text.alias("text"))
     dated = made.withColumns({"updated": F.coalesce(numeric_date(F.col("text")), french_date(F.col("text"))), "domaine": F.lit(None).cast("string")})
     pieces = stable_ids(length_guard(packed_sections(dated, source.limit)))

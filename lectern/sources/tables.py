@@ -49,6 +49,13 @@ def supported(source: Column) -> Column:
     return F.lower(F.regexp_extract(source, "\\.[^.]+$", 0)).isin(*SUPPORTED)
 
 
+def rejected(files: DataFrame) -> DataFrame:
+    """source and message of the files (source) whose ending can't be read; a file without one says so."""
+    ending = F.lower(F.regexp_extract("source", "\\.[^.]+$", 0))
+    why = F.when(ending == "", "no file ending").otherwise(F.concat(F.lit("unsupported file ending: "), ending))
+    return files.where(~F.coalesce(supported(F.col("source")), F.lit(False))).select("source", F.coalesce(why, F.lit("no file name")).alias("message"))
+
+
 def deletion_report(removed: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows gone from each collection, by what a store's ``remove`` tells, and 0 for those that have lost none."""
     gone = removed.groupBy("collection").agg(F.sum("deleted").alias("n"))

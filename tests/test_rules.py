@@ -8,6 +8,7 @@ import pathlib
 import random
 import re
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -517,6 +518,24 @@ def test_fingerprints_add_up(spark):
     assert twice != E.fingerprints(state(a), "collection").first()["fingerprint"] and len(twice) == 32
 
 
+def test_titles_without_accents(spark):
+    titles = ["Évaluation  des ŒUVRES", "Šárka ő ﬁn", "ﬄ Ǆ №5 ½", "e\u0301te\u0301", "１２ＡＢ", "ñ—ß", "", None]
+    def told(t):
+        flat = "".join(c for c in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(c)).lower()
+        return re.sub("[^a-z0-9]+", " ", flat).strip()
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").select("i", E.title_key(F.col("t")).alias("k")).collect()
+    assert {r["i"]: r["k"] for r in got} == {i: told(t) for i, t in enumerate(titles)}
+
+
+def test_containers_and_boxes(spark):
+    page = '<body><div class="big ad">no</div><main id="one"><p>first</p></main><main id=two><div class="ad x"><p>bought</p></div><p>second</p></main></body>'
+    row = spark.createDataFrame([(page,)], "html string")
+    part = lambda *c: row.select(P.main_part(F.col("html"), c)).first()[0]
+    assert part("main#two", "body") == '<div class="ad x"><p>bought</p></div><p>second</p>' and part("main#three", "article") == page
+    assert row.select(P.clean_text(P.main_part(F.col("html"), ("main#two",)), (("div", "ad"),))).first()[0] == "second"
+    assert row.select(P.clean_text(P.main_part(F.col("html"), ("main#two",)))).first()[0] == "bought\nsecond"
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(7, None), (9, 9)]
