@@ -1,30 +1,38 @@
-"""Benchmark decontamination: n-grams seed, a Smith-Waterman alignment of words decides.
+"""Benchmark decontamination: rare n-grams seed, a Smith-Waterman alignment of words decides.
 
-Every three-word gram of the benchmark is a seed, however common it is: an edit breaks only the grams
-that it touches, and which ones a copy still holds can't be told from counts over the corpus.  Where a
-document holds a seed, the item is aligned with the words around it if enough of its words are there;
-edited copies score by what is left of them.  The benchmark goes to the tasks in blocks of bounded size, each
-of which meets all documents.
+Seeds are three-word grams of an item that few items hold; an item with hardly any such gram has its
+least common ones.  Rarity is told from the benchmark: by counts over the corpus, an item that many
+documents have copied would lose its own seeds.  All rare grams of an item are seeds, as an edit breaks
+only those that it touches.  Grams of the texts meet seeds in a join, and each text is aligned with
+the items that it has a seed of, around all grams they share; edited copies score by what is left.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from itertools import pairwise, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.storage import materialize
+from lectern.llm.arrow import bounded
+
 WORD, FOREIGN = re.compile(r"\w+"), re.compile(r"[^\w\x00-\x7f]")
 #: Bytes that part words where all characters beyond ASCII belong to words.
 TABLE = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 N = 3
-#: Characters of benchmark text that a task holds at once.
-BLOCK_CHARS = 32 << 20
+#: A gram is rare if no more items hold it; an item with fewer rare grams than SEEDS has its least common ones.
+RARE, SEEDS = 32, 4
+#: The filter of seeds has 2**BITS bits, whatever the size of the benchmark, and is made in slices of 2**SLICE.
+BITS, SLICE = 27, 20
+#: Words whose hashes a task remembers.
+WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = "array<struct<item_id:bigint,score:double,first_word:int,last_word:int>>"
 
@@ -38,7 +46,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items (id, text) as word numbers, with the places of each of their grams."""
+    """Some benchmark items (id, text) as word numbers, with the places of each of their grams."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[bytes, int] = {}
@@ -74,7 +82,7 @@ class Items:
         return out
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the text holds grams of the block, and which."""
+        """Where the text holds grams of the items, and which."""
         if len(words) < 1 or not len(self.keys):
             return np.array([], np.int64), np.array([], np.int64)
         g = self.grams(words)
@@ -154,29 +162,104 @@ def matches(block: Items, words: np.ndarray, threshold: float) -> list[dict]:
     return out
 
 
-#: The block that this Python worker has met last, by name.
-_block: dict[str, Items] = {}
-
+class Hashes(dict):
+    """64-bit hashes of words, each worked out when it is met first."""
 
-def _items(name: str, rows) -> Items:
-    """A block's items, worked out once for each Python worker."""
-    if name not in _block:
-        _block.clear()
-        _block[name] = Items(rows.value)
-    return _block[name]
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-
-def _blocks(benchmark: DataFrame):
-    """Items in blocks of at most BLOCK_CHARS (a longer item alone), streamed to the driver in order of item_id."""
-    lot, size = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        if lot and size + len(r["text"]) > BLOCK_CHARS:
-            yield lot
-            lot, size = [], 0
-        lot.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if lot:
-        yield lot
+    def grams(self, text: str | None) -> np.ndarray:
+        """The distinct grams of a text, in ascending order."""
+        if len(self) > WORDS:
+            self.clear()
+        found = tokens(text)
+        return np.unique(Items.grams(np.fromiter(map(self.__getitem__, found), np.uint64, len(found)).view(np.int64)))
+
+
+def _key() -> Column:
+    """Equal texts meet the same items; should two texts share a key, each is aligned with the items of both."""
+    return F.xxhash64("text")
+
+
+def _grams(texts: DataFrame, key: str, bits=None) -> DataFrame:
+    """``key`` and gram: a row for each distinct gram of a text, those alone that pass the filter ``bits`` if there is one."""
+
+    def search(batches):
+        hashes, mask = Hashes(), np.uint64((1 << BITS) - 1)
+        flags = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        for batch in bounded(batches, "text"):
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+            # Copies that stand in one batch are looked at once.
+            _, first = np.unique(keys, return_index=True)
+            texts = batch.column(batch.schema.get_field_index("text")).take(pa.array(first)).to_pylist()
+            found = [hashes.grams(t) for t in texts]
+            grams = np.concatenate([np.array([], np.uint64), *found])
+            owner = np.repeat(keys[first], [len(g) for g in found])
+            if flags is not None:
+                slot = grams & mask
+                held = flags[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                grams, owner = grams[held], owner[held]
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(grams.view(np.int64))], names=[key, "gram"])
+
+    return texts.select(key, "text").mapInArrow(search, f"{key} long, gram long")
+
+
+def rare_seeds(items: DataFrame) -> DataFrame:
+    """item, gram: the seeds of ``items`` (item, text), which must be distinct."""
+    grams = _grams(items, "item")
+    counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("items")), "gram")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "gram"))
+    return counted.withColumn("rank", rank).where((F.col("items") <= RARE) | (F.col("rank") <= SEEDS)).select("item", "gram")
+
+
+def seed_filter(seeds: DataFrame) -> bytes:
+    """2**BITS bits, those set that a seed falls on: a gram whose bit isn't set is no seed."""
+    low = min(BITS, SLICE)
+
+    def slice_of(rows: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << low, np.uint8)
+        flags[rows["slot"].to_numpy() & ((1 << low) - 1)] = 1
+        return pd.DataFrame({"slice": [rows["slot"].iloc[0] >> low], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    slots = seeds.select(F.col("gram").bitwiseAND((1 << BITS) - 1).alias("slot")).distinct()
+    made = slots.groupBy(F.shiftright("slot", low)).applyInPandas(slice_of, "slice long, bits binary").collect()
+    out, size = bytearray(1 << BITS - 3), 1 << low - 3
+    for r in made:
+        out[r["slice"] * size : (r["slice"] + 1) * size] = r["bits"]
+    return bytes(out)
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, items: for each text that holds a seed, all items (struct of item_id and text) that it holds one of."""
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    seeds = materialize(rare_seeds(items), "seeds")
+    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+    met = _grams(docs.select(_key().alias("key"), "text"), "key", bits).join(seeds, "gram").select("key", "item").distinct()
+    found = met.join(items, "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("items"))
+    return materialize(found, "candidates")
+
+
+def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float, keep: list[str], how: str) -> DataFrame:
+    """``row``, a struct of ``keep``, and ``__hits``: of all rows, or (``how`` is inner) of those that hold a seed."""
+    rows = docs.select(F.struct(*keep).alias("row"), "text", _key().alias("key"))
+    met = rows.join(candidates(docs.select("text"), benchmark), "key", how).select("row", F.when(F.col("items").isNotNull(), F.col("text")).alias("text"), "items")
+    kind = pa.list_(pa.struct({"item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()}))
+
+    def search(batches):
+        for batch in bounded(batches, "text"):
+            texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "items"))
+            hits = []
+            for text, found in zip(texts, lists, strict=True):
+                if not found.is_valid:
+                    hits.append([])
+                    continue
+                block = Items([(i["item_id"], i["text"]) for i in found.as_py()])
+                hits.append(matches(block, block.words(text.as_py()), threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(hits, kind)], names=["row", "__hits"])
+
+    return met.mapInArrow(search, T.StructType([met.schema["row"], T.StructField("__hits", T._parse_datatype_string(HITS))]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
@@ -184,36 +267,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     first_word, last_word) of all items that the text holds a copy of, empty if none.
 
     Words are runs of letters and digits, lower-cased.  score is the alignment's share of a full match
-    (1.0: word for word).  Null and empty texts hold nothing; items without words or without an id are
-    not looked for.  Items that share an id but not the text are looked for one by one; equal rows are
-    one item.  A text that holds an item more than once has it once, at its best place, the first of
-    those on a tie.  Repeated rows each have their row, an empty table gives none, an empty benchmark
-    gives empty arrays.  A column named ``__hits`` gives way; others stay, whatever their names.
+    (1.0: word for word).  A copy needs one seed of the item left; an item of one or two words is only
+    found where it is the whole text.  Null and empty texts hold nothing; items without words or without
+    an id are not looked for.  Items that share an id but not the text are looked for one by one; equal
+    rows are one item.  A text that holds an item more than once has it once, at its best place, the first
+    of those on a tie.  Texts of any length are aligned as a whole.  Repeated rows each have their row, an
+    empty table gives none, an empty benchmark gives empty arrays.  A column named ``__hits`` gives way;
+    others stay, whatever their names.
     """
-    spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != "__hits"]
-    out, parts = docs.select(F.struct(*keep).alias("row"), "text"), []
-    run = uuid.uuid4().hex
-    for n, rows in enumerate(_blocks(benchmark)):
-        block = spark.sparkContext.broadcast(rows)
-        name = f"hits{n}"
-        parts.append(name)
-
-        def search(batches, block=block, name=name, run=run):
-            items = _items(run + name, block)
-            kind = pa.list_(pa.struct({"item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()}))
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                hits = pa.array([matches(items, items.words(t), threshold) for t in texts], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, name])
-
-        schema = T.StructType([*out.schema.fields, T.StructField(name, T._parse_datatype_string(HITS))])
-        out = out.mapInArrow(search, schema)
-    empty = F.array().cast(HITS)
-    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), (F.concat(*parts) if parts else empty).alias("__hits"))
+    found = _aligned(docs, benchmark, threshold, keep, "left")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in keep), "__hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: a row for each copy of an item in a document."""
-    found = find_contamination(docs.select("doc_id", "text"), benchmark, threshold, keep=["doc_id"])
-    return found.select("doc_id", F.explode("__hits").alias("hit")).select("doc_id", "hit.*")
+    found = _aligned(docs, benchmark, threshold, ["doc_id"], "inner")
+    return found.select("row.doc_id", F.explode("__hits").alias("hit")).select("doc_id", "hit.*")

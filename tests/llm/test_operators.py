@@ -386,7 +386,7 @@ def test_decontamination_finds_copies_edited_everywhere(spark):
         texts.append(sentence(rnd, rnd.randint(0, 80), vocabulary) + " " + " ".join(item) + " " + sentence(rnd, rnd.randint(0, 80), vocabulary))
     block = decontamination.Items(items)
     assert not block.around.any()
-    wanted, ceilings = {}, []
+    wanted, unseeded, ceilings = {}, 0, []
     for k, text in enumerate(texts):
         found = block.words(text)
         for i, own in enumerate(block.items):
@@ -394,16 +394,42 @@ def test_decontamination_finds_copies_edited_everywhere(spark):
             ceilings.append(block.ceiling(i, found) >= score)
             if score >= len(own) and len(block.found(found)[0]):
                 wanted[k, i] = score / (2 * len(own))
+            elif score >= len(own):
+                unseeded += 1
     assert all(ceilings) and len(wanted) > 130 and {k for k, _ in wanted} >= set(range(90))
     docs, benchmark = spark.createDataFrame([*enumerate(texts)], DOCS), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(docs, benchmark).collect()}
-    assert got == wanted
+    assert got == wanted and len(got) >= 0.9 * (len(wanted) + unseeded)
 
 
-@pytest.mark.parametrize("chars", [30, 60, 1 << 20])
-def test_decontamination_in_blocks(spark, monkeypatch, chars):
-    """The size of a block changes nothing, also where items share an id, a text or both."""
-    monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+def test_decontamination_with_a_phrase_that_all_items_share(spark):
+    """A common phrase leads to no item that has rare grams, but to those that have nothing else."""
+    phrase = "answer the following question in one word"
+    items = [(i, f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(2000)] + [(2000 + i, phrase + f" end{i}") for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    spread_out = " ".join(f"{phrase} filler{k}" for k in range(20))
+    docs = spark.createDataFrame([(0, spread_out), (1, "before " + items[7][1] + " after"), (2, phrase), (3, None), (4, "")], DOCS)
+    met = {r["key"]: {i["item_id"] for i in r["items"]} for r in decontamination.candidates(docs, benchmark).collect()}
+    assert all(not ids & {*range(2000)} - {7} for ids in met.values())
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert (1, 7) in got and {(d, 2000 + i) for d in (0, 2) for i in range(40)} <= got
+    assert not {i for d, i in got if d in (0, 2)} & {*range(2000)}
+
+
+def test_seeds_are_rare_grams(spark):
+    rnd = random.Random(12)
+    items = [(i, sentence(rnd, rnd.choice([1, 2, 3, 5, 30]), ["a", "b", "c"] if i % 3 else [f"v{k}" for k in range(50)])) for i in range(200)]
+    own = {i: {w[k : k + n] for k in range(len(w) - n + 1)} for i, t in items for w in [tuple(t.split())] for n in [min(3, len(w))]}
+    held = collections.Counter(g for grams in own.values() for g in grams)
+    got = collections.Counter(r["item"] for r in decontamination.rare_seeds(spark.createDataFrame(items, "item long, text string")).collect())
+    for i, grams in own.items():
+        assert got[i] == max(min(decontamination.SEEDS, len(grams)), sum(held[g] <= decontamination.RARE for g in grams))
+
+
+@pytest.mark.parametrize("bits", [5, 12, 22])
+def test_decontamination_filter(spark, monkeypatch, bits):
+    """The size of the filter changes nothing, also where items share an id, a text or both."""
+    monkeypatch.setattr(decontamination, "BITS", bits)
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(4)] + [(2, "alpha7 beta7 gamma7 delta7"), (2, "alpha2 beta2 gamma2 delta2"), (9, "alpha3 beta3 gamma3 delta3")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = [(i, f"x y alpha{i} beta{i} gamma{i} delta{i} z") for i in (0, 1, 2, 3, 7)] + [(7, "alpha7 beta7 gamma7 delta7"), (7, "alpha7 beta7 gamma7 delta7"), (None, "alpha0 beta0 gamma0 delta0"), (5, "w " * 40_000 + "alpha1 beta1 gamma1 delta1 alpha1 beta1 gamma1 delta1")]
