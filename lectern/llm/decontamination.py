@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-grams seed, a Smith-Waterman alignment of words decides.
 
 Seeds are three-word grams of an item that few items hold; an item with hardly any such gram has its
-least common ones.  Rarity is told from the benchmark: by counts over the corpus, an item that many
-documents have copied would lose its own seeds.  All rare grams of an item are seeds, as an edit breaks
-only those that it touches.  Grams of the texts meet seeds in a join, and each text is aligned with
-the items that it has a seed of, around all grams they share; edited copies score by what is left.
+least common ones.  Those that far more texts hold than half of the item's other grams go: an item that
+very many texts have copied keeps its seeds, as all of them are as common there, and at least half of
+the grams stay in any case.  All others are seeds, as an edit breaks only those that it touches.  Grams
+of the texts meet seeds in a join, and each text is aligned with the items that it has a seed of,
+around all grams they share; edited copies score by what is left.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ TABLE = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range
 N = 3
 #: A gram is rare if no more items hold it; an item with fewer rare grams than SEEDS has its least common ones.
 RARE, SEEDS = 32, 4
+#: A seed that more than COMMON times as many texts hold as the median of its item's is none.
+COMMON = 8
 #: The filter of seeds has 2**BITS bits, whatever the size of the benchmark, and is made in slices of 2**SLICE.
 BITS, SLICE = 27, 20
 #: Words whose hashes a task remembers.
@@ -213,6 +216,13 @@ def rare_seeds(items: DataFrame) -> DataFrame:
     return counted.withColumn("rank", rank).where((F.col("items") <= RARE) | (F.col("rank") <= SEEDS)).select("item", "gram")
 
 
+def telling(seeds: DataFrame, held: DataFrame) -> DataFrame:
+    """The seeds that are no more than COMMON times as frequent in the texts (``held``: key, gram) as the item's median."""
+    counted = seeds.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    median = F.percentile_approx("n", 0.5).over(Window.partitionBy("item"))
+    return counted.withColumn("median", median).where(F.col("n") <= COMMON * F.greatest("median", F.lit(1))).select("item", "gram")
+
+
 def seed_filter(seeds: DataFrame) -> bytes:
     """2**BITS bits, those set that a seed falls on: a gram whose bit isn't set is no seed."""
     low = min(BITS, SLICE)
@@ -236,7 +246,8 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
     seeds = materialize(rare_seeds(items), "seeds")
     bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
-    met = _grams(docs.select(_key().alias("key"), "text"), "key", bits).join(seeds, "gram").select("key", "item").distinct()
+    held = materialize(_grams(docs.select(_key().alias("key"), "text"), "key", bits).distinct(), "held")
+    met = held.join(telling(seeds, held), "gram").select("key", "item").distinct()
     found = met.join(items, "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("items"))
     return materialize(found, "candidates")
 

@@ -426,6 +426,18 @@ def test_seeds_are_rare_grams(spark):
         assert got[i] == max(min(decontamination.SEEDS, len(grams)), sum(held[g] <= decontamination.RARE for g in grams))
 
 
+def test_seeds_told_by_the_texts(spark):
+    """A gram that many texts hold is no seed; an item that many texts have copied keeps all of its seeds."""
+    items = [(0, "plain as it is but one of the most here"), (1, "copied by very many texts all over this place")]
+    texts = [f"x{i} one of the most y{i}" for i in range(60)] + [f"z{i} copied by very many texts all over this" for i in range(60)] + [items[0][1]]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts)], DOCS)
+    met = decontamination.candidates(docs, benchmark).collect()
+    assert sorted(i["item_id"] for r in met for i in r["items"]) == [0] + [1] * 60
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert got == {(i, 1) for i in range(60, 120)} | {(120, 0)}
+
+
 @pytest.mark.parametrize("bits", [5, 12, 22])
 def test_decontamination_filter(spark, monkeypatch, bits):
     """The size of the filter changes nothing, also where items share an id, a text or both."""
