@@ -40,7 +40,7 @@ def add_column(df: DataFrame, make: Callable[[], Callable[[list], pa.Array]], na
 
     def run(batches):
         work = make()
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        for batch in bounded(batches, of):
             made = work(batch.column(batch.schema.get_field_index(of)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], names=[*keep, name])
 
