@@ -31,27 +31,41 @@ GROUP = 4096
 RUN = 8
 #: Pairs of runs that are looked at together.
 LOT = 1 << 14
+#: Shingles that are hashed, and hashes whose bits are counted, together.
+PIECE = 1 << 16
+#: A-Z lower-cased, and each of the six white-space characters a space.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     """XXH64 (seed 42) of the n-word shingles, repeats included; of all words where there are fewer."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z and the six white-space characters alone
-    if not words:
+    raw = np.frombuffer((text or "").encode().translate(FOLD), np.uint8)
+    blank = raw == ord(" ")
+    stays = ~blank
+    stays[1:] |= ~blank[:-1]  # of a run of spaces the first
+    flat = raw[stays]
+    flat = flat[int(len(flat) > 0 and flat[0] == ord(" ")) : len(flat) - int(len(flat) > 0 and flat[-1] == ord(" "))]
+    if not len(flat):
         return np.array([], dtype=np.uint64)
-    data = memoryview(b" ".join(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = min(n, len(words))
-    h = xxhash.xxh64_intdigest
-    return np.array([h(data[a:b], 42) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist(), strict=False)], dtype=np.uint64)
+    ends = np.append(np.flatnonzero(flat == ord(" ")), len(flat))
+    starts = np.append(0, ends[:-1] + 1)
+    n = min(n, len(ends))
+    data, ends, h = memoryview(flat.tobytes()), ends[n - 1 :], xxhash.xxh64_intdigest
+    hashes = np.empty(len(ends), np.uint64)
+    for at in range(0, len(ends), PIECE):
+        part = zip(starts[at : at + PIECE].tolist(), ends[at : at + PIECE].tolist(), strict=False)
+        hashes[at : at + PIECE] = [h(data[a:b], 42) for a, b in part]
+    return hashes
 
 
 def majority(hashes: np.ndarray) -> int:
     """64 bits, each set if it is in over half of the hashes, as a signed number."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(">i8")[0])
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        ones += np.unpackbits(hashes[at : at + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
 #: Keys of a set of shingles, and the least hashes that each is made of: of two sets with a Jaccard
@@ -277,7 +291,7 @@ def similar_ids(each: DataFrame, sets_of, word_bits: int, similarity: float) ->
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets (id, ``shingles``) have the Jaccard similarity asked for."""
+    """The pairs whose sets (id, ``shingles``, 32 bits of each hash) have the Jaccard similarity asked for."""
     side = lambda of: sets.select(F.col("id").alias(of), F.col("shingles").alias(f"set_{of}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
