@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def _full(length):
         for batch in batches:
             ident, doc = batch.column(0).to_numpy(), batch.column(1)
             # Batch rows in the order that says which occurrence is first.
-            order = np.lexsort((ident, doc.fill_null(0).to_numpy(), np.asarray(doc.is_null())))
+            order = np.lexsort((ident, pc.rank(doc, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy()))
             # Repeated rows are one document: here one of them speaks for all.
             order = order[np.sort(np.unique(ident[order], return_index=True)[1])]
             texts, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -185,7 +186,8 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     """doc_id, ident, text and ``lost``: starts of the windows of ``length`` words that also start earlier.
 
     Earlier is a smaller doc_id (null last, then by text) or an earlier start in the same document.
-    Rows alike in doc_id and text count as one document.  ``length`` must be a multiple of four.
+    Rows alike in doc_id and text count as one document; doc_ids are numbers or strings (these by their
+    UTF-8 bytes).  ``length`` must be a multiple of four.
     """
     if length < 4 or length % 4:
         raise ValueError("length must be a multiple of four")
