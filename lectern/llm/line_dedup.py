@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from lectern.functions.storage import materialize
 from lectern.llm.text import WHITE, ascii_lower, body, documents_only, identity, same_document, wrapped
 
-#: A line hash that holds at least this share of all lines is dealt to several tasks.
+#: A line hash that holds at least this share of all lines is dealt in so many ways at least, and in
+#: more where a way could have more rows than this.
 HOT_SHARE = 0.0005
-HOT_WAYS = 64
+HOT_WAYS, WAY_ROWS = 64, 1 << 20
 
 
 def split_lines(text: Column) -> Column:
@@ -46,7 +47,8 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_last(), "ident"]
 
     # A hot hash is split by document; its one global first is a pre-aggregated table of few rows.
-    ways = F.when(is_hot, F.pmod("ident", F.lit(HOT_WAYS)).cast("int")).otherwise(0)
+    many = max(HOT_WAYS, -(-lines.count() // WAY_ROWS))
+    ways = F.when(is_hot, F.pmod("ident", F.lit(many)).cast("int")).otherwise(0)
     dealt = lines.withColumn("way", ways).repartitionByRange("h1", "h2", "way")
     stream = Window.partitionBy("h1", "h2", "way").orderBy(*order, "pos")
     seen = dealt.withColumn("first", F.first(F.struct("doc_id", "ident")).over(stream.rowsBetween(Window.unboundedPreceding, 0)))
