@@ -24,8 +24,9 @@ from lectern.llm.arrow import add_column
 from lectern.llm.text import identity
 from lectern.llm.tokenization import encoder, tokenizer_path
 
-#: Ways in which the ranks within one length are counted: no length is ranked in one task.
-SLICES = 64
+#: Slices in which the pieces of one length are ranked, at the least, and how many pieces a slice has,
+#: more or less, at the most.
+SLICES, SLICE_ROWS = 64, 1 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048) -> DataFrame:
@@ -159,7 +160,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
 class Spots:
     """Where the pieces of each length go, by their rank among them: as many rows as patterns have places."""
 
-    def __init__(self, histogram: dict[int, int], base: dict[tuple[int, int], int], patterns: list[tuple[tuple[int, ...], int]]):
+    def __init__(self, histogram: dict[int, int], base: dict[int, list[int]], patterns: list[tuple[tuple[int, ...], int]]):
         places, given, sequence = [], Counter(), 0
         for lengths, many in patterns:
             offset = 0
@@ -172,15 +173,17 @@ class Spots:
         self.before = np.zeros(max(histogram, default=0) + 1, np.int64)
         for length, total in zip(sorted(histogram), np.cumsum([0, *(histogram[x] for x in sorted(histogram))]).tolist(), strict=False):
             self.before[length] = total
-        self.slices = np.zeros((len(self.before), SLICES), np.int64)
-        for (length, part), below in base.items():
-            self.slices[length, part] = below
+        # The slices of all lengths one after another, and where those of each length begin.
+        self.slot = np.zeros(len(self.before), np.int64)
+        for length, at in zip(base, np.cumsum([0, *map(len, base.values())]).tolist(), strict=False):
+            self.slot[length] = at
+        self.slices = np.array([n for below in base.values() for n in below], np.int64)
         length, first, self.sequence, self.offset = np.array(sorted(places), np.int64).reshape(-1, 4).T
         self.first = self.before[length] + first
 
     def of(self, length: np.ndarray, part: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """sequence_id and offset of the pieces with these places within a slice of their length."""
-        rank = self.before[length] + self.slices[length, part] + within
+        rank = self.before[length] + self.slices[self.slot[length] + part] + within
         at = np.searchsorted(self.first, rank, "right") - 1
         return self.sequence[at] + rank - self.first[at], self.offset[at]
 
@@ -189,20 +192,24 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     """Every piece with its sequence_id (from 0) and offset (tokens before it in the sequence).
 
     All rows of ``docs`` are packed, repeated ones too; only doc_id and text are read.  An empty table
-    gives no rows.
+    gives no rows.  The driver holds a count for each slice of each length.
     """
     spark, kept = docs.sparkSession, ["doc_id", "piece", "start", "length", "ids_crc32"]
-    cut = pieces(docs, tokenizer, capacity).withColumn("slice", F.pmod(F.xxhash64("ident", "piece"), F.lit(SLICES)).cast("int"))
-    cut = materialize(cut, "pieces")
-    counts = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))  # at most capacity * SLICES rows
-    table = counts.collect()
-    histogram: Counter = Counter()
-    base = {}
-    for r in sorted(table):
-        base[r["length"], r["slice"]] = histogram[r["length"]]
-        histogram[r["length"]] += r["n"]
+    # Written with a number of its own: it parts and orders repeated rows as well.
+    cut = materialize(pieces(docs, tokenizer, capacity).withColumn("tie", F.monotonically_increasing_id()), "pieces")
+    histogram = Counter({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()})
+    large = {length: -(-n // SLICE_ROWS) for length, n in histogram.items() if n > SLICE_ROWS * SLICES}
+    ways = F.lit(SLICES).cast("long")
+    if large:
+        sides = (F.array(*map(F.lit, side)).cast("array<long>") for side in (large.keys(), large.values()))
+        ways = F.coalesce(F.try_element_at(F.map_from_arrays(*sides), F.col("length")), ways)
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("tie"), ways).cast("int"))
+    base = {length: [0] * (large.get(length, SLICES) + 1) for length in sorted(histogram)}
+    for r in cut.groupBy("length", "slice").agg(F.count("*").alias("n")).collect():
+        base[r["length"]][r["slice"] + 1] = r["n"]
+    base = {length: np.cumsum(counts)[:-1].tolist() for length, counts in base.items()}
     spots = spark.sparkContext.broadcast(Spots(histogram, base, plan(histogram, capacity)))
-    within = F.row_number().over(Window.partitionBy("length", "slice").orderBy("ident", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "slice").orderBy("tie")) - 1
     ranked = cut.select(*kept, "slice", within.cast("long").alias("within"))
     schema = T.StructType([*(ranked.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
