@@ -90,6 +90,17 @@ def test_shards_cut_a_hot_key(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) <= 30
 
 
+def test_shards_of_several_runs(spark, docs, rows, monkeypatch):
+    """Slots count on from run to run: cut into many runs, shards are the same and have no gap."""
+    want = {r["doc_id"]: r["shard"] for r in sharding.histogram_shards(docs, 3).select("doc_id", "__shard.shard").collect()}
+    monkeypatch.setattr(sharding, "RUN_BYTES", 20_000)
+    got = sharding.histogram_shards(docs, 3).select("doc_id", "__shard.*").collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == want and len(got) == len(rows)
+    for s in range(3):
+        own = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == [*range(len(own))]
+
+
 def test_token_counts(docs, rows, odd, empty):
     from tokenizers import Tokenizer
 
@@ -164,6 +175,21 @@ def test_simhash(docs, rows, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_shingles_in_pieces(rows, monkeypatch, piece):
+    """However many shingles are hashed together, the hashes and the bits are those of the whole text."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    texts = [t for _, t in rows if len(t or "") < 3000] + ["  a ", " \t", "É A\x0b\x0cb\u00a0c\r\n D  e", "\n"]
+    for t in texts:
+        own = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)]
+        for n in (1, 4):
+            k = min(n, len(own))
+            want = [xxhash.xxh64(" ".join(own[i : i + k]).encode(), seed=42).intdigest() for i in range(len(own) - k + 1)] if own else []
+            got = simhash.shingle_hashes(t, n)
+            assert got.tolist() == want
+        assert simhash.majority(got) % 2**64 == plain_fingerprint(t)
+
+
 @pytest.mark.parametrize("group", [16, 4096])
 def test_gray_index_parts_large_groups(spark, monkeypatch, group):
     monkeypatch.setattr(simhash, "GROUP", group)
@@ -235,6 +261,26 @@ def test_similar_documents_recall(spark):
     assert all(find(i) == find(grouped[i]) for i in grouped)  # no group is wider than the links make it
 
 
+def test_similar_documents_with_common_boilerplate(spark):
+    """2,000 documents that share most of their shingles, in groups that share more: members of a group are found."""
+    rnd = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    common = sentence(rnd, 300, vocabulary)
+    texts = []
+    for _ in range(400):
+        own = sentence(rnd, 150, vocabulary)
+        texts += [f"{common} {own}", *(edited(rnd, f"{common} {own}", "scattered", 0.04) for _ in range(4))]
+    grouped = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame([*enumerate(texts)], DOCS)).select("doc_id", "component_id").collect()}
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    near = [(5 * g + a, 5 * g + b) for g in range(400) for a, b in itertools.combinations(range(5), 2) if alike(5 * g + a, 5 * g + b)]
+    assert not any(alike(5 * g, 5 * g + 5) for g in range(399))  # what all share isn't enough
+    found = np.mean([grouped[a] == grouped[b] for a, b in near])
+    print(len(near), found)
+    assert len(near) > 2000 and found >= 0.97
+    assert len(set(grouped.values())) >= 400 and all(grouped[i] // 5 == i // 5 for i in grouped)
+
+
 def test_similar_documents_cases(spark, odd, empty):
     rnd = random.Random(5)
     text = sentence(rnd, 80, [f"v{i}" for i in range(900)])
@@ -462,7 +508,7 @@ def test_alignment_is_smith_waterman():
         assert decontamination.align(a, b)[0] == h.max()
 
 
-def test_packing(docs, rows, odd, empty):
+def test_packing(docs, rows, odd, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenization.tokenizer_path("word_bpe_49k.json"))
@@ -480,6 +526,14 @@ def test_packing(docs, rows, odd, empty):
             at += length
         assert at <= 256
     assert len(sequences) <= -(-sum(map(len, ids.values())) // 256) + 2
+    counts = collections.Counter(r["length"] for r in got)
+    monkeypatch.setattr(packing, "SLICES", 2)
+    monkeypatch.setattr(packing, "SLICE_ROWS", 3)  # of a length with over six pieces a slice has about three
+    assert max(counts.values()) > 20
+    sliced = packing.pack(docs, capacity=256).collect()
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in sliced} == {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in got}
+    shape = lambda found: sorted((r["sequence_id"], r["offset"], r["length"]) for r in found)
+    assert shape(sliced) == shape(got)
     assert packing.pack(odd, capacity=256).count() == 7
     assert packing.pack(empty).count() == 0
 
@@ -609,8 +663,9 @@ def test_hot_lines(spark, rows, monkeypatch):
     """With hardly any hash taken for hot, and with very many, the result is the same."""
     docs = spark.createDataFrame(rows, DOCS)
     want = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    for share in (0.5, 0.0001):
+    for share, rows_a_way in ((0.5, 1), (0.0001, 1 << 20), (0.0001, 2)):
         monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        monkeypatch.setattr(line_dedup, "WAY_ROWS", rows_a_way)
         assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
 
 
@@ -648,6 +703,15 @@ def test_repeated_rows_keep_their_first_copy(spark, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_repeated_words_of_named_documents(spark, rows):
+    """doc_ids that are strings: what comes first is told by their bytes."""
+    named = [(None if i % 50 == 7 else f"d{i:03}", t) for i, t in rows]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.drop_repeated_words(spark.createDataFrame(named, "doc_id string, text string"), 20).collect()}
+    late = [(i if n else 10**6 + k, t) for k, ((i, t), (n, _)) in enumerate(zip(rows, named, strict=True))]
+    want = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.drop_repeated_words(spark.createDataFrame(late, DOCS), 20).collect()}
+    assert {f"d{i:03}": x for i, x in want.items() if i < 10**6} == {i: x for i, x in got.items() if i}
+
+
 def test_repeated_words_across_batches(spark, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
