@@ -377,10 +377,21 @@ def tenant_collection(user: Column) -> Column:
     return F.left(F.concat(F.lit("rag_"), F.lower(F.regexp_replace(user, "[^a-zA-Z0-9]", "_"))), F.lit(40))
 
 
-def visible_chunks(users: DataFrame, chunks: DataFrame, shared: str = "knowledge_base") -> DataFrame:
-    """user and chunk_id of what each user (user, collection) may see: own rows and shared ones, no other tenant's."""
-    seen = users.select("user", F.explode(F.array("collection", F.lit(shared))).alias("collection")).distinct()
-    return seen.join(chunks.select("collection", "chunk_id"), "collection").select("user", "chunk_id", "collection")
+def visible_chunks(chunks: DataFrame, collection: str, shared: str = "knowledge_base") -> DataFrame:
+    """What a tenant may see: rows of its own collection and shared ones, no other tenant's; a filter of the scan."""
+    return chunks.where(F.col("collection").isin(collection, shared))
+
+
+def visible_counts(users: DataFrame, chunks: DataFrame, shared: str = "knowledge_base") -> DataFrame:
+    """Chunks that each user (user, collection) may see: ``own`` and ``shared``; users who may see none have no row.
+
+    Chunks are counted by collection first, so shared ones are one row and not one for each user.
+    """
+    sizes = chunks.groupBy("collection").agg(F.count("*").alias("n"))
+    seen = users.select("user", F.explode(F.array_distinct(F.array("collection", F.lit(shared)))).alias("collection")).distinct()
+    common = F.col("collection") == shared
+    held = seen.join(sizes, "collection").groupBy("user")
+    return held.agg(*(F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)).alias(name) for name, side in (("own", ~common), ("shared", common))))
 
 
 def answered(queries: DataFrame, hits: DataFrame, message: str) -> DataFrame:

@@ -186,9 +186,7 @@ def _(v):
 def _(v):
     own = F.when(F.col("id") % 2 == 0, "private").otherwise(F.concat(F.lit("rag_"), "id"))
     users = v.clients.where("id % 20 = 0").select(F.col("id").alias("user"), own.alias("collection"))
-    seen = R.visible_chunks(users, v.chunks)
-    shared = F.col("collection") == "knowledge_base"
-    return seen.groupBy("user").agg(F.count_if(~shared).alias("own"), F.count_if(shared).alias("shared"))
+    return R.visible_counts(users, v.chunks)
 
 
 @query("d20_collection_isolation", """with c as (select corpus_pos, case when corpus_pos % 7 = 0 then 'referential' else collection end collection from chunks_v)

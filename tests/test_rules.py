@@ -592,3 +592,15 @@ def test_embedding(spark):
     v = {r["id"]: r["embedding"] for r in embed(rows, "text").collect()}
     assert v[1] == v[2] != v[3] and abs(sum(x * x for x in v[1]) - 1) < 1e-6 and not any(v[4])
     assert embed(rows, "text", lambda df, c: df.withColumn("embedding", F.lit(0))).first()["embedding"] == 0
+
+
+def test_visible_chunks_and_their_counts(spark):
+    """Counts by collection tell what the filter of each tenant shows; no other tenant's rows, none without a collection."""
+    chunks = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", "knowledge_base", "a", "knowledge_base", None, "c"])], "chunk_id long, collection string")
+    users = spark.createDataFrame([(1, "a"), (2, "none"), (3, "knowledge_base"), (4, None), (1, "a"), (5, "a")], "user long, collection string")
+    counts = {r["user"]: (r["own"], r["shared"]) for r in R.visible_counts(users, chunks).collect()}
+    assert counts == {1: (2, 2), 2: (0, 2), 3: (0, 2), 4: (0, 2), 5: (2, 2)}
+    for user, own in ((1, "a"), (2, "none"), (3, "knowledge_base")):
+        assert R.visible_chunks(chunks, own).count() == sum(counts[user])
+    assert {r["chunk_id"] for r in R.visible_chunks(chunks, "a").collect()} == {0, 2, 3, 4}
+    assert R.visible_counts(users, chunks.limit(0)).count() == 0
