@@ -252,10 +252,29 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return materialize(found, "candidates")
 
 
+def _among(found: DataFrame) -> Column:
+    """Whether ``key`` may be one of ``found``, by a filter of 2**BITS bits: never false for one that is."""
+    bits = found.sparkSession.sparkContext.broadcast(seed_filter(found.select(F.col("key").alias("gram"))))
+    mask = (1 << BITS) - 1
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        slot = key.to_numpy() & mask
+        return pd.Series(np.frombuffer(bits.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
+
+    return may("key")
+
+
 def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float, keep: list[str], how: str) -> DataFrame:
-    """``row``, a struct of ``keep``, and ``__hits``: of all rows, or (``how`` is inner) of those that hold a seed."""
+    """``row``, a struct of ``keep``, and ``__hits``: of all rows, or (``how`` is inner) of those that may hold a seed.
+
+    Only texts that pass a filter of the candidates' keys are exchanged to meet their items; the
+    others stay where they are read.
+    """
     rows = docs.select(F.struct(*keep).alias("row"), "text", _key().alias("key"))
-    met = rows.join(candidates(docs.select("text"), benchmark), "key", how).select("row", F.when(F.col("items").isNotNull(), F.col("text")).alias("text"), "items")
+    asked = candidates(docs.select("text"), benchmark)
+    may = _among(asked)
+    met = rows.where(may).join(asked, "key", how).select("row", F.when(F.col("items").isNotNull(), F.col("text")).alias("text"), "items")
     kind = pa.list_(pa.struct({"item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()}))
 
     def search(batches):
@@ -270,7 +289,8 @@ def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float, keep: list
                 hits.append(matches(block, block.words(text.as_py()), threshold))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(hits, kind)], names=["row", "__hits"])
 
-    return met.mapInArrow(search, T.StructType([met.schema["row"], T.StructField("__hits", T._parse_datatype_string(HITS))]))
+    found = met.mapInArrow(search, T.StructType([met.schema["row"], T.StructField("__hits", T._parse_datatype_string(HITS))]))
+    return found if how == "inner" else found.unionByName(rows.where(~may).select("row", F.array().cast(HITS).alias("__hits")))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
