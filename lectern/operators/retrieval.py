@@ -401,10 +401,13 @@ def answered(queries: DataFrame, hits: DataFrame, message: str) -> DataFrame:
     return queries.select("query_id").join(counts, "query_id", "left").select("query_id", n.alias("n_hits"), F.when(n == 0, message).alias("message"))
 
 
-def history_window(messages: DataFrame, max_turns: int = 10, max_chars: int = 2000) -> DataFrame:
-    """The last messages of user and assistant in each conversation, blank ones left out, long ones cut."""
-    spoken = messages.where(F.col("role").isin("user", "assistant") & (strip(F.col("text")) != ""))
-    text = F.when(F.length("text") > max_chars, F.concat(F.rtrim(F.left("text", F.lit(max_chars)), F.lit(WHITE)), F.lit("…"))).otherwise(F.col("text"))
+def history_window(messages: DataFrame, max_turns: int = 10, max_chars: int = 2000, white: str = WHITE) -> DataFrame:
+    """The last messages of user and assistant in each conversation, blank ones left out, long ones cut.
+
+    ``white`` has the characters that make a message blank and that go where one is cut.
+    """
+    spoken = messages.where(F.col("role").isin("user", "assistant") & (F.btrim("text", F.lit(white)) != ""))
+    text = F.when(F.length("text") > max_chars, F.concat(F.rtrim(F.left("text", F.lit(max_chars)), F.lit(white)), F.lit("…"))).otherwise(F.col("text"))
     last = top(spoken, max_turns, ["conv_id"], F.desc("turn"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return last.select("conv_id", "turn", "role", text.alias("text"), place.alias("place"))

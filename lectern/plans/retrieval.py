@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.texts import SPACES
 from lectern.operators import retrieval as R
 from lectern.plans.registry import query
 
@@ -208,7 +209,7 @@ HISTORY = """hist as (select conv_id, turn, role, case when length(text) > 200 t
 
 @query("d22_history", f"with {HISTORY} select * from hist")
 def _(v):
-    return R.history_window(v.messages, 2, 200).withColumn("place", F.col("place").cast("long"))
+    return R.history_window(v.messages, 2, 200, SPACES).withColumn("place", F.col("place").cast("long"))
 
 
 @query("d23_prompt_messages", f"""with {HITS}, {HISTORY}, sb as (select query_id, scope, {JOINED} context from hits group by 1, 2),

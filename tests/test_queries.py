@@ -37,3 +37,19 @@ def test_query(spark, con, name):
     assert sorted(told.columns) == columns
     at = [told.columns.index(c) for c in columns]
     assert sorted(tuple(plain(r[c]) for c in columns) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in told.fetchall())
+
+
+@pytest.mark.parametrize("name", ["d22_history"])
+def test_messages_cut_or_blank_at_white_space(spark, tmp_path, name):
+    """SQL's trim takes off spaces, those of Unicode too, and leaves tabs and line feeds."""
+    texts = ["a" * 199 + "\nb", "a" * 198 + " \n" + "b", "a" * 199 + " b", "\n", "  ", "a" * 198 + "\n " + "b", "\t", "short \n"]
+    said = [(k // 2, k % 2, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    for t in TABLES:
+        if t != "conversations":
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'conversations' else ''}'")
+    df, told = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLES[name])
+    at = [told.columns.index(x) for x in df.columns]
+    assert sorted(map(repr, df.rdd.map(tuple).collect())) == sorted(repr(tuple(r[i] for i in at)) for r in told.fetchall())
