@@ -219,7 +219,7 @@ def _(v):
   from queries_v q left join b using (query_id) left join h on h.conv_id = q.query_id""")
 def _(v):
     asked = v.queries.withColumn("conv_id", F.col("query_id"))
-    messages = R.prompt_messages(R.two_block_context(hits(v)), asked, R.history_window(v.messages, 2, 200))
+    messages = R.prompt_messages(R.two_block_context(hits(v)), asked, R.history_window(v.messages, 2, 200, SPACES))
     return messages.select("query_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "|")).alias("digest"))
 
 

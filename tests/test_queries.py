@@ -39,7 +39,7 @@ def test_query(spark, con, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in told.fetchall())
 
 
-@pytest.mark.parametrize("name", ["d22_history"])
+@pytest.mark.parametrize("name", ["d22_history", "d23_prompt_messages"])
 def test_messages_cut_or_blank_at_white_space(spark, tmp_path, name):
     """SQL's trim takes off spaces, those of Unicode too, and leaves tabs and line feeds."""
     texts = ["a" * 199 + "\nb", "a" * 198 + " \n" + "b", "a" * 199 + " b", "\n", "  ", "a" * 198 + "\n " + "b", "\t", "short \n"]
