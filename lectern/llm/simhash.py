@@ -75,6 +75,10 @@ BANDS, DEPTH = 10, 4
 #: which these are told.
 HEADS, WAYS = 4, 3
 _drawn = np.random.default_rng(5)
+#: Shingles, the commonest, that are last in the order of which prefixes are taken, by their counts.
+COMMON = 1 << 18
+#: Pairs of rows with a shingle in common that are looked at together.
+MEET = 1 << 20
 MASK, FACTOR = (_drawn.integers(0, 2**64, BANDS * DEPTH, dtype=np.uint64) for _ in range(2))
 FACTOR |= np.uint64(1)
 
@@ -88,6 +92,69 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
 
 
+def often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the sets have, and how many do."""
+    hashes, n = np.unique(np.concatenate([np.array([], np.uint64), *sets]), return_counts=True)
+    return hashes[n > 1].view(np.int64), n[n > 1]
+
+
+def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's hashes in an order that all sets share, as many as two similar sets need to have one in common.
+
+    ``known`` are the common hashes, sorted, and come last by their ``counts``; others follow the hash.
+    """
+    if not len(hashes):
+        return hashes.view(np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    n = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+    return hashes[np.lexsort((hashes, n))[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]].view(np.int64)
+
+
+def meeting(rows: np.ndarray, similarity: float):
+    """Pairs of ids of different groups that share a key and may be similar; ``rows`` (key, component, id, size, place) are sorted.
+
+    In the first key that two similar sets share, the smaller has it among those that two sets of its
+    size need, and behind it both have as many hashes left as the sets must have in common.
+    """
+    key, group, ids, size, place = rows.T
+    new_key = np.append(key[1:] != key[:-1], True)
+    new_group = new_key | np.append(group[1:] != group[:-1], True)
+    end = lambda new: (e := np.flatnonzero(new) + 1)[np.searchsorted(e, np.arange(len(key)), "right")]
+    begin = end(new_group)
+    many = end(new_key) - begin
+    total = np.cumsum(many)
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - many[at] + MEET, "right")))
+        n = many[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = np.arange(n.sum()) + np.repeat(begin[at:to] - (np.cumsum(n) - n), n)
+        at = to
+        less, more = np.where(size[i] <= size[j], (i, j), (j, i))
+        a, b = size[less], size[more]
+        fits = (a >= similarity * b - 1e-9) & (place[less] <= a - np.ceil(2 * similarity / (1 + similarity) * a - 1e-9))
+        fits &= np.minimum(a - place[less], b - place[more]) >= similarity / (1 + similarity) * (a + b) - 1e-9
+        if fits.any():
+            yield np.unique(np.sort(np.column_stack([ids[i[fits]], ids[j[fits]]]), axis=1), axis=0)
+
+
+def _meet(batches, similarity: float):
+    """Rows arrive sorted by key; the key that is still open waits for the next batch."""
+    held = np.zeros((0, 5), np.int64)
+
+    def pairs(rows):
+        for found in meeting(rows, similarity) if len(rows) else ():
+            yield _links([(found[:, 0], found[:, 1])])
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            open_key = np.searchsorted(rows[:, 0], rows[-1, 0])
+            held = rows[open_key:]
+            yield from pairs(rows[:open_key])
+    yield from pairs(held)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the fingerprint of each whole text; null, empty and blank texts have 0."""
     return add_column(docs, lambda: lambda texts: pa.array([majority(shingle_hashes(t, shingle)) for t in texts], pa.int64()), name, "long", keep=keep)
@@ -262,13 +329,17 @@ def _stars(keyed: DataFrame, similarity: float, heads: int = 1) -> DataFrame:
     return pairs.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
 
 
-def similar_ids(each: DataFrame, sets_of, word_bits: int, similarity: float) -> DataFrame:
-    """Links (a, b) between ids whose shingle sets have the similarity; ``each`` has id, code, size and
-    bands, each id once, and ``sets_of`` gives the sets (id, shingles) of the ids asked for.
+def similar_ids(each: DataFrame, sets_of, prefixes: DataFrame, word_bits: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ids that connect all whose shingle sets have the similarity.
+
+    ``each`` has id, code, size and bands, each id once; ``sets_of`` gives the sets (id, shingles) of the
+    ids asked for; ``prefixes`` has id, size and keys, an id once or more.
 
-    Two passes.  In the first, ids meet that have word fingerprints within ``word_bits`` by the SimHash
+    Three passes.  In the first, ids meet that have word fingerprints within ``word_bits`` by the SimHash
     index, and the least id of all that share a fingerprint or a band of least hashes; this settles
-    large groups.  In the second, what the first hasn't joined meets several others of its bands.
+    large groups.  In the second, what the first hasn't joined meets several others of its bands.  Both
+    are guesses.  The third is exact: of what isn't joined yet, all ids meet that share a shingle of
+    their prefixes, as two sets of the similarity do.
     """
     some = each.where("size > 0")
     codes = materialize(some.groupBy("code").agg(F.min("id").alias("id")), "codes")
@@ -287,22 +358,54 @@ def similar_ids(each: DataFrame, sets_of, word_bits: int, similarity: float) ->
     side = lambda of: joined.select(F.col("node").alias(of), F.col("component").alias(f"group_{of}"))
     known = others.join(side("a"), "a", "left").join(side("b"), "b", "left")
     apart = known.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    return first.unionByName(materialize(similar_links(apart, sets, similarity), "links"))
+    second = first.unionByName(materialize(similar_links(apart, sets, similarity), "links"))
+    joined = connected_components(second).select(F.col("node").alias("id"), "component")
+    told = prefixes.join(joined, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "size", F.posexplode("keys").alias("place", "key"))
+    dealt = told.select("key", "component", "id", F.col("size").cast("long"), F.col("place").cast("long")).repartition("key").sortWithinPartitions("key", "component")
+    met = dealt.mapInArrow(lambda b: _meet(b, similarity), "a long, b long").distinct()
+    rest = materialize(met.join(pairs.unionByName(others), ["a", "b"], "left_anti"), "pairs")
+    sets = materialize(sets_of(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    return second.unionByName(materialize(similar_links(rest, sets, similarity), "links"))
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets (id, ``shingles``, 32 bits of each hash) have the Jaccard similarity asked for."""
+    """The pairs whose sets (id, ``shingles``) have the Jaccard similarity asked for."""
     side = lambda of: sets.select(F.col("id").alias(of), F.col("shingles").alias(f"set_{of}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
 
+def name_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63
+
+
+def common_shingles(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest shingles, sorted, and their counts as far as batches hold them more than once.
+
+    At most ``COMMON``.  They only shape the order of which prefixes are taken; any order is exact.
+    """
+    shared = marks.where(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "times")).alias("s"))
+    told = shared.groupBy(F.col("s.often").alias("hash")).agg(F.sum("s.times").alias("n"))
+    told = materialize(told.withColumn("step", F.floor(8 * F.log2("n"))), "common")
+    least, room = 1 << 20, COMMON
+    for step, size in sorted(map(tuple, told.groupBy("step").count().collect()), reverse=True):
+        room -= size
+        if room < 0:
+            break
+        least = step
+    rows = told.where(F.col("step") >= least).select("hash", "n").toArrow()
+    hashes, n = (rows.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], n[order]
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word_bits: int = 7) -> DataFrame:
     """doc_id, ident, component_id and first of every document, for near copies.
 
     Documents are linked if the sets of their ``shingle``-word shingles have the Jaccard similarity
-    ``similarity``; what is linked is compared set by set, and found as :func:`similar_ids` says.
+    ``similarity``; what is linked is compared set by set, and found as :func:`similar_ids` says, so
+    that no two documents of the similarity are left in different components.
     At 0.8 of five-word shingles two 64-bit fingerprints of shingles differ in 10 bits, too many for
     any exact index, so the SimHash index works on a fingerprint of the distinct words, which a few
     edits hardly move.  Texts alike in their shingles are one to begin with; those without words are
@@ -311,30 +414,48 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """
 
     def make():
-        kind = pa.struct({"id": pa.int64(), "code": pa.int64(), "size": pa.int32(), "bands": pa.list_(pa.int64())})
+        kind = pa.struct({"id": pa.int64(), "code": pa.int64(), "size": pa.int32(), "bands": pa.list_(pa.int64()), "often": pa.list_(pa.int64()), "times": pa.list_(pa.int64())})
 
         def mark(texts):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            ids = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
+            ids = [*map(name_of, sets)]
             codes = [majority(np.unique(shingle_hashes(t, 1))) for t in texts]
-            return pa.array(list(zip(ids, codes, map(len, sets), map(band_keys, sets), strict=True)), kind)
+            # What several sets of the batch have goes with its first row.
+            shared = [often([*dict(zip(ids, sets, strict=True)).values()]), *[(np.array([], np.int64),) * 2] * (len(texts) - 1)][: len(texts)]
+            return pa.array(list(zip(ids, codes, map(len, sets), map(band_keys, sets), *zip(*shared, strict=True), strict=True)), kind)
 
         return mark
 
     def make_sets():
-        return lambda texts: pa.array([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))
+        return lambda texts: pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    def make_prefixes():
+        kind = pa.struct({"id": pa.int64(), "size": pa.int32(), "keys": pa.list_(pa.int64())})
+
+        def told(texts):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            rows, seen = [], set()
+            for x in sets:
+                name = name_of(x)
+                rows.append((name, len(x), prefix(x, known, counts, similarity) if name not in seen else []))
+                seen.add(name)
+            return pa.array(rows, kind)
+
+        return told
 
     named = docs.select("doc_id", identity().alias("ident"), "text")
-    marks = add_column(named, make, "mark", "struct<id:bigint,code:bigint,size:int,bands:array<bigint>>", keep=["doc_id", "ident"])
+    marks = add_column(named, make, "mark", "struct<id:bigint,code:bigint,size:int,bands:array<bigint>,often:array<bigint>,times:array<bigint>>", keep=["doc_id", "ident"])
     marks = materialize(marks.select("doc_id", "ident", "mark.*"), "marks")
     each = materialize(marks.groupBy("id").agg(least_document(), *(F.first(c).alias(c) for c in ("code", "size", "bands"))), "ids")
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        shown = each.join(asked, "id", "left_semi").select("id", "least.doc_id", "least.ident")
+        shown = materialize(each.join(asked, "id", "left_semi").select("id", "least.doc_id", "least.ident"), "shown")
         texts = named.join(shown, same_document(named, shown)).select("id", "text")
-        return add_column(texts, make_sets, "shingles", "array<int>", keep=["id"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+        return add_column(texts, make_sets, "shingles", "array<bigint>", keep=["id"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
 
-    groups = components(each, similar_ids(each, sets_of, word_bits, similarity))
+    known, counts = common_shingles(marks)
+    prefixes = add_column(named, make_prefixes, "p", "struct<id:bigint,size:int,keys:array<bigint>>", keep=[]).select("p.*").where(F.size("keys") > 0)
+    groups = components(each, similar_ids(each, sets_of, prefixes, word_bits, similarity))
     return marks.select("doc_id", "ident", "id").join(groups, "id").drop("id")
 
 

@@ -281,6 +281,39 @@ def test_similar_documents_with_common_boilerplate(spark):
     assert len(set(grouped.values())) >= 400 and all(grouped[i] // 5 == i // 5 for i in grouped)
 
 
+def test_similar_documents_lose_no_pair(spark):
+    """3,000 pairs of documents at 0.8 or just above, one the first four fifths of the other: each pair is one group."""
+    rnd = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    long = [sentence(rnd, rnd.randint(40, 120), vocabulary).split() for _ in range(3000)]
+    texts = [" ".join(w) for t in long for w in (t, t[: 4 + math.ceil(0.8 * (len(t) - 4))])]
+    grouped = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame([*enumerate(texts)], DOCS)).select("doc_id", "component_id").collect()}
+    assert [i for i in grouped if grouped[i] != i // 2 * 2] == []
+
+
+def test_meeting_pairs_by_brute_force():
+    """Prefixes of sets of which many share common hashes: all similar pairs of different groups meet, in batches of any size."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    base, sets = [rnd.randrange(1, 2**64) for _ in range(60)], []
+    for _ in range(300):
+        own = [rnd.randrange(1, 2**64) for _ in range(rnd.randint(0, 12))]
+        sets.append(np.array(sorted({*rnd.sample(base, rnd.randint(30, 60)), *own}), np.uint64))
+    known = np.array(sorted(base)[:40], np.uint64)
+    for common in (known[:0], known):
+        rows = []
+        for i, x in enumerate(sets):
+            rows += [(k, i // 2 % 20, i, len(x), at) for at, k in enumerate(simhash.prefix(x, common, np.arange(len(common)) + 5, 0.8).tolist())]
+        columns = np.array(sorted(rows)).T
+        table = pa.Table.from_arrays([pa.array(c) for c in columns], names=["key", "component", "id", "size", "place"])
+        met = [b for b in simhash._meet(table.to_batches(max_chunksize=97), 0.8)]
+        got = {p for b in met for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        alike = lambda a, b: len({*a.tolist()} & {*b.tolist()}) >= 0.8 * len({*a.tolist()} | {*b.tolist()})
+        near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if a // 2 % 20 != b // 2 % 20 and alike(sets[a], sets[b])}
+        assert len(near) > 100 and near <= got
+
+
 def test_similar_documents_cases(spark, odd, empty):
     rnd = random.Random(5)
     text = sentence(rnd, 80, [f"v{i}" for i in range(900)])
