@@ -9,6 +9,8 @@ that a passage in a third of all documents is never gathered in one place.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.arrow import bounded
 from lectern.llm.text import identity
 
 #: Word hashes remembered in a Python worker.
@@ -33,9 +36,36 @@ class WordHashes(dict):
 known = WordHashes()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode().split()  # of bytes: at the six white-space characters alone
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Words:
+    """Word hashes of several texts one after another: what their windows are is worked out together."""
+
+    def __init__(self, texts: list[str | None]):
+        words = [(t or "").encode().split() for t in texts]  # of bytes: at the six white-space characters alone
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.owner = np.repeat(np.arange(len(words)), self.sizes)
+        self.hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, len(self.owner))
+
+    def starts(self, length: int) -> np.ndarray:
+        """Where windows of ``length`` words start that lie in one text."""
+        at = np.arange(max(len(self.owner) - length + 1, 0))
+        return at[self.owner[at] == self.owner[at + length - 1]]
+
+    def marked(self, places: pa.ListArray) -> np.ndarray:
+        """Which words of all are at a place of their text; places beyond it, of a document of the same name, are passed over."""
+        own = np.repeat(np.arange(len(places)), pc.fill_null(places.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        place = places.flatten().to_numpy(zero_copy_only=False)
+        fits = place < self.sizes[own]
+        return self.only(self.begins[own[fits]] + place[fits])
+
+    def only(self, at: np.ndarray) -> np.ndarray:
+        marks = np.zeros(len(self.owner), bool)
+        marks[at] = True
+        return marks
+
+    def placed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text of each word, and its place there."""
+        return self.owner[at], at - self.begins[self.owner[at]]
 
 
 def joined(a: np.ndarray, b: np.ndarray, turn: int = 31) -> np.ndarray:
@@ -76,15 +106,23 @@ def _rows(names, columns, kinds):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _emit(hashes: list[np.ndarray], owners: list[int], places: list[np.ndarray]):
-    """hash, owner, place: where each hash is, and whether it is its first row here and is alone here."""
-    h = np.concatenate(hashes)
-    owner = np.repeat(np.array(owners, np.int64), [len(x) for x in hashes])
-    place = np.concatenate(places)
+def _heads(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each hash is the first of its kind here, and whether there are more of it."""
     _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     head = np.zeros(len(h), bool)
     head[first] = True
-    return h, owner, place, head, count[back] > 1
+    return head, count[back] > 1
+
+
+def _found(batch: pa.RecordBatch, make):
+    """What ``make`` finds in slices of the batch: arrays, of which the first has rows of the slice."""
+    at, found = 0, []
+    for part in bounded([batch], "text"):
+        text, places = (part.column(part.schema.get_field_index(c)) if c in part.schema.names else None for c in ("text", "places"))
+        owner, *rest = make(Words(text.to_pylist()), places)
+        found.append((owner + at, *rest))
+        at += part.num_rows
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.array([], np.int64)]
 
 
 def _level(batches, make):
@@ -93,16 +131,14 @@ def _level(batches, make):
     The key is the hash; where it repeats in the batch only the first row keeps it.  The windows of the
     others are known to repeat: their key is ident, which spreads them, and 2 is added to their spot.
     """
-    names = ["ident", "spot", "key"]
     for batch in batches:
-        of = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-        rest = [of["places"].to_pylist()] if "places" in of else []
-        found = [make(*x) for x in zip(of["text"].to_pylist(), *rest, strict=True)]
-        if not any(len(x[0]) for x in found):
+        owner, *rest = _found(batch, make)
+        if not len(owner):
             continue
-        h, owner, place, head, again = _emit([x[0] for x in found], range(len(found)), [x[1] for x in found])
-        ident, settled = of["ident"].to_numpy()[owner], again & ~head
-        yield _rows(names, [ident, 4 * place + again + 2 * settled, np.where(settled, ident, h.view(np.int64))], [pa.int64(), pa.int64(), pa.int64()])
+        place, h = rest
+        head, again = _heads(h)
+        ident, settled = batch.column(batch.schema.get_field_index("ident")).to_numpy()[owner], again & ~head
+        yield _rows(["ident", "spot", "key"], [ident, 4 * place + again + 2 * settled, np.where(settled, ident, h.view(np.int64))], [pa.int64(), pa.int64(), pa.int64()])
 
 
 LEVEL = "ident long, spot long, key long"
@@ -116,36 +152,36 @@ def _repeated(level: DataFrame) -> DataFrame:
     return met.groupBy("ident").agg(F.collect_list("place").alias("places"))
 
 
-def among(places: list[int], n: int) -> np.ndarray:
-    """Which of 0 to n are places; others, of a document of the same name, are passed over."""
-    live = np.zeros(n + 1, bool)
-    places = np.asarray(places, np.int64)
-    live[places[places <= n]] = True
-    return live
-
-
 def _short(length):
-    def run(text):
-        short = windows(word_hashes(text), length // 4)
-        at = np.unique(seeds_of(short, length))
-        return short[at], at
+    def run(words, _):
+        short = windows(words.hashes, length // 4)
+        at = np.flatnonzero(words.only(seeds_of(short, length)[words.starts(length)]))
+        return *words.placed(at), short[at]
 
     return lambda batches: _level(batches, run)
 
 
 def _half(length):
-    def run(text, places):
-        words = word_hashes(text)
-        seeds = seeds_of(windows(words, length // 4), length)
-        at = np.unique(halves_of(seeds, length)[among(places, len(words))[seeds]])
-        return windows(words, length // 2)[at], at
+    def run(words, places):
+        seeds = seeds_of(windows(words.hashes, length // 4), length)
+        at = words.starts(length)
+        at = at[words.marked(places)[seeds[at]]]
+        at = np.flatnonzero(words.only(halves_of(seeds, length)[at]))
+        return *words.placed(at), windows(words.hashes, length // 2)[at]
 
     return lambda batches: _level(batches, run)
 
 
 def _full(length):
     """Windows at full length: place and a hash of 95 bits; rows that are not first in their batch have ident and -1."""
-    names = ["ident", "doc_id", "place", "h1", "h2"]
+    names, half = ["ident", "doc_id", "place", "h1", "h2"], length // 2
+
+    def make(words, places):
+        at = words.starts(length)
+        at = at[words.marked(places)[halves_of(seeds_of(windows(words.hashes, length // 4), length), length)[at]]]
+        whole = windows(words.hashes, half)
+        a, b = whole[at], whole[at + half]
+        return *words.placed(at), joined(a, b), joined(b, a, 23) >> np.uint64(33)
 
     def run(batches):
         for batch in batches:
@@ -154,22 +190,14 @@ def _full(length):
             order = np.lexsort((ident, pc.rank(doc, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy()))
             # Repeated rows are one document: here one of them speaks for all.
             order = order[np.sort(np.unique(ident[order], return_index=True)[1])]
-            texts, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            h1, h2, owners, starts = [], [], [], []
-            for r in order:
-                words = word_hashes(texts[r])
-                live = among(places[r], len(words))
-                at = np.nonzero(live[halves_of(seeds_of(windows(words, length // 4), length), length)])[0]
-                whole = windows(words, length // 2)
-                h1.append(joined(whole[at], whole[at + length // 2]))
-                h2.append(joined(whole[at + length // 2], whole[at], 23) >> np.uint64(33))
-                owners.append(r)
-                starts.append(at)
-            if not sum(map(len, h1)):
+            owner, *rest = _found(batch.take(pa.array(order)), make)
+            if not len(owner):
                 continue
-            h, owner, place, head, _ = _emit(h1, owners, starts)
-            values = [np.where(head, h.view(np.int64), ident[owner]), np.where(head, np.concatenate(h2).astype(np.int32), -1)]
-            yield _rows(names, [ident[owner], doc.take(pa.array(owner)), place, *values], [pa.int64(), doc.type, pa.int32(), pa.int64(), pa.int32()])
+            place, h, h2 = rest
+            head, _ = _heads(h)
+            rows = order[owner]
+            values = [np.where(head, h.view(np.int64), ident[rows]), np.where(head, h2.astype(np.int32), -1)]
+            yield _rows(names, [ident[rows], doc.take(pa.array(rows)), place, *values], [pa.int64(), doc.type, pa.int32(), pa.int64(), pa.int32()])
 
     return run
 
@@ -223,6 +251,9 @@ def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
             out = []
             for text, lost in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or "").encode().split()
+                if not lost:
+                    out.append((len(words), 0, b" ".join(words).decode()))
+                    continue
                 gone = covered(len(words), lost, length)
                 out.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()))
             n, removed, kept = zip(*out, strict=True) if out else ((), (), ())

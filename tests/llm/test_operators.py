@@ -753,3 +753,14 @@ def test_repeated_words_across_batches(spark, rows):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert small == {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_words(docs, 20).collect()}
+
+
+def test_windows_of_several_texts_at_once():
+    """Texts worked on together have the windows that each has alone: none reaches into the next text, none is left out."""
+    rnd = random.Random(3)
+    texts = [None, "", *(sentence(rnd, n, ["a", "b", "c", "d"]) for n in (1, 7, 8, 9, 40)), " \n", sentence(rnd, 8, ["e", "f"])]
+    together = substring_dedup.Words(texts)
+    starts = together.starts(8)
+    got = [(int(i), int(at), int(h)) for i, at, h in zip(*together.placed(starts), substring_dedup.windows(together.hashes, 8)[starts], strict=True)]
+    alone = [(i, at, int(h)) for i, t in enumerate(texts) for at, h in enumerate(substring_dedup.windows(substring_dedup.Words([t]).hashes, 8))]
+    assert got == alone and len(got) == 1 + 2 + 33 + 1
