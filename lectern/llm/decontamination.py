@@ -240,6 +240,12 @@ def seed_filter(seeds: DataFrame) -> bytes:
     return bytes(out)
 
 
+def may_hold(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one that :func:`seed_filter` was made of: never false for one that is."""
+    slot = keys & ((1 << BITS) - 1)
+    return np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
+
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key, items: for each text that holds a seed, all items (struct of item_id and text) that it holds one of."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
@@ -255,12 +261,10 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _among(found: DataFrame) -> Column:
     """Whether ``key`` may be one of ``found``, by a filter of 2**BITS bits: never false for one that is."""
     bits = found.sparkSession.sparkContext.broadcast(seed_filter(found.select(F.col("key").alias("gram"))))
-    mask = (1 << BITS) - 1
 
     @F.pandas_udf("boolean")
     def may(key: pd.Series) -> pd.Series:
-        slot = key.to_numpy() & mask
-        return pd.Series(np.frombuffer(bits.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
+        return pd.Series(may_hold(bits.value, key.to_numpy()))
 
     return may("key")
 

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.storage import materialize
-from lectern.llm.arrow import add_column
-from lectern.llm.text import identity, same_document, wrapped
+from lectern.llm.arrow import add_column, bounded
+from lectern.llm.decontamination import may_hold, seed_filter
+from lectern.llm.text import identity, wrapped
 from lectern.operators.components import connected_components
 
 #: Distinct fingerprints that one group may have before it is parted again.
@@ -78,7 +79,9 @@ _drawn = np.random.default_rng(5)
 #: Shingles, the commonest, that are last in the order of which prefixes are taken, by their counts.
 COMMON = 1 << 18
 #: Pairs of rows with a shingle in common that are looked at together.
-MEET = 1 << 20
+MEET = 1 << 18
+#: Shingles of a set whose sketch goes with its prefix, and the bits that a sketch has at least.
+SMALL = 256
 MASK, FACTOR = (_drawn.integers(0, 2**64, BANDS * DEPTH, dtype=np.uint64) for _ in range(2))
 FACTOR |= np.uint64(1)
 
@@ -110,13 +113,42 @@ def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity
     return hashes[np.lexsort((hashes, n))[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]].view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each slot that an odd number of the hashes fall on, as many slots as hashes at least, in 64-bit words.
+
+    What differs between two sketches is never more than what differs between the sets.  Of a longer
+    sketch both halves together are the one of half the slots.
+    """
+    slots = max(SMALL, 1 << (max(len(hashes), 1) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(sizes, similarity: float):
+    """How many hashes two sets of ``sizes`` together may have that the other lacks."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-9
+
+
+def may_be_similar(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs that sizes and sketches don't rule out; ``each`` has id, size and sketch.  No similar pair is lost."""
+    side = lambda of: each.select(F.col("id").alias(of), F.col("size").alias(f"size_{of}"), F.col("sketch").alias(f"sketch_{of}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    # Sizes are near enough that one sketch is at most twice as long as the other.
+    n = F.least(F.size("sketch_a"), F.size("sketch_b"))
+    halved = lambda s: F.when(F.size(s) == n, F.col(s)).otherwise(F.zip_with(F.slice(s, 1, n), F.slice(s, n + 1, n), lambda x, y: x.bitwiseXOR(y)))
+    apart = F.aggregate(F.zip_with(halved("sketch_a"), halved("sketch_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where(apart <= differing(F.col("size_a") + F.col("size_b"), similarity)).select("a", "b")
+
+
 def meeting(rows: np.ndarray, similarity: float):
-    """Pairs of ids of different groups that share a key and may be similar; ``rows`` (key, component, id, size, place) are sorted.
+    """Pairs of ids of different groups that share a key and may be similar; ``rows`` are sorted.
 
+    A row is key, component, id, size and place, and the sketch of SMALL bits, if there is one, in four
+    more numbers; it tells what differs between two sets of SMALL hashes at most.
     In the first key that two similar sets share, the smaller has it among those that two sets of its
     size need, and behind it both have as many hashes left as the sets must have in common.
     """
-    key, group, ids, size, place = rows.T
+    key, group, ids, size, place, *words = rows.T
     new_key = np.append(key[1:] != key[:-1], True)
     new_group = new_key | np.append(group[1:] != group[:-1], True)
     end = lambda new: (e := np.flatnonzero(new) + 1)[np.searchsorted(e, np.arange(len(key)), "right")]
@@ -134,13 +166,17 @@ def meeting(rows: np.ndarray, similarity: float):
         a, b = size[less], size[more]
         fits = (a >= similarity * b - 1e-9) & (place[less] <= a - np.ceil(2 * similarity / (1 + similarity) * a - 1e-9))
         fits &= np.minimum(a - place[less], b - place[more]) >= similarity / (1 + similarity) * (a + b) - 1e-9
+        if words:
+            i, j, a, b = (x[fits] for x in (i, j, a, b))
+            apart = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in words)
+            fits = (b > SMALL) | (apart <= differing(a + b, similarity))
         if fits.any():
             yield np.unique(np.sort(np.column_stack([ids[i[fits]], ids[j[fits]]]), axis=1), axis=0)
 
 
 def _meet(batches, similarity: float):
     """Rows arrive sorted by key; the key that is still open waits for the next batch."""
-    held = np.zeros((0, 5), np.int64)
+    held = None
 
     def pairs(rows):
         for found in meeting(rows, similarity) if len(rows) else ():
@@ -148,11 +184,12 @@ def _meet(batches, similarity: float):
 
     for batch in batches:
         if batch.num_rows:
-            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            new = np.column_stack([c.to_numpy() for c in batch.columns])
+            rows = new if held is None else np.concatenate([held, new])
             open_key = np.searchsorted(rows[:, 0], rows[-1, 0])
             held = rows[open_key:]
             yield from pairs(rows[:open_key])
-    yield from pairs(held)
+    yield from pairs([] if held is None else held)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
@@ -332,23 +369,20 @@ def _stars(keyed: DataFrame, similarity: float, heads: int = 1) -> DataFrame:
 def similar_ids(each: DataFrame, sets_of, prefixes: DataFrame, word_bits: int, similarity: float) -> DataFrame:
     """Links (a, b) between ids that connect all whose shingle sets have the similarity.
 
-    ``each`` has id, code, size and bands, each id once; ``sets_of`` gives the sets (id, shingles) of the
-    ids asked for; ``prefixes`` has id, size and keys, an id once or more.
+    ``each`` has id, code, size, bands and sketch, each id once; ``sets_of`` gives the sets (id, shingles)
+    of the ids asked for; ``prefixes`` has id, size, keys and sketch (of small sets), an id once or more.
 
     Three passes.  In the first, ids meet that have word fingerprints within ``word_bits`` by the SimHash
     index, and the least id of all that share a fingerprint or a band of least hashes; this settles
     large groups.  In the second, what the first hasn't joined meets several others of its bands.  Both
     are guesses.  The third is exact: of what isn't joined yet, all ids meet that share a shingle of
-    their prefixes, as two sets of the similarity do.
+    their prefixes, as two sets of the similarity do.  Sets are only fetched for pairs that their
+    sketches don't rule out.
     """
     some = each.where("size > 0")
     codes = materialize(some.groupBy("code").agg(F.min("id").alias("id")), "codes")
     keyed = some.select("id", "size", F.posexplode(F.array_append("bands", F.col("code"))).alias("way", "key")).withColumn("way", F.col("way") % WAYS)
-    sizes = lambda of: some.select(F.col("id").alias(of), F.col("size").alias(f"size_{of}"))
-
-    def fitting(found: DataFrame) -> DataFrame:
-        sized = found.distinct().join(sizes("a"), "a").join(sizes("b"), "b")
-        return materialize(sized.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")).select("a", "b"), "pairs")
+    fitting = lambda found: materialize(may_be_similar(found.distinct(), some, similarity), "pairs")
 
     index = near_links(codes, word_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs, others = fitting(index.unionByName(_stars(keyed, similarity))), fitting(_stars(keyed, similarity, HEADS))
@@ -360,10 +394,11 @@ def similar_ids(each: DataFrame, sets_of, prefixes: DataFrame, word_bits: int, s
     apart = known.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
     second = first.unionByName(materialize(similar_links(apart, sets, similarity), "links"))
     joined = connected_components(second).select(F.col("node").alias("id"), "component")
-    told = prefixes.join(joined, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "size", F.posexplode("keys").alias("place", "key"))
-    dealt = told.select("key", "component", "id", F.col("size").cast("long"), F.col("place").cast("long")).repartition("key").sortWithinPartitions("key", "component")
-    met = dealt.mapInArrow(lambda b: _meet(b, similarity), "a long, b long").distinct()
-    rest = materialize(met.join(pairs.unionByName(others), ["a", "b"], "left_anti"), "pairs")
+    words = [F.coalesce(F.get("sketch", F.lit(k)), F.lit(0)).alias(f"word_{k}") for k in range(SMALL // 64)]
+    told = prefixes.join(joined, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "size", *words, F.posexplode("keys").alias("place", "key"))
+    dealt = told.select("key", "component", "id", F.col("size").cast("long"), F.col("place").cast("long"), *(f"word_{k}" for k in range(len(words))))
+    met = dealt.repartition("key").sortWithinPartitions("key", "component").mapInArrow(lambda b: _meet(b, similarity), "a long, b long").distinct()
+    rest = fitting(met.join(pairs.unionByName(others), ["a", "b"], "left_anti"))
     sets = materialize(sets_of(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     return second.unionByName(materialize(similar_links(rest, sets, similarity), "links"))
 
@@ -414,7 +449,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """
 
     def make():
-        kind = pa.struct({"id": pa.int64(), "code": pa.int64(), "size": pa.int32(), "bands": pa.list_(pa.int64()), "often": pa.list_(pa.int64()), "times": pa.list_(pa.int64())})
+        kind = pa.struct({"id": pa.int64(), "code": pa.int64(), "size": pa.int32(), "bands": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64()), "often": pa.list_(pa.int64()), "times": pa.list_(pa.int64())})
 
         def mark(texts):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
@@ -422,47 +457,54 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             codes = [majority(np.unique(shingle_hashes(t, 1))) for t in texts]
             # What several sets of the batch have goes with its first row.
             shared = [often([*dict(zip(ids, sets, strict=True)).values()]), *[(np.array([], np.int64),) * 2] * (len(texts) - 1)][: len(texts)]
-            return pa.array(list(zip(ids, codes, map(len, sets), map(band_keys, sets), *zip(*shared, strict=True), strict=True)), kind)
+            return pa.array(list(zip(ids, codes, map(len, sets), map(band_keys, sets), map(sketch, sets), *zip(*shared, strict=True), strict=True)), kind)
 
         return mark
 
-    def make_sets():
-        return lambda texts: pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
     def make_prefixes():
-        kind = pa.struct({"id": pa.int64(), "size": pa.int32(), "keys": pa.list_(pa.int64())})
+        kind = pa.struct({"id": pa.int64(), "size": pa.int32(), "keys": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64())})
 
         def told(texts):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             rows, seen = [], set()
             for x in sets:
                 name = name_of(x)
-                rows.append((name, len(x), prefix(x, known, counts, similarity) if name not in seen else []))
+                new = name not in seen
+                rows.append((name, len(x), prefix(x, known, counts, similarity) if new else [], sketch(x) if new and len(x) <= SMALL else []))
                 seen.add(name)
             return pa.array(rows, kind)
 
         return told
 
     named = docs.select("doc_id", identity().alias("ident"), "text")
-    marks = add_column(named, make, "mark", "struct<id:bigint,code:bigint,size:int,bands:array<bigint>,often:array<bigint>,times:array<bigint>>", keep=["doc_id", "ident"])
+    marks = add_column(named, make, "mark", "struct<id:bigint,code:bigint,size:int,bands:array<bigint>,sketch:array<bigint>,often:array<bigint>,times:array<bigint>>", keep=["doc_id", "ident"])
     marks = materialize(marks.select("doc_id", "ident", "mark.*"), "marks")
-    each = materialize(marks.groupBy("id").agg(least_document(), *(F.first(c).alias(c) for c in ("code", "size", "bands"))), "ids")
+    each = materialize(marks.groupBy("id").agg(least_document(), *(F.first(c).alias(c) for c in ("code", "size", "bands", "sketch"))), "ids")
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        shown = materialize(each.join(asked, "id", "left_semi").select("id", "least.doc_id", "least.ident"), "shown")
-        texts = named.join(shown, same_document(named, shown)).select("id", "text")
-        return add_column(texts, make_sets, "shingles", "array<bigint>", keep=["id"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+        shown = each.join(asked, "id", "left_semi").select(F.col("least.ident").alias("gram"))
+        bits = docs.sparkSession.sparkContext.broadcast(seed_filter(shown))
+
+        def run(batches):
+            for batch in bounded(batches, "text"):
+                texts = batch.filter(pa.array(may_hold(bits.value, batch.column(0).to_numpy()))).column(1).to_pylist()
+                sets = {name_of(x): x for x in (np.unique(shingle_hashes(t, shingle)) for t in texts)}
+                yield pa.RecordBatch.from_arrays([pa.array([*sets], pa.int64()), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))], names=["id", "shingles"])
+
+        made = named.select("ident", "text").mapInArrow(run, "id long, shingles array<long>")
+        return made.join(asked, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
     known, counts = common_shingles(marks)
-    prefixes = add_column(named, make_prefixes, "p", "struct<id:bigint,size:int,keys:array<bigint>>", keep=[]).select("p.*").where(F.size("keys") > 0)
+    prefixes = add_column(named, make_prefixes, "p", "struct<id:bigint,size:int,keys:array<bigint>,sketch:array<bigint>>", keep=[]).select("p.*").where(F.size("keys") > 0)
     groups = components(each, similar_ids(each, sets_of, prefixes, word_bits, similarity))
     return marks.select("doc_id", "ident", "id").join(groups, "id").drop("id")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, all columns kept; of repeated rows one stays."""
-    stay = groups.where((F.col("ident") == F.col("first.ident")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "ident").distinct()
-    rows = wrapped(docs).withColumn("ident", identity())
-    kept = rows.join(stay, same_document(rows, stay), "left_semi")
-    one = F.row_number().over(Window.partitionBy("ident", "doc_id").orderBy("ident"))
-    return kept.withColumn("n", one).where("n = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    # One key of both for join and window, so texts are exchanged once; a null doc_id equals another in it.
+    who = F.struct("ident", "doc_id").alias("who")
+    stay = groups.where((F.col("ident") == F.col("first.ident")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(who).distinct()
+    rows = wrapped(docs).withColumn("ident", identity()).select("row", who)
+    one = F.row_number().over(Window.partitionBy("who").orderBy("who"))
+    return rows.join(stay, "who", "left_semi").withColumn("n", one).where("n = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -314,6 +314,36 @@ def test_meeting_pairs_by_brute_force():
         assert len(near) > 100 and near <= got
 
 
+def test_sketches_rule_out_no_similar_pair(spark):
+    """Sets of all sizes that share about 0.6 to 1 of their hashes: those at 0.8 pass, most that differ more don't, as pairs and by prefixes."""
+    import pyarrow as pa
+
+    rnd, sets = random.Random(31), []
+    for _ in range(150):
+        base = [rnd.randrange(2**64) for _ in range(rnd.choice([1, 9, 60, 130, 240, 257, 300, 600, 1100, 2100]))]
+        for share in (1, 0.97, 0.9, 0.85, 0.82, 0.75):
+            own = [h if rnd.random() < share else rnd.randrange(2**64) for h in base]
+            sets.append(np.array(sorted({*own[: len(own) - rnd.randint(0, len(own) // 10)]}), np.uint64))
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    pairs = [p for g in range(0, len(sets), 6) for p in itertools.combinations(range(g, g + 6), 2)]
+    share = {(a, b): (n := overlap(a, b)) / max(1, len(sets[a]) + len(sets[b]) - n) for a, b in pairs}
+    near = {p for p in pairs if share[p] >= 0.8}
+    assert 500 < len(near) < len(pairs) - 500
+    each = spark.createDataFrame([(i, len(x), simhash.sketch(x).tolist()) for i, x in enumerate(sets)], "id long, size int, sketch array<long>")
+    passed = {tuple(r) for r in simhash.may_be_similar(spark.createDataFrame(pairs, "a long, b long"), each.where("size > 0"), 0.8).collect()}
+    far = [p for p in pairs if share[p] < 0.65 and min(len(sets[p[0]]), len(sets[p[1]])) > 100]
+    assert near <= passed and len(far) > 300 and sum(p in passed for p in far) < 0.05 * len(far)
+
+    rows = []
+    for i, x in enumerate(sets):
+        words = simhash.sketch(x).tolist() if len(x) <= simhash.SMALL else [0] * 4
+        rows += [(k, i, i, len(x), at, *words) for at, k in enumerate(simhash.prefix(x, sets[0][:0], np.array([], np.int64), 0.8).tolist())]
+    table = pa.Table.from_arrays([pa.array(c) for c in np.array(sorted(rows)).T], names=["key", "component", "id", "size", "place", *"0123"])
+    got = {p for b in simhash._meet(table.to_batches(max_chunksize=997), 0.8) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    small = [p for p in far if max(len(sets[p[0]]), len(sets[p[1]])) <= simhash.SMALL]
+    assert near <= got and len(small) > 50 and sum(p in got for p in small) < 0.1 * len(small)
+
+
 def test_similar_documents_cases(spark, odd, empty):
     rnd = random.Random(5)
     text = sentence(rnd, 80, [f"v{i}" for i in range(900)])
