@@ -7,6 +7,7 @@ executor and can be read column by column, which an RDD checkpoint cannot.
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only by a local session that names no folder of its own.
 LOCAL_ROOT = "file:///tmp/checkpoints/lectern"
 _written: list[str] = []
+_writer: dict[str, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     if not _written:
         atexit.register(_remove_all)
     _written.append(path)
+    _writer[path] = threading.get_ident()
     return path
 
 
@@ -58,7 +61,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what was written to the shared folder inside it.
+    """Removes at its end what this thread wrote to the shared folder inside it.
 
     For long-lived sessions: results must be written or collected inside, as a lazy one still reads
     the tables behind it.
@@ -67,7 +70,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in [p for p in _written if p not in before]:
+        for path in [p for p in _written if p not in before and _writer.get(p) == threading.get_ident()]:
             remove(spark, path)
 
 
@@ -77,6 +80,7 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in _written:
         _written.remove(path)
+        _writer.pop(path, None)
 
 
 def drop_table(df: DataFrame) -> None:

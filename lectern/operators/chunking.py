@@ -73,14 +73,23 @@ def with_paths(found: Column) -> Column:
     return F.aggregate(found, none, step, lambda s: s["out"])
 
 
+def entries(rows: DataFrame, keys: list[str], array: Column | str, place: str, name: str) -> DataFrame:
+    """keys, the place of each entry of the array, and the entry.
+
+    Exploded with outer and without its nulls: else Spark infers a filter on the array's size, which works out all
+    that the array is made of once more below, and what several steps share once for each mention.
+    """
+    return rows.select(*keys, F.posexplode_outer(array).alias(place, name)).where(F.col(place).isNotNull())
+
+
 def structure_blocks(docs: DataFrame, key: str = "source") -> DataFrame:
     """key, block, heading, depth, text: a row for each section."""
-    return docs.select(key, F.posexplode(sections(F.col("text"))).alias("block", "s")).select(key, "block", "s.*")
+    return entries(docs, [key], sections(F.col("text")), "block", "s").select(key, "block", "s.*")
 
 
 def heading_paths(docs: DataFrame, key: str = "source") -> DataFrame:
     """key, block, heading_path, text: a row for each section with a body, numbered among these."""
-    return docs.select(key, F.posexplode(with_paths(sections(F.col("text")))).alias("block", "s")).select(key, "block", "s.*")
+    return entries(docs, [key], with_paths(sections(F.col("text"))), "block", "s").select(key, "block", "s.*")
 
 
 def sentences(text: Column) -> Column:
@@ -171,7 +180,7 @@ def routed_blocks(docs: DataFrame, *keys: str) -> DataFrame:
     """
     found = docs.select(*keys, F.transform(with_paths(sections(F.col("text"))), lambda s: F.struct(s["heading_path"], s["text"], sentences(s["text"]).alias("sentences"))).alias("found"))
     total = F.aggregate("found", F.lit(0), lambda n, s: n + F.size(s["sentences"]))
-    rows = found.select(*keys, total.alias("total"), F.posexplode("found").alias("block", "s")).select(*keys, "total", "block", "s.*")
+    rows = entries(found.withColumn("total", total), [*keys, "total"], "found", "block", "s").select(*keys, "total", "block", "s.*")
     whole = (F.size("sentences") <= WHOLE_SENTENCES) | (F.length("text") <= WHOLE_CHARS)
     way = F.when(F.col("total") > FAST_SENTENCES, "size").when(whole, "whole").otherwise("meaning")
     return rows.where(F.size("sentences") > 0).select(*keys, "block", "heading_path", "text", "sentences", way.alias("way"))
@@ -190,17 +199,19 @@ def chunk_documents(docs: DataFrame, model: Embed | None = None) -> DataFrame:
     keys = ["doc_id", "source", "copy"]
     # Rows alike in doc_id and source are told apart while their windows are rows of their own.
     named = docs.select("doc_id", "source", F.struct(F.xxhash64("text"), F.monotonically_increasing_id()).alias("copy"), "text")
-    blocks = materialize(routed_blocks(named, *keys), "blocks")
+    meant = F.col("way") == "meaning"
+    routed = routed_blocks(named, *keys).select(*keys, "block", "heading_path", "way", F.when(~meant, F.col("text")).alias("text"), F.when(meant, F.col("sentences")).alias("sentences"))
+    blocks = materialize(routed, "blocks")
     direct = blocks.where("way <> 'meaning'").select(*keys, "block", "heading_path", "way", F.when(F.col("way") == "size", size_split(F.col("text"))).otherwise(F.array("text")).alias("pieces"))
-    shown = blocks.where("way = 'meaning'").select(*keys, "block", "heading_path", F.posexplode(F.arrays_zip("sentences", windows(F.col("sentences")).alias("window"))).alias("pos", "z"))
+    shown = entries(blocks.where("way = 'meaning'"), [*keys, "block", "heading_path"], F.arrays_zip("sentences", windows(F.col("sentences")).alias("window")), "pos", "z")
     vectors = embed(shown.select(*keys, "block", "heading_path", "pos", F.col("z.sentences").alias("sentence"), F.col("z.window").alias("window")), "window", model)
     # A block has FAST_SENTENCES at most.
-    gathered = vectors.groupBy(*keys, "block").agg(F.first("heading_path").alias("heading_path"), F.array_sort(F.collect_list(F.struct("pos", "sentence", "embedding"))).alias("rows"))
+    gathered = vectors.groupBy(*keys, "block").agg(F.first("heading_path").alias("heading_path"), F.sort_array(F.collect_list(F.struct("pos", "sentence", "embedding"))).alias("rows"))
     split = gathered.select(*keys, "block", "heading_path", F.transform("rows", lambda r: r["sentence"]).alias("sentences"), distances(F.transform("rows", lambda r: r["embedding"])).alias("apart"))
     broken = split.withColumn("begins", breakpoints(F.col("sentences"), F.col("apart")))
     pieces = assembled(F.col("sentences"), F.col("begins"))
     cut = direct.unionByName(broken.select(*keys, "block", "heading_path", F.lit("meaning").alias("way"), pieces.alias("pieces")))
-    rows = cut.select(*keys, "block", "heading_path", "way", F.posexplode("pieces").alias("piece", "text"))
+    rows = entries(cut, [*keys, "block", "heading_path", "way"], "pieces", "piece", "text")
     place = (F.row_number().over(Window.partitionBy(*keys).orderBy("block", "piece")) - 1).cast("long")
     numbered = rows.withColumn("chunk", place)
     version = F.when(F.col("way") == "size", FAST_VERSION).otherwise(VERSION)

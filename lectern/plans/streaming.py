@@ -35,9 +35,10 @@ def _(v):
     """Every document comes three times: as it was, with its text as it is now, and, in part, once more."""
     docs, first = v.documents.select("doc_id", "source", "text"), new_path(v.spark, "documents")
     for number, lot in enumerate((docs.withColumn("text", F.concat(F.lit("Old. "), F.col("doc_id").cast("string"))), docs, docs.where("doc_id % 3 = 0")), 1):
-        lot.withColumn("version", F.lit(number)).coalesce(1).write.mode("append").parquet(first)
+        lot.withColumn("version", F.lit(number)).write.mode("append").parquet(first)
     store = J.Store(v.spark, new_path(v.spark, "chunks"), CHUNKS, ("source", "doc_id"), slots=8)
-    stream = J.read_stream(v.spark, first, v.spark.read.parquet(first).schema, 1)
+    # Each lot has a file for each part of the documents.
+    stream = J.read_stream(v.spark, first, v.spark.read.parquet(first).schema, docs.rdd.getNumPartitions())
     J.ingest(stream, store, new_path(v.spark, "stream"), letter_counts).awaitTermination()
     return store.read().select("doc_id", "chunk_id", "chunk", "heading", "chunker_version", F.md5("text").alias("digest"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.storage import drop_table, materialize
+
 
 class Conflict(RuntimeError):
     """Another writer has committed the version that this one was about to."""
@@ -105,15 +107,24 @@ class Store:
             same = same & left[c].eqNullSafe(right[f"__u_{c}"])
         return same
 
-    def replace(self, units: DataFrame, rows: DataFrame | None = None) -> None:
-        """``rows`` in place of all rows of ``units`` and of their own units; a unit without rows is gone."""
+    def replace(self, units: DataFrame, rows: DataFrame | None = None, covered: bool = False) -> None:
+        """``rows`` in place of all rows of ``units`` and of their own units; a unit without rows is gone.
+
+        ``covered`` says that ``units`` names all units that the rows have.  Else the rows are written beforehand,
+        as they tell their units; they are worked out once in either case.
+        """
         versions = self.versions()
-        own = units.select(*self.unit) if rows is None else units.select(*self.unit).unionByName(rows.select(*self.unit))
+        fresh = rows if rows is None or covered else materialize(rows.select(*self.names), "fresh")
+        own = units.select(*self.unit) if fresh is rows else units.select(*self.unit).unionByName(fresh.select(*self.unit))
         slots = self._touched(own)
         named = own.distinct().select(*(F.col(c).alias(f"__u_{c}") for c in self.unit))
         stored = self._slots(versions, slots)
         kept = stored.join(named, self._same_unit(stored, named), "left_anti")
-        self._commit(kept if rows is None else kept.unionByName(rows.select(*self.names)), slots, versions)
+        try:
+            self._commit(kept if fresh is None else kept.unionByName(fresh.select(*self.names)), slots, versions)
+        finally:
+            if fresh is not rows:
+                drop_table(fresh)
 
     def upsert(self, rows: DataFrame, key: tuple[str, ...] = ("collection", "chunk_id")) -> None:
         """``rows`` in place of the stored ones of their keys, whatever unit those are in; of repeated new keys one stays."""

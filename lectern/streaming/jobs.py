@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions.embedding import Embed
-from lectern.functions.storage import materialize
+from lectern.functions.storage import scratch
 from lectern.operators.chunking import chunk_documents
 from lectern.operators.workspace import source_boosts
 from lectern.sources.store import Store
@@ -50,8 +50,9 @@ def ingest(documents: DataFrame, store: Store, checkpoint: str, model: Embed | N
 
     def write(batch: DataFrame, number: int) -> None:
         order = F.struct(*([F.col("version")] if "version" in batch.columns else []), F.xxhash64(F.coalesce("text", F.lit(""))))
-        latest = materialize(batch.groupBy("doc_id", "source").agg(F.max_by("text", order).alias("text")), "batch")
-        store.replace(latest, chunk_documents(latest, model).select(*store.names))
+        latest = batch.groupBy("doc_id", "source").agg(F.max_by("text", order).alias("text"))
+        with scratch(batch.sparkSession):
+            store.replace(latest, chunk_documents(latest, model).select(*store.names), covered=True)
 
     return documents.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 

@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import scores
 from lectern.functions.models import embedding_model
@@ -380,6 +381,28 @@ def test_ingested_documents(spark, tmp_path):
     assert sorted(map(tuple, store.read().collect()), key=str) == before
 
 
+def test_ingestion_works_chunks_out_once(spark, tmp_path):
+    """A model sees each window once a batch, and no step of the chunker is worked out again in an inferred filter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(df, column):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.select(*df.columns, F.array(F.length(column).cast("double"), F.lit(1.0)).alias("embedding")).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+    kind = "doc_id long, source string, text string, version int"
+    docs = spark.createDataFrame([(k, "s", " ".join(f"Sentence {i} of number {k} says a little more." for i in range(50)), 1) for k in range(3)], kind)
+    docs.write.parquet(f"{tmp_path}/arriving")
+    store = Store(spark, f"file://{tmp_path}/chunks", "doc_id long, source string, chunk_id string, chunk long, heading string, chunker_version string, text string", ("source", "doc_id"), slots=2)
+    J.ingest(J.read_stream(spark, f"{tmp_path}/arriving", kind), store, f"file://{tmp_path}/state", model).awaitTermination()
+    assert seen.value == 150 and store.read().select("doc_id").distinct().count() == 3
+    plan = C.chunk_documents(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") < 20
+
+
 def test_stored_collection(spark, tmp_path):
     """Rows move to another unit, null units, empty stores, a writer that is lost before its commit, two writers, what vacuum leaves."""
     kind = "chunk_id string, collection string, source string, text string"
