@@ -156,20 +156,9 @@ def assembled(found: Column, begins: Column) -> Column:
 
 def size_split(text: Column, limit: int = TARGET_CHARS) -> Column:
     """Pieces of words; a piece ends with the word that brings its letters and spaces to the limit."""
-    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    none = F.array().cast(STRINGS)
-
-    def step(state: Column, w: Column) -> Column:
-        total = state["total"] + F.length(w) + 1
-        full, piece = total >= limit, F.array_append(state["piece"], w)
-        return F.struct(
-            F.when(full, F.lit(0)).otherwise(total).alias("total"),
-            F.when(full, none).otherwise(piece).alias("piece"),
-            F.when(full, F.array_append(state["out"], F.array_join(piece, " "))).otherwise(state["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("total"), none.alias("piece"), none.alias("out"))
-    return F.aggregate(words, start, step, lambda s: F.when(F.size(s["piece"]) > 0, F.array_append(s["out"], F.array_join(s["piece"], " "))).otherwise(s["out"]))
+    # Each word has one space behind it, so a piece is what reaches the limit by its first space there, or the rest.
+    words = F.concat(F.btrim(F.regexp_replace(text, "\\s+", " ")), F.lit(" "))
+    return F.transform(F.regexp_extract_all(words, F.lit(f"(?s)[^ ].{{{max(limit - 2, 0)}}}[^ ]* |[^ ].*"), F.lit(0)), lambda p: F.rtrim(p))
 
 
 def routed_blocks(docs: DataFrame, *keys: str) -> DataFrame:

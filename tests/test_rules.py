@@ -178,6 +178,29 @@ def test_breakpoints_fold(spark):
     assert got[0]["begins"] == [8, 16, 24]  # flat text is cut at 2400 characters: four chunks
 
 
+def test_size_split(spark):
+    """Pieces as a walk along the words makes them; a text of 200,000 words takes no square of them."""
+
+    def walk(text, limit):
+        out, held, total = [], [], 0
+        for w in re.split(r"[ \t\n\x0b\f\r]+", text):
+            if w:
+                held, total = [*held, w], total + len(w) + 1
+                if total >= limit:
+                    out, held, total = [*out, " ".join(held)], [], 0
+        return [*out, " ".join(held)] if held else out
+
+    rnd = random.Random(11)
+    texts = ["", " \n\t ", "a", " a  b\tc d\x85e\x1cf ", "x" * 90 + " y", "é𝔘 " * 300, *("".join(rnd.choice(["w", "ab", "  ", " ", "\n", "\u2028", "ü"]) for _ in range(400)) for _ in range(20))]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([None, *texts])], "k int, text string")
+    for limit in (1, 2, 3, 7, 40):
+        got = [r[0] for r in rows.orderBy("k").select(C.size_split(F.col("text"), limit)).collect()]
+        assert got == [None, *(walk(t, limit) for t in texts)]
+    began, long = time.perf_counter(), spark.createDataFrame([("ab " * 200_000,)], "text string")
+    assert [long.select(F.size(C.size_split(F.col("text"), n))).first()[0] for n in (12, 60_000)] == [50_000, 10]
+    assert time.perf_counter() - began < 40
+
+
 def test_chunk_documents(spark):
     """All ways through the chunker, a sentence at a time in plain Python."""
     rnd = random.Random(7)
