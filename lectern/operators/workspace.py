@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import content_key, coverage, weight_of
+from lectern.functions.storage import materialize
 from lectern.functions.texts import clipped, strip
 
 
@@ -144,9 +145,8 @@ def short(text: Column, limit: int = CELL) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
 
 
-def _in_order(value: Column) -> Column:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("value")))), lambda x: x["value"])
-    return short(F.array_join(F.filter(ordered, lambda x: x != ""), " | "))
+def _cell(values: Column) -> Column:
+    return short(F.array_join(F.filter(values, lambda x: x != ""), " | "))
 
 
 def feedback_export(requirements: DataFrame, votes: DataFrame, files: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
@@ -155,19 +155,36 @@ def feedback_export(requirements: DataFrame, votes: DataFrame, files: DataFrame,
     ``files`` has analysis_id and filename; ``evidence`` and ``sources`` a row for each piece of a requirement.
     """
     key = ["analysis_id", "requirement_id"]
+    listed = lambda rows, name, value: rows.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", value.alias("x")))), lambda p: p["x"]).alias(name))
+    own = requirements.withColumnRenamed("id", "requirement_id").drop("evidence", "sources")
+    for more in (listed(evidence, "evidence", F.col("quote")), listed(sources, "sources", F.struct("source", "page", "score"))):
+        own = own.join(more, key, "left")
+    return feedback_cells(own.withColumnRenamed("requirement_id", "id"), votes, files)
+
+
+def feedback_cells(requirements: DataFrame, votes: DataFrame, files: DataFrame) -> DataFrame:
+    """:func:`feedback_export` of requirements that hold their quotes (``evidence``) and sources (source, page, score) as arrays.
+
+    Requirements that lie together by analysis_id are not exchanged, unless the votes are too many for a broadcast.
+    """
+    key = ["analysis_id", "requirement_id"]
     last = latest(votes, key, F.desc("updated_at"), F.desc("id")).select(*key, "vote", "comment", F.col("updated_at").cast("string").alias("voted_at"), F.col("user_id").cast("string").alias("voted_by"))
-    quotes = evidence.groupBy(*key).agg(_in_order(strip(F.col("quote"))).alias("evidence_concatenated"))
-    page = F.when(F.coalesce(F.col("page").cast("string"), F.lit("")).isin("", "?"), "").otherwise(F.concat(F.lit(" p."), F.col("page").cast("string")))
-    score = F.when(F.col("score").isNull(), "").otherwise(F.format_string(" (%.3f)", "score"))
-    cited = sources.groupBy(*key).agg(_in_order(F.concat(strip(F.coalesce(F.nullif("source", F.lit("")), F.lit("?"))), page, score)).alias("sources_concatenated"))
+
+    def cited(s: Column) -> Column:
+        page = F.when(F.coalesce(s["page"].cast("string"), F.lit("")).isin("", "?"), "").otherwise(F.concat(F.lit(" p."), s["page"].cast("string")))
+        score = F.when(s["score"].isNull(), "").otherwise(F.format_string(" (%.3f)", s["score"]))
+        return F.concat(strip(F.coalesce(F.nullif(s["source"], F.lit("")), F.lit("?"))), page, score)
+
     named = requirements.withColumnRenamed("id", "requirement_id").withColumns({
         "requirement_title": F.col("title"),
         "domain": F.coalesce(F.nullif("category", F.lit("")), F.lit("Autre")),
         "confidence": F.when(F.col("confidence").isNotNull(), F.format_string("%.3f", "confidence")),
+        "evidence_concatenated": _cell(F.transform("evidence", strip)),
+        "sources_concatenated": _cell(F.transform("sources", cited)),
     })
     joined = named.join(files.select("analysis_id", F.col("filename").alias("cdc_filename")), "analysis_id", "left")
-    for more in (quotes, cited, last):
-        joined = joined.join(more, key, "left")
+    # Written, so that Spark knows the size of what is joined by both keys.
+    joined = joined.join(materialize(last, "votes"), key, "left")
     return joined.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORT))
 
 

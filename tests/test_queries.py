@@ -53,3 +53,10 @@ def test_messages_cut_or_blank_at_white_space(spark, tmp_path, name):
     df, told = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLES[name])
     at = [told.columns.index(x) for x in df.columns]
     assert sorted(map(repr, df.rdd.map(tuple).collect())) == sorted(repr(tuple(r[i] for i in at)) for r in told.fetchall())
+
+
+@pytest.mark.parametrize("name", ["f16_feedback_export"])
+def test_lines_are_exchanged_once(spark, name):
+    """Requirements, sources and quotes come from one scan of the lines, as each exchange of them costs several times the input."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
