@@ -10,7 +10,7 @@ from lectern.operators import workspace as W
 from lectern.operators.chunking import chunk_documents
 from lectern.plans.chunking import chunks_sql, letter_counts
 from lectern.plans.registry import query
-from lectern.plans.workspace import EXPORT, exported
+from lectern.plans.workspace import EXPORT, exported, listed_requirements
 from lectern.sources import pages as P
 from lectern.sources import tables as S
 from lectern.sources.store import Store
@@ -305,13 +305,9 @@ def _(v):
 
 def reported(v):
     """Requirements with their lists: criteria, evidence and sources."""
-    key = ["analysis_id", "requirement_id"]
-    listed = lambda rows, value: rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("x")))), lambda p: p["x"]).alias("x"))
-    quotes = listed(v.evidence, F.trim("quote")).withColumnRenamed("x", "evidence")
-    cited = listed(v.sources, F.struct("source", "page", "score")).withColumnRenamed("x", "sources")
-    rows = v.requirements.drop("source").withColumnRenamed("id", "requirement_id").join(quotes, key, "left").join(cited, key, "left").withColumnRenamed("requirement_id", "id")
     criteria = F.when(F.col("page") % 3 == 0, F.array(F.lit("one"), F.lit("two"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumns({"source_location": F.when(F.col("page") % 2 == 0, F.concat(F.lit("p. "), "page")), "acceptance_criteria": criteria, "filename": F.concat(F.lit("spec-"), "analysis_id", F.lit(".docx")), "evidence": F.coalesce("evidence", F.array().cast("array<string>"))})
+    place = F.when(F.col("page") % 2 == 0, F.concat(F.lit("p. "), "page"))
+    return listed_requirements(v).withColumns({"source_location": place, "acceptance_criteria": criteria, "filename": F.concat(F.lit("spec-"), "analysis_id", F.lit(".docx")), "evidence": F.transform("evidence", lambda q: F.trim(q))})
 
 
 NL = "chr(10)"
