@@ -299,7 +299,7 @@ COLUMNS = ", ".join(f"""case when regexp_matches("{c}", '[;"\\r\\n]') then '"' |
 def _(v):
     """The sink's lines, read back; the reader takes the byte order mark away."""
     path = new_path(v.spark, "feedback")
-    S.write_feedback_csv(exported(v), path)
+    S.write_feedback_csv(exported(v), path, "gzip")
     return v.spark.read.option("lineSep", "\r\n").text(f"{path}/*").select(F.col("value").alias("line"))
 
 

@@ -60,3 +60,8 @@ def test_lines_are_exchanged_once(spark, name):
     """Requirements, sources and quotes come from one scan of the lines, as each exchange of them costs several times the input."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_lines_of_the_export_are_stored_compressed(spark):
+    files = QUERIES["a14_feedback_csv"](spark, SF).inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
