@@ -242,7 +242,7 @@ def seed_filter(seeds: DataFrame) -> bytes:
 
 def may_hold(bits: bytes, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be one that :func:`seed_filter` was made of: never false for one that is."""
-    slot = keys & ((1 << BITS) - 1)
+    slot = keys & (len(bits) * 8 - 1)  # by the filter's own size, which a worker need not share
     return np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
 
 
